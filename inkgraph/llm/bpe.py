@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +25,12 @@ from tokenizers import Tokenizer, models
 
 #: Longest run of symbols that is encoded in one piece.
 LEAF = 256
-#: Entries of the cache of chunks, for each Python worker.
-CACHE = 250_000
+#: Entries of each of the two generations of the cache of chunks, for each Python worker.
+CACHE = 300_000
+#: A chunk of its own that no plain chunk holds.
+MARK = b"\x01 "
+#: A full stop or comma that is a pre-token of its own.
+STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n])")
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -88,10 +93,6 @@ class TreeEncoder:
         return out  # type: ignore[return-value]
 
 
-class _Chunks(dict):
-    """Bounded cache: chunk -> (number of tokens, ids as text, tokens as text)."""
-
-
 class Codec:
     """Encodes and decodes texts as the library does for the same file."""
 
@@ -104,7 +105,12 @@ class Codec:
         self.tree = TreeEncoder(spec, leaf)
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.leaf, self.size = leaf, cache
-        self.cache = _Chunks()
+        self.token = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.id_text = {i: str(i) for i in self.token}
+        [self.mark] = self.library.encode(MARK.decode(), add_special_tokens=False).ids
+        self.apart = re.compile(b"|".join(map(re.escape, [MARK.strip(), *(x.encode() for x in self.specials)])))
+        self.young: dict[bytes, tuple[int, str, str]] = {}  # chunk: number of tokens, ids, tokens
+        self.old: dict[bytes, tuple[int, str, str]] = {}
 
     def _long(self, chunk: str) -> list[int]:
         """A chunk that may hold long pre-tokens, between special tokens."""
@@ -131,34 +137,47 @@ class Codec:
             text = text[at + len(special) :]
 
     def _entry(self, ids: list[int]) -> tuple[int, str, str]:
-        return len(ids), " ".join(map(str, ids)), self.library.decode(ids, skip_special_tokens=False)
-
-    def _fill(self, chunks: set[bytes]) -> None:
-        if len(self.cache) + len(chunks) > self.size:
-            self.cache.clear()
-        short = [c for c in chunks if len(c) <= self.leaf]
-        for c, e in zip(short, self.library.encode_batch_fast([c.decode() for c in short], add_special_tokens=False), strict=True):
-            self.cache[c] = self._entry(e.ids)
-        for c in chunks:
-            if len(c) > self.leaf:
-                self.cache[c] = self._entry(self._long(c.decode()))
+        return len(ids), " ".join(map(self.id_text.__getitem__, ids)), " ".join(map(self.token.__getitem__, ids))
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Puts chunks into the cache; plain ones are encoded in one call, with a mark after each."""
+        plain = [c for c in chunks if len(c) <= self.leaf and not self.apart.search(c)]
+        if plain:
+            text = MARK.join([b" ".join((c, b"")) for c in plain]) + MARK
+            ids = self.library.encode(text.decode(), add_special_tokens=False).ids
+            at = 0
+            for c in plain:
+                to = ids.index(self.mark, at)
+                self.young[c] = self._entry(ids[at:to])
+                at = to + 1
+        if len(plain) < len(chunks):
+            for c in set(chunks).difference(plain):
+                self.young[c] = self._entry(self._long(c.decode()))
+
+    def _chunks(self, text: bytes) -> list[bytes]:
+        """The text cut where no token crosses: at ASCII white space, and before a full stop or comma between a letter and white space."""
+        if b"<|" not in text:
+            text = text.lower()  # ASCII letters alone; a special token would have to stay as it is
+        return STOP.sub(rb" \1", text).split()
 
     def encode_all(self, texts: list[bytes]) -> list[tuple[int, str, str]]:
         """For each UTF-8 text: number of tokens, ids joined by a space, decoded text."""
-        out, at = [], 0
-        while at < len(texts):
-            split, unseen, room = [], set(), self.size // 2
-            while at < len(texts) and (not split or len(unseen) < room):
-                chunks = texts[at].split()  # bytes are cut at ASCII white space alone
-                unseen.update(c for c in chunks if c not in self.cache)
-                split.append(chunks)
-                at += 1
-            kept = {c for chunks in split for c in chunks if c in self.cache} if len(self.cache) + len(unseen) > self.size else ()
-            if unseen:
-                self._fill(unseen | set(kept))
-            for chunks in split:
-                parts = [p for p in map(self.cache.__getitem__, chunks) if p[0]]
-                out.append((sum(p[0] for p in parts), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])))
+        out = []
+        for text in texts:
+            if len(self.young) > self.size:
+                self.old, self.young = self.young, {}
+            chunks = self._chunks(text)
+            unseen = set(chunks).difference(self.young)
+            known = unseen.intersection(self.old)
+            self.young.update((c, self.old[c]) for c in known)
+            if len(unseen) > len(known):
+                self._encode(list(unseen.difference(known)))
+            parts = [p for p in map(self.young.__getitem__, chunks) if p[0]]
+            if parts:
+                counts, ids, tokens = zip(*parts, strict=True)
+                out.append((sum(counts), " ".join(ids), " ".join(tokens)))
+            else:
+                out.append((0, "", ""))
         return out
 
 
