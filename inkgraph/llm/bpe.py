@@ -168,10 +168,12 @@ class Codec:
                 self.old, self.young = self.young, {}
             chunks = self._chunks(text)
             unseen = set(chunks).difference(self.young)
-            known = unseen.intersection(self.old)
-            self.young.update((c, self.old[c]) for c in known)
-            if len(unseen) > len(known):
-                self._encode(list(unseen.difference(known)))
+            if self.old:
+                for c in [c for c in unseen if c in self.old]:
+                    self.young[c] = self.old[c]
+                    unseen.remove(c)
+            if unseen:
+                self._encode(list(unseen))
             parts = [p for p in map(self.young.__getitem__, chunks) if p[0]]
             if parts:
                 counts, ids, tokens = zip(*parts, strict=True)
