@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, quality, secrets
+from . import bpe, decontaminate, licenses, quality, secrets, sites, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +25,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_read(spark, sf_dir, "documents"))
 
 
+def op3_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.concat_ws("/", "source", "lang"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans", "near_items")
 
@@ -36,12 +41,16 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses}
+    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree}
 
 
 def oracle_sql() -> dict[str, str]:
