@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, quality, secrets, sites, suffix_tree
+from . import bpe, decontaminate, jaccard, licenses, lines, quality, secrets, sites, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,12 +49,16 @@ def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_read(spark, sf_dir, "documents"))
 
 
+def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree, "op9_jaccard": op9_jaccard}
+    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree, "op9_jaccard": op9_jaccard, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
