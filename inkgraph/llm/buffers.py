@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: A-Z to a-z, every other byte unchanged.
 ASCII_LOWER = np.arange(256, dtype=np.uint8)

@@ -40,7 +40,7 @@ def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Postings of all tokens of ``docs``: one row for each block of about 4 MB of text."""
+    """Postings of all tokens of ``docs``: one row for each block of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32

@@ -224,9 +224,17 @@ def _runs(postings: DataFrame, percent: int) -> DataFrame:
     return postings.groupBy("shard").applyInArrow(find, _PAIRS + ", run binary, node binary, n binary, place binary, lead binary")
 
 
-def _bloom_bits(nodes: np.ndarray, bits: int) -> np.ndarray:
+def _bloom_bits(nodes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and masks of the two bits of each class."""
     h = mix(nodes.view(np.uint64))
-    return np.r_[h >> np.uint64(64 - bits), mix(h) >> np.uint64(64 - bits)].astype(np.int64)
+    at = np.r_[h >> np.uint64(64 - bits), mix(h) >> np.uint64(64 - bits)].astype(np.int64)
+    return at >> 3, np.uint8(1) << (at & 7).astype(np.uint8)
+
+
+def bloom_has(packed: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Whether each class may be in the bit map."""
+    at, mask = _bloom_bits(nodes, BLOOM_BITS)
+    return (packed[at] & mask > 0).reshape(2, -1).all(axis=0)
 
 
 BLOOM_BITS = 26
@@ -236,13 +244,12 @@ def _bloom(pairs: DataFrame) -> np.ndarray:
     """A bit map of fixed size of all classes in pairs."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << BLOOM_BITS, bool)
+        packed = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
         for batch in batches:
             for c in ("a", "b"):
                 for x in batch.column(c):
-                    bits[_bloom_bits(np.frombuffer(x.as_buffer(), np.int64), BLOOM_BITS)] = True
-        if bits.any():
-            packed = np.packbits(bits)
+                    np.bitwise_or.at(packed, *_bloom_bits(np.frombuffer(x.as_buffer(), np.int64), BLOOM_BITS))
+        if packed.any():
             part = len(packed) // SLICES
             yield _batch("slice bits", [pa.int32(), pa.binary()], [(i, _pack(packed[i * part : (i + 1) * part])) for i in range(SLICES)])
 
@@ -266,7 +273,6 @@ def _segments(docs: DataFrame, k: int, sketch, cuts: np.ndarray, bloom: np.ndarr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        bits = np.unpackbits(shared.value).view(bool)
         held: list[tuple[int, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -281,7 +287,7 @@ def _segments(docs: DataFrame, k: int, sketch, cuts: np.ndarray, bloom: np.ndarr
 
         for batch in blocks(batches):
             for s in shingle_sets(batch.column("text"), k):
-                if not len(s) or (node := node_of(s)) in seen or not bits[_bloom_bits(np.array([node], np.int64), BLOOM_BITS)].all():
+                if not len(s) or (node := node_of(s)) in seen or not bloom_has(shared.value, np.array([node], np.int64))[0]:
                     continue
                 seen.add(node)
                 g = ordered(s, sketch.value)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .buffers import SpanHash, blocks, mix, text_buffer
 from .components import components
-from .jaccard import BLOOM_BITS, _bloom, _bloom_bits
+from .jaccard import _bloom, bloom_has
 from .storage import written
 
 EDITS, MIN_BYTES = 2, 20
@@ -186,7 +186,6 @@ def _texts(docs: DataFrame, bloom: np.ndarray, least: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
         for batch in blocks(batches):
             data, ends = text_buffer(batch.column("text"))
             starts, stops, _, _ = line_spans(data, ends)
@@ -194,7 +193,7 @@ def _texts(docs: DataFrame, bloom: np.ndarray, least: int) -> DataFrame:
             starts, stops = starts[keep], stops[keep]
             line = SpanHash(data).spans(starts, stops).view(np.int64)
             line, at = np.unique(line, return_index=True)
-            there = bits[_bloom_bits(line, BLOOM_BITS)].reshape(2, -1).all(axis=0)
+            there = bloom_has(shared.value, line)
             line, starts, stops = line[there], starts[at[there]], stops[at[there]]
             bins = histograms(data, starts, stops)
             yield pa.RecordBatch.from_arrays([pa.array(line), pa.array([data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())], names=["line", "content", "bins"])
