@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, lines, quality, secrets, sites, suffix_tree
+from . import bpe, decontaminate, jaccard, licenses, lines, quality, secrets, sites, suffix_dedup, suffix_tree
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.score_documents(_read(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_strings(_read(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(_read(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree, "op9_jaccard": op9_jaccard, "op10_lines": op10_lines}
+    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard": op9_jaccard, "op10_lines": op10_lines}
 
 
 def oracle_sql() -> dict[str, str]:
