@@ -1,11 +1,11 @@
 """Exact n-gram Jaccard self-join by vertical partitioning, and its components.
 
 Texts with the same set of word shingles form one class.  All shingles have a
-global order, rare before frequent, by a count sketch of fixed size.  Classes
-that share a shingle among the first of their sets are candidates (the prefix
-filter, with the bound that two places in the order give).  To verify them the
-order is cut into fragments: each fragment counts the overlap of its part of
-both sets, and the counts are summed for each pair.
+global order, rare before frequent, by exact counts.  Classes that share a
+shingle among the first of their sets are candidates (the prefix filter, with
+the bound that two places in the order give).  To verify them the shingles are
+cut into fragments: each fragment counts the overlap of its part of both sets,
+and the counts are summed for each pair.
 
 Candidates of one shingle are first compared with the class that has the least
 place in the order, which ties large groups of near copies together in one
@@ -16,7 +16,6 @@ spelled out.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,21 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, blocks, joined_hash, mix, text_buffer, word_spans
+from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, joined_hash, mix, word_spans
 from .components import components
 from .storage import written
+from .text_blocks import batch as _batch
+from .text_blocks import pack as _pack
+from .text_blocks import read_blocks, shard_count, table, text_blocks
+from .text_blocks import unpack as _unpack
 
 K, PERCENT = 5, 75
-SKETCH_BITS = 24
 SLICES = 16
+#: Shards of candidate pairs.
 SHARDS = 64
 #: Pairs whose elements are compared at once, in elements.
 CHUNK = 2_000_000
 
 
-def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words has one, an empty text none."""
-    data, ends = text_buffer(column)
     data = ASCII_LOWER[data]
     starts, stops, first = word_spans(data, ends, SPACE_WORDS)
     words = SpanHash(data).spans(starts, stops)
@@ -56,112 +58,106 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(both[:1] * np.uint64(0x9E3779B97F4A7C15) + both[1:]).view(np.int64)[0])
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
+class Block:
+    """The distinct sets of one block of texts, and its distinct shingles in the order in which shards are asked for them."""
 
-
-def _unpack(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
-
-
-def _batch(names: str, kinds: list, rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names.split())
+    def __init__(self, data: np.ndarray, ends: np.ndarray, k: int, shards: int):
+        self.sizes, self.node_of_row, self.nodes, self.sets = [], [], [], []
+        seen: set[int] = set()
+        for s in shingle_sets(data, ends, k):
+            self.sizes.append(len(s))
+            node = node_of(s) if len(s) else None
+            self.node_of_row.append(node)
+            if node is not None and node not in seen:
+                seen.add(node)
+                self.nodes.append(node)
+                self.sets.append(s)
+        every = np.concatenate(self.sets) if self.sets else np.zeros(0, np.uint64)
+        # the low bits choose the shard and the next ones tell shingles apart there
+        shard = every % np.uint64(shards)
+        self.distinct, self.place, self.count = np.unique(shard << np.uint64(32) | every >> np.uint64(12) & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)
+        self.cuts = np.searchsorted(self.distinct, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def _first_pass(docs: DataFrame, k: int) -> DataFrame:
-    """A row for each document with its set's size and id, and each task's slices of the count sketch."""
+def _ask(texts: DataFrame, k: int, shards: int) -> DataFrame:
+    """The distinct shingles of each block and in how many of its sets each is, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.uint8)
-        for batch in blocks(batches):
-            sets = list(shingle_sets(batch.column("text"), k))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())],
-                names=["doc_id", "n", "node", "slice", "sketch"],
-            )
-            slots, counts = np.unique((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-            sketch[slots] = np.minimum(sketch[slots] + counts, 255)
-        if sketch.any():
-            part = len(sketch) // SLICES
-            yield _batch("doc_id n node slice sketch", [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()], [(None, None, None, i, _pack(sketch[i * part : (i + 1) * part])) for i in range(SLICES)])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, slice int, sketch binary")
-
-
-def _sum_sketch(rows: DataFrame) -> np.ndarray:
-    def add(key, table):
-        total = np.zeros((1 << SKETCH_BITS) // SLICES, np.uint16)
-        for x in table.column("sketch"):
-            total = np.minimum(total + _unpack(x.as_py(), np.uint8), 255)
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "sketch": pa.array([_pack(total.astype(np.uint8))], pa.binary())})
-
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    part = len(out) // SLICES
-    for r in rows.where("sketch is not null").select("slice", "sketch").groupBy("slice").applyInArrow(add, "slice int, sketch binary").collect():
-        out[r.slice * part : (r.slice + 1) * part] = _unpack(bytes(r.sketch), np.uint8)
-    return out
+        for number, _, data, ends in read_blocks(batches):
+            b = Block(data, ends, k, shards)
+            short, count = b.distinct.astype(np.uint32), np.minimum(b.count, 65535).astype(np.uint16)
+            rows = [(number, s, short[x:y].tobytes(), _pack(count[x:y])) for s, (x, y) in enumerate(zip(b.cuts, b.cuts[1:], strict=False)) if y > x]
+            yield _batch("block shard shingles counts", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
+    return texts.mapInArrow(run, "block long, shard int, shingles binary, counts binary")
 
-def ordered(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    """The set's places in the global order: estimated frequency, then hash."""
-    frequency = sketch[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
-    return np.sort(frequency << np.uint64(56) | s & np.uint64((1 << 56) - 1))
 
+def _frequencies(key, asked):
+    """For each block the frequency classes of its shingles; 0 is a shingle of one set alone."""
+    parts = [np.frombuffer(x.as_buffer(), np.uint32) for x in asked.column("shingles")]
+    distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+    total = np.bincount(at, weights=np.concatenate([_unpack(x.as_py(), np.uint16) for x in asked.column("counts")]), minlength=len(distinct))
+    classes = np.minimum(np.ceil(8 * np.log2(total)), 255).astype(np.uint8)[at]
+    split = np.split(classes, np.cumsum([len(p) for p in parts])[:-1])
+    return pa.table({"block": asked.column("block"), "shard": asked.column("shard"), "classes": pa.array([_pack(x) for x in split], pa.binary())})
 
-def pivots(sketch: np.ndarray, fragments: int) -> np.ndarray:
-    """Cuts of the global order into fragments of about the same number of shingle occurrences."""
-    mass = np.bincount(sketch, minlength=256) * np.arange(256)
-    total = np.cumsum(mass)
-    cuts = []
-    for i in range(1, fragments):
-        want = total[-1] * i / fragments
-        f = int(np.searchsorted(total, want))
-        inside = (want - (total[f - 1] if f else 0)) / max(mass[f], 1)
-        cuts.append(f << 56 | int(min(max(inside, 0.0), 1.0) * ((1 << 56) - 1)))
-    return np.array(cuts, np.uint64)
 
+_PREFIXES = "doc_id n node shard nodes sizes counts keys places"
+_PREFIX_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_PREFIX_SCHEMA = "doc_id long, n long, node long, shard int, nodes binary, sizes binary, counts binary, keys binary, places binary"
 
-def _bound(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets that first meet with ra and rb elements left can be similar enough."""
-    return np.minimum(ra, rb) * (100 + percent) >= percent * (na + nb)
 
+def _prefixes(k: int, percent: int, shards: int):
+    """Cogroup function: a row for each text with its set's size and id, and the prefixes of a block's sets, by shard of the shingle.
 
-def _postings(docs: DataFrame, k: int, percent: int, sketch) -> DataFrame:
-    """Prefixes of all distinct sets of a task, by shard of the shingle."""
+    Shingles of one set alone come first in the order and meet nothing, so only their number is kept.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in blocks(batches):
-            nodes, sizes, lengths, keys, places = [], [], [], [], []
-            for s in shingle_sets(batch.column("text"), k):
-                if not len(s) or (node := node_of(s)) in seen:
-                    continue
-                seen.add(node)
-                n = len(s)
-                prefix = ordered(s, sketch.value)[: n - (percent * n + 99) // 100 + 1]
-                nodes.append(node)
-                sizes.append(n)
-                lengths.append(len(prefix))
-                keys.append(prefix)
-                places.append(np.arange(len(prefix), dtype=np.int32))
-            if not nodes:
+    def run(key, left, right):
+        out = []
+        for _, ids, data, ends in read_blocks(left):
+            b = Block(data, ends, k, shards)
+            none = pa.nulls
+            rows = len(ids)
+            out.append(pa.table({n: c for n, c in zip(_PREFIXES.split(), [pa.array(ids, pa.int64()), pa.array(b.sizes, pa.int64()), pa.array(b.node_of_row, pa.int64()), *(none(rows, t) for t in _PREFIX_KINDS[3:])], strict=True)}))
+            if not b.sets:
                 continue
+            classes = np.zeros(len(b.distinct), np.uint8)
+            for s, packed in zip(right.column("shard").to_pylist(), right.column("classes").to_pylist(), strict=True):
+                classes[b.cuts[s] : b.cuts[s + 1]] = _unpack(packed, np.uint8)
+            frequency = classes[b.place].astype(np.uint64)
+            lengths, keys, places, at = [], [], [], 0
+            for s in b.sets:
+                n = len(s)
+                order = np.sort(frequency[at : at + n] << np.uint64(56) | s & np.uint64((1 << 56) - 1))
+                at += n
+                alone = int(np.searchsorted(order, np.uint64(1 << 56)))
+                stop = n - (percent * n + 99) // 100 + 1
+                keys.append(order[alone : max(stop, alone)])
+                lengths.append(len(keys[-1]))
+                places.append(np.arange(alone, alone + lengths[-1], dtype=np.int32))
             keys, places = np.concatenate(keys), np.concatenate(places)
-            owner = np.repeat(np.arange(len(nodes), dtype=np.int32), lengths)
+            owner = np.repeat(np.arange(len(b.sets)), lengths)
             shard = ((keys >> np.uint64(3)) % np.uint64(SHARDS)).astype(np.uint8)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
             short = (keys >> np.uint64(9)).astype(np.uint32)
-            node_array, size_array = np.array(nodes, np.int64), np.array(sizes, np.int32)
-            rows = []
+            nodes, sizes = np.array(b.nodes, np.int64), np.array([len(s) for s in b.sets], np.int32)
+            found = []
             for i in range(SHARDS):
-                at = order[cuts[i] : cuts[i + 1]]
-                if len(at):
-                    used, count = np.unique(owner[at], return_counts=True)
-                    rows.append((i, node_array[used].tobytes(), size_array[used].tobytes(), _pack(count.astype(np.int32)), short[at].tobytes(), _pack(places[at])))
-            yield _batch("shard nodes sizes counts keys places", [pa.int32()] + [pa.binary()] * 5, rows)
+                x = order[cuts[i] : cuts[i + 1]]
+                if len(x):
+                    used, count = np.unique(owner[x], return_counts=True)
+                    found.append((None, None, None, i, nodes[used].tobytes(), sizes[used].tobytes(), _pack(count.astype(np.int32)), short[x].tobytes(), _pack(places[x])))
+            out.append(table(_PREFIXES, _PREFIX_KINDS, found))
+        return pa.concat_tables(out) if out else table(_PREFIXES, _PREFIX_KINDS, [])
 
-    return docs.select("text").mapInArrow(run, "shard int, nodes binary, sizes binary, counts binary, keys binary, places binary")
+    return run
+
+
+def _bound(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets that first meet with ra and rb elements left can be similar enough."""
+    return np.minimum(ra, rb) * (100 + percent) >= percent * (na + nb)
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> list[tuple]:
@@ -266,40 +262,45 @@ def _bloom(pairs: DataFrame) -> np.ndarray:
     return out
 
 
-def _segments(docs: DataFrame, k: int, sketch, cuts: np.ndarray, bloom: np.ndarray) -> DataFrame:
+def _segments(texts: DataFrame, k: int, fragments: int, bloom: np.ndarray) -> DataFrame:
     """The sets of candidate classes, cut at the fragments' bounds."""
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
-    fragments = len(cuts) + 1
+    shared = texts.sparkSession.sparkContext.broadcast(bloom)
+    cuts = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
+        for _, _, data, ends in read_blocks(batches):
+            held, seen = [], set()
+            for s in shingle_sets(data, ends, k):
+                if len(s) and (node := node_of(s)) not in seen and bloom_has(shared.value, np.array([node], np.int64))[0]:
+                    seen.add(node)
+                    held.append((node, s, np.r_[0, np.searchsorted(s, cuts), len(s)]))
             rows = []
+            nodes = np.array([x for x, _, _ in held], np.int64)
             for f in range(fragments):
                 counts = np.array([e[f + 1] - e[f] for _, _, e in held], np.int32)
                 some = counts > 0
                 if some.any():
-                    rows.append((f, np.array([x for x, _, _ in held], np.int64)[some].tobytes(), counts[some].tobytes(), np.concatenate([g[e[f] : e[f + 1]] for _, g, e in held]).tobytes()))
-            return _batch("fragment nodes counts keys", [pa.int32()] + [pa.binary()] * 3, rows)
+                    rows.append((f, nodes[some].tobytes(), counts[some].tobytes(), np.concatenate([g[e[f] : e[f + 1]] for _, g, e in held]).tobytes()))
+            yield _batch("fragment nodes counts keys", [pa.int32()] + [pa.binary()] * 3, rows)
 
-        for batch in blocks(batches):
-            for s in shingle_sets(batch.column("text"), k):
-                if not len(s) or (node := node_of(s)) in seen or not bloom_has(shared.value, np.array([node], np.int64))[0]:
-                    continue
-                seen.add(node)
-                g = ordered(s, sketch.value)
-                held.append((node, g, np.r_[0, np.searchsorted(g, cuts), len(g)]))
-                size += len(g)
-                if size > 1 << 20:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+    return texts.mapInArrow(run, "fragment int, nodes binary, counts binary, keys binary")
+
+
+def _narrowed(segments: DataFrame, bloom: np.ndarray) -> DataFrame:
+    """The segments of the classes in a bit map."""
+    shared = segments.sparkSession.sparkContext.broadcast(bloom)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                nodes, counts, keys = (np.frombuffer(batch.column(x)[i].as_buffer(), t) for x, t in (("nodes", np.int64), ("counts", np.int32), ("keys", np.uint64)))
+                some = bloom_has(shared.value, nodes)
+                if some.any():
+                    rows.append((batch.column("fragment")[i].as_py(), nodes[some].tobytes(), counts[some].tobytes(), keys[np.repeat(some, counts)].tobytes()))
+            yield _batch("fragment nodes counts keys", [pa.int32()] + [pa.binary()] * 3, rows)
 
-    return docs.select("text").mapInArrow(run, "fragment int, nodes binary, counts binary, keys binary")
+    return segments.mapInArrow(run, "fragment int, nodes binary, counts binary, keys binary")
 
 
 def overlaps(nodes: np.ndarray, counts: np.ndarray, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -414,11 +415,13 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
     spark = docs.sparkSession
     if fragments is None:
         fragments = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), 256)
-    first = written(_first_pass(docs, k), "sets")
-    sketch = _sum_sketch(first)
-    shared = spark.sparkContext.broadcast(sketch)
-    rows = first.where("sketch is null").select("doc_id", "n", "node")
-    found = written(_runs(_postings(docs, k, percent, shared), percent), "runs")
+    shards = shard_count(spark)
+    texts = text_blocks(docs)
+    classes = _ask(texts, k, shards).groupBy("shard").applyInArrow(_frequencies, "block long, shard int, classes binary")
+    first = written(texts.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_prefixes(k, percent, shards), _PREFIX_SCHEMA), "prefixes")
+    rows = first.where("n is not null").select("doc_id", "n", "node")
+    postings = first.where("shard is not null").select("shard", "nodes", "sizes", "counts", "keys", "places")
+    found = written(_runs(postings, percent), "runs")
     pairs = found.where("a is not null").select("pair_shard", "a", "b", "na", "nb")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,10 +431,10 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
 
     entries = found.where("run is not null").select("run", "node", "n", "place", "lead").mapInArrow(spell, "run long, node long, n long, place long, lead long")
     involved = pairs.select("a", "b").union(found.where("run is not null").select(F.col("node").alias("a"), F.col("node").alias("b")))
-    segments = written(_segments(docs, k, shared, pivots(sketch, fragments), _bloom(involved)), "segments")
+    segments = written(_segments(texts, k, fragments, _bloom(involved)), "segments")
     links = written(verify(pairs, segments, fragments, percent), "links")
-    more = _remaining(entries, components(links), percent)
-    links = links.union(written(verify(more, segments, fragments, percent), "links"))
+    more = written(_remaining(entries, components(links), percent), "remaining")
+    links = links.union(written(verify(more, _narrowed(segments, _bloom(more)), fragments, percent), "links"))
     return rows, components(links)
 
 
