@@ -16,63 +16,57 @@ Whole copies of a smaller document are told by digest and only answered for.
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import SpanHash, blocks, text_buffer
+from .buffers import SpanHash
 from .jaccard import _bloom, bloom_has
 from .sais import permuted_common_prefixes, suffix_array
 from .storage import written
+from .text_blocks import batch as _batch
+from .text_blocks import pack as _pack
+from .text_blocks import read_blocks, shard_count, table, text_blocks
+from .text_blocks import unpack as _unpack
 
 LENGTH, GRAM = 50, 24
-BLOCK = 4 << 20
 #: Suffixes that a shard sorts at once, about; more are sorted in parts, by anchor.
 SHARD_BYTES = 6 << 20
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(x).tobytes(), 1)
-
-
-def _unpack(x: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), kind)
-
-
 def _digest(text: bytes, doc_id: int | None = None) -> int:
     key = text if doc_id is None else hashlib.blake2b(text, digest_size=16).digest() + str(doc_id).encode()
     return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
 
 
-def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
-    data, ends = text_buffer(batch.column("text"))
-    return data, ends, batch.column("doc_id").cast(pa.int64()).to_pylist()
-
-
-def _first_copies(docs: DataFrame) -> np.ndarray:
+def _first_copies(texts: DataFrame) -> np.ndarray:
     """A bit map that holds each (id, text) which is the first of its text; false members do no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            data, ends, ids = _rows(batch)
+        for _, ids, data, ends in read_blocks(batches):
             at = [i for i, x in enumerate(ids) if x is not None]
-            texts = [data[ends[i] : ends[i + 1]].tobytes() for i in at]
-            both = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([ids[i] for i in at], pa.int64()), pa.array([_digest(t, ids[i]) for t, i in zip(texts, at, strict=True)], pa.int64())], names=["digest", "doc_id", "mark"])
+            each = [data[ends[i] : ends[i + 1]].tobytes() for i in at]
+            both = [hashlib.blake2b(t, digest_size=16).digest() for t in each]
+            yield pa.RecordBatch.from_arrays([pa.array(both, pa.binary()), pa.array([ids[i] for i in at], pa.int64()), pa.array([_digest(t, ids[i]) for t, i in zip(each, at, strict=True)], pa.int64())], names=["digest", "doc_id", "mark"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             marks = np.ascontiguousarray(batch.column("mark").to_numpy()).tobytes()
             yield pa.RecordBatch.from_arrays([pa.array([marks], pa.binary()), pa.array([b""], pa.binary())], names=["a", "b"])
 
-    first = docs.select("doc_id", "text").mapInArrow(run, "digest binary, doc_id long, mark long").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    return _bloom(first.select(F.col("first.mark").alias("mark")).mapInArrow(pack, "a binary, b binary"))
+    first = texts.mapInArrow(run, "digest binary, doc_id long, mark long").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    return _bloom(first.select(F.col("first.mark").alias("mark")).mapInArrow(packed, "a binary, b binary"))
+
+
+def _known_and_copies(ids: list, data: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which texts of a block have an id, and which of them copy a text of a smaller id."""
+    known = np.array([i is not None for i in ids], bool)
+    marks = np.array([_digest(data[a:b].tobytes(), i) if i is not None else 0 for a, b, i in zip(ends, ends[1:], ids, strict=False)], np.int64)
+    return known, known & ~bloom_has(first, marks)
 
 
 class Anchors:
@@ -113,28 +107,17 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     return data[np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))]
 
 
-_BLOCK = "block long, ids array<long>, skip array<boolean>, ends binary, text binary, shard int, anchors binary, several binary"
-_BLOCK_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-_BLOCK_NAMES = [x.split()[0] for x in _BLOCK.split(", ")]
-
-
 def _split(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def _to_blocks(docs: DataFrame, first: np.ndarray, length: int, gram: int, shards: int) -> DataFrame:
-    """Rows of texts, one for each block, and rows of a block's distinct anchors, by shard."""
-    shared = docs.sparkSession.sparkContext.broadcast(first)
+def _ask(texts: DataFrame, first, length: int, gram: int, shards: int) -> DataFrame:
+    """The distinct anchors of each block, by shard, and which of them stand in several of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in blocks(batches, limit=BLOCK):
-            data, ends, ids = _rows(batch)
-            marks = np.array([_digest(data[a:b].tobytes(), i) if i is not None else 0 for a, b, i in zip(ends, ends[1:], ids, strict=False)], np.int64)
-            known = np.array([i is not None for i in ids], bool)
-            skip = known & ~bloom_has(shared.value, marks)
-            anchors = Anchors(data, ends, known & ~skip, length, gram)
-            rows = [(block, ids, skip.tolist(), _pack(ends), zstandard.ZstdCompressor(level=1).compress(data.tobytes()), None, None, None)]
+        for block, ids, data, ends in read_blocks(batches):
+            known, copies = _known_and_copies(ids, data, ends, first.value)
+            anchors = Anchors(data, ends, known & ~copies, length, gram)
             shard = _split(anchors.hashes, shards)
             order = np.lexsort((anchors.docs, anchors.hashes, shard))
             shard, hashes, doc = shard[order], anchors.hashes[order], anchors.docs[order]
@@ -144,13 +127,10 @@ def _to_blocks(docs: DataFrame, first: np.ndarray, length: int, gram: int, shard
             several = doc[at] != doc[last]
             cuts = np.searchsorted(shard[at], np.arange(shards + 1))
             short = hashes[at].astype(np.uint32)
-            for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                if b > a:
-                    rows.append((block, None, None, None, None, s, short[a:b].tobytes(), np.packbits(several[a:b]).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_BLOCK_KINDS)], names=_BLOCK_NAMES)
-            block += 1
+            rows = [(block, s, short[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            yield _batch("block shard anchors several", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _BLOCK)
+    return texts.mapInArrow(run, "block long, shard int, anchors binary, several binary")
 
 
 def _shared_anchors(key, table):
@@ -164,20 +144,19 @@ def _shared_anchors(key, table):
     return pa.table({"block": table.column("block"), "shard": table.column("shard"), "anchors": pa.array(found, pa.binary())})
 
 
-_ASK = "shard int, block long, starts binary, owned binary, ids binary, text binary"
-_ASK_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_NEAR = "shard int, block long, starts binary, owned binary, ids binary, text binary"
+_NEAR_TYPES = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _surroundings(length: int, gram: int, shards: int):
+def _surroundings(first, length: int, gram: int, shards: int):
     """Cogroup function: the surroundings of a block's shared anchors, by shard."""
 
     def run(key, left, right):
         rows = []
-        for row in left.to_pylist():
-            data, ends = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8), _unpack(row["ends"], np.int64)
-            ids = np.array([-1 if x is None else x for x in row["ids"]], np.int64)
-            active = np.array([x is not None for x in row["ids"]], bool) & ~np.array(row["skip"], bool)
-            anchors = Anchors(data, ends, active, length, gram)
+        for block, ids, data, ends in read_blocks(left):
+            known, copies = _known_and_copies(ids, data, ends, first.value)
+            anchors = Anchors(data, ends, known & ~copies, length, gram)
+            ids = np.array([-1 if x is None else x for x in ids], np.int64)
             shard, short = _split(anchors.hashes, shards), anchors.hashes.astype(np.uint32)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
@@ -188,8 +167,8 @@ def _surroundings(length: int, gram: int, shards: int):
                 if len(at):
                     starts, owned = anchors.starts[at], anchors.owned[at]
                     text = _gather(data, starts, owned + length - 1)
-                    rows.append((s, row["block"], _pack(starts.astype(np.int32)), owned.astype(np.uint8).tobytes(), _pack(ids[anchors.docs[at]]), zstandard.ZstdCompressor(level=1).compress(text.tobytes())))
-        return pa.table({n.split()[0]: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(_ASK.split(", "), _ASK_TYPES, strict=True))})
+                    rows.append((s, block, _pack(starts.astype(np.int32)), owned.astype(np.uint8).tobytes(), _pack(ids[anchors.docs[at]]), zstandard.ZstdCompressor(level=1).compress(text.tobytes())))
+        return table(" ".join(x.split()[0] for x in _NEAR.split(", ")), _NEAR_TYPES, rows)
 
     return run
 
@@ -213,13 +192,13 @@ def least_documents(contexts: np.ndarray, sizes: np.ndarray, owned: np.ndarray,
     return least[group[places]]
 
 
-def _answer(length: int):
+def _answer(length: int, gram: int):
     """Group function of a shard: for each block, its anchors' starts and the strings (bits) with a smaller document."""
 
-    def run(key, table):
-        owned = [np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) for x in table.column("owned")]
-        ids = np.concatenate([_unpack(x.as_py(), np.int64) for x in table.column("ids")])
-        text = np.concatenate([np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), np.uint8) for x in table.column("text")])
+    def run(key, near):
+        owned = [np.frombuffer(x.as_buffer(), np.uint8).astype(np.int64) for x in near.column("owned")]
+        ids = np.concatenate([_unpack(x.as_py(), np.int64) for x in near.column("ids")])
+        text = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x.as_py()) for x in near.column("text")), np.uint8)
         rows = [len(x) for x in owned]
         owned = np.concatenate(owned)
         sizes = owned + length - 1
@@ -229,7 +208,7 @@ def _answer(length: int):
         least_id = np.full(len(first), np.iinfo(np.int64).max, np.int64)
         np.minimum.at(least_id, which, ids)
         least = np.zeros(len(first) * (int(owned.max()) if len(owned) else 0), np.int64).reshape(len(first), -1)
-        parts = _parts(text, starts, sizes, first)
+        parts = _parts(text, starts, sizes, first, length, gram)
         for part in parts:
             c = first[part]
             found = least_documents(_gather(text, starts[c], sizes[c]), sizes[c], owned[c], least_id[part], length)
@@ -241,11 +220,11 @@ def _answer(length: int):
             bits |= ((least[which, w] < ids) & (w < owned)).astype(np.uint32) << np.uint32(w)
         cuts = np.cumsum(rows)[:-1]
         out = []
-        for block, start, b in zip(table.column("block").to_pylist(), table.column("starts").to_pylist(), np.split(bits, cuts), strict=True):
+        for block, start, b in zip(near.column("block").to_pylist(), near.column("starts").to_pylist(), np.split(bits, cuts), strict=True):
             some = b > 0
             if some.any():
                 out.append((block, _pack(_unpack(start, np.int32)[some]), _pack(b[some])))
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("block", pa.int64()), ("starts", pa.binary()), ("bits", pa.binary())))})
+        return table("block starts bits", [pa.int64(), pa.binary(), pa.binary()], out)
 
     return run
 
@@ -261,22 +240,17 @@ def _hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int =
     return out
 
 
-def _parts(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+def _parts(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
     """Distinct contexts in parts of bounded size; equal strings stay in one part, as they share an anchor."""
-    if int(sizes[first].sum()) <= SHARD_BYTES:
+    total = int(sizes[first].sum())
+    if total <= SHARD_BYTES:
         return [np.arange(len(first))]
-    at = np.arange(GRAM)
     least = np.empty(len(first), np.uint64)
-    for a in range(0, len(first), 4096):
-        for i in range(a, min(a + 4096, len(first))):
-            s = text[starts[first[i]] : starts[first[i]] + sizes[first[i]]]
-            h = SpanHash(s)
-            grams = np.arange(len(s) - GRAM + 1)
-            middle = h.spans(grams, grams + GRAM)
-            # the anchor is in every owned string
-            least[i] = middle[len(s) - LENGTH : LENGTH - GRAM + 1].min()
-    del at
-    parts = int(sizes[first].sum()) // SHARD_BYTES + 1
+    for i, c in enumerate(first):
+        n = int(sizes[c])
+        at = np.arange(n - length, length - gram + 1)  # the anchor is in every owned string
+        least[i] = SpanHash(text[starts[c] : starts[c] + n]).spans(at, at + gram).min()
+    parts = total // SHARD_BYTES + 1
     group = (least >> np.uint64(7)) % np.uint64(parts)
     return [p for k in range(parts) if len(p := np.flatnonzero(group == k))]
 
@@ -284,11 +258,11 @@ def _parts(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.nd
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def _finish(length: int, keep: bool):
+def _finish(first, length: int, keep: bool):
     def run(key, left, right):
         out = []
-        for row in left.to_pylist():
-            data, ends = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["text"]), np.uint8), _unpack(row["ends"], np.int64)
+        for _, ids, data, ends in read_blocks(left):
+            _, copies = _known_and_copies(ids, data, ends, first.value)
             change = np.zeros(len(data) + 1, np.int64)
             for starts, bits in zip(right.column("starts").to_pylist(), right.column("bits").to_pylist(), strict=True):
                 starts, bits = _unpack(starts, np.int32).astype(np.int64), _unpack(bits, np.uint32)
@@ -298,7 +272,7 @@ def _finish(length: int, keep: bool):
                         change += np.bincount(hit, minlength=len(change)) - np.bincount(hit + length, minlength=len(change))
             gone = np.cumsum(change[:-1]) > 0
             sizes = np.diff(ends)
-            for i in np.flatnonzero(np.array(row["skip"], bool) & (sizes >= length)):
+            for i in np.flatnonzero(copies & (sizes >= length)):
                 gone[ends[i] : ends[i + 1]] = True
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
@@ -306,7 +280,7 @@ def _finish(length: int, keep: bool):
             opens[begin] = gone[begin]
             total = lambda x: np.diff(np.r_[0, np.cumsum(x)][ends])
             kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
-            columns = [pa.array(row["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(opens), pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(total(gone), pa.int64()), pa.array(total(opens), pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             if keep:
                 columns.append(pa.array(kept, pa.binary()))
@@ -327,12 +301,10 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     if length - gram + 1 > 32:
         raise ValueError("at most 32 strings share an anchor")
     spark = docs.sparkSession
-    if shards is None:
-        shards = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1024)
-    table = written(_to_blocks(docs, _first_copies(docs), length, gram, shards), "blocks")
-    texts = table.where("text is not null").select("block", "ids", "skip", "ends", "text")
-    asked = table.where("anchors is not null").select("block", "shard", "anchors", "several")
-    shared = written(asked.groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary"), "anchors")
-    near = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(length, gram, shards), _ASK)
-    answers = written(near.groupBy("shard").applyInArrow(_answer(length), "block long, starts binary, bits binary"), "answers")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(length, keep), SCHEMA + ", kept binary" * keep)
+    shards = shards or shard_count(spark)
+    texts = text_blocks(docs)
+    first = spark.sparkContext.broadcast(_first_copies(texts))
+    shared = _ask(texts, first, length, gram, shards).groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary")
+    near = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(first, length, gram, shards), _NEAR)
+    answers = written(near.groupBy("shard").applyInArrow(_answer(length, gram), "block long, starts binary, bits binary"), "answers")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(first, length, keep), SCHEMA + ", kept binary" * keep)

@@ -88,7 +88,7 @@ def test_parts_keep_equal_strings_together(spark, docs):
     starts = np.cumsum(sizes) - sizes
     old, s.SHARD_BYTES = s.SHARD_BYTES, 2000
     try:
-        parts = s._parts(text, starts, sizes, np.arange(len(sizes)))
+        parts = s._parts(text, starts, sizes, np.arange(len(sizes)), 50, 24)
     finally:
         s.SHARD_BYTES = old
     where = {}
