@@ -1,23 +1,65 @@
-"""The corpus pipeline: stages that each call one operator."""
+"""The corpus pipeline: five stages, each one operator over all rows that its predecessor kept.
+
+Each stage's rows are written as Parquet and read again as the next one's ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from inkgraph.llm import bpe
+from inkgraph.llm import bpe, decontaminate, jaccard, lines, quality
 from inkgraph.llm.queries import word_tokenizer
 from inkgraph.llm.storage import written
 
 
+def _verdicts(docs: DataFrame, rows: DataFrame, bad) -> DataFrame:
+    """``docs`` without those whose id is in the rows of a verdict; a null id matches a null id."""
+    gone = rows.where(bad).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; of rows that share an id all go if one does."""
+    return _verdicts(docs, quality.judge(docs), ~F.col("kept"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go, and documents of which no word is left by that; ``n_chars`` follows the text."""
+    out = lines.dedup_lines(docs)
+    emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of the smallest id; rows without an id all stay."""
+    return _verdicts(docs, jaccard.join_components(docs), F.col("doc_id") != F.col("component_id"))
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return _verdicts(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), F.col("contaminated"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
     return bpe.encode_documents(docs, word_tokenizer())
 
 
-STAGES = [("BPE encoding and decoding", encode)]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", jaccard_join),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("BPE encoding and decoding", encode),
+]
+
+#: The stages are not expressible in SQL as a whole; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
