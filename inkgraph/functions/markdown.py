@@ -64,14 +64,14 @@ def links(pages: DataFrame) -> DataFrame:
     rows = rows.select("path", "content", "found", "gaps", F.posexplode("found").alias("ordinal", "match"))
     before = size(F.slice("gaps", F.lit(1), F.col("ordinal") + 1)) + size(F.slice("found", F.lit(1), F.col("ordinal")))
     rows = rows.withColumn("start", before)
-    raw = F.decode(F.substr(F.encode("content", F.lit("UTF-8")), F.col("start") + 1, F.octet_length("match")), F.lit("UTF-8"))
-    head = F.decode(F.substr(F.encode("content", F.lit("UTF-8")), F.lit(1), F.col("start")), F.lit("UTF-8"))
+    raw = F.decode(F.substr(F.encode("content", "UTF-8"), F.col("start") + 1, F.octet_length("match")), "UTF-8")
+    head = F.decode(F.substr(F.encode("content", "UTF-8"), F.lit(1), F.col("start")), "UTF-8")
     text_size = F.octet_length(F.regexp_extract("match", LINK, 1))
     href_size = F.octet_length(F.regexp_extract("match", LINK, 2))
-    rows = rows.withColumns({"raw": F.encode(raw, F.lit("UTF-8")), "text_size": text_size, "href_size": href_size, "source_line": F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1})
+    rows = rows.withColumns({"raw": F.encode(raw, "UTF-8"), "text_size": text_size, "href_size": href_size, "source_line": F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1})
     rows = rows.withColumns({
-        "text": F.decode(F.substr("raw", F.lit(2), F.col("text_size")), F.lit("UTF-8")),
-        "href": F.decode(F.substr("raw", F.col("text_size") + 4, F.col("href_size")), F.lit("UTF-8")),
+        "text": F.decode(F.substr("raw", F.lit(2), F.col("text_size")), "UTF-8"),
+        "href": F.decode(F.substr("raw", F.col("text_size") + 4, F.col("href_size")), "UTF-8"),
         "byte_start": F.col("start") + F.col("text_size") + 3,
     })
     fragment = F.when(F.contains("href", F.lit("#")), F.regexp_extract("href", "(?s)^[^#]*#(.*)$", 1))

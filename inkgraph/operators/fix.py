@@ -158,8 +158,8 @@ def apply_fixes(pages: DataFrame, fixes: DataFrame) -> DataFrame:
     best = fixes.groupBy("file", "byte_start", "byte_end").agg(F.min_by("new_href", F.array_position(F.array(*map(F.lit, ORDER)), F.col("kind"))).alias("new_href"))
     edits = best.groupBy(F.col("file").alias("path")).agg(F.sort_array(F.collect_list(F.struct("byte_start", "byte_end", "new_href"))).alias("edits"))
     rows = pages.select("path", "content").join(edits, "path", "left")
-    raw = F.encode("content", F.lit("UTF-8"))
-    cut = lambda a, b: F.decode(F.substr(raw, a + 1, b - a), F.lit("UTF-8"))
+    raw = F.encode("content", "UTF-8")
+    cut = lambda a, b: F.decode(F.substr(raw, a + 1, b - a), "UTF-8")
     pieces = F.transform("edits", lambda e, i: F.concat(cut(F.coalesce(F.get("edits", i - 1)["byte_end"], F.lit(0)), e["byte_start"]), e["new_href"]))
     tail = cut(F.element_at("edits", -1)["byte_end"], F.octet_length("content"))
     return rows.select("path", F.when(F.col("edits").isNull(), F.col("content")).otherwise(F.concat(F.array_join(pieces, ""), tail)).alias("content"))

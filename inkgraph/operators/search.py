@@ -25,8 +25,7 @@ def field_text(name: str) -> Column:
 
 def _units(query: Query) -> list[tuple[str, ...]]:
     """What is ranked: each phrase, and each term outside phrases."""
-    terms = [(w,) for t in query.terms for w in [t]] or ([] if query.phrases else [])
-    return list(dict.fromkeys([*query.phrase_words, *terms]))
+    return list(dict.fromkeys([*query.phrase_words, *((t,) for t in query.terms)]))
 
 
 def term_rows(corpus: DataFrame, query: Query, fields: dict[str, float] = WEIGHTS) -> DataFrame:
@@ -34,19 +33,12 @@ def term_rows(corpus: DataFrame, query: Query, fields: dict[str, float] = WEIGHT
 
     One pass over the corpus: a field is cut into words once and only the query's words are counted.
     """
-    units = _units(query)
-    out = []
-    for name in fields:
-        words = T.terms(F.coalesce(field_text(name), F.lit("")))
-        padded = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
-        count = [F.size(F.split(padded, " " + "  ".join(u) + " ", -1)) - 1 for u in units]
-        out.append((name, words, padded, count))
-    parts = []
-    for name, words, _, count in out:
-        one = F.transform(F.array(words), lambda w, name=name: F.struct(F.lit(name).alias("field"), w.alias("w")))[0]
-        parts.append(one)
-    rows = corpus.select("path_rel", "title", F.explode(F.array(*parts)).alias("x")).select("path_rel", "title", F.col("x.field").alias("field"), F.col("x.w").alias("w"))
-    return rows.select("path_rel", "title", "field", F.size("w").alias("dl"), F.array(*out[0][3]).alias("tf"))
+    words = F.array(*[F.struct(F.lit(name).alias("field"), T.terms(F.coalesce(field_text(name), F.lit(""))).alias("w")) for name in fields])
+    rows = corpus.select("path_rel", "title", F.explode(words).alias("x")).select("path_rel", "title", F.col("x.field").alias("field"), F.col("x.w").alias("w"))
+    padded = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
+    # the words after a unit's first are only looked at, so repeats that overlap count too
+    count = [F.size(F.split("padded", f" {u[0]} " + (f"(?={''.join(' ' + w + ' ' for w in u[1:])})" if u[1:] else ""), -1)) - 1 for u in _units(query)]
+    return rows.withColumn("padded", padded).select("path_rel", "title", "field", F.size("w").alias("dl"), F.array(*count).alias("tf"))
 
 
 def bm25(corpus: DataFrame, query: Query, fields: dict[str, float] = WEIGHTS) -> DataFrame:

@@ -14,7 +14,7 @@ def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     base = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     rel = F.regexp_replace("path", r"^[a-z0-9+]+:/*", "")
-    return files.select(F.regexp_replace(rel, "^" + _quoted(base) + "/", "").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"))
+    return files.select(F.regexp_replace(rel, "^" + _quoted(base) + "/", "").alias("path"), F.decode("content", "UTF-8").alias("content"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"))
 
 
 def _quoted(text: str) -> str:
