@@ -22,7 +22,7 @@ def classify(text: np.ndarray) -> np.ndarray:
     rising[:-1] = text[:-1] < text[1:]
     differs = np.ones(n, bool)
     differs[:-1] = text[:-1] != text[1:]
-    at = np.where(differs, np.arange(n), n)
+    at = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
     following = np.minimum.accumulate(at[::-1])[::-1]  # equal neighbours have the type of the next change
     return rising[following]
 

@@ -301,7 +301,7 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     if length - gram + 1 > 32:
         raise ValueError("at most 32 strings share an anchor")
     spark = docs.sparkSession
-    shards = shards or shard_count(spark)
+    shards = shards or 2 * shard_count(spark)
     texts = text_blocks(docs)
     first = spark.sparkContext.broadcast(_first_copies(texts))
     shared = _ask(texts, first, length, gram, shards).groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary")

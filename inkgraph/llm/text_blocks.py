@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .buffers import blocks, text_buffer
 from .storage import small_batches, written
 
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Least and most shards of a question; between them four for each shuffle partition.
 SHARDS = (64, 4096)
 
