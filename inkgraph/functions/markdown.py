@@ -34,7 +34,7 @@ def scrub(content: Column | str) -> Column:
     def blanked(part: Column, i: Column) -> Column:
         inline = F.regexp_extract(part, "^(``?)", 1)
         body = F.substr(part, F.length(inline) + 1, F.length(part) - 2 * F.length(inline))
-        ticks = part.rlike("^`{3,}$") & ~((i == F.size(found) - 1) & (part == open_fence))
+        ticks = part.rlike(r"\A`{3,}\z") & ~((i == F.size(found) - 1) & (part == open_fence))
         return F.when(ticks, part).when(part.rlike("^``?(?!`)"), F.concat(inline, _blank(body), inline)).otherwise(_blank(part))
 
     pieces = F.zip_with(gaps, F.transform(found, blanked), lambda g, p: F.concat(g, F.coalesce(p, F.lit(""))))
