@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import licenses, quality
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _COMMON = ", ".join(f"('{k}', {i}, '{w}')" for k, words in quality.COMMON_WORDS.items() for i, w in enumerate(words))
@@ -66,3 +66,34 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.m, d
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) m USING (doc_id)"""
 
 ORACLES = {"op1_quality": QUALITY, "op4_decontaminate": DECONTAMINATE, "op9_jaccard": JACCARD}
+
+_PHRASES = ", ".join(f"({n}, '{label}', {exact}, '{text}')" for n, (label, text, exact) in enumerate([(a, b, "true") for a, b in licenses.BASE] + [(a, b, "false") for a, b in licenses.TEMPLATES]))
+
+LICENSES = f"""WITH p(template, label, exact, t) AS (VALUES {_PHRASES}),
+tw AS (SELECT template, label, exact, string_split(t, ' ') AS w FROM p),
+grams AS (SELECT template, label, exact, len(w) AS n, i - 1 AS t_pos, w[i] AS a, w[i + 1] AS b FROM (SELECT *, unnest(range(1, len(w))) AS i FROM tw)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10.format(_LOWER)} AS w FROM documents),
+dw AS (SELECT r, unnest(range(0, len(w))) AS pos, unnest(w) AS a FROM d),
+dg AS (SELECT r, pos, a, lead(a) OVER (PARTITION BY r ORDER BY pos) AS b FROM dw),
+votes AS (SELECT r, template, label, exact, n, pos - t_pos AS diagonal, list(t_pos) AS hits FROM dg JOIN grams USING (a, b) GROUP BY ALL),
+island AS (SELECT *, sum(CASE WHEN exact OR g IS NULL OR g > {licenses.GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS island
+  FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS g FROM votes)),
+spans AS (SELECT r, label, exact, n, flatten(list(hits)) AS hits, min(diagonal + list_min(hits)) AS start FROM island GROUP BY r, template, label, exact, n, island),
+good AS (SELECT r, label, exact, start, len(list_distinct(list_concat(hits, list_transform(hits, lambda x: x + 1)))) / n AS covered FROM spans),
+kept AS (SELECT * FROM good WHERE covered >= CASE WHEN exact THEN 1.0 ELSE {licenses.COVERAGE} END),
+per AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
+  array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(covered) AS score FROM kept GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN per USING (r)"""
+
+STRINGS = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
+hit AS (SELECT doc_id, i FROM win JOIN first USING (s) WHERE m < doc_id),
+each AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d),
+marked AS (SELECT each.doc_id, each.i, substr(h, 2 * each.i + 1, 2) AS b, max(CASE WHEN hit.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY each.doc_id ORDER BY each.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM each LEFT JOIN hit ON hit.doc_id = each.doc_id AND hit.i = each.i),
+edge AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS opens FROM marked),
+per AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, sum(opens) AS spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM edge GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""
+
+ORACLES |= {"op6_licenses": LICENSES, "op8_suffix_dedup": STRINGS}

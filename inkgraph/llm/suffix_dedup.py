@@ -263,13 +263,12 @@ def _finish(first, length: int, keep: bool):
         out = []
         for _, ids, data, ends in read_blocks(left):
             _, copies = _known_and_copies(ids, data, ends, first.value)
-            change = np.zeros(len(data) + 1, np.int64)
+            hits = [np.zeros(0, np.int64)]
             for starts, bits in zip(right.column("starts").to_pylist(), right.column("bits").to_pylist(), strict=True):
                 starts, bits = _unpack(starts, np.int32).astype(np.int64), _unpack(bits, np.uint32)
-                for w in range(32):
-                    hit = starts[(bits >> np.uint32(w)) & np.uint32(1) > 0] + w
-                    if len(hit):
-                        change += np.bincount(hit, minlength=len(change)) - np.bincount(hit + length, minlength=len(change))
+                hits += [starts[(bits >> np.uint32(w)) & np.uint32(1) > 0] + w for w in range(32)]
+            hits = np.concatenate(hits)
+            change = np.bincount(hits, minlength=len(data) + 1) - np.bincount(hits + length, minlength=len(data) + 1)
             gone = np.cumsum(change[:-1]) > 0
             sizes = np.diff(ends)
             for i in np.flatnonzero(copies & (sizes >= length)):
