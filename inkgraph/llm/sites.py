@@ -6,7 +6,7 @@ are summed by host and by path; a path's rate is shrunk towards its host's and
 a host's towards the global one, with weights fitted to the spread between
 hosts.  Evidence and path posterior are added as log-odds.
 
-Texts are read twice and never shuffled.  The model is fitted on a bounded
+Texts are read four times and never shuffled.  The model is fitted on a bounded
 sample of labelled rows (``train_rows``); label sums cover all of them.
 """
 
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ALNUM_WORDS, ASCII_LOWER, SpanHash, blocks, text_buffer, word_spans
+from .buffers import ALNUM_WORDS, ASCII_LOWER, SpanHash, blocks, joined_hash, mix, text_buffer, word_spans
 from .storage import written
 
 LABELS = ("low_quality", "toxic")
@@ -31,6 +31,10 @@ BITS = 18
 SLOTS = 1 << BITS
 #: A feature counts if its two-by-two table with the label is so many standard errors from independence.
 MIN_Z = 5.0
+#: Least log-odds ratio of a feature, and the documents that it must be in: many weak features only tell long texts.
+MIN_RATIO, MIN_DOCUMENTS = 2.0, 3
+#: Orders under which least hashes are compared to tell near copies.
+COPY_ORDERS = 4
 #: Copies of each site's sums in the join, so that a hot site is dealt to as many tasks.
 SALT = 16
 #: Bins of the evidence on which it is calibrated, and their width.
@@ -49,8 +53,11 @@ def _ranges(sums: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return total[ends[1:]] - total[ends[:-1]]
 
 
-def document_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature slot) pairs; a word pair may repeat. The last slots are for shape."""
+def document_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, feature slot and feature key; a pair may repeat.
+
+    A word's key is its 64-bit hash, of which the slot is a part; the last slots are for shape and their own keys.
+    """
     data, ends = text_buffer(column)
     rows = len(ends) - 1
     size = np.maximum(np.diff(ends), 1)
@@ -72,7 +79,7 @@ def document_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     shapes.append(np.clip((size / words).astype(np.int64) - 3, 0, 7))
     base = SLOTS - _SHAPE_SLOTS
     extra = np.concatenate([base + 8 * i + s for i, s in enumerate(shapes)]) if rows else np.zeros(0, np.int64)
-    return np.r_[owner, np.tile(np.arange(rows), len(shapes))], np.r_[slots, extra]
+    return np.r_[owner, np.tile(np.arange(rows), len(shapes))], np.r_[slots, extra], np.r_[hashes, extra.astype(np.uint64)]
 
 
 def _label_rows(labels: DataFrame) -> DataFrame:
@@ -89,28 +96,64 @@ def _g_statistic(yes: np.ndarray, no: np.ndarray, bad: int, good: int) -> np.nda
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights of the two labels, by feature slot: float32 of shape (2, SLOTS)."""
+def _without_copies(docs: DataFrame, known: dict) -> list[int]:
+    """The ids of a sample without near copies of smaller ids: else a text that was copied often would make its words features.
+
+    A copy has the least hash of its word 3-grams, under one of a few orders, in common with an earlier text.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(set(known))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches):
+            ids = batch.column("doc_id").to_pylist()
+            at = [i for i, x in enumerate(ids) if x in shared.value]
+            if not at:
+                continue
+            data, ends = text_buffer(batch.column("text").take(pa.array(at)))
+            data = ASCII_LOWER[data]
+            starts, stops, first = word_spans(data, ends, ALNUM_WORDS)
+            grams = joined_hash(SpanHash(data).spans(starts, stops), 3)
+            rows = [(ids[i], k, int(mix(grams[a : b - 2] ^ np.uint64(k * 0x9E3779B9)).min().view(np.int64))) for i, a, b in zip(at, first, first[1:], strict=False) if b - a > 2 for k in range(COPY_ORDERS)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "k", "least"])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, k int, least long")
+    first = rows.groupBy("k", "least").agg(F.min("doc_id").alias("first"), F.collect_set("doc_id").alias("ids")).where(F.size("ids") > 1)
+    copies = {r.doc_id for r in first.select(F.explode("ids").alias("doc_id"), "first").where("doc_id <> first").select("doc_id").distinct().collect()}
+    return [i for i in known if i not in copies]
+
+
+def _significant(yes: np.ndarray, no: np.ndarray, bad: int, good: int) -> np.ndarray:
+    return _g_statistic(yes, no, bad, good) >= MIN_Z**2
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The model: whether a slot may hold a feature, the features' keys in order, and their weights for both labels.
+
+    A first pass over the sample counts slots; a second counts the words themselves in slots that differ
+    between the labels, so that rare words do not share the weight of a slot.
+    """
     spark = docs.sparkSession
     sample = _label_rows(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows).fillna(0)
     known = {r.doc_id: (r.low_quality, r.toxic) for r in sample.collect()}
+    known = {i: known[i] for i in _without_copies(docs, known)}
     shared = spark.sparkContext.broadcast(known)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((4, SLOTS), np.int32)  # documents, those of each label, and in [3] sizes
+    def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         for batch in blocks(batches):
             ids = batch.column("doc_id").to_pylist()
             at = [i for i, x in enumerate(ids) if x in shared.value]
-            if not at:
-                continue
-            owner, slot = document_features(batch.column("text").take(pa.array(at)))
+            if at:
+                yield np.array([shared.value[ids[i]] for i in at]), *document_features(batch.column("text").take(pa.array(at)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, SLOTS), np.int32)  # documents, those of each label, and in [3] sizes
+        for y, owner, slot, _ in labelled(batches):
             pairs = np.unique(owner * SLOTS + slot)
             owner, slot = pairs // SLOTS, pairs % SLOTS
-            y = np.array([shared.value[ids[i]] for i in at])
             total[0] += np.bincount(slot, minlength=SLOTS).astype(np.int32)
             for k in range(2):
                 total[1 + k] += np.bincount(slot[y[owner, k] == 1], minlength=SLOTS).astype(np.int32)
-            total[3, :3] += [len(at), *y.sum(axis=0)]
+            total[3, :3] += [len(y), *y.sum(axis=0)]
         parts = [zlib.compress(np.ascontiguousarray(total[:, i :: SLICES]).tobytes(), 1) for i in range(SLICES)] if total[3, 0] else []
         yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
 
@@ -118,32 +161,57 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> np.
         total = sum(np.frombuffer(zlib.decompress(x), np.int32).astype(np.int64) for x in tables.column("counts").to_pylist())
         return pa.table({"slice": [key[0].as_py()], "counts": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
 
-    summed = docs.select("doc_id", "text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
+    rows = docs.select("doc_id", "text")
+    summed = rows.mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary").collect()
     total = np.zeros((4, SLOTS), np.int64)
     for r in summed:
         total[:, r.slice :: SLICES] = np.frombuffer(zlib.decompress(bytes(r.counts)), np.int64).reshape(4, -1)
-    weights = np.zeros((2, SLOTS), np.float32)
-    n = total[3, 0]
+    sizes = total[3, :3]
+    open_ = np.zeros(SLOTS, bool)
+    for k in range(2):
+        if 0 < sizes[1 + k] < sizes[0]:
+            open_ |= _significant(total[1 + k], total[0] - total[1 + k], sizes[1 + k], sizes[0] - sizes[1 + k])
+    slots = spark.sparkContext.broadcast(open_)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for y, owner, slot, key in labelled(batches):
+            used = slots.value[slot]
+            pairs = np.unique(np.rec.fromarrays([owner[used], key[used]], names="o,k"))
+            keys, at = np.unique(pairs["k"], return_inverse=True)
+            counts = [np.bincount(at, minlength=len(keys))] + [np.bincount(at[y[pairs["o"], k] == 1], minlength=len(keys)) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts)], names=["key", "n", *LABELS])
+
+    counted = rows.mapInArrow(words, "key long, n long, " + ", ".join(f"{x} long" for x in LABELS)).groupBy("key").agg(*[F.sum(x).alias(x) for x in ("n", *LABELS)])
+    found = sorted((int(np.int64(r.key).view(np.uint64)), r.n, r.low_quality, r.toxic) for r in counted.where(F.col("n") >= MIN_DOCUMENTS).collect()) if open_.any() else []
+    keys = np.array([r[0] for r in found], np.uint64)
+    weights = np.zeros((2, len(keys)))
+    n = np.array([r[1] for r in found], np.int64)
     for k in range(2):
-        bad = total[3, 1 + k]
-        if not 0 < bad < n:
+        bad, good = sizes[1 + k], sizes[0] - sizes[1 + k]
+        if not 0 < bad < sizes[0]:
             continue
-        yes, no = total[1 + k], total[0] - total[1 + k]
-        ratio = np.log((yes + 0.5) / (bad + 1)) - np.log((no + 0.5) / (n - bad + 1))
-        weights[k] = np.where(_g_statistic(yes, no, bad, n - bad) >= MIN_Z**2, ratio, 0)
-    return weights
+        yes = np.array([r[2 + k] for r in found], np.int64)
+        ratio = np.log((yes + 0.5) / (bad + 1)) - np.log((n - yes + 0.5) / (good + 1))
+        weights[k] = np.where(_significant(yes, n - yes, bad, good) & (np.abs(ratio) >= MIN_RATIO), ratio, 0)
+    some = (weights != 0).any(axis=0)
+    return open_, keys[some], weights[:, some]
 
 
-def evidence(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+def evidence(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, host, path and the two log-likelihood ratios of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, keys, weights = shared.value
         for batch in blocks(batches):
-            owner, slot = document_features(batch.column("text"))
-            used = (shared.value != 0).any(axis=0)[slot]
-            pairs = np.unique(owner[used] * SLOTS + slot[used])
-            sums = [np.bincount(pairs // SLOTS, weights=w[pairs % SLOTS], minlength=batch.num_rows).astype(np.float64) for w in shared.value]
+            owner, slot, key = document_features(batch.column("text"))
+            used = open_[slot]
+            owner, key = owner[used], key[used]
+            at = np.searchsorted(keys, key)
+            at[at == len(keys)] = 0
+            used = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            pairs = np.unique(owner[used] * max(len(keys), 1) + at[used])
+            sums = [np.bincount(pairs // max(len(keys), 1), weights=w[pairs % max(len(keys), 1)], minlength=batch.num_rows).astype(np.float64) if len(keys) else np.zeros(batch.num_rows) for w in weights]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("host"), batch.column("path"), *map(pa.array, sums)], names=["doc_id", "host", "path", *(f"llr_{x}" for x in LABELS)])
 
     return docs.select("doc_id", "text", "host", "path").mapInArrow(run, "doc_id long, host string, path string, " + ", ".join(f"llr_{x} double" for x in LABELS))
