@@ -122,6 +122,10 @@ class SpanHash:
     def spans(self, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         return mix((self._sums[stops] - self._sums[starts]) * self._inverse[starts])
 
+    def windows(self, size: int) -> np.ndarray:
+        """Hashes of all spans of one size, by start."""
+        return mix((self._sums[size:] - self._sums[:-size]) * self._inverse[: len(self._sums) - size])
+
 
 def joined_hash(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of ``k`` consecutive entries; len(hashes) - k + 1 of them."""

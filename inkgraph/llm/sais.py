@@ -98,11 +98,11 @@ def _sort_names(names: np.ndarray, rounds: int | None) -> np.ndarray:
     while True:
         top = int(names.max()) + 2
         if top - 1 == len(names) or rounds == 0:
-            return np.argsort(names, kind="stable")
+            return np.argsort(names)
         after = np.zeros_like(names)
         after[:-step] = names[step:] + 1
         pairs = names * top + after
-        order = np.argsort(pairs, kind="stable")
+        order = np.argsort(pairs)
         ordered = pairs[order]
         fresh = np.zeros(len(names), np.int64)
         fresh[1:] = np.cumsum(ordered[1:] != ordered[:-1])
@@ -111,7 +111,7 @@ def _sort_names(names: np.ndarray, rounds: int | None) -> np.ndarray:
         step *= 2
         rounds = None if rounds is None else rounds - 1
         if step >= len(names):
-            return np.argsort(names, kind="stable")
+            return np.argsort(names)
 
 
 def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np.ndarray:
@@ -143,18 +143,40 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np
 
 
 def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each place of the text, how many symbols (at most ``most``) its suffix shares with the one before it in the order."""
+    """For each place of the text, how many symbols (at most ``most``) its suffix shares with the one before it in the order.
+
+    The first symbols are compared one by one, which ends most places; the others by hashes of
+    spans, by halves.
+    """
     n = len(text)
     out = np.zeros(n, np.int32)
     before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
     at = np.flatnonzero(before >= 0)
-    for k in range(most):
+    hashes = SpanHash(text)
+    if n > most:  # whole matches first
+        whole = hashes.windows(most)
+        inside = (at < len(whole)) & (before[at] < len(whole))
+        full = np.zeros(len(at), bool)
+        full[inside] = whole[at[inside]] == whole[before[at[inside]]]
+        out[at[full]] = most
+        at = at[~full]
+    for k in range(min(most, 6)):
         a, b = at + k, before[at] + k
         inside = (a < n) & (b < n)
         at, a, b = at[inside], a[inside], b[inside]
         at = at[text[a] == text[b]]
-        if not len(at):
-            break
         out[at] = k + 1
+    if most <= 6 or not len(at):
+        return out
+    a, b = at, before[at].astype(np.int64)
+    room = np.minimum(n - np.maximum(a, b), most)
+    shared = np.full(len(at), 6, np.int64)
+    step = 1 << (most - 6).bit_length() - 1
+    while step:
+        size = np.minimum(step, room - shared)
+        x, y = a + shared, b + shared
+        shared += np.where(hashes.spans(x, x + size) == hashes.spans(y, y + size), size, 0)
+        step //= 2
+    out[at] = shared
     return out

@@ -80,26 +80,23 @@ class Anchors:
         self.docs = np.zeros(0, np.int64)
         if n < length:
             return
-        at = np.arange(n - gram + 1)
-        value = SpanHash(data).spans(at, at + gram)
-        place = at.astype(np.int32)
-        hashes, width = value, length - gram + 1
-        reach = 1
-        while reach < width:  # the leftmost least of `width` hashes, by doubling
+        # the place takes the lowest bits, so that runs of one anchor can be told; equal grams have equal upper bits
+        value = SpanHash(data).windows(gram) & ~np.uint64(63) | (np.arange(n - gram + 1, dtype=np.uint64) & np.uint64(63))
+        width, reach = length - gram + 1, 1
+        while reach < width:  # the least of `width` hashes, by doubling
             step = min(reach, width - reach)
-            less = value[step:] < value[:-step]
-            value, place = np.where(less, value[step:], value[:-step]), np.where(less, place[step:], place[:-step])
+            value = np.minimum(value[step:], value[:-step])
             reach += step
-        owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        owner = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
         whole = (owner[: n - length + 1] == owner[length - 1 :]) & active[owner[: n - length + 1]]
         at = np.flatnonzero(whole)
         if not len(at):
             return
-        place = place[at]
-        fresh = np.r_[True, (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)]
+        value = value[at]
+        fresh = np.r_[True, (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)]
         self.starts = at[fresh]
         self.owned = np.diff(np.append(np.flatnonzero(fresh), len(at)))
-        self.hashes = hashes[place[fresh]]
+        self.hashes = value[fresh] >> np.uint64(6)
         self.docs = owner[self.starts]
 
 
@@ -108,7 +105,7 @@ def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
 
 
 def _split(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+    return ((hashes >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
 
 
 def _ask(texts: DataFrame, first, length: int, gram: int, shards: int) -> DataFrame:
@@ -181,13 +178,16 @@ def least_documents(contexts: np.ndarray, sizes: np.ndarray, owned: np.ndarray,
     text = np.zeros(len(contexts) + len(sizes), np.uint16)  # zero ends a context
     at = np.arange(len(contexts)) + np.repeat(np.arange(len(sizes)), sizes)
     text[at] = contexts.astype(np.uint16) + 1
-    order = suffix_array(text, 257, length)
-    common = permuted_common_prefixes(text, order, length)
     first = np.cumsum(sizes + 1) - (sizes + 1)
     places = np.repeat(first - (np.cumsum(owned) - owned), owned) + np.arange(int(owned.sum()))
-    group = np.empty(len(text), np.int64)
+    order = suffix_array(text, 257, length)
+    own = np.zeros(len(text), bool)
+    own[places] = True
+    order = order[own[order]]  # equal strings stand together among the owned ones as among all
+    common = permuted_common_prefixes(text, order, length)
+    group = np.empty(len(text), np.int32)
     group[order] = np.cumsum(common[order] < length)
-    least = np.full(len(text) + 1, np.iinfo(np.int64).max, np.int64)
+    least = np.full(len(order) + 1, np.iinfo(np.int64).max, np.int64)
     np.minimum.at(least, group[places], np.repeat(ids, owned))
     return least[group[places]]
 
