@@ -146,3 +146,10 @@ def suggest(corpus: DataFrame, text: str, limit: int = SUGGEST_LIMIT, least: flo
     top = bm25(corpus, query).orderBy(F.round("score", 6).desc(), "title", "path_rel").limit(limit)
     out = corpus.select("path_rel", "summary", "content").join(F.broadcast(top), "path_rel")
     return out.where(T.match_fraction(list(query.tokens), "title", "summary", "content") >= least).select("title", F.col("path_rel").alias("file"), "summary", F.round("score", 6).alias("score"))
+
+
+def quick_pick(corpus: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """What a picker shows while a query is typed: all pages at first, then matches."""
+    if not text.strip():
+        return corpus.select("title", F.col("path_rel").alias("file"), "summary").orderBy("title", "file")
+    return search(corpus, text, limit).orderBy("position").select("title", "file", "summary")

@@ -241,3 +241,44 @@ def test_stream(spark, tmp_path):
     assert step(("a", "1", 1, False), ("a", "2", 2, False), ("b", "x", 1, None)) == {"a": "2", "b": "x"}
     assert step(("a", "late", 1, False), ("b", "y", 3, False), ("c", "z", 1, False)) == {"a": "2", "b": "y", "c": "z"}
     assert step(("b", None, 4, True)) == {"a": "2", "c": "z"}
+
+
+def test_quick_pick_and_render(spark, wiki):
+    from inkgraph.functions import render
+
+    corpus = C.corpus_of(wiki[1])
+    assert [r.title for r in search.quick_pick(corpus, " ").collect()] == ["Alpha", "Beta", "Zebra", "Zoo"]
+    assert search.quick_pick(corpus, "first").first().title == "Alpha"
+    text = page("T", '# A_b C!\n<b> [x](y.md "t") `c<` **d**\n\n- one\n- two\n```mermaid\ngraph\n```\n```py\nx\n```\n![i](p.png) http://z.example/q.\n')
+    out = spark.createDataFrame([(text,), (None,)], "c string").select(render.render_html("c").alias("h")).collect()
+    assert '<h1 id="a_b-c" data-line="5">A_b C!</h1>' in out[0].h and '&lt;b&gt; <a href="y.md">x</a> <code>c&lt;</code> <strong>d</strong>' in out[0].h
+    assert '<pre class="mermaid" data-line="10">graph</pre>' in out[0].h and 'class="language-py"' in out[0].h and "<li data-line=\"8\">one</li>" in out[0].h
+    assert '<a href="http://z.example/q">http://z.example/q</a>.' in out[0].h and out[1].h is None
+    links = render.editor_links(spark.createDataFrame([("p", text)], "path string, content string")).collect()
+    assert [(r.text, r.href) for r in links] == [("x", "y.md")]
+
+
+def test_command_line(spark, tmp_path, monkeypatch, capsys):
+    from inkgraph import __main__ as cli
+
+    run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@t", *a], check=True, capture_output=True)
+    run("init", "-q")
+    (tmp_path / "a.md").write_text(page("Alpha", "# Alpha\nwords about zebras here\n[b](b.md) [gone](./old.md)\n", aliases=["First"]))
+    (tmp_path / "b.md").write_text(page("Beta", "# Beta\n[a](a.md#alpha)\n"))
+    (tmp_path / "old.md").write_text("long enough text that git can see a rename of it\n" * 5)
+    run("add", "-A")
+    run("commit", "-qm", "one")
+    run("mv", "old.md", "new.md")
+    monkeypatch.chdir(tmp_path)
+    monkeypatch.setattr(cli, "session", lambda **_: spark)
+    call = lambda *a: (cli.main(list(a)), capsys.readouterr().out)
+    assert "Alpha" in call("zebras")[1] and json.loads(call("zebras", "--json")[1])[0]["file"] == "a.md"
+    assert [x["title"] for x in json.loads(call("list", "--json")[1])] == ["Alpha", "Beta"]
+    assert call("summary", "first")[0] == 0 and call("summary", "nope")[0] == 1
+    assert "b.md:6" in call("refs", "Alpha")[1] and "Beta" in call("links", "Alpha")[1]
+    code, out = call("check", "--json", "--no-mesh")
+    assert code == 1 and [e["kind"] for e in json.loads(out)["errors"]] == ["broken_link"]
+    call("check", "--fix")
+    assert "[gone](./new.md)" in (tmp_path / "a.md").read_text() and call("check", "--no-mesh")[0] == 0
+    (tmp_path / "anchors").write_text("no meshes\n")
+    assert json.loads(call("scaffold", "--json", "--anchors", str(tmp_path / "anchors"))[1])["pages"] == []
