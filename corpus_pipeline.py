@@ -13,10 +13,15 @@ from inkgraph.llm.queries import word_tokenizer
 from inkgraph.llm.storage import written
 
 
+#: Rejected ids that are sent to all executors at most; more are joined by shuffling.
+BROADCAST_IDS = 1_000_000
+
+
 def _verdicts(docs: DataFrame, rows: DataFrame, bad) -> DataFrame:
     """``docs`` without those whose id is in the rows of a verdict; a null id matches a null id."""
-    gone = rows.where(bad).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    gone = written(rows.where(bad).select(F.col("doc_id").alias("__id")).distinct(), "rejected")
+    small = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
