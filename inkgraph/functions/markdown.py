@@ -57,27 +57,22 @@ def links(pages: DataFrame) -> DataFrame:
     href, source_line, byte_start and byte_end of the href.  Links are found in scrubbed text and
     read from the page at the same bytes.
     """
-    scrubbed = scrub("content")
-    found = F.regexp_extract_all("scrubbed", F.lit(LINK), F.lit(0))
-    rows = pages.select("path", "content", scrubbed.alias("scrubbed")).select("path", "content", found.alias("found"), F.split("scrubbed", LINK, -1).alias("gaps"))
-    size = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.octet_length(x))
-    rows = rows.select("path", "content", "found", "gaps", F.posexplode("found").alias("ordinal", "match"))
-    before = size(F.slice("gaps", F.lit(1), F.col("ordinal") + 1)) + size(F.slice("found", F.lit(1), F.col("ordinal")))
-    rows = rows.withColumn("start", before)
-    raw = F.decode(F.substr(F.encode("content", "UTF-8"), F.col("start") + 1, F.octet_length("match")), "UTF-8")
-    head = F.decode(F.substr(F.encode("content", "UTF-8"), F.lit(1), F.col("start")), "UTF-8")
-    text_size = F.octet_length(F.regexp_extract("match", LINK, 1))
-    href_size = F.octet_length(F.regexp_extract("match", LINK, 2))
-    rows = rows.withColumns({"raw": F.encode(raw, "UTF-8"), "text_size": text_size, "href_size": href_size, "source_line": F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))) + 1})
-    rows = rows.withColumns({
-        "text": F.decode(F.substr("raw", F.lit(2), F.col("text_size")), "UTF-8"),
-        "href": F.decode(F.substr("raw", F.col("text_size") + 4, F.col("href_size")), "UTF-8"),
-        "byte_start": F.col("start") + F.col("text_size") + 3,
-    })
+    rows = pages.select("path", F.encode("content", "UTF-8").alias("raw"), scrub("content").alias("clean"))
+    found, gaps = F.regexp_extract_all("clean", F.lit(LINK), F.lit(0)), F.split("clean", LINK, -1)
+    measured = lambda a: F.transform(a, lambda x: F.struct(F.octet_length(x).alias("bytes"), (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("breaks")))
+    rows = rows.select("path", "raw", found.alias("found"), gaps.alias("gaps")).where(F.size("found") > 0).select("path", "raw", "found", measured("gaps").alias("g"), measured("found").alias("f"))
+    before = lambda i, name: F.aggregate(F.concat(F.slice("g", F.lit(1), i + 1), F.slice("f", F.lit(1), i)), F.lit(0), lambda n, x: n + x[name])
+    sizes = lambda m: [F.octet_length(F.regexp_extract(m, LINK, k)) for k in (1, 2)]
+    # places come from the scrubbed text, words from the page itself
+    places = F.transform("found", lambda m, i: F.struct(i.alias("ordinal"), before(i, "bytes").alias("start"), (before(i, "breaks") + 1).alias("source_line"), sizes(m)[0].alias("text_size"), sizes(m)[1].alias("href_size")))
+    rows = rows.select("path", "raw", places.alias("places"))
+    cut = lambda at, size: F.decode(F.substr("raw", at + 1, size), "UTF-8")
+    read = F.transform("places", lambda p: F.struct(p["ordinal"].alias("ordinal"), p["source_line"].alias("source_line"), cut(p["start"] + 1, p["text_size"]).alias("text"), cut(p["start"] + p["text_size"] + 3, p["href_size"]).alias("href"), (p["start"] + p["text_size"] + 3).alias("byte_start"), (p["start"] + p["text_size"] + 3 + p["href_size"]).alias("byte_end")))
+    rows = rows.select("path", F.explode(read).alias("l")).select("path", "l.*")
     fragment = F.when(F.contains("href", F.lit("#")), F.regexp_extract("href", "(?s)^[^#]*#(.*)$", 1))
     rows = rows.withColumns({"kind": F.when(F.col("href").rlike(SCHEME), "external").otherwise("internal"), "target": F.regexp_extract("href", "(?s)^[^#]*", 0), "fragment": fragment})
     start, end = line_range("fragment")
-    return rows.select("path", "ordinal", "kind", "target", "fragment", start.alias("start_line"), F.when(start.isNotNull(), end).alias("end_line"), "text", "href", "source_line", "byte_start", (F.col("byte_start") + F.col("href_size")).alias("byte_end"))
+    return rows.select("path", "ordinal", "kind", "target", "fragment", start.alias("start_line"), F.when(start.isNotNull(), end).alias("end_line"), "text", "href", "source_line", "byte_start", "byte_end")
 
 
 def page_lines(pages: DataFrame, text: str = "content") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as T
+from ..sources.tables import written
 from .lookup import key_rows
 
 
@@ -111,7 +112,7 @@ def mesh_unavailable(pages: DataFrame) -> DataFrame:
 def check(pages: DataFrame, corpus: DataFrame, paths: DataFrame, anchors: DataFrame | None = None, mesh: bool = True, scope: DataFrame | None = None, targets: DataFrame | None = None) -> DataFrame:
     """All findings.  ``scope`` (path) limits which pages are checked; collisions look at the whole corpus all the same."""
     inside = pages if scope is None else pages.join(scope.select("path"), "path", "left_semi")
-    links = md.links(inside.where("content is not null"))
+    links = written(md.links(inside.where("content is not null")), "links")  # four rules read it
     targets = pages if targets is None else targets
     clash = collisions(corpus)
     if scope is not None:

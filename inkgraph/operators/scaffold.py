@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as T
+from ..sources.tables import written
 
 ANCHOR = "struct<path:string,start_line:int,end_line:int>"
 
@@ -148,7 +149,8 @@ def scaffold(pages: DataFrame, anchors: DataFrame, paths: DataFrame) -> tuple[Da
     pages = pages.where(~F.contains("path", F.lit("/tests/fixtures/")))
     titles = pages.select(F.col("path").alias("page"), fm.field_of("content", "title").alias("title"))
     rows = consolidate(drafts(range_links(pages.where("content is not null"), paths)))
-    rows = name_drafts(extend(trim_chain(rows, titles), anchors), anchors)
+    rows = written(extend(trim_chain(rows, titles), anchors), "drafts")
+    rows = written(name_drafts(rows, anchors), "named")
     rows, dropped = drop_missing(rows, paths)
     errors = parse_errors(pages)
     return rows.join(errors.select(F.col("path").alias("page")), "page", "left_anti"), dropped, errors
