@@ -35,9 +35,10 @@ def term_rows(corpus: DataFrame, query: Query, fields: dict[str, float] = WEIGHT
     """
     words = F.array(*[F.struct(F.lit(name).alias("field"), T.terms(F.coalesce(field_text(name), F.lit(""))).alias("w")) for name in fields])
     rows = corpus.select("path_rel", "title", F.explode(words).alias("x")).select("path_rel", "title", F.col("x.field").alias("field"), F.col("x.w").alias("w"))
-    padded = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
-    # the words after a unit's first are only looked at, so repeats that overlap count too
-    count = [F.size(F.split("padded", f" {u[0]} " + (f"(?={''.join(' ' + w + ' ' for w in u[1:])})" if u[1:] else ""), -1)) - 1 for u in _units(query)]
+    units = _units(query)
+    padded = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" ")) if any(len(u) > 1 for u in units) else F.lit("")
+    # a term is counted in the array; of a phrase the words after the first are only looked at, so repeats that overlap count too
+    count = [F.size("w") - F.size(F.array_remove("w", u[0])) if len(u) == 1 else F.size(F.split("padded", f" {u[0]} (?={''.join(' ' + w + ' ' for w in u[1:])})", -1)) - 1 for u in units]
     return rows.withColumn("padded", padded).select("path_rel", "title", "field", F.size("w").alias("dl"), F.array(*count).alias("tf"))
 
 
