@@ -26,7 +26,7 @@ from tokenizers import Tokenizer, models
 #: Longest run of symbols that is encoded in one piece.
 LEAF = 256
 #: Entries of each of the two generations of the cache of chunks, for each Python worker.
-CACHE = 300_000
+CACHE = 120_000
 #: A chunk of its own that no plain chunk holds.
 MARK = b"\x01 "
 #: A full stop or comma that is a pre-token of its own.
@@ -98,12 +98,12 @@ class Codec:
 
     def __init__(self, path: str, leaf: int = LEAF, cache: int = CACHE):
         with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+            specials = json.load(f)["added_tokens"]
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.tree = TreeEncoder(spec, leaf)
-        self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.path, self._tree = path, None
+        self.specials = {t["content"]: t["id"] for t in specials}
         self.leaf, self.size = leaf, cache
         self.token = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.id_text = {i: str(i) for i in self.token}
@@ -112,6 +112,14 @@ class Codec:
         self.young: dict[bytes, tuple[int, str, str]] = {}  # chunk: number of tokens, ids, tokens
         self.old: dict[bytes, tuple[int, str, str]] = {}
 
+    @property
+    def tree(self) -> TreeEncoder:
+        """Made when the first long pre-token is met, as it holds the model twice more."""
+        if self._tree is None:
+            with open(self.path, encoding="utf-8") as f:
+                self._tree = TreeEncoder(json.load(f), self.leaf)
+        return self._tree
+
     def _long(self, chunk: str) -> list[int]:
         """A chunk that may hold long pre-tokens, between special tokens."""
         ids: list[int] = []
