@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer, models
 
+from .storage import small_batches
+
 #: Longest run of symbols that is encoded in one piece.
 LEAF = 256
 #: Entries of each of the two generations of the cache of chunks, for each Python worker.
@@ -209,6 +211,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, leaf: int = LEAF, keep: bo
     place on every executor.  No shuffle; memory is bounded by one Arrow batch.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(tokenizer, leaf)
         for batch in batches:

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import blocks, text_buffer
+from .storage import small_batches
 
 #: Fixed patterns and least lengths of the base kinds, in the order in which they are listed.
 KINDS = {
@@ -225,6 +226,7 @@ def scan_secrets(docs: DataFrame, automata: list[Automaton] | None = None, thres
     not listed again.  Null texts are empty and have no spans; without labelled credentials nothing
     but the base is found.  ``best_score`` is the highest ratio of the text's candidates, null if none.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if automata is None else automata)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

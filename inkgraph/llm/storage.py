@@ -21,16 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Bytes of an Arrow batch between Spark and Python at most (or one row).
-BATCH_BYTES = 4 << 20
+#: Bytes of an Arrow batch between Spark and Python at most (or one row), and rows that a scan decodes at once.
+BATCH_BYTES, SCAN_ROWS = 4 << 20, 512
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit of Arrow batches to ``BATCH_BYTES``, which bounds what each Python worker holds."""
+    """Lowers the session's limits of Arrow batches and of rows decoded at once, which bounds what a task holds of long texts."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = int(spark.conf.get(name).rstrip("bB"))
     if now <= 0 or now > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(name)) > SCAN_ROWS:
+        spark.conf.set(name, str(SCAN_ROWS))
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
