@@ -7,9 +7,10 @@ shorter context; a kept context keeps its suffixes.  Distributions are smoothed
 towards the shorter context's, and each place of a text is scored in the state
 of its longest kept suffix.
 
-Beside it stands the add-one unigram score of the words.  Word counts are never
-gathered in one place: each block of texts sends its distinct words, by hash,
-to shards, which send the totals of just these words back to the block.
+Beside it stands the add-one unigram score of the words.  Neither word counts nor
+kept contexts are gathered in one place: each block of texts sends its distinct
+words, by hash, and its distinct (context, next symbol) pairs to shards, which
+send the totals of just these words and the logs of just these pairs back.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, blocks, text_buffer, word_spans
+from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, blocks, mix, text_buffer, word_spans
 from .storage import small_batches, written
 
 #: Longest context, in symbols.
@@ -36,9 +37,9 @@ TABLE_DEPTH = 4
 GAIN = 20.0
 #: Weight, in counts, of the shorter context's distribution.
 PRIOR = 4.0
-#: States that are sent to the executors at most; beyond it those of least gain go, which is the same test with a higher GAIN.
-MAX_STATES = 60_000
 SHARDS = 64
+#: Shards of kept contexts of two symbols and more, dealt by the last two.
+STATE_SHARDS = 256
 #: Text of a block whose distinct words are sent to the shards together.
 SCORE_BYTES = 2 << 20
 
@@ -164,11 +165,16 @@ def gram_counts(docs: DataFrame, symbols: np.ndarray, depth: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "shard int, grams binary, counts binary")
 
 
-STATES = "depth int, code long, gain double, probs binary"
+def state_shard(codes: np.ndarray) -> np.ndarray:
+    """Shard of contexts of two symbols and more."""
+    return (mix((codes % _SYMBOLS**2).astype(np.uint64) + np.uint64(1)) % np.uint64(STATE_SHARDS)).astype(np.int32)
 
 
-def build_tree(grams: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior: float = PRIOR, max_states: int = MAX_STATES) -> tuple[np.ndarray, list]:
-    """The root's distribution, and (depth, code, distribution) of each kept context."""
+STATES = "shard int, depth int, code long, probs binary"
+
+
+def kept_states(grams: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior: float = PRIOR) -> tuple[np.ndarray, DataFrame]:
+    """The root's distribution, and (shard, depth, code, distribution) of every context that passes the test."""
     grams = written(grams, "grams")
 
     def next_symbols(key, table):
@@ -210,21 +216,19 @@ def build_tree(grams: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior:
             own = place[row] >= 0
             dense[place[row[own]], pairs[own] % _SYMBOLS] = counts[own]
             dense = (dense + prior * up_probs[np.searchsorted(up_codes, codes[kept] % _SYMBOLS ** (d - 1))]) / (n[kept, None] + prior)
-            out += [(d, int(c), float(g), q.tobytes()) for c, g, q in zip(codes[kept], divergence[kept], dense.astype(np.float32), strict=True)]
+            out += [(s, d, c, q.tobytes()) for s, c, q in zip(state_shard(codes[kept]).tolist(), codes[kept].tolist(), dense.astype(np.float32), strict=True)]
             up_codes, up_probs = codes[kept], dense
-        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("depth", pa.int32()), ("code", pa.int64()), ("gain", pa.float64()), ("probs", pa.binary())))})
+        return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("depth", pa.int32()), ("code", pa.int64()), ("probs", pa.binary())))})
+
+    return root.astype(np.float32), written(grams.groupBy("shard").applyInArrow(grow, STATES), "states")
 
-    states = written(grams.groupBy("shard").applyInArrow(grow, STATES), "states")
-    count = states.count()
-    if count > max_states:
-        limit = states.approxQuantile("gain", [1 - max_states / count], 0.001)[0]
-        states = states.where(F.col("gain") > limit)
-    rows = [(r.depth, r.code, np.frombuffer(bytes(r.probs), np.float32)) for r in states.orderBy("depth", "code").collect()]
-    return root.astype(np.float32), rows
+
+def _rows(states: DataFrame) -> list:
+    return [(r.depth, r.code, np.frombuffer(bytes(r.probs), np.float32)) for r in states.orderBy("depth", "code").collect()]
 
 
 class Tree:
-    """The suffix tree as a table: the state of every sequence of ``TABLE_DEPTH`` symbols, and lists of longer contexts."""
+    """The suffix tree in one place, for small corpora: the state of every sequence of ``TABLE_DEPTH`` symbols, and lists of longer contexts."""
 
     def __init__(self, symbols: np.ndarray, root: np.ndarray, states: list, depth: int):
         self.symbols, self.depth = symbols, depth
@@ -282,39 +286,60 @@ class Tree:
         return total[at + 1] - total[np.r_[0, at[:-1] + 1]] if len(at) else np.zeros(0)
 
 
-def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior: float = PRIOR, max_states: int = MAX_STATES) -> Tree:
+def train(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior: float = PRIOR) -> Tree:
     symbols = alphabet(byte_counts(docs))
-    return Tree(symbols, *build_tree(gram_counts(docs, symbols, depth), depth, gain, prior, max_states), depth)
+    root, states = kept_states(gram_counts(docs, symbols, depth), depth, gain, prior)
+    return Tree(symbols, root, _rows(states), depth)
+
+
+def _pack_planes(x: np.ndarray) -> bytes:
+    """Numbers byte place by byte place, which compresses better than one after another."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _unpack_planes(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
+def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words and at last of the end token, and the number of each text's first word."""
+    starts, stops, first = word_spans(data, ends, SPACE_WORDS)
+    return np.append(SpanHash(data).spans(starts, stops), _END_WORD), first
+
 
+def _grams(data: np.ndarray, ends: np.ndarray, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The context and next symbol of every place as one number, and the texts' last places."""
+    stream, at = symbol_stream(data, ends, symbols)
+    return context_codes(stream, at, depth).astype(np.int64) << _BITS | stream, at
 
-_SCORED = "block long, doc_ids array<long>, held_out array<boolean>, n_tokens array<long>, score array<double>, tokens binary, words binary, counts binary"
 
+_SCORED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<long>, data binary, words binary, counts binary, grams binary"
 
-def _scored_blocks(docs: DataFrame, tree: Tree) -> DataFrame:
-    """One row for each block of texts: tree scores, tokens as numbers of distinct words, the words' hashes and their training counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
+
+def _scored_blocks(docs: DataFrame, symbols: np.ndarray, depth: int) -> DataFrame:
+    """One row for each block of texts: the texts, the distinct words' hashes and training counts, and the distinct (context, next symbol) pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         block = TaskContext.get().partitionId() << 32
         for batch in blocks(batches, limit=SCORE_BYTES):
             data, ends = text_buffer(batch.column("text"))
             data = ASCII_LOWER[data]
             training = _training(batch.column("doc_id"))
-            starts, stops, first = word_spans(data, ends, SPACE_WORDS)
-            words, tokens = np.unique(np.append(SpanHash(data).spans(starts, stops), _END_WORD), return_inverse=True)
-            sizes = np.diff(first)
-            counts = np.bincount(tokens[:-1][np.repeat(training, sizes)], minlength=len(words))
+            hashes, first = _words(data, ends)
+            words, tokens = np.unique(hashes, return_inverse=True)
+            counts = np.bincount(tokens[:-1][np.repeat(training, np.diff(first))], minlength=len(words))
             counts[tokens[-1]] += training.sum()
             columns = [
                 pa.array([block], pa.int64()),
                 pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
                 pa.array([~training], pa.list_(pa.bool_())),
-                pa.array([sizes + 1], pa.list_(pa.int64())),
-                pa.array([model.score(data, ends)], pa.list_(pa.float64())),
-                pa.array([zstandard.ZstdCompressor(level=1).compress(tokens.astype(np.int32).tobytes())], pa.binary()),
+                pa.array([ends], pa.list_(pa.int64())),
+                pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()),
                 pa.array([words.tobytes()], pa.binary()),
                 pa.array(_pack(counts.astype(np.int32)), pa.binary()),
+                pa.array([_pack_planes(np.diff(np.unique(_grams(data, ends, shared.value, depth)[0]), prepend=0))], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
             block += 1
@@ -322,6 +347,58 @@ def _scored_blocks(docs: DataFrame, tree: Tree) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _SCORED)
 
 
+_ASKED = "block long, shard int, grams binary"
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block's distinct (context, next symbol) pairs to the shards of their contexts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            grams = np.cumsum(_unpack_planes(batch.column("grams")[i].as_py(), np.int64))
+            shard = state_shard(grams >> _BITS)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(STATE_SHARDS + 1))
+            parts = [(s, _pack_planes(np.diff(grams[order[a:b]], prepend=0))) for s, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)) if b > a]
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column("block")[i].as_py()] * len(parts), pa.int64()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "shard", "grams"])
+
+
+def _answers(asked: DataFrame, states: DataFrame, root: np.ndarray, depth: int) -> DataFrame:
+    """(block, shard, logs): log10 of each asked symbol in the state of its context's longest kept suffix."""
+    # the root and the contexts of one symbol, 65 at most, are known to every shard
+    short = _rows(states.where("depth = 1"))
+    top = np.vstack([root, *(p for _, _, p in short)]).astype(np.float32)
+    first = np.zeros(_SYMBOLS, np.int64)
+    first[[c for _, c, _ in short]] = np.arange(1, len(short) + 1)
+
+    def answer(key, left, right):
+        d, c = left.column("depth").to_numpy(), left.column("code").to_numpy()
+        probs = np.frombuffer(b"".join(left.column("probs").to_pylist()), np.float32).reshape(-1, _SYMBOLS)
+        log = np.log10(np.vstack([top, probs]))
+        levels = []
+        for k in range(2, depth + 1):
+            at = np.flatnonzero(d == k)
+            at = at[np.argsort(c[at])]
+            levels.append((k, c[at], at + len(top)))
+        out = []
+        for data in right.column("grams"):
+            grams = np.cumsum(_unpack_planes(data.as_py(), np.int64))
+            state = first[(grams >> _BITS) % _SYMBOLS]
+            live = np.flatnonzero(state)
+            for k, keys, numbers in levels:  # a kept context keeps its suffixes
+                if not len(live) or not len(keys):
+                    break
+                want = (grams[live] >> _BITS) % _SYMBOLS**k
+                place = np.searchsorted(keys, want)
+                place[place == len(keys)] = 0
+                found = keys[place] == want
+                live = live[found]
+                state[live] = numbers[place[found]]
+            out.append(_pack_planes(log[state, grams % _SYMBOLS]))
+        return pa.table({"block": right.column("block"), "shard": right.column("shard"), "logs": pa.array(out, pa.binary())})
+
+    return states.where("depth > 1").groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(answer, "block long, shard int, logs binary")
+
+
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A block's distinct words to the shards of their hashes."""
     for batch in batches:
@@ -348,39 +425,51 @@ def _total(key, table):
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior: float = PRIOR, max_states: int = MAX_STATES) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior: float = PRIOR) -> DataFrame:
     """One row for each row of ``docs`` with its unigram and tree scores (log10).
 
     A null text is empty: one end token.  Repeated rows count and are scored each time; an empty
-    table gives an empty result.  Distinct words are told apart by 64-bit hashes.
+    table gives an empty result.  Distinct words are told apart by 64-bit hashes.  A byte without a
+    symbol of its own is one of its kind with equal chance.
     """
     small_batches(docs.sparkSession)
-    scored = written(_scored_blocks(docs, train(docs, depth, gain, prior, max_states)), "scored")
+    symbols = alphabet(byte_counts(docs))
+    root, states = kept_states(gram_counts(docs, symbols, depth), depth, gain, prior)
+    scored = written(_scored_blocks(docs, symbols, depth), "scored")
+    answers = written(_answers(scored.select("block", "grams").mapInArrow(_ask, _ASKED), states, root, depth), "answers")
     totals = written(scored.select("block", "words", "counts").mapInArrow(_deal, "block long, shard int, words binary, counts binary").groupBy("shard").applyInArrow(_total, "block long, shard int, totals binary, n long, v long"), "totals")
     size = totals.groupBy("shard").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n, v = size.n or 0, size.v or 0
+    share = math.log10(max(int((symbols[SPACE_WORDS] == _OTHER).sum()), 1))
 
     def finish(key, left, right):
         out = []
         for row in left.to_pylist():
-            parts = sorted(zip(right.column("shard").to_pylist(), right.column("totals").to_pylist(), strict=True))
-            counts = np.concatenate([_unpack(p, np.int64) for _, p in parts])
-            tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.int32)
+            parts = sorted(zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True))
+            counts = np.concatenate([_unpack(p, np.int64) for kind, _, p in parts if not kind])
+            data, ends = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8), np.array(row["ends"], np.int64)
+            hashes, first = _words(data, ends)
+            tokens = np.unique(hashes, return_inverse=True)[1]
             log = np.log10((counts + 1) / (n + v + 1))
-            sizes = np.array(row["n_tokens"], np.int64) - 1
-            ends = np.r_[0, np.cumsum(sizes)]
             base = np.r_[0.0, np.cumsum(log[tokens[:-1]])]
             known = np.r_[0, np.cumsum(counts[tokens[:-1]] > 0)]
+            grams, at = _grams(data, ends, symbols, depth)
+            distinct, place = np.unique(grams, return_inverse=True)
+            logs = np.empty(len(distinct))
+            logs[np.argsort(state_shard(distinct >> _BITS), kind="stable")] = np.concatenate([_unpack_planes(p, np.float32) for kind, _, p in parts if kind])
+            logs[distinct % _SYMBOLS == _OTHER] -= share
+            total = np.r_[0.0, np.cumsum(logs[place])]
             out.append(pa.table({
                 "doc_id": pa.array(row["doc_ids"], pa.int64()),
                 "held_out": pa.array(row["held_out"], pa.bool_()),
-                "n_tokens": pa.array(sizes + 1, pa.int64()),
-                "n_known": pa.array(known[ends[1:]] - known[ends[:-1]] + int(counts[tokens[-1]] > 0), pa.int64()),
-                "train_tokens": pa.array([n] * len(sizes), pa.int64()),
-                "base_score": pa.array(base[ends[1:]] - base[ends[:-1]] + log[tokens[-1]], pa.float64()),
-                "score": pa.array(row["score"], pa.float64()),
+                "n_tokens": pa.array(np.diff(first) + 1, pa.int64()),
+                "n_known": pa.array(known[first[1:]] - known[first[:-1]] + int(counts[tokens[-1]] > 0), pa.int64()),
+                "train_tokens": pa.array([n] * len(at), pa.int64()),
+                "base_score": pa.array(base[first[1:]] - base[first[:-1]] + log[tokens[-1]], pa.float64()),
+                "score": pa.array(total[at + 1] - total[np.r_[0, at[:-1] + 1]], pa.float64()),
             }))
         return pa.concat_tables(out) if out else pa.schema([(x.split()[0], pa.float64()) for x in SCHEMA.split(", ")]).empty_table()
 
-    left = scored.select("block", "doc_ids", "held_out", "n_tokens", "score", "tokens")
-    return left.groupBy("block").cogroup(totals.select("block", "shard", "totals").groupBy("block")).applyInArrow(finish, SCHEMA)
+    left = scored.select("block", "doc_ids", "held_out", "ends", "data")
+    right = totals.select("block", F.lit(0).alias("kind"), "shard", F.col("totals").alias("answer")).union(answers.select("block", F.lit(1).alias("kind"), "shard", F.col("logs").alias("answer")))
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(finish, SCHEMA)

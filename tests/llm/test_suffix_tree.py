@@ -60,3 +60,16 @@ def test_tree_is_a_model_and_beats_order_zero(spark, rows):
             history = [s, *history[:-1]]
         data, ends = text_buffer(pa.array([text]))
         assert abs(tree.score(ASCII_LOWER[data], ends)[0] - total) < 1e-3 * max(1, -total)
+
+
+def test_all_states_are_kept_and_scored_by_shard(spark):
+    rng = random.Random(19)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    texts = ["".join(rng.choice(letters) for _ in range(4000)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(30, "AB Éß"), (31, None)], "doc_id long, text string").repartition(3)
+    tree = t.train(df, gain=1e-6)
+    assert len(tree.contexts) > 60_000
+    data, ends = text_buffer(pa.array(texts + ["AB Éß", ""]))
+    want = dict(zip([*range(20), 30, 31], tree.score(ASCII_LOWER[data], ends), strict=True))
+    got = {r.doc_id: r.score for r in t.score_documents(df, gain=1e-6).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - x) < 1e-6 * max(1, -x) for i, x in want.items())
