@@ -1,6 +1,8 @@
 """Line dedup with a segment-partition edit join.
 
-Lines of at least ``MIN_BYTES`` UTF-8 bytes take part; edits are of bytes.  Of
+Lines of at least ``MIN_BYTES`` UTF-8 bytes take part; edits are of bytes, or of
+code points where ``chars`` is set.  Shorter lines of ``exact`` bytes or more are
+repeats where they are equal.  Of
 two lines within ``EDITS`` edits, one cut into EDITS + 1 segments shares at
 least one of them with the other, near the same place.  Each distinct line
 therefore puts its segments into an index, keyed by length, segment number and
@@ -52,6 +54,22 @@ def line_spans(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, stops, owner, at - np.maximum.accumulate(np.where(fresh, at, 0))
 
 
+def characters(data: np.ndarray, *places: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One number for each code point, its UTF-8 bytes, and byte places as numbers of code points."""
+    lead = (data & 0xC0) != 0x80
+    if lead.all():
+        return data, *places
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(lead, out=before[1:])
+    at = np.flatnonzero(lead)
+    out = data[at].astype(np.uint32)
+    size = np.diff(np.append(at, len(data)))
+    for k in range(1, 4):
+        more = size > k
+        out[more] = out[more] << np.uint32(8) | data[at[more] + k]
+    return out, *(before[x] for x in places)
+
+
 def segment_bounds(length: np.ndarray, edits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Start and size of each of the edits + 1 segments of lines of these lengths; the last ones are longer by one."""
     parts = edits + 1
@@ -93,28 +111,34 @@ _NAMES = [x.split()[0] for x in _LINES.split(", ")]
 _KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _first_pass(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Every long enough line by hash (kind 0), and the signatures of a task's distinct lines by shard (kind 1)."""
+def _first_pass(docs: DataFrame, edits: int, least: int, exact: int, chars: bool) -> DataFrame:
+    """Every line of at least ``exact`` bytes by hash (kind 0), and the signatures of a task's distinct long enough lines by shard (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.int64)
         for batch in blocks(batches):
             data, ends = text_buffer(batch.column("text"))
             starts, stops, owner, number = line_spans(data, ends)
-            keep = stops - starts >= least
+            keep = stops - starts >= min(least, exact)
             starts, stops, owner, number = starts[keep], stops[keep], owner[keep], number[keep]
             hashes = SpanHash(data)
             line = hashes.spans(starts, stops).view(np.int64)
             n = len(line)
             take = pa.array(owner)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("text_hash").take(take), pa.array(number.astype(np.int32)), pa.array(line), *(pa.nulls(n, t) for t in _KINDS[5:])], names=_NAMES)
-            distinct, at = np.unique(line, return_index=True)
+            long = np.flatnonzero(stops - starts >= least)
+            distinct, at = np.unique(line[long], return_index=True)
+            at = long[at]
             fresh = ~np.isin(distinct, seen)
             seen = np.union1d(seen, distinct) if len(seen) < 2_000_000 else distinct  # only spares repeated work
             at = at[fresh]
             if not len(at):
                 continue
-            keys, lines, index = signatures(hashes, starts[at], (stops - starts)[at], edits, least)
+            if chars:
+                symbols, begin, end = characters(data, starts[at], stops[at])
+                keys, lines, index = signatures(hashes if symbols is data else SpanHash(symbols), begin, end - begin, edits, 0)
+            else:
+                keys, lines, index = signatures(hashes, starts[at], (stops - starts)[at], edits, least)
             shard = (keys >> np.uint64(58)).astype(np.uint8)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
@@ -175,13 +199,13 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def histograms(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Byte histograms of lines over ``BINS`` bins, counts modulo 256."""
+    """Histograms of lines' symbols over ``BINS`` bins, counts modulo 256."""
     sizes = stops - starts
     at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     return np.bincount(np.repeat(np.arange(len(starts)), sizes) * BINS + data[at] % BINS, minlength=len(starts) * BINS).astype(np.uint8).reshape(-1, BINS)
 
 
-def _texts(docs: DataFrame, bloom: np.ndarray, least: int) -> DataFrame:
+def _texts(docs: DataFrame, bloom: np.ndarray, least: int, chars: bool) -> DataFrame:
     """(line, content, histogram) of candidate lines, once for each task."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
@@ -195,20 +219,20 @@ def _texts(docs: DataFrame, bloom: np.ndarray, least: int) -> DataFrame:
             line, at = np.unique(line, return_index=True)
             there = bloom_has(shared.value, line)
             line, starts, stops = line[there], starts[at[there]], stops[at[there]]
-            bins = histograms(data, starts, stops)
+            bins = histograms(*characters(data, starts, stops)) if chars else histograms(data, starts, stops)
             yield pa.RecordBatch.from_arrays([pa.array(line), pa.array([data[a:b].tobytes() for a, b in zip(starts, stops, strict=True)], pa.binary()), pa.array([x.tobytes() for x in bins], pa.binary())], names=["line", "content", "bins"])
 
     return docs.select("text").mapInArrow(run, "line long, content binary, bins binary").groupBy("line").agg(F.first("content").alias("content"), F.first("bins").alias("bins"))
 
 
-def within(p: pa.Array, t: pa.Array, edits: int) -> np.ndarray:
-    """Whether each pair of byte strings is within ``edits`` edits.
+def within(p: pa.Array, t: pa.Array, edits: int, chars: bool = False) -> np.ndarray:
+    """Whether each pair of byte strings is within ``edits`` edits, of bytes or of code points.
 
     Bit k of vector e says that the automaton, after j bytes of ``t``, can be at byte j + k - edits
     of ``p`` with e errors: a band of 2 * edits + 1 diagonals, moved for all pairs with a few
     operations for each byte place.
     """
-    (pd, pe), (td, te) = _bytes(p), _bytes(t)
+    (pd, pe), (td, te) = (characters(*_bytes(x)) if chars else _bytes(x) for x in (p, t))
     p_size, t_size = np.diff(pe), np.diff(te)
     out = np.zeros(len(p_size), bool)
     order = np.argsort(-t_size, kind="stable")
@@ -247,20 +271,20 @@ def within(p: pa.Array, t: pa.Array, edits: int) -> np.ndarray:
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     _, offsets, data = column.buffers()
     ends = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)), ends
+    return (np.frombuffer(data, np.uint8)[: max(int(ends[-1]), 1)] if data is not None and data.size else np.zeros(1, np.uint8)), ends
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, edits: int, chars: bool) -> DataFrame:
     """(a, b) of the distinct pairs within ``edits`` edits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = pa.array(within(batch.column("p"), batch.column("t"), edits))
+            ok = pa.array(within(batch.column("p"), batch.column("t"), edits, chars))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
 
     content = texts.select("line", "content")
     both = pairs.join(content.withColumnsRenamed({"line": "a", "content": "p"}), "a").join(content.withColumnsRenamed({"line": "b", "content": "t"}), "b")
-    return both.where(F.abs(F.octet_length("p") - F.octet_length("t")) <= edits).select("a", "b", "p", "t").mapInArrow(run, "a long, b long")
+    return both.where(F.abs(F.octet_length("p") - F.octet_length("t")) <= (4 * edits if chars else edits)).select("a", "b", "p", "t").mapInArrow(run, "a long, b long")
 
 
 def _remaining(entries: DataFrame, labels: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
@@ -293,18 +317,18 @@ def _remaining(entries: DataFrame, labels: DataFrame, texts: DataFrame, edits: i
     return rows.select(shard, "run", "node", "own", "component", "bins").groupBy("shard").applyInArrow(cross, "a long, b long").distinct()
 
 
-def find_repeats(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
+def find_repeats(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, exact: int | None = None, chars: bool = False) -> DataFrame:
     """(doc_id, text_hash, lines) with the numbers of the lines that repeat an earlier one; ``docs`` has doc_id, text_hash, text."""
     small_batches(docs.sparkSession)
-    rows = written(_first_pass(docs, edits, least), "lines")
+    rows = written(_first_pass(docs, edits, least, least if exact is None else exact, chars), "lines")
     lines = rows.where("kind = 0").select("doc_id", "text_hash", "line_no", "line")
     found = written(_candidates(rows), "candidates")
     pairs = written(found.select("a", "b").mapInArrow(_spell, "a long, b long").distinct(), "pairs")
     entries = found.select("run", "node", "own", "lead").mapInArrow(_spell, "run long, node long, own long, lead long")
-    texts = written(_texts(docs, _bloom(found.select("a", "b")), least), "content")
-    links = written(_verify(pairs, texts, edits), "links")
+    texts = written(_texts(docs, _bloom(found.select("a", "b")), least, chars), "content")
+    links = written(_verify(pairs, texts, edits, chars), "links")
     more = _remaining(entries, components(links), texts, edits)
-    labels = components(links.union(written(_verify(more, texts, edits), "links")))
+    labels = components(links.union(written(_verify(more, texts, edits, chars), "links")))
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line_no")
     first = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     clusters = labels.join(first, F.col("node") == F.col("line")).groupBy("component").agg(F.min("first").alias("least"))
@@ -314,16 +338,17 @@ def find_repeats(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) ->
     return repeats.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, exact: int | None = None, chars: bool = False) -> DataFrame:
     """``docs`` with repeated lines taken out of ``text``, and ``n_lines`` and ``n_removed`` added (in place of columns of these names).
 
     Null texts stay null with no lines.  Rows that repeat an id stand at the same place in the order,
-    so equal ones keep or lose the same lines.  Null ids come last.  Short lines stay.  Lines are told
-    apart by 64-bit hashes.
+    so equal ones keep or lose the same lines.  Null ids come last.  Lines of less than ``least`` bytes
+    go if they repeat another exactly and have ``exact`` bytes (without it they stay); ``chars`` counts
+    edits in code points.  Lines are told apart by 64-bit hashes.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*rest).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    repeats = find_repeats(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), edits, least)
+    repeats = find_repeats(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), edits, least, exact, chars)
     repeats = repeats.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__key"), F.col("lines").alias("__lines"))
     joined = keyed.join(repeats, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left").drop("__doc", "__key", "__hash")
     schema = docs.select(*rest).schema.add("n_lines", "long").add("n_removed", "long")
@@ -346,6 +371,6 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) ->
 
 
 def line_report(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES) -> DataFrame:
-    """doc_id, line counts and the digest of what is left of each row's text (null as empty)."""
-    out = dedup_lines(docs.select("doc_id", "text"), edits, least)
+    """doc_id, line counts and the digest of what is left of each row's text (null as empty); exact repeats of every line that is not empty go, edits are of code points."""
+    out = dedup_lines(docs.select("doc_id", "text"), edits, least, exact=1, chars=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -102,3 +102,21 @@ def test_line_spans():
         assert n == len(got[o])
         got[o].append(data[a:b].tobytes().decode())
     assert got == [t.split("\n") for t in texts]
+
+
+def test_short_repeats_and_code_points(spark):
+    cjk = "一二三四五六七八九十百千"
+    rows = [(1, "short\n\n" + cjk + "\nab"), (2, "short\nab\n\n" + cjk[:5] + "語" + cjk[5:]), (3, cjk[:4] + "語" + cjk[5:-1] + "\nac"), (4, "語文字" + cjk[3:])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.text for r in m.dedup_lines(df, exact=1, chars=True).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: "ac", 4: rows[3][1]}
+    assert {r.doc_id: r.n_removed for r in m.line_report(df).collect()} == {1: 0, 2: 3, 3: 1, 4: 0}
+
+
+def test_within_code_points():
+    rng = random.Random(16)
+    a = ["".join(rng.choice("aé語😀") for _ in range(rng.randrange(12))) for _ in range(2000)]
+    b = [changed(rng, x, rng.randrange(5)) for x in a]
+    for edits in (0, 2):
+        got = m.within(pa.array([x.encode() for x in a], pa.binary()), pa.array([x.encode() for x in b], pa.binary()), edits, chars=True)
+        assert got.tolist() == [distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
