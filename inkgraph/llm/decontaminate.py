@@ -23,7 +23,8 @@ from .buffers import ALNUM_WORDS, ASCII_LOWER, SpanHash, blocks, text_buffer, wo
 from .storage import small_batches, written
 
 WINDOW = 10
-#: Words within which the rarest terms of an item make a proximity match, and how many terms.
+#: Words within which the rarest terms of an item, by documents of the whole index, make a proximity match, and how
+#: many terms (all of an item that has fewer).
 SLOP, NEAR_TERMS = 30, 3
 #: Items that are sent to the index at once.
 QUERY_ITEMS = 20_000
@@ -119,6 +120,12 @@ def _within(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
+def _postings(batch: pa.RecordBatch) -> Iterator[Postings]:
+    for i in range(batch.num_rows):
+        row = {name: batch.column(name)[i] for name in ("doc_words", "terms", "starts", "positions")}
+        yield Postings(*(row[k].as_buffer() for k in ("terms", "starts", "positions")), row["doc_words"].values.to_numpy())
+
+
 class Windows:
     """Windows of a bounded block of items: distinct terms, and for each item its term numbers."""
 
@@ -131,13 +138,33 @@ class Windows:
                 self.ids.append(name)
                 self.items.append(numbers[first[i] : first[i + 1]])
 
-    def search(self, p: Postings, slop: int, near_terms: int) -> Iterator[tuple[int, list, list, list, list]]:
+    def doc_counts(self, p: Postings) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the terms that occur in a row of the index, and in how many of its documents."""
+        start, size = p.find(self.terms)
+        there = np.flatnonzero(size)
+        sizes = size[there].astype(np.int64)
+        at = np.repeat(start[there] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        term, doc = np.repeat(there, sizes), p.doc_of(p.positions[at])
+        first = np.ones(len(term), bool)
+        first[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])  # positions of a term stay in order
+        return there, np.bincount(term[first], minlength=len(self.terms))[there]
+
+    def choose(self, counts: np.ndarray, near_terms: int) -> None:
+        """Takes each item's rarest terms that occur, by documents of the whole index; none if too few of them occur."""
+        self.rarest = []
+        for item in self.items:
+            terms = np.unique(item)
+            need = min(near_terms, len(terms))
+            terms = terms[counts[terms] > 0]
+            self.rarest.append(terms[np.argsort(counts[terms], kind="stable")[:need]] if len(terms) >= need else terms[:0])
+
+    def search(self, p: Postings, slop: int) -> Iterator[tuple[int, list, list, list, list]]:
         """For each document with a match: its number, starts and ends of hit words, items, items by proximity."""
         start, size = p.find(self.terms)
         spans: dict[int, list] = {}
         items: dict[int, set] = {}
         near: dict[int, set] = {}
-        for name, item in zip(self.ids, self.items, strict=True):
+        for name, item, terms in zip(self.ids, self.items, self.rarest, strict=True):
             n = min(self.window, len(item))
             absent = np.r_[0, np.cumsum(size[item] == 0)]
             for w in np.flatnonzero(absent[n:] == absent[:-n]):
@@ -145,12 +172,9 @@ class Windows:
                 for doc, place in zip(p.doc_of(places).tolist(), places.tolist(), strict=True):
                     spans.setdefault(doc, []).append((place - int(p.first[doc]), n))
                     items.setdefault(doc, set()).add(name)
-            terms = np.unique(item)
-            if len(terms) >= near_terms:
-                terms = terms[np.argsort(size[terms], kind="stable")[:near_terms]]
-                if size[terms[0]]:
-                    for doc in p.near(start[terms], size[terms], slop).tolist():
-                        near.setdefault(doc, set()).add(name)
+            if len(terms) and size[terms].all():
+                for doc in p.near(start[terms], size[terms], slop).tolist():
+                    near.setdefault(doc, set()).add(name)
         for doc in spans.keys() | near.keys():
             starts, stops = [], []
             for a, n in sorted(set(spans.get(doc, ()))):
@@ -167,17 +191,29 @@ MATCHES = "block long, at int, starts array<int>, stops array<int>, items array<
 
 def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, slop: int = SLOP, near_terms: int = NEAR_TERMS) -> DataFrame:
     """Matches of a bounded list of (item id, text) in every row of the index."""
-    shared = index.sparkSession.sparkContext.broadcast(Windows(items, window))
+    windows = Windows(items, window)
+    context = index.sparkSession.sparkContext
+    plain = context.broadcast(windows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for postings in _postings(batch):
+                term, n = plain.value.doc_counts(postings)
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
+
+    counts = np.zeros(len(windows.terms), np.int64)
+    for r in index.select("doc_words", "terms", "starts", "positions").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        counts[r.term] = r.n
+    windows.choose(counts, near_terms)
+    shared = context.broadcast(windows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = shared.value
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                postings = Postings(*(row[k].as_buffer() for k in ("terms", "starts", "positions")), row["doc_words"].values.to_numpy())
-                found = list(windows.search(postings, slop, near_terms))
+            for i, postings in enumerate(_postings(batch)):
+                found = list(windows.search(postings, slop))
                 if found:
-                    block = row["block"].as_py()
+                    block = batch.column("block")[i].as_py()
                     kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
                     columns = zip(*[(block, *x) for x in found], strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MATCHES.split(", ")])

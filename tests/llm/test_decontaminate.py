@@ -75,3 +75,20 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "gamma x x alpha x beta of x the"), (2, "alpha " + "x " * 50 + "beta gamma of the"), (3, "alpha beta")], "doc_id long, text string").coalesce(1)
     got = {r.doc_id: r.near_items for r in d.decontaminate(docs, items, near_terms=5).collect()}
     assert got == {1: ["1"], 2: [], 3: []}
+
+
+def test_proximity_is_of_the_whole_index(spark):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta nowhere"), (2, "sigma tau"), (3, "omega nowhere")], "item_id long, text string")
+    rows = [(1, "x beta x gamma alpha"), (2, "delta delta"), (3, "delta beta"), (4, "tau x sigma"), (5, "delta"), (6, "sigma"), (7, "omega")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 2, 7):
+        got = {r.doc_id: r.near_items for r in d.decontaminate(docs.repartitionByRange(parts, "doc_id"), items, window=4).collect()}
+        assert got == {1: ["1"], 4: ["2"], 2: [], 3: [], 5: [], 6: [], 7: []}
+
+
+def test_a_query_returns_near_items(spark, tmp_path):
+    from inkgraph.llm.queries import op4_near_items
+
+    spark.createDataFrame([(1, "x beta x gamma alpha")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [r.near_items for r in op4_near_items(spark, str(tmp_path)).collect()] == [["1"]]
