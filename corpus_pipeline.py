@@ -17,16 +17,23 @@ from inkgraph.llm.storage import written
 BROADCAST_IDS = 1_000_000
 
 
-def _verdicts(docs: DataFrame, rows: DataFrame, bad) -> DataFrame:
-    """``docs`` without those whose id is in the rows of a verdict; a null id matches a null id."""
+def _verdicts(docs: DataFrame, rows: DataFrame, bad, key: str = "doc_id") -> DataFrame:
+    """``docs`` without those whose ``key`` is among the ids in the rows of a verdict; a null id matches a null id."""
     gone = written(rows.where(bad).select(F.col("doc_id").alias("__id")).distinct(), "rejected")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs["doc_id"].eqNullSafe(gone["__id"]), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, docs[key].eqNullSafe(gone["__id"]), "left_anti")
+
+
+def _judged(docs: DataFrame, operator, bad) -> DataFrame:
+    """``docs`` without the rows an operator rejects by text and language; it sees a hash of id, language and text as the id, so no other row goes."""
+    parts = [y for x in ("doc_id", "lang", "text") for y in (F.col(x).isNull(), F.col(x))]
+    keyed = docs.withColumn("__key", F.xxhash64(*parts))
+    return _verdicts(keyed, operator(keyed.select(F.col("__key").alias("doc_id"), "text", "lang")), bad, "__key").drop("__key")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; of rows that share an id all go if one does."""
-    return _verdicts(docs, quality.judge(docs), ~F.col("kept"))
+    """Documents that the rules reject go, and no others that share their id."""
+    return _judged(docs, quality.judge, ~F.col("kept"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +49,8 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    return _verdicts(docs, decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), F.col("contaminated"))
+    """Documents that hold a window of a benchmark item go, and no others that share their id."""
+    return _judged(docs, lambda d: decontaminate.decontaminate(d, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), F.col("contaminated"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

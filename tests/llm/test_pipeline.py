@@ -65,3 +65,18 @@ def test_stages(spark, tables):
     last = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, folder).collect())
     ids = {r[0]: library.encode(r[1], add_special_tokens=False).ids for r in steps[3]}
     assert last == sorted((i, len(x), hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest()) for i, x in ids.items())
+
+
+def test_clean_rows_stay_beside_rejected_ones_of_their_id(spark, tmp_path):
+    rng = random.Random(20)
+    vocab = quality.COMMON_WORDS["en"] + ["stone", "there", "error"]
+    line = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    item = line(30)
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    good = [line(200) for _ in range(20)]
+    rows = [(None if i % 2 else 1, x, "en", "s", len(x)) for i, x in enumerate(good)]
+    bad = [(None, "short", "en", "s", 5), (1, None, "en", "s", None)]
+    taken = [(i, line(60) + " " + item, "en", "s", 0) for i in (None, 1)]
+    of = lambda x: spark.createDataFrame(x, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    assert sorted(r.text for r in corpus_pipeline.quality_rules(spark, of(rows + bad), str(tmp_path)).collect()) == sorted(good)
+    assert sorted(r.text for r in corpus_pipeline.benchmark_decontamination(spark, of(rows + taken), str(tmp_path)).collect()) == sorted(good)
