@@ -35,8 +35,9 @@ def hash_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def renamed(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(old, new): paths that went and came with the same content, where that is unambiguous on the old side."""
-    gone = old.join(new.select("path"), "path", "left_anti").select(F.col("path").alias("old"), "content_hash")
+    """(old, new): paths that went and came with the same content, where that is unambiguous on the old side: one old path has the content."""
+    single = old.groupBy("content_hash").agg(F.count("*").alias("n")).where("n = 1").select("content_hash")
+    gone = old.join(single, "content_hash", "left_semi").join(new.select("path"), "path", "left_anti").select(F.col("path").alias("old"), "content_hash")
     came = new.join(old.select("path"), "path", "left_anti").select(F.col("path").alias("new"), "content_hash")
     return gone.join(came, "content_hash").select("old", "new")
 

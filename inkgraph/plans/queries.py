@@ -413,9 +413,8 @@ def i03_apply_changes(spark, sf_dir):
 @query(f"WITH {CORPUS}, t AS (SELECT content_hash, min(path_rel) AS first, count(*) AS n FROM corpus GROUP BY content_hash) SELECT path_rel AS old, 'moved/' || path_rel AS new FROM corpus JOIN t USING (content_hash) WHERE n = 1 AND doc_id % 3 = 0")
 def i04_renames(spark, sf_dir):
     corpus = _corpus(spark, sf_dir)
-    single = corpus.groupBy("content_hash").agg(F.min("path_rel").alias("path"), F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1")
-    moved = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("moved/"), "path")).otherwise(F.col("path"))
-    return sync.renamed(single.select("path", "content_hash"), single.select(moved.alias("path"), "content_hash"))
+    moved = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("moved/"), "path_rel")).otherwise(F.col("path_rel"))
+    return sync.renamed(corpus.select(F.col("path_rel").alias("path"), "content_hash"), corpus.select(moved.alias("path"), "content_hash"))
 
 
 @query("SELECT event_type AS event, count(*) AS n, round(sum(value), 3) AS total_ms, round(avg(value), 3) AS mean_ms, round(max(value), 3) AS max_ms FROM events GROUP BY event_type")

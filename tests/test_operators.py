@@ -282,3 +282,9 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys):
     assert "[gone](./new.md)" in (tmp_path / "a.md").read_text() and call("check", "--no-mesh")[0] == 0
     (tmp_path / "anchors").write_text("no meshes\n")
     assert json.loads(call("scaffold", "--json", "--anchors", str(tmp_path / "anchors"))[1])["pages"] == []
+
+
+def test_renamed_leaves_out_ambiguous_content(spark):
+    old = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "i"), ("k", None)], "path string, content_hash string")
+    new = spark.createDataFrame([("x", "h"), ("y", "h"), ("z", "i"), ("k", None)], "path string, content_hash string")
+    assert [tuple(r) for r in sync.renamed(old, new).collect()] == [("c", "z")]
