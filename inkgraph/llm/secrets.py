@@ -42,7 +42,9 @@ TRAIN = 400
 #: Confidence of the merge test, and the added count of symbols that a state has not seen.
 ALPHA, SMOOTH = 0.05, 0.01
 #: Shortest candidate, and the least log-likelihood ratio (nats) of a finding.
-MIN_LENGTH, THRESHOLD = 16, 8.0
+MIN_LENGTH, THRESHOLD = 12, 8.0
+#: Characters of runs at which a credential can start or end; others, such as a colon, end the run.
+SEPARATORS = "=/.-"
 
 
 def base_matches(text: str) -> list[tuple[int, int, str, int, int]]:
@@ -210,6 +212,48 @@ def likelihood_ratios(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, a
     return out
 
 
+def part_ratios(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, automata: list[Automaton], least: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best ratio of each run, and start, end and ratio of its parts from ``threshold`` on.
+
+    Parts start at the run's start or behind a separator, end before one or at the run's end and have
+    ``least`` characters.  Each start is followed once through its run, whatever the number of ends.
+    """
+    best = np.full(len(starts), -np.inf)
+    none = np.zeros(0, np.int64)
+    if not len(starts) or not automata:
+        return best, none, none, np.zeros(0)
+    sign = _mask(SEPARATORS)[data]
+    inner = np.flatnonzero(sign[:-1] & ~sign[1:]) + 1
+    run = np.searchsorted(starts, inner, side="right") - 1
+    inside = (run >= 0) & (inner < stops[run])
+    begin, run = np.r_[starts, inner[inside]], np.r_[np.arange(len(starts)), run[inside]]
+    size = stops[run] - begin
+    order = np.argsort(-size, kind="stable")
+    order = order[size[order] >= least]
+    begin, run, size = begin[order], run[order], size[order]
+    states, sums = [np.zeros(len(begin), np.int32) for _ in automata], [np.zeros(len(begin)) for _ in automata]
+    letters, digits = np.ones(len(begin), bool), np.ones(len(begin), bool)
+    found = []
+    for i in range(int(size[0]) + 1 if len(size) else 0):
+        live = int(np.searchsorted(-size, -i, side="right"))  # starts with at least i characters behind them
+        going = int(np.searchsorted(-size, -i, side="left"))  # and those that go on
+        codes, at = data[begin[:going] + i], np.arange(going, live)
+        if i >= least:
+            at = np.r_[np.flatnonzero(sign[begin[:going] + i]), at]
+            if len(at):
+                score = np.max([total[at] + automaton.log[state[at], END] for automaton, state, total in zip(automata, states, sums, strict=True)], axis=0)
+                score += i * np.where(digits[at], math.log(12), np.where(letters[at], math.log(27), math.log(END)))
+                np.maximum.at(best, run[at], score)
+                high = score >= threshold
+                found.append((begin[at[high]], begin[at[high]] + i, score[high]))
+        letters[:going] &= _LETTERS[codes]
+        digits[:going] &= _DIGITS[codes]
+        for automaton, state, total in zip(automata, states, sums, strict=True):
+            total[:going] += automaton.log[state[:going], _CODE[codes]]
+            state[:going] = automaton.step[state[:going], _CODE[codes]]
+    return best, *((np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, np.zeros(0)))
+
+
 def train(docs: DataFrame, limit: int = TRAIN) -> list[Automaton]:
     """One automaton for each base kind, from at most ``limit`` distinct labelled values of it."""
     values = labelled(docs).distinct()
@@ -222,8 +266,8 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan_secrets(docs: DataFrame, automata: list[Automaton] | None = None, threshold: float = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
     """One row for each row of ``docs``: base counts and digest, and all spans as text.
 
-    Spans are ``kind:start:end`` in code points, end exclusive.  A run that overlaps a base match is
-    not listed again.  Null texts are empty and have no spans; without labelled credentials nothing
+    Spans are ``kind:start:end`` in code points, end exclusive.  Of parts of runs
+    that overlap each other the best is listed, and none that overlaps a base match.  Null texts are empty and have no spans; without labelled credentials nothing
     but the base is found.  ``best_score`` is the highest ratio of the text's candidates, null if none.
     """
     small_batches(docs.sparkSession)
@@ -235,13 +279,15 @@ def scan_secrets(docs: DataFrame, automata: list[Automaton] | None = None, thres
             data, ends = text_buffer(batch.column("text"))
             rows = batch.num_rows
             starts, stops = _runs(_CODE[data] != 255, ends, min_length)
-            scores = likelihood_ratios(data, starts, stops, models)
+            scores, first, last, ratios = part_ratios(data, starts, stops, models, min_length, threshold)
             owner = np.searchsorted(ends, starts, side="right") - 1
             best = np.full(rows, -np.inf)
             np.maximum.at(best, owner, scores)
             found: dict[int, list[tuple[int, int]]] = {}
-            for i in np.flatnonzero(scores >= threshold).tolist():
-                found.setdefault(int(owner[i]), []).append((int(starts[i] - ends[owner[i]]), int(stops[i] - ends[owner[i]])))
+            order = np.lexsort((first - last, -ratios))
+            first, last = first[order], last[order]
+            for i, a, b in zip((np.searchsorted(ends, first, side="right") - 1).tolist(), first.tolist(), last.tolist(), strict=True):
+                found.setdefault(i, []).append((a - int(ends[i]), b - int(ends[i])))
             base: list[list] = [[] for _ in range(rows)]
             spans: list[list] = [[] for _ in range(rows)]
             added = [0] * rows
@@ -250,10 +296,11 @@ def scan_secrets(docs: DataFrame, automata: list[Automaton] | None = None, thres
                 base[i] = [(a, k, kind, b) for a, k, kind, b, _ in base_matches(text)]
                 raw = text.encode()
                 extra = []
-                for a, b in found.get(i, ()):  # runs are ASCII: as many code points as bytes
+                for a, b in found.get(i, ()):  # best first; runs are ASCII: as many code points as bytes
                     start = len(raw[:a].decode())
-                    extra.append((start, len(KINDS), FORMAT, start + b - a))
-                extra = [x for x in extra if not any(x[0] < y[3] and y[0] < x[3] for y in base[i])]
+                    x = (start, len(KINDS), FORMAT, start + b - a)
+                    if not any(x[0] < y[3] and y[0] < x[3] for y in base[i] + extra):
+                        extra.append(x)
                 added[i] = len(extra)
                 spans[i] = sorted(base[i] + extra)
             text_of = lambda x: ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in x)

@@ -58,3 +58,17 @@ def test_format_spans(spark):
     model = [s.Automaton(["AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(16)) for _ in range(200)])]
     got = s.scan_secrets(spark.createDataFrame([(1, "été AKIBQQWERTYUIOPASDFG, the end")], "doc_id long, text string"), model).collect()[0]
     assert got.spans in ("", "format:4:24")
+
+
+def test_parts_of_runs_are_scored(spark):
+    rng = random.Random(11)
+    value = lambda n: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(n))
+    model = [s.Automaton([value(16) for _ in range(300)]), s.Automaton(["xq-" + "".join(rng.choice("0123456789abcdef") for _ in range(9)) for _ in range(300)])]
+    best = lambda x: s.part_ratios(s.np.frombuffer(x.encode(), s.np.uint8), s.np.array([0]), s.np.array([len(x)]), model, 12, s.THRESHOLD)
+    key = "xq-0a1b2c3d4"
+    for text, at in ((f"service_name={key}", 13), (f"some/path/of/{key}/more", 13), (f"host.example.org-{key}", 17), (key, 0)):
+        ratio, first, last, ratios = best(text)
+        assert (at, at + 12) == (first[ratios.argmax()], last[ratios.argmax()]) and ratio[0] == ratios.max()
+        row = s.scan_secrets(spark.createDataFrame([(1, f"é {text}, end")], "doc_id long, text string"), model).collect()[0] if at == 13 else None
+        assert row is None or row.spans == f"format:{at + 2}:{at + 14}"
+    assert best("thonanesheredationing")[0][0] < s.THRESHOLD
