@@ -8,6 +8,8 @@ single text is longer.
 
 from __future__ import annotations
 
+import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -76,6 +78,45 @@ def word_spans(data: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> tuple
     return starts, stops, np.searchsorted(starts, ends)
 
 
+def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The distinct contents of spans that do not overlap and stand in order, and the number of each span's content."""
+    sizes = stops - starts
+    ends = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(sizes, out=ends[1:])
+    joined = data[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(joined)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy()
+
+
+def digests(contents: pa.Array, key: bytes) -> np.ndarray:
+    """128-bit digests under a key, as two columns of uint64.
+
+    The key is drawn for each run (``new_key``), so no text can be made whose pieces meet others by
+    their digests; equal digests stand for equal contents.
+    """
+    if _digests.get(None) != key or len(_digests) > CACHED:
+        _digests.clear()
+        _digests[None] = key
+    out = []
+    for x in contents.to_pylist():
+        digest = _digests.get(x)
+        if digest is None:
+            digest = hashlib.blake2b(x, digest_size=16, key=key).digest()
+            if len(x) <= CACHED_BYTES:
+                _digests[x] = digest
+        out.append(digest)
+    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
+
+
+#: Short contents whose digests a worker keeps, about, and their length at most.
+CACHED, CACHED_BYTES = 100_000, 32
+_digests: dict = {}  # the key is kept under None
+
+
+def new_key() -> bytes:
+    return os.urandom(16)
+
+
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _tables: list[np.ndarray] = []
@@ -110,7 +151,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """64-bit hashes of arbitrary spans of one array of symbols, from prefix sums."""
+    """64-bit hashes of arbitrary spans of one array of symbols, from prefix sums.
+
+    They choose shards and candidates; spans of equal hashes are not taken as equal.
+    """
 
     def __init__(self, symbols: np.ndarray):
         power, self._inverse, table = _powers(len(symbols) + 1)

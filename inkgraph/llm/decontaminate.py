@@ -2,15 +2,23 @@
 
 The index is partitioned by document, as search engines do: each row of the
 written table holds the postings of one block of documents, a sorted list of
-term hashes and for each term its word positions in the block.  A frequent
-term is thus spread over all rows and no task gathers one term of the corpus.
-Test windows are sent to the index in blocks of bounded size.  Within a block
-the posting lists of a window are intersected from its rarest term, each list
-shifted by the term's offset, so most windows end after one or two lists.
+terms and for each term its word positions in the block.  A frequent term is
+thus spread over all rows and no task gathers one term of the corpus.
+
+Every window of a benchmark item is listed under its rarest term, by documents
+of the whole index.  A block of the index looks up its own terms in that list,
+so only windows whose rarest term occurs are expanded; the places of the rarest
+term are then intersected with the lists of the other terms, rarest first, each
+shifted by the term's offset.  All windows of a block are worked on at once.
+
+A benchmark of at most ``BROADCAST_BYTES`` of text is sent to all executors.  A
+larger one is joined: blocks ask the shards of its rarest terms, which answer
+with the windows listed there.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,45 +27,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ALNUM_WORDS, ASCII_LOWER, SpanHash, blocks, text_buffer, word_spans
+from .buffers import ALNUM_WORDS, ASCII_LOWER, blocks, digests, distinct_spans, new_key, text_buffer, word_spans
 from .storage import small_batches, written
+from .text_blocks import pack_deltas, unpack_deltas
 
 WINDOW = 10
 #: Words within which the rarest terms of an item, by documents of the whole index, make a proximity match, and how
 #: many terms (all of an item that has fewer).
 SLOP, NEAR_TERMS = 30, 3
-#: Items that are sent to the index at once.
-QUERY_ITEMS = 20_000
+#: Text of one row of the index; its postings take about as much.
+BLOCK = 512 << 10
+#: Text of a benchmark that is sent to all executors at most; a larger one is joined.
+BROADCAST_BYTES = 16 << 20
+#: Places of rarest terms that are intersected at once.
+CHUNK = 1 << 18
+#: Text of the benchmark for each shard of the join, about.
+SHARD_BYTES = 4 << 20
 
 INDEX = "block long, doc_ids array<long>, doc_words array<int>, terms binary, starts binary, positions binary"
 
 
-def term_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a string column, and the number of its first word for each text (one more entry at the end)."""
+def terms_of(column: pa.Array, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct terms (128-bit digests) of a string column, the term's number for each word, and the number of each text's first word (one more entry at the end)."""
     data, ends = text_buffer(column)
     data = ASCII_LOWER[data]
     starts, stops, first = word_spans(data, ends, ALNUM_WORDS)
-    return SpanHash(data).spans(starts, stops), first
+    contents, number = distinct_spans(data, starts, stops)
+    terms = digests(contents, key)
+    order = np.lexsort((terms[:, 1], terms[:, 0]))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return terms[order], rank[number], first
 
 
-def build_index(docs: DataFrame) -> DataFrame:
+def build_index(docs: DataFrame, key: bytes) -> DataFrame:
     """Postings of all tokens of ``docs``: one row for each block of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        for batch in blocks(batches):
-            hashes, first = term_hashes(batch.column("text"))
-            order = np.argsort(hashes, kind="stable")  # positions of a term stay in order
-            ordered = hashes[order]
-            at = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, np.int64)
+        for batch in blocks(batches, limit=BLOCK):
+            terms, number, first = terms_of(batch.column("text"), key)
+            order = np.argsort(number.astype(np.uint16) if len(terms) <= 65536 else number, kind="stable")  # positions of a term stay in order
+            starts = np.searchsorted(number[order], np.arange(len(terms) + 1))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([block], pa.int64()),
                     pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
                     pa.array([np.diff(first).astype(np.int32)], pa.list_(pa.int32())),
-                    pa.array([ordered[at].tobytes()], pa.binary()),
-                    pa.array([np.append(at, len(ordered)).astype(np.int32).tobytes()], pa.binary()),
-                    pa.array([order.astype(np.int32).tobytes()], pa.binary()),
+                    pa.array([terms.tobytes()], pa.binary()),
+                    pa.array([pack_deltas(starts)], pa.binary()),
+                    pa.array([pack_deltas(order)], pa.binary()),
                 ],
                 names=["block", "doc_ids", "doc_words", "terms", "starts", "positions"],
             )
@@ -66,204 +85,368 @@ def build_index(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, INDEX)
 
 
+def look_up(listed: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted term (two columns) in a sorted list of distinct ones, -1 if it is not there."""
+    if not len(listed):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.searchsorted(listed[:, 0], wanted[:, 0])
+    out = np.full(len(wanted), -1, np.int64)
+    open_ = np.flatnonzero(at < len(listed))
+    while len(open_):  # more than once only where first halves are equal
+        place = at[open_]
+        first = listed[place, 0] == wanted[open_, 0]
+        same = first & (listed[place, 1] == wanted[open_, 1])
+        out[open_[same]] = place[same]
+        open_ = open_[first & ~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(listed)]
+    return out
+
+
 class Postings:
     """The posting lists of one row of the index."""
 
     def __init__(self, terms: bytes, starts: bytes, positions: bytes, doc_words: np.ndarray):
-        self.terms, self.starts = np.frombuffer(terms, np.uint64), np.frombuffer(starts, np.int32)
-        self.positions = np.frombuffer(positions, np.int32)
+        self.terms, self.starts = np.frombuffer(terms, np.uint64).reshape(-1, 2), unpack_deltas(starts)
+        self.positions = unpack_deltas(positions)
+        self.sizes = np.diff(self.starts)
         self.first = np.zeros(len(doc_words) + 1, np.int64)
         np.cumsum(doc_words, out=self.first[1:])
-
-    def find(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and length of each term's list; length 0 if there is none."""
-        at = np.searchsorted(self.terms, terms)
-        at[at == len(self.terms)] = 0
-        found = self.terms[at] == terms if len(self.terms) else np.zeros(len(terms), bool)
-        return np.where(found, self.starts[at], 0), np.where(found, self.starts[at + 1] - self.starts[at], 0)
-
-    def list_of(self, start: int, size: int) -> np.ndarray:
-        return self.positions[start : start + size]
+        self.term_at = np.empty(len(self.positions), np.int64)  # which list holds a place
+        self.term_at[self.positions] = np.repeat(np.arange(len(self.sizes)), self.sizes)
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, side="right") - 1
 
-    def phrase(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Places where the terms with these lists stand one after another in one document."""
-        order = np.argsort(sizes, kind="stable")
-        places = self.list_of(starts[order[0]], sizes[order[0]]) - order[0]
-        for i in order[1:]:
-            if not len(places):
-                return places
-            places = places[_within(self.list_of(starts[i], sizes[i]), places + i)]
-        places = places[places >= 0]
-        return places[self.doc_of(places) == self.doc_of(places + len(sizes) - 1)] if len(places) else places
-
-    def near(self, starts: np.ndarray, sizes: np.ndarray, slop: int) -> np.ndarray:
-        """Documents in which the second and further terms occur within ``slop`` words of the first, the rarest."""
-        places = self.list_of(starts[0], sizes[0])
-        docs = self.doc_of(places)
-        for start, size in zip(starts[1:], sizes[1:], strict=True):
-            if not len(places):
-                break
-            other = self.list_of(start, size)
-            low = np.maximum(places - slop, self.first[docs])
-            high = np.minimum(places + slop, self.first[docs + 1] - 1)
-            keep = np.searchsorted(other, high, side="right") > np.searchsorted(other, low)
-            places, docs = places[keep], docs[keep]
-        return np.unique(docs)
-
-
-def _within(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
-    at = np.searchsorted(ordered, values)
-    at[at == len(ordered)] = 0
-    return ordered[at] == values
-
-
-def _postings(batch: pa.RecordBatch) -> Iterator[Postings]:
+    def expand(self, terms: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row of ``terms``, place) of all postings of these terms, in parts of bounded size (or of one term)."""
+        total, done = np.cumsum(self.sizes[terms]), 0
+        while done < len(terms):
+            to = max(done + 1, int(np.searchsorted(total, (total[done - 1] if done else 0) + CHUNK, side="right")))
+            size = self.sizes[terms[done:to]]
+            row = np.repeat(np.arange(done, to), size)
+            yield row, self.positions[np.repeat(self.starts[terms[done:to]] - (np.cumsum(size) - size), size) + np.arange(len(row))]
+            done = to
+
+    def phrases(self, terms: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, first place) where the terms of a row stand one after another in one document; ``terms`` is padded behind its length."""
+        inside = np.arange(terms.shape[1]) < lengths[:, None]
+        order = np.argsort(np.where(inside, self.sizes[terms], np.iinfo(np.int64).max), axis=1, kind="stable")
+        rows, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, place in self.expand(np.take_along_axis(terms, order[:, :1], 1)[:, 0]):
+            place = place - order[row, 0]
+            ok = (place >= 0) & (place + lengths[row] <= len(self.term_at))
+            row, place = row[ok], place[ok]
+            for k in range(1, terms.shape[1]):  # the places that the shifted list of the next rarest term holds too
+                ok = (k >= lengths[row]) | (self.term_at[np.minimum(place + order[row, k], len(self.term_at) - 1)] == terms[row, order[row, k]])
+                row, place = row[ok], place[ok]
+            ok = self.doc_of(place) == self.doc_of(place + lengths[row] - 1)
+            rows.append(row[ok])
+            places.append(place[ok])
+        return np.concatenate(rows), np.concatenate(places)
+
+    def near(self, terms: np.ndarray, lengths: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, document) where the second and further terms of a row occur within ``slop`` words of the first, the rarest."""
+        wide = len(self.positions) + 1
+        keys = np.repeat(np.arange(len(self.sizes)), self.sizes) * wide + self.positions  # sorted
+        rows, docs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for row, place in self.expand(terms[:, 0]):
+            doc = self.doc_of(place)
+            for k in range(1, terms.shape[1]):
+                low, high = np.maximum(place - slop, self.first[doc]), np.minimum(place + slop, self.first[doc + 1] - 1)
+                term = terms[row, k] * wide
+                ok = (k >= lengths[row]) | (np.searchsorted(keys, term + high, side="right") > np.searchsorted(keys, term + low))
+                row, place, doc = row[ok], place[ok], doc[ok]
+            pair = np.unique(row * len(self.first) + doc)
+            rows.append(pair // len(self.first))
+            docs.append(pair % len(self.first))
+        return np.concatenate(rows), np.concatenate(docs)
+
+
+def _postings(batch: pa.RecordBatch) -> Iterator[tuple[int, Postings]]:
     for i in range(batch.num_rows):
         row = {name: batch.column(name)[i] for name in ("doc_words", "terms", "starts", "positions")}
-        yield Postings(*(row[k].as_buffer() for k in ("terms", "starts", "positions")), row["doc_words"].values.to_numpy())
-
-
-class Windows:
-    """Windows of a bounded block of items: distinct terms, and for each item its term numbers."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        hashes, first = term_hashes(pa.array([t for _, t in items], pa.string()))
-        self.terms, numbers = np.unique(hashes, return_inverse=True)
-        self.window, self.ids, self.items = window, [], []
-        for i, (name, _) in enumerate(items):
-            if first[i + 1] > first[i]:
-                self.ids.append(name)
-                self.items.append(numbers[first[i] : first[i + 1]])
-
-    def doc_counts(self, p: Postings) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the terms that occur in a row of the index, and in how many of its documents."""
-        start, size = p.find(self.terms)
-        there = np.flatnonzero(size)
-        sizes = size[there].astype(np.int64)
-        at = np.repeat(start[there] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-        term, doc = np.repeat(there, sizes), p.doc_of(p.positions[at])
-        first = np.ones(len(term), bool)
-        first[1:] = (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])  # positions of a term stay in order
-        return there, np.bincount(term[first], minlength=len(self.terms))[there]
-
-    def choose(self, counts: np.ndarray, near_terms: int) -> None:
-        """Takes each item's rarest terms that occur, by documents of the whole index; none if too few of them occur."""
-        self.rarest = []
-        for item in self.items:
-            terms = np.unique(item)
-            need = min(near_terms, len(terms))
-            terms = terms[counts[terms] > 0]
-            self.rarest.append(terms[np.argsort(counts[terms], kind="stable")[:need]] if len(terms) >= need else terms[:0])
-
-    def search(self, p: Postings, slop: int) -> Iterator[tuple[int, list, list, list, list]]:
-        """For each document with a match: its number, starts and ends of hit words, items, items by proximity."""
-        start, size = p.find(self.terms)
-        spans: dict[int, list] = {}
-        items: dict[int, set] = {}
-        near: dict[int, set] = {}
-        for name, item, terms in zip(self.ids, self.items, self.rarest, strict=True):
-            n = min(self.window, len(item))
-            absent = np.r_[0, np.cumsum(size[item] == 0)]
-            for w in np.flatnonzero(absent[n:] == absent[:-n]):
-                places = p.phrase(start[item[w : w + n]], size[item[w : w + n]])
-                for doc, place in zip(p.doc_of(places).tolist(), places.tolist(), strict=True):
-                    spans.setdefault(doc, []).append((place - int(p.first[doc]), n))
-                    items.setdefault(doc, set()).add(name)
-            if len(terms) and size[terms].all():
-                for doc in p.near(start[terms], size[terms], slop).tolist():
-                    near.setdefault(doc, set()).add(name)
-        for doc in spans.keys() | near.keys():
-            starts, stops = [], []
-            for a, n in sorted(set(spans.get(doc, ()))):
-                if stops and a <= stops[-1]:
-                    stops[-1] = max(stops[-1], a + n)
-                else:
-                    starts.append(a)
-                    stops.append(a + n)
-            yield doc, starts, stops, sorted(items.get(doc, ())), sorted(near.get(doc, ()))
-
-
-MATCHES = "block long, at int, starts array<int>, stops array<int>, items array<string>, near_items array<string>"
-
-
-def search(index: DataFrame, items: list[tuple[str, str]], window: int = WINDOW, slop: int = SLOP, near_terms: int = NEAR_TERMS) -> DataFrame:
-    """Matches of a bounded list of (item id, text) in every row of the index."""
-    windows = Windows(items, window)
+        yield batch.column("block")[i].as_py(), Postings(*(row[k].as_buffer() for k in ("terms", "starts", "positions")), row["doc_words"].values.to_numpy())
+
+
+
+
+
+class Queries:
+    """Windows and proximity terms of items, listed by their rarest term."""
+
+    def __init__(self, items: list[str], terms: list[bytes], width: int):
+        """``terms``: digests of each row's terms in order, at most ``width``."""
+        self.items, self.width = items, max(width, 1)
+        self.lengths = np.array([len(t) // 16 for t in terms], np.int64)
+        every = np.frombuffer(b"".join(terms), np.uint64).reshape(-1, 2)
+        self.terms, number = _distinct(every)
+        self.rows = np.zeros((len(terms), self.width), np.int64)
+        inside = np.arange(self.width) < self.lengths[:, None]
+        self.rows[inside] = number
+
+    def list_by(self, rarest: np.ndarray) -> None:
+        """``rarest``: for each row the place of its rarest term in the row."""
+        lead = self.rows[np.arange(len(self.rows)), rarest]
+        self.order = np.argsort(lead, kind="stable")
+        self.cuts = np.searchsorted(lead[self.order], np.arange(len(self.terms) + 1))
+
+    def expanded(self, p: Postings) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose terms all occur in ``p``, and their terms' numbers there."""
+        at = look_up(self.terms, p.terms)
+        mine = np.flatnonzero(at >= 0)
+        at = at[mine]
+        here = np.full(len(self.terms), -1, np.int64)
+        here[at] = mine
+        size = self.cuts[at + 1] - self.cuts[at]
+        rows = self.order[np.repeat(self.cuts[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+        terms = here[self.rows[rows]]
+        ok = ((terms >= 0) | (np.arange(self.width) >= self.lengths[rows, None])).all(axis=1)
+        return rows[ok], np.maximum(terms[ok], 0)
+
+
+def _distinct(terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct terms, and the number of each."""
+    if not len(terms):
+        return terms, np.zeros(0, np.int64)
+    order = np.lexsort((terms[:, 1], terms[:, 0]))
+    ordered = terms[order]
+    new = np.r_[True, (ordered[1:] != ordered[:-1]).any(axis=1)]
+    number = np.empty(len(terms), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return ordered[new], number
+
+
+MATCHES = "block long, at int, n_hit long, starts array<int>, stops array<int>, items array<string>, near_items array<string>"
+_MATCH_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
+_MATCH_NAMES = [x.split()[0] for x in MATCHES.split(", ")]
+
+
+def search(p: Postings, windows: Queries, near: Queries, slop: int) -> Iterator[tuple[int, int, list, list, list, list]]:
+    """For each document with a match: its number, hit words, starts and ends of hit runs, items, items by proximity."""
+    rows, terms = windows.expanded(p)
+    lengths = windows.lengths[rows]
+    row, place = p.phrases(terms, lengths)
+    change = np.bincount(place, minlength=len(p.term_at) + 1) - np.bincount(place + lengths[row], minlength=len(p.term_at) + 1)
+    hit = np.cumsum(change[:-1]) > 0
+    edge = np.zeros(len(hit) + 1, np.int8)
+    edge[:-1] = hit
+    edge[1:] -= hit
+    cuts = p.first[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(hit))]
+    cuts = np.unique(cuts[hit[cuts] & hit[cuts - 1]])  # runs end with their document
+    starts, stops = np.sort(np.r_[np.flatnonzero(edge == 1), cuts]), np.sort(np.r_[np.flatnonzero(edge == -1), cuts])
+    owner = p.doc_of(starts)
+    items: dict[int, set] = {}
+    for doc, r in np.unique(np.stack([p.doc_of(place), rows[row]], 1), axis=0).tolist():
+        items.setdefault(doc, set()).add(windows.items[r])
+    found: dict[int, set] = {}
+    rows, terms = near.expanded(p)
+    for r, doc in zip(*p.near(terms, near.lengths[rows], slop), strict=True):
+        found.setdefault(int(doc), set()).add(near.items[rows[r]])
+    for doc in sorted(items.keys() | found.keys()):
+        a, b = np.searchsorted(owner, [doc, doc + 1])
+        x, y = starts[a:b] - p.first[doc], stops[a:b] - p.first[doc]
+        yield doc, int((y - x).sum()), x.tolist(), y.tolist(), sorted(items.get(doc, ())), sorted(found.get(doc, ()))
+
+
+def _rows_of(found: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(_MATCH_KINDS)], names=_MATCH_NAMES)
+
+
+def _items(benchmark: DataFrame, key: bytes) -> DataFrame:
+    """(item, terms, words): an item's distinct terms and the number of the term of each of its words, without items that have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in blocks(batches, limit=BLOCK):
+            terms, number, first = terms_of(batch.column("text"), key)
+            out = []
+            for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                if b > a:
+                    used, own = np.unique(number[a:b], return_inverse=True)
+                    out.append((batch.column("item")[i].as_py(), terms[used].tobytes(), own.astype(np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["item", "terms", "words"])
+
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    return named.mapInArrow(run, "item string, terms binary, words binary")
+
+
+def _queries_of(item: str, terms: np.ndarray, words: np.ndarray, counts: np.ndarray, window: int, near_terms: int) -> Iterator[tuple[bool, str, bytes, int]]:
+    """(near, item, digests, place of the rarest term) of an item's windows and of its rarest terms, by documents of the whole index; none for terms that never occur."""
+    n = min(window, len(words))
+    rows = np.lib.stride_tricks.sliding_window_view(words, n)
+    rows = np.unique(rows[(counts[rows] > 0).all(axis=1)], axis=0)
+    for row, rarest in zip(rows, counts[rows].argmin(axis=1).tolist() if len(rows) else (), strict=True):
+        yield False, item, terms[row].tobytes(), rarest
+    there = np.flatnonzero(counts > 0)
+    need = min(near_terms, len(counts))
+    if need and len(there) >= need:
+        yield True, item, terms[there[np.argsort(counts[there], kind="stable")[:need]]].tobytes(), 0
+
+
+def _doc_counts(p: Postings, lists: np.ndarray) -> np.ndarray:
+    """In how many documents of a row of the index each of these terms stands."""
+    sizes = p.sizes[lists]
+    row = np.repeat(np.arange(len(lists)), sizes)
+    doc = p.doc_of(p.positions[np.repeat(p.starts[lists] - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(row))])
+    first = np.ones(len(row), bool)
+    first[1:] = (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])  # positions of a term stay in order
+    return np.bincount(row[first], minlength=len(lists))
+
+
+def _small_search(index: DataFrame, items: list, window: int, slop: int, near_terms: int) -> DataFrame:
+    """Matches in every row of the index; ``items`` are of a checked size and are sent to all executors."""
     context = index.sparkSession.sparkContext
-    plain = context.broadcast(windows)
+    terms, number = _distinct(np.frombuffer(b"".join(r.terms for r in items), np.uint64).reshape(-1, 2))
+    listed = context.broadcast(terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(listed.value), np.int64)
         for batch in batches:
-            for postings in _postings(batch):
-                term, n = plain.value.doc_counts(postings)
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "n"])
-
-    counts = np.zeros(len(windows.terms), np.int64)
-    for r in index.select("doc_words", "terms", "starts", "positions").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+            for _, p in _postings(batch):
+                at = look_up(listed.value, p.terms)
+                mine = np.flatnonzero(at >= 0)
+                total[at[mine]] += _doc_counts(p, mine)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there, pa.int64()), pa.array(total[there], pa.int64())], names=["term", "n"])
+
+    counts = np.zeros(len(terms), np.int64)
+    for r in index.select("block", "doc_words", "terms", "starts", "positions").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
         counts[r.term] = r.n
-    windows.choose(counts, near_terms)
-    shared = context.broadcast(windows)
+    cuts = np.r_[0, np.cumsum([len(r.terms) // 16 for r in items])]
+    made: tuple[list, list] = ([], [])
+    for r, a, b in zip(items, cuts, cuts[1:], strict=False):
+        for near, *row in _queries_of(r.item, terms[number[a:b]], np.frombuffer(r.words, np.int32), counts[number[a:b]], window, near_terms):
+            made[near].append(row)
+    shared = context.broadcast(tuple(_listed(rows, width) for rows, width in zip(made, (window, near_terms), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = shared.value
         for batch in batches:
-            for i, postings in enumerate(_postings(batch)):
-                found = list(windows.search(postings, slop))
+            for block, p in _postings(batch):
+                found = [(block, *x) for x in search(p, *shared.value, slop)]
                 if found:
-                    block = batch.column("block")[i].as_py()
-                    kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.string())]
-                    columns = zip(*[(block, *x) for x in found], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in MATCHES.split(", ")])
+                    yield _rows_of(found)
 
     return index.select("block", "doc_words", "terms", "starts", "positions").mapInArrow(run, MATCHES)
 
 
-def _item_blocks(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str, str]]]:
-    block: list[tuple[str, str]] = []
-    for row in benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))).toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+def _listed(rows: list, width: int) -> Queries:
+    out = Queries([r[0] for r in rows], [bytes(r[1]) for r in rows], width)
+    out.list_by(np.array([r[2] for r in rows], np.int64))
+    return out
+
 
+def _shard(terms: np.ndarray, shards: int) -> np.ndarray:
+    return ((terms[:, 0] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_items: int = QUERY_ITEMS, slop: int = SLOP, near_terms: int = NEAR_TERMS) -> DataFrame:
+
+def _large_search(index: DataFrame, items: DataFrame, shards: int, window: int, slop: int, near_terms: int) -> DataFrame:
+    """The same by joins: nothing of the benchmark is gathered in one place."""
+    ask_names, ask_kinds = ["block", "shard", "terms", "n"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's terms to the shards, with their numbers of documents."""
+        for batch in batches:
+            for block, p in _postings(batch):
+                shard, n = _shard(p.terms, shards), _doc_counts(p, np.arange(len(p.terms)))
+                rows = [(block, int(s), p.terms[at].tobytes(), n[at].astype(np.int32).tobytes()) for s in np.unique(shard) for at in [np.flatnonzero(shard == s)]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ask_kinds)], names=ask_names)
+
+    asked = written(index.select("block", "doc_words", "terms", "starts", "positions").mapInArrow(ask, "block long, shard int, terms binary, n binary"), "asked")
+
+    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """An item's terms to the shards."""
+        for batch in batches:
+            rows = []
+            for i in range(batch.num_rows):
+                terms = np.frombuffer(batch.column("terms")[i].as_buffer(), np.uint64).reshape(-1, 2)
+                shard = _shard(terms, shards)
+                rows += [(batch.column("number")[i].as_py(), int(s), at.astype(np.int32).tobytes(), terms[at].tobytes()) for s in np.unique(shard) for at in [np.flatnonzero(shard == s)]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ask_kinds)], names=["number", "shard", "places", "terms"])
+
+    def count(key, left, right):
+        """The documents that have each asked term, for each item."""
+        listed, number = _distinct(np.frombuffer(b"".join(right.column("terms").to_pylist()), np.uint64).reshape(-1, 2))
+        total = np.zeros(len(listed), np.int64)
+        for terms, n in zip(left.column("terms"), left.column("n"), strict=True):
+            at = look_up(listed, np.frombuffer(terms.as_buffer(), np.uint64).reshape(-1, 2))
+            np.add.at(total, at[at >= 0], np.frombuffer(n.as_buffer(), np.int32)[at >= 0])
+        cuts = np.cumsum([len(x) // 16 for x in right.column("terms").to_pylist()])
+        parts = np.split(total[number], cuts[:-1]) if right.num_rows else []
+        return pa.table({"number": right.column("number"), "places": right.column("places"), "n": pa.array([p.tobytes() for p in parts], pa.binary())})
+
+    wanted = items.select("number", "terms").mapInArrow(want, "number long, shard int, places binary, terms binary")
+    counts = asked.select("shard", "terms", "n").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(count, "number long, places binary, n binary")
+
+    def make(key, left, right):
+        """An item's windows to the shards of their rarest terms."""
+        rows = []
+        for item, terms, words in zip(*(left.column(x).to_pylist() for x in ("item", "terms", "words")), strict=True):
+            terms = np.frombuffer(terms, np.uint64).reshape(-1, 2)
+            n = np.zeros(len(terms), np.int64)
+            for places, some in zip(right.column("places").to_pylist(), right.column("n").to_pylist(), strict=True):
+                n[np.frombuffer(places, np.int32)] = np.frombuffer(some, np.int64)
+            for near, name, digest, rarest in _queries_of(item, terms, np.frombuffer(words, np.int32), n, window, near_terms):
+                rows.append((int(_shard(np.frombuffer(digest, np.uint64).reshape(-1, 2)[rarest : rarest + 1], shards)[0]), near, name, digest, rarest))
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("near", pa.bool_()), ("item", pa.string()), ("terms", pa.binary()), ("rarest", pa.int32())))})
+
+    queries = written(items.groupBy("number").cogroup(counts.groupBy("number")).applyInArrow(make, "shard int, near boolean, item string, terms binary, rarest int"), "queries")
+
+    def answer(key, left, right):
+        """For each block the queries whose rarest term it has."""
+        near, item, digest, rarest = (right.column(x).to_pylist() for x in ("near", "item", "terms", "rarest"))
+        lead = np.frombuffer(b"".join(d[16 * r : 16 * r + 16] for d, r in zip(digest, rarest, strict=True)), np.uint64).reshape(-1, 2)
+        listed, number = _distinct(lead)
+        order = np.argsort(number, kind="stable")
+        cuts = np.searchsorted(number[order], np.arange(len(listed) + 1))
+        out = []
+        for block, terms in zip(left.column("block").to_pylist(), left.column("terms"), strict=True):
+            at = look_up(listed, np.frombuffer(terms.as_buffer(), np.uint64).reshape(-1, 2))
+            for k in at[at >= 0].tolist():
+                out += [(block, near[i], item[i], digest[i], rarest[i]) for i in order[cuts[k] : cuts[k + 1]].tolist()]
+        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("block", pa.int64()), ("near", pa.bool_()), ("item", pa.string()), ("terms", pa.binary()), ("rarest", pa.int32())))})
+
+    sent = asked.select("block", "shard", "terms").groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(answer, "block long, near boolean, item string, terms binary, rarest int")
+
+    def finish(key, left, right):
+        rows = list(zip(*(right.column(x).to_pylist() for x in ("near", "item", "terms", "rarest")), strict=True))
+        both = [_listed([r[1:] for r in rows if r[0] is kind], width) for kind, width in ((False, window), (True, near_terms))]
+        found = [(block, *x) for batch in left.to_batches() for block, p in _postings(batch) for x in search(p, *both, slop)] if rows else []
+        return pa.Table.from_batches([_rows_of(found)])
+
+    return index.select("block", "doc_words", "terms", "starts", "positions").groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(finish, MATCHES)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, near_terms: int = NEAR_TERMS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row for each row of ``docs``: words, hit words, items found and whether any was.
 
     Null texts have no words; items without words match nothing; a null item id is listed as
     ``null`` and repeated items as one.  Repeated documents are judged alike; an empty corpus or
     benchmark gives no hits.  ``spans`` and ``near_items`` (items whose rarest terms stand close
-    together) are there besides the counts.
+    together) are there besides the counts.  Words are told apart by 128-bit digests under a key
+    drawn for the run.  A benchmark of more than ``broadcast_bytes`` of text is joined, not broadcast.
     """
-    small_batches(docs.sparkSession)
-    index = written(build_index(docs), "postings")
+    spark = docs.sparkSession
+    small_batches(spark)
+    key = new_key()
+    index = written(build_index(docs, key), "postings")
     rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("at", "d")).select("block", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").cast("long").alias("n_words"))
-    matches = None
-    for items in _item_blocks(benchmark, query_items):
-        found = search(index, items, window, slop, near_terms)
-        matches = found if matches is None else matches.union(found)
-    if matches is None:
-        matches = docs.sparkSession.createDataFrame([], MATCHES)
-    matches = written(matches, "matches")
-    each = matches.groupBy("block", "at").agg(
-        F.flatten(F.collect_list(F.arrays_zip("starts", "stops"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("near_items")))).alias("near_items"),
-    )
-    hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["starts"], s["stops"] - 1)))))
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = _items(benchmark, key)
+    if size <= broadcast_bytes:
+        found = _small_search(index, items.collect(), window, slop, near_terms)
+    else:
+        numbered = written(items.withColumn("number", F.monotonically_increasing_id()), "items")
+        found = _large_search(index, numbered, size // SHARD_BYTES + 1, window, slop, near_terms)
+    matches = written(found.repartition("block"), "matches")
     none = F.array().cast("array<string>")
-    out = rows.join(each, ["block", "at"], "left").select(
+    out = rows.join(matches, ["block", "at"], "left").select(
         "doc_id",
         "n_words",
-        F.coalesce(hit, F.lit(0)).cast("long").alias("n_hit"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.sort_array(F.coalesce("items", none)), ","), 256).alias("items_sha256"),
         F.coalesce("near_items", none).alias("near_items"),
-        "spans",
+        F.arrays_zip("starts", "stops").alias("spans"),
     )
     return out.withColumn("contaminated", F.col("n_hit") > 0)

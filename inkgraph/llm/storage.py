@@ -2,6 +2,7 @@
 
 Lineage is cut by writing Parquet under ``spark.checkpoint.dir``.  A lost
 executor then costs a reread of files, never a recomputation of the corpus.
+A table goes as soon as all that was made of it is written too.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; one of our own only where it is unset and the session is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="inkgraph-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -23,6 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch between Spark and Python at most (or one row), and rows that a scan decodes at once.
 BATCH_BYTES, SCAN_ROWS = 4 << 20, 512
+#: Bytes that a writer of an intermediate table gathers before it writes them.
+GROUP_BYTES = 16 << 20
+#: Rows of narrow tables that one file should have at least.
+FILE_ROWS = 500_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -36,9 +44,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(SCAN_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back.
+
+    ``rows`` bounds the rows of a narrow table, which is then dealt to files of FILE_ROWS rows at least.
+    Where the folder is a local disk, no checksum files are written: each costs an executor two processes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if rows is not None:
+        df = df.coalesce(rows // FILE_ROWS + 1)
+    raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+    df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` of which everything that is still needed has been written."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

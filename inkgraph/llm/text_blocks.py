@@ -39,6 +39,17 @@ def unpack(x: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zlib.decompress(x), kind)
 
 
+def pack_deltas(x: np.ndarray) -> bytes:
+    """Numbers by their differences, byte place by byte place."""
+    planes = np.diff(x.astype(np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+
+
+def unpack_deltas(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.int32), dtype=np.int64)
+
+
 def shard_count(spark: SparkSession) -> int:
     return min(max(SHARDS[0], 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), SHARDS[1])
 

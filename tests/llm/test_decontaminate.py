@@ -1,7 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from inkgraph.llm import decontaminate as d
 
@@ -58,7 +61,7 @@ def test_is_brute_force(spark, data):
     bench = spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, doc_id int")
     want = brute(docs, items)
     assert found(d.decontaminate(df, bench)) == want
-    assert found(d.decontaminate(df, bench, query_items=4)) == want
+    assert found(d.decontaminate(df, bench, broadcast_bytes=0)) == want
     assert found(d.decontaminate(df, bench, window=5)) == brute(docs, items, 5)
 
 
@@ -84,6 +87,41 @@ def test_proximity_is_of_the_whole_index(spark):
     for parts in (1, 2, 7):
         got = {r.doc_id: r.near_items for r in d.decontaminate(docs.repartitionByRange(parts, "doc_id"), items, window=4).collect()}
         assert got == {1: ["1"], 4: ["2"], 2: [], 3: [], 5: [], 6: [], 7: []}
+        joined = d.decontaminate(docs.repartitionByRange(parts, "doc_id"), items, window=4, broadcast_bytes=0)
+        assert {r.doc_id: r.near_items for r in joined.collect()} == got
+
+
+def test_words_of_equal_polynomial_hashes_are_different(spark):
+    from .colliding import PAIRS
+
+    for a, b in PAIRS:
+        docs = spark.createDataFrame([(1, a), (2, b), (3, "x " + a)], "doc_id long, text string")
+        items = spark.createDataFrame([(1, a)], "item_id long, text string")
+        assert {r.doc_id: r.contaminated for r in d.decontaminate(docs, items).collect()} == {1: True, 2: False, 3: True}
+
+
+def test_many_items_of_common_terms_are_searched_at_once():
+    """Twice the items take about twice the time, as all windows of a block are intersected together."""
+    rng = random.Random(3)
+    vocab = [f"w{i}" for i in range(2000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    key = b"k"
+    terms, number, _ = d.terms_of(pa.array([text(40_000)]), key)
+    order = np.argsort(number, kind="stable")
+    starts = np.searchsorted(number[order], np.arange(len(terms) + 1))
+    p = d.Postings(terms.tobytes(), d.pack_deltas(starts), d.pack_deltas(order), np.array([40_000]))
+    took = []
+    for n in (1000, 2000):
+        rows = []
+        for i in range(n):
+            own, words, _ = d.terms_of(pa.array([text(30)]), key)
+            counts = np.where(d.look_up(p.terms, own) >= 0, 1, 0)
+            rows += [r[1:] for r in d._queries_of(str(i), own, words.astype(np.int32), counts, 10, 3) if not r[0]]
+        queries = d._listed(rows, 10)
+        began = time.perf_counter()
+        assert list(d.search(p, queries, d._listed([], 3), 30)) == []
+        took.append(time.perf_counter() - began)
+    assert took[1] < 5 * took[0] + 0.2
 
 
 def test_a_query_returns_near_items(spark, tmp_path):
