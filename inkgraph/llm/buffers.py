@@ -88,29 +88,32 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> t
     return coded.dictionary, coded.indices.to_numpy()
 
 
-def digests(contents: pa.Array, key: bytes) -> np.ndarray:
-    """128-bit digests under a key, as two columns of uint64.
+def digests(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, key: bytes) -> np.ndarray:
+    """128-bit digests of spans under a key, as two columns of uint64; equal digests stand for equal contents.
 
     The key is drawn for each run (``new_key``), so no text can be made whose pieces meet others by
-    their digests; equal digests stand for equal contents.
+    their digests.  Up to 15 bytes go, with their number, through a keyed permutation, so no two of
+    them share a digest; longer spans are digested one by one, each distinct content once.
     """
-    if _digests.get(None) != key or len(_digests) > CACHED:
-        _digests.clear()
-        _digests[None] = key
-    out = []
-    for x in contents.to_pylist():
-        digest = _digests.get(x)
-        if digest is None:
-            digest = hashlib.blake2b(x, digest_size=16, key=key).digest()
-            if len(x) <= CACHED_BYTES:
-                _digests[x] = digest
-        out.append(digest)
-    return np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
-
-
-#: Short contents whose digests a worker keeps, about, and their length at most.
-CACHED, CACHED_BYTES = 100_000, 32
-_digests: dict = {}  # the key is kept under None
+    sizes = stops - starts
+    keys = np.frombuffer(hashlib.blake2b(key, digest_size=64).digest(), np.uint64)
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 8,), np.uint64, padded, strides=(1,))  # the eight bytes from every place
+    low = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    a = eight[starts] & low[np.minimum(sizes, 8)] ^ keys[0]
+    b = eight[np.minimum(starts + 8, len(data))] & low[np.clip(sizes - 8, 0, 7)] | (sizes.astype(np.uint64) << np.uint64(56))
+    b ^= keys[1]
+    for k in (2, 4):
+        a += mix(b ^ keys[k])
+        b += mix(a ^ keys[k + 1])
+    out = np.stack([a, b], 1)
+    long = np.flatnonzero(sizes > 15)
+    if len(long):
+        contents, number = distinct_spans(data, starts[long], stops[long])
+        each = b"".join([hashlib.blake2b(x, digest_size=16, key=key).digest() for x in contents.to_pylist()])
+        out[long] = np.frombuffer(each, np.uint64).reshape(-1, 2)[number]
+    return out
 
 
 def new_key() -> bytes:

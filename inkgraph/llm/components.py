@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import drop, written
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -25,10 +25,12 @@ def components(links: DataFrame) -> DataFrame:
     Alternates large and small star steps until nothing changes; each round is written to the
     shared folder.  A node's own neighbours never meet in one list.
     """
-    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    rows = links.count()  # of a written table; no step makes more edges than there are links
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges", rows)
     before = None
     while True:
-        edges = written(_stars(_stars(edges, True), False), "stars")
+        last, edges = edges, written(_stars(_stars(edges, True), False), "stars", rows)
+        drop(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             break

@@ -53,7 +53,9 @@ def terms_of(column: pa.Array, key: bytes) -> tuple[np.ndarray, np.ndarray, np.n
     data = ASCII_LOWER[data]
     starts, stops, first = word_spans(data, ends, ALNUM_WORDS)
     contents, number = distinct_spans(data, starts, stops)
-    terms = digests(contents, key)
+    _, offsets, joined = contents.buffers()
+    cuts = np.frombuffer(offsets, np.int64)[: len(contents) + 1]
+    terms = digests(np.frombuffer(joined, np.uint8)[: cuts[-1]] if joined else data[:0], cuts[:-1], cuts[1:], key)
     order = np.lexsort((terms[:, 1], terms[:, 0]))
     rank = np.empty(len(order), np.int64)
     rank[order] = np.arange(len(order))

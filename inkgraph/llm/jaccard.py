@@ -9,9 +9,10 @@ and the counts are summed for each pair.
 
 Candidates of one shingle are first compared with the class that has the least
 place in the order, which ties large groups of near copies together in one
-round.  Then all remaining candidates that are not yet in one component are
-compared, so no link between components is lost and a group's pairs are not
-spelled out.
+round; further rounds compare them with another class each, as long as that
+ties many more.  Then all remaining candidates that are not yet in one component
+are compared, in tiles of bounded size that are dealt to all tasks, so no link
+between components is lost and a group's pairs are not spelled out.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, joined_hash, mix, word_spans
+from .buffers import ASCII_LOWER, SPACE_WORDS, digests, joined_hash, mix, new_key, word_spans
 from .components import components
-from .storage import written
+from .storage import drop, small_batches, written
 from .text_blocks import batch as _batch
 from .text_blocks import pack as _pack
 from .text_blocks import read_blocks, shard_count, table, text_blocks
@@ -33,17 +34,27 @@ from .text_blocks import unpack as _unpack
 
 K, PERCENT = 5, 75
 SLICES = 16
-#: Shards of candidate pairs.
-SHARDS = 64
+#: Classes on each side of a tile, about, and rows of tiles that a task gets at once.
+TILE, TILE_ROWS = 1024, 100_000
+#: Entries of a lead for each of up to so many parts, where they are few classes of many shingles.
+PART_ENTRIES, EVEN_PARTS = 2048, 32
+#: A further round of stars follows if the last one closed this share of the open rows.
+PROGRESS = 0.3
+#: Bytes of the segments of a fragment, about.
+FRAGMENT_BYTES = 32 << 20
 #: Pairs whose elements are compared at once, in elements.
 CHUNK = 2_000_000
 
 
-def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words has one, an empty text none."""
+def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int, key: bytes) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words has one, an empty text none.
+
+    A shingle's hash is made of its words' 128-bit digests under ``key``.
+    """
     data = ASCII_LOWER[data]
     starts, stops, first = word_spans(data, ends, SPACE_WORDS)
-    words = SpanHash(data).spans(starts, stops)
+    two = digests(data, starts, stops, key)
+    words = mix(two[:, 0] ^ mix(two[:, 1]))
     grams = joined_hash(words, k)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= k:
@@ -61,10 +72,10 @@ def node_of(s: np.ndarray) -> int:
 class Block:
     """The distinct sets of one block of texts, and its distinct shingles in the order in which shards are asked for them."""
 
-    def __init__(self, data: np.ndarray, ends: np.ndarray, k: int, shards: int):
+    def __init__(self, data: np.ndarray, ends: np.ndarray, k: int, key: bytes, shards: int):
         self.sizes, self.node_of_row, self.nodes, self.sets = [], [], [], []
         seen: set[int] = set()
-        for s in shingle_sets(data, ends, k):
+        for s in shingle_sets(data, ends, k, key):
             self.sizes.append(len(s))
             node = node_of(s) if len(s) else None
             self.node_of_row.append(node)
@@ -79,12 +90,12 @@ class Block:
         self.cuts = np.searchsorted(self.distinct, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
 
 
-def _ask(texts: DataFrame, k: int, shards: int) -> DataFrame:
+def _ask(texts: DataFrame, k: int, key: bytes, shards: int) -> DataFrame:
     """The distinct shingles of each block and in how many of its sets each is, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, _, data, ends in read_blocks(batches):
-            b = Block(data, ends, k, shards)
+            b = Block(data, ends, k, key, shards)
             short, count = b.distinct.astype(np.uint32), np.minimum(b.count, 65535).astype(np.uint16)
             rows = [(number, s, short[x:y].tobytes(), _pack(count[x:y])) for s, (x, y) in enumerate(zip(b.cuts, b.cuts[1:], strict=False)) if y > x]
             yield _batch("block shard shingles counts", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
@@ -107,16 +118,16 @@ _PREFIX_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa
 _PREFIX_SCHEMA = "doc_id long, n long, node long, shard int, nodes binary, sizes binary, counts binary, keys binary, places binary"
 
 
-def _prefixes(k: int, percent: int, shards: int):
+def _prefixes(k: int, key: bytes, percent: int, shards: int):
     """Cogroup function: a row for each text with its set's size and id, and the prefixes of a block's sets, by shard of the shingle.
 
     Shingles of one set alone come first in the order and meet nothing, so only their number is kept.
     """
 
-    def run(key, left, right):
+    def run(_, left, right):
         out = []
         for _, ids, data, ends in read_blocks(left):
-            b = Block(data, ends, k, shards)
+            b = Block(data, ends, k, key, shards)
             none = pa.nulls
             rows = len(ids)
             out.append(pa.table({n: c for n, c in zip(_PREFIXES.split(), [pa.array(ids, pa.int64()), pa.array(b.sizes, pa.int64()), pa.array(b.node_of_row, pa.int64()), *(none(rows, t) for t in _PREFIX_KINDS[3:])], strict=True)}))
@@ -138,13 +149,13 @@ def _prefixes(k: int, percent: int, shards: int):
                 places.append(np.arange(alone, alone + lengths[-1], dtype=np.int32))
             keys, places = np.concatenate(keys), np.concatenate(places)
             owner = np.repeat(np.arange(len(b.sets)), lengths)
-            shard = ((keys >> np.uint64(3)) % np.uint64(SHARDS)).astype(np.uint8)
+            shard = ((keys >> np.uint64(3)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
-            short = (keys >> np.uint64(9)).astype(np.uint32)
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            short = (keys >> np.uint64(20)).astype(np.uint32)
             nodes, sizes = np.array(b.nodes, np.int64), np.array([len(s) for s in b.sets], np.int32)
             found = []
-            for i in range(SHARDS):
+            for i in range(shards):
                 x = order[cuts[i] : cuts[i + 1]]
                 if len(x):
                     used, count = np.unique(owner[x], return_counts=True)
@@ -160,7 +171,7 @@ def _bound(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray, perce
     return np.minimum(ra, rb) * (100 + percent) >= percent * (na + nb)
 
 
-def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> list[tuple]:
+def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, shards: int) -> list[tuple]:
     """Distinct pairs, a < b, packed by shard of the pair."""
     swap = a > b
     a, b, na, nb = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, nb, na), np.where(swap, na, nb)
@@ -170,15 +181,17 @@ def _pair_rows(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     a, b, na, nb = a[order], b[order], na[order], nb[order]
     first = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] & (a != b)
     a, b, na, nb = a[first], b[first], na[first], nb[first]
-    shard = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(SHARDS)).astype(int)
-    return [(i, a[m].tobytes(), b[m].tobytes(), na[m].astype(np.int32).tobytes(), nb[m].astype(np.int32).tobytes()) for i in np.unique(shard).tolist() if (m := shard == i).any()]
+    shard = (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(shards)).astype(int)
+    order = np.argsort(shard, kind="stable")
+    used, start = np.unique(shard[order], return_index=True)
+    return [(i, a[m].tobytes(), b[m].tobytes(), na[m].astype(np.int32).tobytes(), nb[m].astype(np.int32).tobytes()) for i, m in zip(used.tolist(), np.split(order, start[1:]), strict=True)]
 
 
 _PAIRS = "pair_shard int, a binary, b binary, na binary, nb binary"
 _PAIR_KINDS = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _runs(postings: DataFrame, percent: int) -> DataFrame:
+def _runs(postings: DataFrame, percent: int, shards: int) -> DataFrame:
     """For each shingle of several classes: candidate pairs with the class of least place, and its entries if it has more than two."""
 
     def find(key, table):
@@ -205,9 +218,9 @@ def _runs(postings: DataFrame, percent: int) -> DataFrame:
         size = np.diff(np.r_[start, len(short)])
         lead = np.repeat(start, size)
         ok = _bound(n[lead] - place[lead], n - place, n[lead], n, percent) & (lead != np.arange(len(lead)))
-        pairs = _pair_rows(node[lead][ok], node[ok], n[lead][ok], n[ok])
+        pairs = _pair_rows(node[lead][ok], node[ok], n[lead][ok], n[ok], shards)
         more = np.repeat(size > 2, size)
-        run = (np.repeat(np.arange(len(start)), size) << 8 | key[0].as_py())[more]
+        run = (np.repeat(np.arange(len(start)), size) << 24 | key[0].as_py())[more]
         entries = (run, node[more], n[more], place[more], node[lead][more])
         rows = len(pairs)
         empty = pa.nulls
@@ -229,22 +242,25 @@ def _bloom_bits(nodes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def bloom_has(packed: np.ndarray, nodes: np.ndarray) -> np.ndarray:
     """Whether each class may be in the bit map."""
-    at, mask = _bloom_bits(nodes, BLOOM_BITS)
+    at, mask = _bloom_bits(nodes, (8 * len(packed)).bit_length() - 1)
     return (packed[at] & mask > 0).reshape(2, -1).all(axis=0)
 
 
-BLOOM_BITS = 26
+#: Least and most bits (as powers of two) of a bit map, 16 a class between them: 32 MB at most are sent to an executor.
+#: A fuller map excludes less; nothing is lost by that.
+BLOOM_BITS = (20, 28)
 
 
-def _bloom(pairs: DataFrame) -> np.ndarray:
-    """A bit map of fixed size of all classes in pairs."""
+def _bloom(pairs: DataFrame, classes: int) -> np.ndarray:
+    """A bit map, of a size for so many, of all classes in pairs."""
+    bits = min(max(BLOOM_BITS[0], (16 * classes).bit_length()), BLOOM_BITS[1])
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+        packed = np.zeros((1 << bits) // 8, np.uint8)
         for batch in batches:
             for c in ("a", "b"):
                 for x in batch.column(c):
-                    np.bitwise_or.at(packed, *_bloom_bits(np.frombuffer(x.as_buffer(), np.int64), BLOOM_BITS))
+                    np.bitwise_or.at(packed, *_bloom_bits(np.frombuffer(x.as_buffer(), np.int64), bits))
         if packed.any():
             part = len(packed) // SLICES
             yield _batch("slice bits", [pa.int32(), pa.binary()], [(i, _pack(packed[i * part : (i + 1) * part])) for i in range(SLICES)])
@@ -255,14 +271,14 @@ def _bloom(pairs: DataFrame) -> np.ndarray:
             out |= _unpack(x, np.uint8)
         return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([_pack(out)], pa.binary())})
 
-    out = np.zeros((1 << BLOOM_BITS) // 8, np.uint8)
+    out = np.zeros((1 << bits) // 8, np.uint8)
     part = len(out) // SLICES
-    for r in pairs.select("a", "b").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
+    for r in pairs.select("a", "b").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").toLocalIterator():
         out[r.slice * part : (r.slice + 1) * part] = _unpack(bytes(r.bits), np.uint8)
     return out
 
 
-def _segments(texts: DataFrame, k: int, fragments: int, bloom: np.ndarray) -> DataFrame:
+def _segments(texts: DataFrame, k: int, key: bytes, fragments: int, bloom: np.ndarray) -> DataFrame:
     """The sets of candidate classes, cut at the fragments' bounds."""
     shared = texts.sparkSession.sparkContext.broadcast(bloom)
     cuts = np.array([(i << 64) // fragments for i in range(1, fragments)], np.uint64)
@@ -270,7 +286,7 @@ def _segments(texts: DataFrame, k: int, fragments: int, bloom: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, ends in read_blocks(batches):
             held, seen = [], set()
-            for s in shingle_sets(data, ends, k):
+            for s in shingle_sets(data, ends, k, key):
                 if len(s) and (node := node_of(s)) not in seen and bloom_has(shared.value, np.array([node], np.int64))[0]:
                     seen.add(node)
                     held.append((node, s, np.r_[0, np.searchsorted(s, cuts), len(s)]))
@@ -338,12 +354,12 @@ def overlaps(nodes: np.ndarray, counts: np.ndarray, keys: np.ndarray, a: np.ndar
     return out
 
 
-def verify(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int, shards: int) -> DataFrame:
     """(a, b) of the candidate pairs that are similar enough, from overlaps counted by fragment and summed."""
 
     def unique(key, table):
         c = {x: np.concatenate([np.frombuffer(y.as_buffer(), t) for y in table.column(x)]) for x, t in (("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32))}
-        rows = _pair_rows(c["a"], c["b"], c["na"].astype(np.int64), c["nb"].astype(np.int64))
+        rows = _pair_rows(c["a"], c["b"], c["na"].astype(np.int64), c["nb"].astype(np.int64), shards)
         return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("pair_shard", "a", "b", "na", "nb"), _PAIR_KINDS, strict=True))})
 
     distinct = written(pairs.groupBy("pair_shard").applyInArrow(unique, _PAIRS), "pairs")
@@ -381,47 +397,96 @@ def verify(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int)
     return partial.groupBy("pair_shard").cogroup(distinct.groupBy("pair_shard")).applyInArrow(add, "a long, b long")
 
 
-def _remaining(entries: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs between classes of one shingle that are in different components."""
+def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of shingles whose classes are not all in one component, with their components."""
     rows = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("run")
-    rows = rows.join(open_, "run", "left_semi").withColumn("shard", F.pmod(F.xxhash64("lead"), F.lit(SHARDS * 16)))
+    apart = rows.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("run")
+    return rows.join(apart, "run", "left_semi").select("run", "lead", "node", "n", "place", "component")
+
+
+def _stars(rows: DataFrame, percent: int, turn: int, shards: int) -> DataFrame:
+    """Pairs of each entry with one class of its shingle, another one in each turn; a row for each entry at most."""
+    pivot = rows.groupBy("run").agg(F.max_by(F.struct(F.col("node").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("component").alias("cp")), F.xxhash64("run", "node", F.lit(turn))).alias("pivot"))
+    both = rows.join(pivot, "run").select("node", "n", "place", "component", "pivot.*").where("component <> cp")
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, na, ra, b, nb, rb = (batch.column(x).to_numpy() for x in ("node", "n", "place", "p", "np", "pp"))
+            ok = _bound(na - ra, nb - rb, na, nb, percent)
+            yield _batch("pair_shard a b na nb", _PAIR_KINDS, _pair_rows(a[ok], b[ok], na[ok], nb[ok], shards))
+
+    return both.mapInArrow(pairs, _PAIRS)
+
+
+def _remaining(rows: DataFrame, percent: int, shards: int) -> DataFrame:
+    """All candidate pairs between open entries of one shingle that are in different components.
+
+    The entries of one lead are cut into parts by class; a tile is a pair of parts, and every tile is
+    worked on by itself, whatever the number of its shingles.
+    """
+    size = rows.groupBy("lead").agg(F.approx_count_distinct("node").alias("m"), F.count("*").alias("e"))
+    parts = F.greatest(F.ceil(F.col("m") / TILE), F.least(F.ceil(F.col("e") / PART_ENTRIES), F.lit(EVEN_PARTS)))
+    size = written(size.select("lead", parts.cast("int").alias("parts")), "tiles")
+    total = rows.join(size, "lead").agg(F.sum("parts").alias("rows")).first().rows or 0
+    tiles = size.where("parts > 1").agg(F.sum(F.expr("parts * (parts + 1) / 2")).alias("n")).first().n or 0
+    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TILE_ROWS, int(tiles))
+    dealt = rows.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("lead", "x", "y"), F.lit(groups)))
 
     def cross(key, table):
-        run, node, n, place, component = (table.column(x).to_numpy() for x in ("run", "node", "n", "place", "component"))
-        order = np.lexsort((component, run))
-        run, node, n, place, component = (x[order] for x in (run, node, n, place, component))
-        start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for a, b in zip(start, np.r_[start[1:], len(run)], strict=True):
-            left, own, size = n[a:b] - place[a:b], component[a:b], n[a:b]
-            names, counts = np.unique(own, return_counts=True)
-            largest = names[np.argmax(counts)]
-            for i in np.flatnonzero(own != largest):  # each class outside the largest component against those after it and the largest
-                at = (own != own[i]) & ((np.arange(b - a) > i) | (own == largest))
-                at = np.flatnonzero(at & _bound(left[i], left, size[i], size, percent)) + a
-                out[0].append(np.full(len(at), node[a + i]))
-                out[1].append(node[at])
-                out[2].append(np.full(len(at), size[i]))
-                out[3].append(n[at])
-        rows = _pair_rows(*(np.concatenate(x) for x in out)) if out[0] else []
+        names = ("lead", "x", "y", "run", "node", "n", "place", "component", "part")
+        order = np.lexsort([table.column(c).to_numpy() for c in ("run", "y", "x", "lead")])
+        c = {name: table.column(name).to_numpy()[order] for name in names}
+        new = np.r_[True, (c["lead"][1:] != c["lead"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])]
+        start = np.flatnonzero(new)
+        rows = []
+        for a, b in zip(start, np.r_[start[1:], len(new)], strict=True):
+            rows += _pair_rows(*_tile({name: c[name][a:b] for name in names}, percent), shards)
         return pa.table({x: pa.array([r[i] for r in rows], t) for i, (x, t) in enumerate(zip(("pair_shard", "a", "b", "na", "nb"), _PAIR_KINDS, strict=True))})
 
-    return rows.select("shard", "run", "node", "n", "place", "component").groupBy("shard").applyInArrow(cross, _PAIRS)
+    return dealt.select("group", "lead", "x", "y", "run", "node", "n", "place", "component", "part").groupBy("group").applyInArrow(cross, _PAIRS)
+
+
+def _tile(c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, na, nb) of one tile's candidate pairs, each once whatever the number of shingles it shares."""
+    nodes, first, at = np.unique(c["node"], return_index=True, return_inverse=True)
+    n, part, component = c["n"][first], c["part"][first], c["component"][first]
+    x, y = c["x"][0], c["y"][0]
+    left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
+    number = np.empty(len(nodes), np.int64)
+    number[left] = np.arange(len(left))
+    if x != y:
+        number[right] = np.arange(len(right))
+    found = np.zeros((len(left), len(right)), bool)
+    start = np.flatnonzero(np.r_[True, c["run"][1:] != c["run"][:-1]])
+    rest = c["n"] - c["place"]
+    for a, b in zip(start, np.r_[start[1:], len(at)], strict=True):
+        own = np.arange(a, b)
+        i, j = own[part[at[a:b]] == x], own[part[at[a:b]] == y]
+        if len(i) and len(j):
+            found[np.ix_(number[at[i]], number[at[j]])] |= _bound(rest[i][:, None], rest[j][None, :], c["n"][i][:, None], c["n"][j][None, :], percent)
+    if x == y:
+        found = np.triu(found, 1)
+    i, j = np.nonzero(found)
+    i, j = left[i], right[j]
+    apart = component[i] != component[j]
+    i, j = i[apart], j[apart]
+    return nodes[i], nodes[j], n[i], n[j]
 
 
 def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, node) of every row, node null for empty sets, and (node, component) of linked classes."""
     spark = docs.sparkSession
-    if fragments is None:
-        fragments = min(max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), 256)
-    shards = shard_count(spark)
+    small_batches(spark)
+    key = new_key()
     texts = text_blocks(docs)
-    classes = _ask(texts, k, shards).groupBy("shard").applyInArrow(_frequencies, "block long, shard int, classes binary")
-    first = written(texts.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_prefixes(k, percent, shards), _PREFIX_SCHEMA), "prefixes")
+    shards = shard_count(texts)
+    classes = _ask(texts, k, key, shards).groupBy("shard").applyInArrow(_frequencies, "block long, shard int, classes binary")
+    first = written(texts.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_prefixes(k, key, percent, shards), _PREFIX_SCHEMA), "prefixes")
     rows = first.where("n is not null").select("doc_id", "n", "node")
     postings = first.where("shard is not null").select("shard", "nodes", "sizes", "counts", "keys", "places")
-    found = written(_runs(postings, percent), "runs")
+    found = written(_runs(postings, percent, shards), "runs")
     pairs = found.where("a is not null").select("pair_shard", "a", "b", "na", "nb")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,23 +496,46 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
 
     entries = found.where("run is not null").select("run", "node", "n", "place", "lead").mapInArrow(spell, "run long, node long, n long, place long, lead long")
     involved = pairs.select("a", "b").union(found.where("run is not null").select(F.col("node").alias("a"), F.col("node").alias("b")))
-    segments = written(_segments(texts, k, fragments, _bloom(involved)), "segments")
-    links = written(verify(pairs, segments, fragments, percent), "links")
-    more = written(_remaining(entries, components(links), percent), "remaining")
-    links = links.union(written(verify(more, _narrowed(segments, _bloom(more)), fragments, percent), "links"))
-    return rows, components(links)
+    n_rows, elements = rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if fragments is None:
+        fragments = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * elements // FRAGMENT_BYTES)
+    segments = written(_segments(texts, k, key, fragments, _bloom(involved, n_rows)), "segments")
+    drop(texts)
+    links = written(verify(pairs, segments, fragments, percent, shards), "links")
+    labels = components(links)
+    rows_open = written(_open(entries, labels), "open")
+    left, turn = rows_open.count(), 0
+    while left:
+        turn += 1
+        more = written(_stars(rows_open, percent, turn, shards), "stars")
+        links = links.union(written(verify(more, _narrowed(segments, _bloom(more, n_rows)), fragments, percent, shards), "links"))
+        labels = components(links)
+        last, rows_open = rows_open, written(_open(rows_open.drop("component"), labels), "open")
+        drop(last, more)
+        before, left = left, rows_open.count()
+        if left > (1 - PROGRESS) * before:
+            break
+    if left:
+        more = written(_remaining(rows_open, percent, shards), "remaining")
+        links = links.union(written(verify(more, _narrowed(segments, _bloom(more, n_rows)), fragments, percent, shards), "links"))
+        labels = components(links)
+        drop(more)
+    drop(rows_open, segments, found)
+    return rows, labels
 
 
 def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: size of its set and the smallest doc_id that links reach.
 
     Null and empty texts have no shingles and are linked with nothing.  Equal sets are always
-    linked.  A row with a null id has a set but no say in its component's id.  Sets are compared by
-    64-bit hashes of their shingles.
+    linked.  A row with a null id has a set but no say in its component's id.  Shingles and sets are
+    told apart by 64-bit hashes that are made of 128-bit digests of the words under a key drawn for the
+    run: no text can be made to meet another, and N sets meet by chance with probability N * N / 2^65.
     """
     rows, labels = classes_and_links(docs, k, percent, fragments)
     per = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    per = written(per.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+    per = per.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = written(per, "classes")
     least = per.groupBy("component").agg(F.min("least").alias("component_id"))
     named = per.join(least, "component").select("node", "component_id")
     out = rows.join(named, "node", "left")

@@ -325,7 +325,7 @@ def find_repeats(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, ex
     found = written(_candidates(rows), "candidates")
     pairs = written(found.select("a", "b").mapInArrow(_spell, "a long, b long").distinct(), "pairs")
     entries = found.select("run", "node", "own", "lead").mapInArrow(_spell, "run long, node long, own long, lead long")
-    texts = written(_texts(docs, _bloom(found.select("a", "b")), least, chars), "content")
+    texts = written(_texts(docs, _bloom(found.select("a", "b"), pairs.count()), least, chars), "content")
     links = written(_verify(pairs, texts, edits, chars), "links")
     more = _remaining(entries, components(links), texts, edits)
     labels = components(links.union(written(_verify(more, texts, edits, chars), "links")))

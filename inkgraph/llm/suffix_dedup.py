@@ -43,7 +43,7 @@ def _digest(text: bytes, doc_id: int | None = None) -> int:
     return int.from_bytes(hashlib.blake2b(key, digest_size=8).digest(), "little", signed=True)
 
 
-def _first_copies(texts: DataFrame) -> np.ndarray:
+def _first_copies(texts: DataFrame, rows: int) -> np.ndarray:
     """A bit map that holds each (id, text) which is the first of its text; false members do no harm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,7 +59,7 @@ def _first_copies(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([marks], pa.binary()), pa.array([b""], pa.binary())], names=["a", "b"])
 
     first = texts.mapInArrow(run, "digest binary, doc_id long, mark long").groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
-    return _bloom(first.select(F.col("first.mark").alias("mark")).mapInArrow(packed, "a binary, b binary"))
+    return _bloom(first.select(F.col("first.mark").alias("mark")).mapInArrow(packed, "a binary, b binary"), rows)
 
 
 def _known_and_copies(ids: list, data: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -300,9 +300,9 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     if length - gram + 1 > 32:
         raise ValueError("at most 32 strings share an anchor")
     spark = docs.sparkSession
-    shards = shards or 2 * shard_count(spark)
     texts = text_blocks(docs)
-    first = spark.sparkContext.broadcast(_first_copies(texts))
+    shards = shards or shard_count(texts, 8)
+    first = spark.sparkContext.broadcast(_first_copies(texts, docs.count()))
     shared = _ask(texts, first, length, gram, shards).groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary")
     near = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(first, length, gram, shards), _NEAR)
     answers = written(near.groupBy("shard").applyInArrow(_answer(length, gram), "block long, starts binary, bits binary"), "answers")

@@ -19,14 +19,14 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from .buffers import blocks, text_buffer
 from .storage import small_batches, written
 
-BLOCK = 2 << 20
-#: Least and most shards of a question; between them four for each shuffle partition.
-SHARDS = (64, 4096)
+BLOCK = 1 << 20
+#: Least shards of a question, and the blocks whose pieces a shard gets at most, about: as texts grow, shards do.
+SHARDS, SHARD_BLOCKS = 64, 32
 
 SCHEMA = "block long, ids array<long>, ends binary, text binary"
 
@@ -50,8 +50,9 @@ def unpack_deltas(x: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(np.int32), dtype=np.int64)
 
 
-def shard_count(spark: SparkSession) -> int:
-    return min(max(SHARDS[0], 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))), SHARDS[1])
+def shard_count(texts: DataFrame, blocks: int = SHARD_BLOCKS) -> int:
+    """Shards for the pieces of a table of blocks: each gets those of ``blocks`` blocks of text, about."""
+    return max(SHARDS, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() // blocks))
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:
