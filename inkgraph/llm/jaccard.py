@@ -31,15 +31,10 @@ from .text_blocks import batch as _batch
 from .text_blocks import pack as _pack
 from .text_blocks import read_blocks, shard_count, table, text_blocks
 from .text_blocks import unpack as _unpack
+from .tiles import PROGRESS, deal, each_tile, open_entries, pairs_of_tile, stars
 
 K, PERCENT = 5, 75
 SLICES = 16
-#: Classes on each side of a tile, about, and rows of tiles that a task gets at once.
-TILE, TILE_ROWS = 1024, 100_000
-#: Entries of a lead for each of up to so many parts, where they are few classes of many shingles.
-PART_ENTRIES, EVEN_PARTS = 2048, 32
-#: A further round of stars follows if the last one closed this share of the open rows.
-PROGRESS = 0.3
 #: Bytes of the segments of a fragment, about.
 FRAGMENT_BYTES = 32 << 20
 #: Pairs whose elements are compared at once, in elements.
@@ -397,82 +392,30 @@ def verify(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int,
     return partial.groupBy("pair_shard").cogroup(distinct.groupBy("pair_shard")).applyInArrow(add, "a long, b long")
 
 
-def _open(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    """The entries of shingles whose classes are not all in one component, with their components."""
-    rows = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = rows.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("run")
-    return rows.join(apart, "run", "left_semi").select("run", "lead", "node", "n", "place", "component")
-
-
 def _stars(rows: DataFrame, percent: int, turn: int, shards: int) -> DataFrame:
-    """Pairs of each entry with one class of its shingle, another one in each turn; a row for each entry at most."""
-    pivot = rows.groupBy("run").agg(F.max_by(F.struct(F.col("node").alias("p"), F.col("n").alias("np"), F.col("place").alias("pp"), F.col("component").alias("cp")), F.xxhash64("run", "node", F.lit(turn))).alias("pivot"))
-    both = rows.join(pivot, "run").select("node", "n", "place", "component", "pivot.*").where("component <> cp")
+    """Pairs of each open entry with one class of its shingle."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, na, ra, b, nb, rb = (batch.column(x).to_numpy() for x in ("node", "n", "place", "p", "np", "pp"))
+            a, na, ra, b, nb, rb = (batch.column(x).to_numpy() for x in ("node", "n", "place", "p_node", "p_n", "p_place"))
             ok = _bound(na - ra, nb - rb, na, nb, percent)
             yield _batch("pair_shard a b na nb", _PAIR_KINDS, _pair_rows(a[ok], b[ok], na[ok], nb[ok], shards))
 
-    return both.mapInArrow(pairs, _PAIRS)
+    return stars(rows, ["node", "n", "place"], turn).mapInArrow(pairs, _PAIRS)
 
 
 def _remaining(rows: DataFrame, percent: int, shards: int) -> DataFrame:
-    """All candidate pairs between open entries of one shingle that are in different components.
-
-    The entries of one lead are cut into parts by class; a tile is a pair of parts, and every tile is
-    worked on by itself, whatever the number of its shingles.
-    """
-    size = rows.groupBy("lead").agg(F.approx_count_distinct("node").alias("m"), F.count("*").alias("e"))
-    parts = F.greatest(F.ceil(F.col("m") / TILE), F.least(F.ceil(F.col("e") / PART_ENTRIES), F.lit(EVEN_PARTS)))
-    size = written(size.select("lead", parts.cast("int").alias("parts")), "tiles")
-    total = rows.join(size, "lead").agg(F.sum("parts").alias("rows")).first().rows or 0
-    tiles = size.where("parts > 1").agg(F.sum(F.expr("parts * (parts + 1) / 2")).alias("n")).first().n or 0
-    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TILE_ROWS, int(tiles))
-    dealt = rows.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    dealt = dealt.withColumn("group", F.pmod(F.xxhash64("lead", "x", "y"), F.lit(groups)))
+    """All candidate pairs between open entries of one shingle that are in different components."""
 
     def cross(key, table):
-        names = ("lead", "x", "y", "run", "node", "n", "place", "component", "part")
-        order = np.lexsort([table.column(c).to_numpy() for c in ("run", "y", "x", "lead")])
-        c = {name: table.column(name).to_numpy()[order] for name in names}
-        new = np.r_[True, (c["lead"][1:] != c["lead"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])]
-        start = np.flatnonzero(new)
         rows = []
-        for a, b in zip(start, np.r_[start[1:], len(new)], strict=True):
-            rows += _pair_rows(*_tile({name: c[name][a:b] for name in names}, percent), shards)
+        for c in each_tile(table, ["n", "place"]):
+            n, rest = c["n"], c["n"] - c["place"]
+            i, j = pairs_of_tile(c, lambda i, j, n=n, rest=rest: _bound(rest[i], rest[j], n[i], n[j], percent))
+            rows += _pair_rows(c["node"][i], c["node"][j], n[i], n[j], shards)
         return pa.table({x: pa.array([r[i] for r in rows], t) for i, (x, t) in enumerate(zip(("pair_shard", "a", "b", "na", "nb"), _PAIR_KINDS, strict=True))})
 
-    return dealt.select("group", "lead", "x", "y", "run", "node", "n", "place", "component", "part").groupBy("group").applyInArrow(cross, _PAIRS)
-
-
-def _tile(c: dict[str, np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, na, nb) of one tile's candidate pairs, each once whatever the number of shingles it shares."""
-    nodes, first, at = np.unique(c["node"], return_index=True, return_inverse=True)
-    n, part, component = c["n"][first], c["part"][first], c["component"][first]
-    x, y = c["x"][0], c["y"][0]
-    left, right = np.flatnonzero(part == x), np.flatnonzero(part == y)
-    number = np.empty(len(nodes), np.int64)
-    number[left] = np.arange(len(left))
-    if x != y:
-        number[right] = np.arange(len(right))
-    found = np.zeros((len(left), len(right)), bool)
-    start = np.flatnonzero(np.r_[True, c["run"][1:] != c["run"][:-1]])
-    rest = c["n"] - c["place"]
-    for a, b in zip(start, np.r_[start[1:], len(at)], strict=True):
-        own = np.arange(a, b)
-        i, j = own[part[at[a:b]] == x], own[part[at[a:b]] == y]
-        if len(i) and len(j):
-            found[np.ix_(number[at[i]], number[at[j]])] |= _bound(rest[i][:, None], rest[j][None, :], c["n"][i][:, None], c["n"][j][None, :], percent)
-    if x == y:
-        found = np.triu(found, 1)
-    i, j = np.nonzero(found)
-    i, j = left[i], right[j]
-    apart = component[i] != component[j]
-    i, j = i[apart], j[apart]
-    return nodes[i], nodes[j], n[i], n[j]
+    return deal(rows).groupBy("group").applyInArrow(cross, _PAIRS)
 
 
 def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -503,14 +446,14 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
     drop(texts)
     links = written(verify(pairs, segments, fragments, percent, shards), "links")
     labels = components(links)
-    rows_open = written(_open(entries, labels), "open")
+    rows_open = written(open_entries(entries, labels), "open")
     left, turn = rows_open.count(), 0
     while left:
         turn += 1
         more = written(_stars(rows_open, percent, turn, shards), "stars")
         links = links.union(written(verify(more, _narrowed(segments, _bloom(more, n_rows)), fragments, percent, shards), "links"))
         labels = components(links)
-        last, rows_open = rows_open, written(_open(rows_open.drop("component"), labels), "open")
+        last, rows_open = rows_open, written(open_entries(rows_open.drop("component"), labels), "open")
         drop(last, more)
         before, left = left, rows_open.count()
         if left > (1 - PROGRESS) * before:

@@ -24,13 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import SpanHash, blocks, mix, text_buffer
+from .buffers import SpanHash, blocks, digests, mix, new_key, text_buffer
 from .components import components
 from .jaccard import _bloom, bloom_has
-from .storage import small_batches, written
+from .storage import drop, small_batches, written
+from .tiles import PROGRESS, deal, each_tile, open_entries, pairs_of_tile, stars
 
 EDITS, MIN_BYTES = 2, 20
-SHARDS = 64
+#: Least shards of the index, and the bytes of text (as stored) whose signatures a shard gets at most, about.
+SHARDS, SHARD_BYTES = 64, 16 << 20
+#: Pairs whose histograms are compared at once.
+CHUNK = 1 << 16
 #: Bins of the byte histogram that bounds the distance of two lines from below.
 BINS = 32
 #: Stands for a null id in the order of lines: after all others.
@@ -106,12 +110,18 @@ def signatures(hashes: SpanHash, starts: np.ndarray, lengths: np.ndarray, edits:
     return np.concatenate(keys), np.concatenate(lines), np.concatenate(index)
 
 
-_LINES = "kind int, doc_id long, text_hash long, line_no int, line long, shard int, keys binary, lines binary, flags binary"
+def line_digests(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of each line's digest; the first one names it among candidates, both together stand for its content."""
+    two = digests(data, starts, stops, key).view(np.int64)
+    return np.ascontiguousarray(two[:, 0]), np.ascontiguousarray(two[:, 1])
+
+
+_LINES = "kind int, doc_id long, text_hash long, line_no int, line long, tail long, shard int, keys binary, lines binary, flags binary"
 _NAMES = [x.split()[0] for x in _LINES.split(", ")]
-_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+_KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def _first_pass(docs: DataFrame, edits: int, least: int, exact: int, chars: bool) -> DataFrame:
+def _first_pass(docs: DataFrame, edits: int, least: int, exact: int, chars: bool, key: bytes, shards: int) -> DataFrame:
     """Every line of at least ``exact`` bytes by hash (kind 0), and the signatures of a task's distinct long enough lines by shard (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +132,10 @@ def _first_pass(docs: DataFrame, edits: int, least: int, exact: int, chars: bool
             keep = stops - starts >= min(least, exact)
             starts, stops, owner, number = starts[keep], stops[keep], owner[keep], number[keep]
             hashes = SpanHash(data)
-            line = hashes.spans(starts, stops).view(np.int64)
+            line, tail = line_digests(data, starts, stops, key)
             n = len(line)
             take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("text_hash").take(take), pa.array(number.astype(np.int32)), pa.array(line), *(pa.nulls(n, t) for t in _KINDS[5:])], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), batch.column("doc_id").cast(pa.int64()).take(take), batch.column("text_hash").take(take), pa.array(number.astype(np.int32)), pa.array(line), pa.array(tail), *(pa.nulls(n, t) for t in _KINDS[6:])], names=_NAMES)
             long = np.flatnonzero(stops - starts >= least)
             distinct, at = np.unique(line[long], return_index=True)
             at = long[at]
@@ -139,12 +149,12 @@ def _first_pass(docs: DataFrame, edits: int, least: int, exact: int, chars: bool
                 keys, lines, index = signatures(hashes if symbols is data else SpanHash(symbols), begin, end - begin, edits, 0)
             else:
                 keys, lines, index = signatures(hashes, starts[at], (stops - starts)[at], edits, least)
-            shard = (keys >> np.uint64(58)).astype(np.uint8)
+            shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(SHARDS + 1))
+            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             names, short = line[at][lines], keys.astype(np.uint32)
             parts = [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
-            rows = [(1, None, None, None, None, i, short[x].tobytes(), names[x].tobytes(), np.packbits(index[x]).tobytes()) for i, x in parts]
+            rows = [(1, None, None, None, None, None, i, short[x].tobytes(), names[x].tobytes(), np.packbits(index[x]).tobytes()) for i, x in parts]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], names=_NAMES)
 
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, _LINES)
@@ -183,7 +193,7 @@ def _candidates(rows: DataFrame) -> DataFrame:
         return pa.table({
             "a": pa.array([np.ascontiguousarray(pairs[:, 0]).tobytes()], pa.binary()),
             "b": pa.array([np.ascontiguousarray(pairs[:, 1]).tobytes()], pa.binary()),
-            "run": pa.array([(group.astype(np.int64) << 8 | key[0].as_py())[more].tobytes()], pa.binary()),
+            "run": pa.array([(group.astype(np.int64) << 24 | key[0].as_py())[more].tobytes()], pa.binary()),
             "node": pa.array([line[more].tobytes()], pa.binary()),
             "own": pa.array([own[more].astype(np.int64).tobytes()], pa.binary()),
             "lead": pa.array([lead[more].tobytes()], pa.binary()),
@@ -205,7 +215,7 @@ def histograms(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.nd
     return np.bincount(np.repeat(np.arange(len(starts)), sizes) * BINS + data[at] % BINS, minlength=len(starts) * BINS).astype(np.uint8).reshape(-1, BINS)
 
 
-def _texts(docs: DataFrame, bloom: np.ndarray, least: int, chars: bool) -> DataFrame:
+def _texts(docs: DataFrame, bloom: np.ndarray, least: int, chars: bool, key: bytes) -> DataFrame:
     """(line, content, histogram) of candidate lines, once for each task."""
     shared = docs.sparkSession.sparkContext.broadcast(bloom)
 
@@ -215,7 +225,7 @@ def _texts(docs: DataFrame, bloom: np.ndarray, least: int, chars: bool) -> DataF
             starts, stops, _, _ = line_spans(data, ends)
             keep = stops - starts >= least
             starts, stops = starts[keep], stops[keep]
-            line = SpanHash(data).spans(starts, stops).view(np.int64)
+            line, _ = line_digests(data, starts, stops, key)
             line, at = np.unique(line, return_index=True)
             there = bloom_has(shared.value, line)
             line, starts, stops = line[there], starts[at[there]], stops[at[there]]
@@ -287,54 +297,70 @@ def _verify(pairs: DataFrame, texts: DataFrame, edits: int, chars: bool) -> Data
     return both.where(F.abs(F.octet_length("p") - F.octet_length("t")) <= (4 * edits if chars else edits)).select("a", "b", "p", "t").mapInArrow(run, "a long, b long")
 
 
-def _remaining(entries: DataFrame, labels: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
-    """Pairs of a key that are in different clusters and whose histograms are close enough."""
-    rows = entries.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = rows.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("run")
-    rows = rows.join(open_, "run", "left_semi").join(texts.select(F.col("line").alias("node"), "bins"), "node")
+def _stars(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each open entry with one line of its key; one of both is in the index."""
+    near = stars(rows, ["node", "own"], turn, F.col("own") == 1)
+    return near.select(F.least("node", "p_node").alias("a"), F.greatest("node", "p_node").alias("b")).distinct()
+
+
+def _remaining(rows: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
+    """All pairs of open entries of a key that are in different clusters and whose histograms are close enough."""
+    rows = rows.join(texts.select(F.col("line").alias("node"), "bins"), "node")
 
     def cross(key, table):
-        run, node, own, component = (table.column(x).to_numpy() for x in ("run", "node", "own", "component"))
-        bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
-        order = np.argsort(run, kind="stable")
-        run, node, own, component, bins = run[order], node[order], own[order], component[order], bins[order]
-        start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-        out = []
-        for a, b in zip(start, np.r_[start[1:], len(run)], strict=True):
-            names, counts = np.unique(component[a:b], return_counts=True)
-            largest = names[np.argmax(counts)]
-            parts, sides = component[a:b], own[a:b] == 1
-            for i in np.flatnonzero(parts != largest):
-                at = np.flatnonzero((parts != parts[i]) & ((np.arange(b - a) > i) | (parts == largest)) & (sides | sides[i]))
-                apart = bins[a:b][at] - bins[a + i]  # modulo 256, as the counts
-                at = at[np.minimum(apart, -apart).sum(axis=1, dtype=np.int64) <= 2 * edits] + a
-                if len(at):
-                    out.append(np.stack([np.minimum(node[at], node[a + i]), np.maximum(node[at], node[a + i])], 1))
-        pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+        out = [np.zeros((0, 2), np.int64)]
+        for c in each_tile(table, ["own", "bins"]):
+            own = c["own"] == 1
+            i, j = pairs_of_tile(c, lambda i, j, own=own: own[i] | own[j])
+            bins = np.frombuffer(b"".join(c["bins"].tolist()), np.uint8).reshape(-1, BINS)
+            for at in range(0, len(i), CHUNK):
+                a, b = i[at : at + CHUNK], j[at : at + CHUNK]
+                apart = bins[a] - bins[b]  # modulo 256, as the counts
+                close = np.minimum(apart, -apart).sum(axis=1, dtype=np.int64) <= 2 * edits
+                x, y = c["node"][a[close]], c["node"][b[close]]
+                out.append(np.stack([np.minimum(x, y), np.maximum(x, y)], 1))
+        pairs = np.concatenate(out)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-    shard = F.pmod(F.xxhash64("lead"), F.lit(SHARDS * 16)).alias("shard")
-    return rows.select(shard, "run", "node", "own", "component", "bins").groupBy("shard").applyInArrow(cross, "a long, b long").distinct()
+    return deal(rows).groupBy("group").applyInArrow(cross, "a long, b long").distinct()
 
 
 def find_repeats(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, exact: int | None = None, chars: bool = False) -> DataFrame:
     """(doc_id, text_hash, lines) with the numbers of the lines that repeat an earlier one; ``docs`` has doc_id, text_hash, text."""
-    small_batches(docs.sparkSession)
-    rows = written(_first_pass(docs, edits, least, least if exact is None else exact, chars), "lines")
-    lines = rows.where("kind = 0").select("doc_id", "text_hash", "line_no", "line")
+    spark = docs.sparkSession
+    small_batches(spark)
+    key = new_key()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
+    rows = written(_first_pass(docs, edits, least, least if exact is None else exact, chars, key, shards), "lines")
+    lines = rows.where("kind = 0").select("doc_id", "text_hash", "line_no", "line", "tail")
     found = written(_candidates(rows), "candidates")
     pairs = written(found.select("a", "b").mapInArrow(_spell, "a long, b long").distinct(), "pairs")
     entries = found.select("run", "node", "own", "lead").mapInArrow(_spell, "run long, node long, own long, lead long")
-    texts = written(_texts(docs, _bloom(found.select("a", "b"), pairs.count()), least, chars), "content")
+    texts = written(_texts(docs, _bloom(found.select("a", "b"), pairs.count()), least, chars, key), "content")
     links = written(_verify(pairs, texts, edits, chars), "links")
-    more = _remaining(entries, components(links), texts, edits)
-    labels = components(links.union(written(_verify(more, texts, edits, chars), "links")))
+    labels = components(links)
+    rest = written(open_entries(entries, labels), "open")
+    left, turn = rest.count(), 0
+    while left:
+        turn += 1
+        links = links.union(written(_verify(_stars(rest, turn), texts, edits, chars), "links"))
+        labels = components(links)
+        last, rest = rest, written(open_entries(rest.drop("component"), labels), "open")
+        drop(last)
+        before, left = left, rest.count()
+        if left > (1 - PROGRESS) * before:
+            break
+    if left:
+        links = links.union(written(_verify(_remaining(rest, texts, edits), texts, edits, chars), "links"))
+        labels = components(links)
+    drop(rest, texts, pairs, found)
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "line_no")
-    first = lines.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first = lines.groupBy("line", "tail").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     clusters = labels.join(first, F.col("node") == F.col("line")).groupBy("component").agg(F.min("first").alias("least"))
     named = labels.join(clusters, "component").select("node", "least")
-    first = written(first.join(named, F.col("line") == F.col("node"), "left").where("n > 1 or least is not null").select("line", F.coalesce("least", "first").alias("least")), "first")
-    repeats = lines.join(first, "line").where(place != F.col("least"))
+    first = written(first.join(named, F.col("line") == F.col("node"), "left").where("n > 1 or least is not null").select("line", "tail", F.coalesce("least", "first").alias("least")), "first")
+    repeats = lines.join(first, ["line", "tail"]).where(place != F.col("least"))
     return repeats.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
 
 
@@ -344,7 +370,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, exa
     Null texts stay null with no lines.  Rows that repeat an id stand at the same place in the order,
     so equal ones keep or lose the same lines.  Null ids come last.  Lines of less than ``least`` bytes
     go if they repeat another exactly and have ``exact`` bytes (without it they stay); ``chars`` counts
-    edits in code points.  Lines are told apart by 64-bit hashes.
+    edits in code points.  Lines are equal if their 128-bit digests are, under a key drawn for the run;
+    near lines are compared by their bytes.
     """
     rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     keyed = docs.select(*rest).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))

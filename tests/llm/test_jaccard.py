@@ -1,9 +1,9 @@
 import random
 import re
 
-import numpy as np
 import pytest
 from inkgraph.llm import jaccard as j
+from inkgraph.llm import tiles
 from inkgraph.llm.components import components
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -82,26 +82,10 @@ def test_words_of_equal_polynomial_hashes_are_different(spark):
     assert all(r.doc_id == r.component_id for r in j.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
-def test_tiles_find_each_pair_between_components_once():
-    rng = np.random.default_rng(4)
-    rows = [(run, node, 20 + node % 3, rng.integers(0, 6), node % 4) for run in range(6) for node in rng.choice(30, 12, replace=False)]
-    run, node, n, place, component = map(np.array, zip(*rows, strict=True))
-    want = {(min(a[1], b[1]), max(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[4] != b[4] and j._bound(np.array(a[2] - a[3]), np.array(b[2] - b[3]), a[2], b[2], 75)}
-    got = []
-    for x in range(3):
-        for y in range(x, 3):
-            at = np.isin(node % 3, (x, y))
-            c = {"run": run[at], "node": node[at], "n": n[at], "place": place[at], "component": component[at], "part": (node % 3)[at], "x": np.full(at.sum(), x), "y": np.full(at.sum(), y)}
-            a, b, na, nb = j._tile(c, 75)
-            assert (na == 20 + a % 3).all() and (nb == 20 + b % 3).all()
-            got += [(min(p), max(p)) for p in zip(a.tolist(), b.tolist(), strict=True)]
-    assert len(got) == len(set(got)) and set(got) == want
-
-
 @pytest.mark.parametrize("tile", [3, 1024])
 def test_chains_of_near_copies_are_one_component(spark, tile, monkeypatch):
     """Each text is near the next one alone, so that neither stars nor one tile can tie them all."""
-    monkeypatch.setattr(j, "TILE", tile)
+    monkeypatch.setattr(tiles, "TILE", tile)
     rng = random.Random(9)
     words = [f"v{i}" for i in range(400)]
     shared = [f"s{i}" for i in range(30)]
