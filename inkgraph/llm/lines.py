@@ -373,18 +373,20 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, exa
     edits in code points.  Lines are equal if their 128-bit digests are, under a key drawn for the run;
     near lines are compared by their bytes.
     """
-    rest = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    keyed = docs.select(*rest).withColumn("__hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rest = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in rest))  # no column begins with so many
+    doc, text_hash, numbers = f"{mark}doc", f"{mark}hash", f"{mark}lines"
+    keyed = docs.select(*rest).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
     repeats = find_repeats(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), edits, least, exact, chars)
-    repeats = repeats.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__key"), F.col("lines").alias("__lines"))
-    joined = keyed.join(repeats, keyed["doc_id"].eqNullSafe(F.col("__doc")) & (F.col("__hash") == F.col("__key")), "left").drop("__doc", "__key", "__hash")
+    repeats = repeats.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(f"{mark}key"), F.col("lines").alias(numbers))
+    joined = keyed.join(repeats, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(f"{mark}key")), "left").drop(doc, f"{mark}key", text_hash)
     schema = docs.select(*rest).schema.add("n_lines", "long").add("n_removed", "long")
     at = rest.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             texts, counts, removed = [], [], []
-            for text, lines in zip(batch.column("text").to_pylist(), batch.column("__lines").to_pylist(), strict=True):
+            for text, lines in zip(batch.column("text").to_pylist(), batch.column(numbers).to_pylist(), strict=True):
                 parts = [] if text is None else text.split("\n")
                 counts.append(len(parts))
                 removed.append(len(lines or ()))
