@@ -83,7 +83,10 @@ def distinct_spans(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> t
     sizes = stops - starts
     ends = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(sizes, out=ends[1:])
-    joined = data[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
+    if len(starts) and (starts[1:] == stops[:-1]).all():
+        joined = np.ascontiguousarray(data[starts[0] : stops[-1]])
+    else:
+        joined = data[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])]
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(joined)]).dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy()
 

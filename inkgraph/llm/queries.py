@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, jaccard, licenses, lines, oracles, quality, secrets, sites, suffix_dedup, suffix_tree
+from .storage import READ
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.options(**READ).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def word_tokenizer() -> str:

@@ -12,8 +12,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from .buffers import SpanHash
-
 
 def classify(text: np.ndarray) -> np.ndarray:
     """True for S suffixes; the end of the text counts as smallest, so the last suffix is L."""
@@ -130,10 +128,13 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np
         number = np.empty(n, np.int32)
         number[lms] = np.arange(len(lms), dtype=np.int32)
         ends = np.minimum(np.append(lms[1:], n - 1) + 1, n)  # a substring takes in the first symbol of the next
-        hashes = SpanHash(text).spans(lms, ends)
         rank = number[by_substring]
         size = ends - lms
-        differ = (hashes[rank[1:]] != hashes[rank[:-1]]) | (size[rank[1:]] != size[rank[:-1]]) | (rank[1:] == len(lms) - 1) | (rank[:-1] == len(lms) - 1)
+        a, b = rank[1:], rank[:-1]
+        differ = (size[a] != size[b]) | (a == len(lms) - 1) | (b == len(lms) - 1)
+        alike = np.flatnonzero(~differ)
+        want = size[a[alike]] if depth is None else np.minimum(size[a[alike]], depth)
+        differ[alike] = common_prefixes(text, lms[a[alike]], lms[b[alike]], want) < want
         names = np.empty(len(lms), np.int64)
         names[rank] = np.r_[0, np.cumsum(differ)]
         rounds = None if depth is None else max(1, int(np.ceil(np.log2(max(depth / 2, 2)))))
@@ -142,41 +143,33 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int | None = None) -> np
     return np.concatenate([x for pair in zip(larger, less, strict=True) for x in pair])
 
 
-def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each place of the text, how many symbols (at most ``most``) its suffix shares with the one before it in the order.
-
-    The first symbols are compared one by one, which ends most places; the others by hashes of
-    spans, by halves.
-    """
+def common_prefixes(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
+    """How many symbols, at most ``most``, the suffixes from each a and b share; four symbols are compared at once."""
     n = len(text)
-    out = np.zeros(n, np.int32)
-    before = np.full(n, -1, np.int32)
+    padded = np.zeros(n + 4, np.uint16)
+    padded[:n] = text
+    four = np.ndarray((n + 1,), np.uint64, padded, strides=(2,))  # the four symbols from every place
+    room = np.minimum(n - np.maximum(a, b), most).astype(np.int64)
+    out, step = room.copy(), 0
+    at = np.flatnonzero(room > 0)
+    while len(at):
+        apart = four[a[at] + step] ^ four[b[at] + step]
+        ended = np.flatnonzero(apart)
+        if len(ended):
+            x = apart[ended]
+            same = (x & np.uint64(0xFFFF) == 0).astype(np.int64)
+            same += (x & np.uint64(0xFFFFFFFF) == 0).astype(np.int64) + (x & np.uint64(0xFFFFFFFFFFFF) == 0)
+            out[at[ended]] = np.minimum(step + same, room[at[ended]])
+        step += 4
+        at = at[(apart == 0) & (room[at] > step)]
+    return out
+
+
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """For each place of the text, how many symbols (at most ``most``) its suffix shares with the one before it in the order."""
+    out = np.zeros(len(text), np.int32)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
     at = np.flatnonzero(before >= 0)
-    hashes = SpanHash(text)
-    if n > most:  # whole matches first
-        whole = hashes.windows(most)
-        inside = (at < len(whole)) & (before[at] < len(whole))
-        full = np.zeros(len(at), bool)
-        full[inside] = whole[at[inside]] == whole[before[at[inside]]]
-        out[at[full]] = most
-        at = at[~full]
-    for k in range(min(most, 6)):
-        a, b = at + k, before[at] + k
-        inside = (a < n) & (b < n)
-        at, a, b = at[inside], a[inside], b[inside]
-        at = at[text[a] == text[b]]
-        out[at] = k + 1
-    if most <= 6 or not len(at):
-        return out
-    a, b = at, before[at].astype(np.int64)
-    room = np.minimum(n - np.maximum(a, b), most)
-    shared = np.full(len(at), 6, np.int64)
-    step = 1 << (most - 6).bit_length() - 1
-    while step:
-        size = np.minimum(step, room - shared)
-        x, y = a + shared, b + shared
-        shared += np.where(hashes.spans(x, x + size) == hashes.spans(y, y + size), size, 0)
-        step //= 2
-    out[at] = shared
+    out[at] = common_prefixes(text, at, before[at], most)
     return out

@@ -27,8 +27,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Bytes of an Arrow batch between Spark and Python at most (or one row), and rows that a scan decodes at once.
 BATCH_BYTES, SCAN_ROWS = 4 << 20, 512
-#: Bytes that a writer of an intermediate table gathers before it writes them.
-GROUP_BYTES = 16 << 20
+#: Bytes that a writer of an intermediate table gathers before it writes them, and of a page, which is read in one piece.
+GROUP_BYTES, PAGE_BYTES = 16 << 20, 256 << 10
+#: Bytes that a reader of Parquet takes in one piece: the JVM keeps larger pieces apart and frees them late.
+READ = {"parquet.read.allocation.size": str(256 << 10)}
 #: Rows of narrow tables that one file should have at least.
 FILE_ROWS = 500_000
 
@@ -55,8 +57,8 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(rows // FILE_ROWS + 1)
     raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-    df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).parquet(path)
+    out = spark.read.options(**READ).schema(df.schema).parquet(path)
     out.written_path = path
     return out
 

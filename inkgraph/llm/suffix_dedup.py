@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import SpanHash
+from .buffers import SpanHash, distinct_spans
 from .jaccard import _bloom, bloom_has
 from .sais import permuted_common_prefixes, suffix_array
 from .storage import written
@@ -35,7 +35,9 @@ from .text_blocks import unpack as _unpack
 
 LENGTH, GRAM = 50, 24
 #: Suffixes that a shard sorts at once, about; more are sorted in parts, by anchor.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 1 << 20
+#: Blocks of text whose anchors a shard gets at most, about.
+SHARD_BLOCKS = 8
 
 
 def _digest(text: bytes, doc_id: int | None = None) -> int:
@@ -203,21 +205,21 @@ def _answer(length: int, gram: int):
         owned = np.concatenate(owned)
         sizes = owned + length - 1
         starts = np.cumsum(sizes) - sizes
-        hashes = _hashes(text, starts, sizes)
-        _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        _, which = distinct_spans(text, starts, starts + sizes)  # numbered in the order in which they come first
+        first = np.flatnonzero(np.diff(np.maximum.accumulate(which), prepend=-1))
         least_id = np.full(len(first), np.iinfo(np.int64).max, np.int64)
         np.minimum.at(least_id, which, ids)
-        least = np.zeros(len(first) * (int(owned.max()) if len(owned) else 0), np.int64).reshape(len(first), -1)
-        parts = _parts(text, starts, sizes, first, length, gram)
-        for part in parts:
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(len(first) + 1))
+        bits = np.zeros(len(owned), np.uint32)
+        for part in _parts(text, starts, sizes, first, length, gram):  # one is held at a time
             c = first[part]
             found = least_documents(_gather(text, starts[c], sizes[c]), sizes[c], owned[c], least_id[part], length)
-            line = np.repeat(part, owned[c])
-            column = np.arange(len(line)) - np.repeat(np.cumsum(owned[c]) - owned[c], owned[c])
-            least[line, column] = found
-        bits = np.zeros(len(owned), np.uint32)
-        for w in range(least.shape[1]):
-            bits |= ((least[which, w] < ids) & (w < owned)).astype(np.uint32) << np.uint32(w)
+            begin = np.repeat(np.cumsum(owned[c]) - owned[c], bounds[part + 1] - bounds[part])
+            at = _gather(order, bounds[part], bounds[part + 1] - bounds[part])  # all rows of these contexts
+            for w in range(int(owned[c].max())):
+                some = np.flatnonzero(w < owned[at])
+                bits[at[some]] |= (found[begin[some] + w] < ids[at[some]]).astype(np.uint32) << np.uint32(w)
         cuts = np.cumsum(rows)[:-1]
         out = []
         for block, start, b in zip(near.column("block").to_pylist(), near.column("starts").to_pylist(), np.split(bits, cuts), strict=True):
@@ -229,30 +231,23 @@ def _answer(length: int, gram: int):
     return run
 
 
-def _hashes(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, most: int = 1 << 20) -> np.ndarray:
-    """Hashes of consecutive spans, in parts of bounded size."""
-    ends = starts + sizes
-    out, a = np.empty(len(starts), np.uint64), 0
-    while a < len(starts):
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + most, side="right")))
-        out[a:b] = SpanHash(text[starts[a] : ends[b - 1]]).spans(starts[a:b] - starts[a], ends[a:b] - starts[a])
-        a = b
-    return out
-
-
 def _parts(text: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray, length: int, gram: int) -> list[np.ndarray]:
     """Distinct contexts in parts of bounded size; equal strings stay in one part, as they share an anchor."""
-    total = int(sizes[first].sum())
-    if total <= SHARD_BYTES:
-        return [np.arange(len(first))]
-    least = np.empty(len(first), np.uint64)
-    for i, c in enumerate(first):
-        n = int(sizes[c])
-        at = np.arange(n - length, length - gram + 1)  # the anchor is in every owned string
-        least[i] = SpanHash(text[starts[c] : starts[c] + n]).spans(at, at + gram).min()
-    parts = total // SHARD_BYTES + 1
+    size = sizes[first]
+    parts = int(size.sum()) // SHARD_BYTES + 1
+    if parts == 1:
+        return [np.arange(len(first))] if len(first) else []
+    least, total, a = np.empty(len(first), np.uint64), np.cumsum(size), 0
+    while a < len(first):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SHARD_BYTES, side="right")))
+        begin = np.cumsum(size[a:b]) - size[a:b]
+        hashes = np.append(SpanHash(_gather(text, starts[first[a:b]], size[a:b])).windows(gram), ~np.uint64(0))
+        # the anchor is in every owned string, so from the start of the last to the end of the first
+        least[a:b] = np.minimum.reduceat(hashes, np.stack([begin + size[a:b] - length, begin + length - gram + 1], 1).ravel())[::2]
+        a = b
     group = (least >> np.uint64(7)) % np.uint64(parts)
-    return [p for k in range(parts) if len(p := np.flatnonzero(group == k))]
+    order = np.argsort(group, kind="stable")
+    return [p for p in np.split(order, np.searchsorted(group[order], np.arange(1, parts))) if len(p)]
 
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -294,14 +289,14 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     """One row for each row of ``docs``: bytes, removed bytes, removed runs, digest of the rest; with ``keep`` the rest itself.
 
     Null texts are empty.  Rows that share an id never remove each other's strings; rows with a null
-    id keep everything and remove nothing.  An empty table gives an empty result.  Contexts are told
-    apart by 64-bit hashes.
+    id keep everything and remove nothing.  An empty table gives an empty result.  Strings are
+    compared by their bytes; whole copies by 128-bit digests.
     """
     if length - gram + 1 > 32:
         raise ValueError("at most 32 strings share an anchor")
     spark = docs.sparkSession
     texts = text_blocks(docs)
-    shards = shards or shard_count(texts, 8)
+    shards = shards or shard_count(texts, SHARD_BLOCKS)
     first = spark.sparkContext.broadcast(_first_copies(texts, docs.count()))
     shared = _ask(texts, first, length, gram, shards).groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary")
     near = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(first, length, gram, shards), _NEAR)
