@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import ALNUM_WORDS, ASCII_LOWER, blocks, digests, distinct_spans, new_key, text_buffer, word_spans
-from .storage import small_batches, written
+from .storage import scratch, small_batches, written
 from .text_blocks import pack_deltas, unpack_deltas
 
 WINDOW = 10
@@ -431,24 +431,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     spark = docs.sparkSession
     small_batches(spark)
     key = new_key()
-    index = written(build_index(docs, key), "postings")
-    rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("at", "d")).select("block", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").cast("long").alias("n_words"))
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    items = _items(benchmark, key)
-    if size <= broadcast_bytes:
-        found = _small_search(index, items.collect(), window, slop, near_terms)
-    else:
-        numbered = written(items.withColumn("number", F.monotonically_increasing_id()), "items")
-        found = _large_search(index, numbered, size // SHARD_BYTES + 1, window, slop, near_terms)
-    matches = written(found.repartition("block"), "matches")
-    none = F.array().cast("array<string>")
-    out = rows.join(matches, ["block", "at"], "left").select(
-        "doc_id",
-        "n_words",
-        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
-        F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.sort_array(F.coalesce("items", none)), ","), 256).alias("items_sha256"),
-        F.coalesce("near_items", none).alias("near_items"),
-        F.arrays_zip("starts", "stops").alias("spans"),
-    )
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    with scratch() as kept:
+        index = written(build_index(docs, key), "postings")
+        rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("at", "d")).select("block", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").cast("long").alias("n_words"))
+        size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        items = _items(benchmark, key)
+        if size <= broadcast_bytes:
+            found = _small_search(index, items.collect(), window, slop, near_terms)
+        else:
+            numbered = written(items.withColumn("number", F.monotonically_increasing_id()), "items")
+            found = _large_search(index, numbered, size // SHARD_BYTES + 1, window, slop, near_terms)
+        matches = written(found.repartition("block"), "matches")
+        none = F.array().cast("array<string>")
+        out = rows.join(matches, ["block", "at"], "left").select(
+            "doc_id",
+            "n_words",
+            F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+            F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
+            F.sha2(F.array_join(F.sort_array(F.coalesce("items", none)), ","), 256).alias("items_sha256"),
+            F.coalesce("near_items", none).alias("near_items"),
+            F.arrays_zip("starts", "stops").alias("spans"),
+        )
+        return kept(written(out.withColumn("contaminated", F.col("n_hit") > 0), "verdicts"))

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .buffers import ASCII_LOWER, SPACE_WORDS, digests, joined_hash, mix, new_key, word_spans
 from .components import components
-from .storage import drop, small_batches, written
+from .storage import drop, scratch, small_batches, written
 from .text_blocks import batch as _batch
 from .text_blocks import pack as _pack
 from .text_blocks import read_blocks, shard_count, table, text_blocks
@@ -430,6 +430,9 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
     rows = first.where("n is not null").select("doc_id", "n", "node")
     postings = first.where("shard is not null").select("shard", "nodes", "sizes", "counts", "keys", "places")
     found = written(_runs(postings, percent, shards), "runs")
+    narrow = written(rows, "rows")
+    drop(first)
+    rows = narrow
     pairs = found.where("a is not null").select("pair_shard", "a", "b", "na", "nb")
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,11 +478,11 @@ def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragmen
     told apart by 64-bit hashes that are made of 128-bit digests of the words under a key drawn for the
     run: no text can be made to meet another, and N sets meet by chance with probability N * N / 2^65.
     """
-    rows, labels = classes_and_links(docs, k, percent, fragments)
-    per = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    per = per.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    per = written(per, "classes")
-    least = per.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = per.join(least, "component").select("node", "component_id")
-    out = rows.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    with scratch() as kept:
+        rows, labels = classes_and_links(docs, k, percent, fragments)
+        per = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
+        per = written(per.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
+        least = per.groupBy("component").agg(F.min("least").alias("component_id"))
+        named = per.join(least, "component").select("node", "component_id")
+        out = rows.join(named, "node", "left")
+        return kept(written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "components"))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .buffers import SpanHash, blocks, digests, mix, new_key, text_buffer
 from .components import components
 from .jaccard import _bloom, bloom_has
-from .storage import drop, small_batches, written
+from .storage import drop, scratch, small_batches, written
 from .tiles import PROGRESS, deal, each_tile, open_entries, pairs_of_tile, stars
 
 EDITS, MIN_BYTES = 2, 20
@@ -377,7 +377,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = MIN_BYTES, exa
     mark = "_" * (1 + max(len(c) - len(c.lstrip("_")) for c in rest))  # no column begins with so many
     doc, text_hash, numbers = f"{mark}doc", f"{mark}hash", f"{mark}lines"
     keyed = docs.select(*rest).withColumn(text_hash, F.xxhash64(F.coalesce("text", F.lit(""))))
-    repeats = find_repeats(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), edits, least, exact, chars)
+    with scratch() as kept:
+        repeats = kept(written(find_repeats(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), edits, least, exact, chars), "repeats"))
     repeats = repeats.select(F.col("doc_id").alias(doc), F.col("text_hash").alias(f"{mark}key"), F.col("lines").alias(numbers))
     joined = keyed.join(repeats, keyed["doc_id"].eqNullSafe(F.col(doc)) & (F.col(text_hash) == F.col(f"{mark}key")), "left").drop(doc, f"{mark}key", text_hash)
     schema = docs.select(*rest).schema.add("n_lines", "long").add("n_removed", "long")

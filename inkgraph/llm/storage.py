@@ -7,8 +7,12 @@ A table goes as soon as all that was made of it is written too.
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,12 +64,60 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).parquet(path)
     out = spark.read.options(**READ).schema(df.schema).parquet(path)
     out.written_path = path
+    if scopes := _scopes():
+        scopes[-1].append(out)
     return out
 
 
+_local = threading.local()
+
+
+def _scopes() -> list[list[DataFrame]]:
+    if not hasattr(_local, "scopes"):
+        _local.scopes = []
+    return _local.scopes
+
+
+def _delete(table: DataFrame) -> None:
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of jobs that ended now, not only when the driver is short of memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of ``written`` of which everything that is still needed has been written."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        _delete(table)
+        for scope in _scopes():
+            scope[:] = [x for x in scope if x is not table]
+    if tables:
+        _sweep(tables[0].sparkSession)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes all tables written inside it at its end, but for those given to what it yields."""
+    scopes = _scopes()
+    own: list[DataFrame] = []
+    scopes.append(own)
+
+    def kept(table: DataFrame) -> DataFrame:
+        own[:] = [x for x in own if x is not table]
+        if len(scopes) > 1:
+            scopes[-2].append(table)
+        return table
+
+    try:
+        yield kept
+    finally:
+        scopes.remove(own)
+        for table in own:
+            _delete(table)
+        if own:
+            _sweep(own[0].sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .buffers import SpanHash, distinct_spans
 from .jaccard import _bloom, bloom_has
 from .sais import permuted_common_prefixes, suffix_array
-from .storage import written
+from .storage import scratch, written
 from .text_blocks import batch as _batch
 from .text_blocks import pack as _pack
 from .text_blocks import read_blocks, shard_count, table, text_blocks
@@ -295,10 +295,12 @@ def dedup_strings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, shard
     if length - gram + 1 > 32:
         raise ValueError("at most 32 strings share an anchor")
     spark = docs.sparkSession
-    texts = text_blocks(docs)
-    shards = shards or shard_count(texts, SHARD_BLOCKS)
-    first = spark.sparkContext.broadcast(_first_copies(texts, docs.count()))
-    shared = _ask(texts, first, length, gram, shards).groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary")
-    near = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(first, length, gram, shards), _NEAR)
-    answers = written(near.groupBy("shard").applyInArrow(_answer(length, gram), "block long, starts binary, bits binary"), "answers")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(first, length, keep), SCHEMA + ", kept binary" * keep)
+    with scratch() as kept:
+        texts = text_blocks(docs)
+        shards = shards or shard_count(texts, SHARD_BLOCKS)
+        first = spark.sparkContext.broadcast(_first_copies(texts, docs.count()))
+        shared = _ask(texts, first, length, gram, shards).groupBy("shard").applyInArrow(_shared_anchors, "block long, shard int, anchors binary")
+        near = texts.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_surroundings(first, length, gram, shards), _NEAR)
+        answers = written(near.groupBy("shard").applyInArrow(_answer(length, gram), "block long, starts binary, bits binary"), "answers")
+        out = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(first, length, keep), SCHEMA + ", kept binary" * keep)
+        return kept(written(out, "deduped"))
