@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages, each one operator over all rows that its predecessor kept.
 
-Each stage's rows are written as Parquet and read again as the next one's ``docs``.
+Each stage's rows are written as Parquet and read again as the next one's ``docs``.  Every stage takes
+nulls in any column, rows that repeat an id or have none, empty tables and further columns of any
+name, and returns the columns that it got.
 """
 
 from __future__ import annotations
@@ -9,26 +11,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgraph.llm import bpe, decontaminate, jaccard, lines, quality
+from inkgraph.llm.components import components
 from inkgraph.llm.queries import word_tokenizer
-from inkgraph.llm.storage import written
+from inkgraph.llm.storage import scratch, written
 
-
-#: Rejected ids that are sent to all executors at most; more are joined by shuffling.
+#: Ids that are sent to all executors at most; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
 
-def _verdicts(docs: DataFrame, rows: DataFrame, bad, key: str = "doc_id") -> DataFrame:
-    """``docs`` without those whose ``key`` is among the ids in the rows of a verdict; a null id matches a null id."""
-    gone = written(rows.where(bad).select(F.col("doc_id").alias("__id")).distinct(), "rejected")
-    small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, docs[key].eqNullSafe(gone["__id"]), "left_anti")
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, in any case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    """Written ids, broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
 def _judged(docs: DataFrame, operator, bad) -> DataFrame:
     """``docs`` without the rows an operator rejects by text and language; it sees a hash of id, language and text as the id, so no other row goes."""
+    key = _fresh(docs, "content_key")
     parts = [y for x in ("doc_id", "lang", "text") for y in (F.col(x).isNull(), F.col(x))]
-    keyed = docs.withColumn("__key", F.xxhash64(*parts))
-    return _verdicts(keyed, operator(keyed.select(F.col("__key").alias("doc_id"), "text", "lang")), bad, "__key").drop("__key")
+    keyed = docs.withColumn(key, F.xxhash64(*parts))
+    with scratch() as kept:
+        gone = kept(written(operator(keyed.select(F.col(key).alias("doc_id"), "text", "lang")).where(bad).select(F.col("doc_id").alias(key)).distinct(), "rejected"))
+    return keyed.join(_sent(gone), key, "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +49,53 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and documents of which no word is left by that; ``n_chars`` follows the text."""
-    out = lines.dedup_lines(docs, exact=1, chars=True)
+    aside = {c: _fresh(docs, c) for c in docs.columns if c.lower() in ("n_lines", "n_removed")}  # the operator adds columns of these names
+    out = lines.dedup_lines(docs.withColumnsRenamed(aside), exact=1, chars=True)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    return out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    out = out.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("n_lines", "n_removed").withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
+
+
+def _entered(spark: SparkSession, rows: DataFrame, row: str, sf_dir: str) -> DataFrame:
+    """(row, text) of the rows whose text was another one in ``documents``; ids that stand there more than once name no text."""
+    whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").where("doc_id is not null")
+    marks = whole.select("doc_id", F.xxhash64("text").alias("was")).groupBy("doc_id").agg(F.count("*").alias("n"), F.first("was").alias("was")).where("n = 1")
+    changed = rows.select("doc_id", row, F.xxhash64("text").alias("now")).join(marks, "doc_id").where("was <> now").select("doc_id", row)
+    return whole.join(_sent(written(changed, "changed")), "doc_id").select(row, "text")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the smallest id; rows without an id all stay."""
-    return _verdicts(docs, jaccard.join_components(docs), F.col("doc_id") != F.col("component_id"))
+    """One document of each group of near copies stays, the one of the smallest id (null last).
+
+    Rows are told apart by number, so rows that share an id or have none are deduplicated like others.
+    A text that line dedup cut also counts as it was: two documents belong together if they are
+    near copies by either text, so no scrap of a near copy stays.  Rows without a word stay.
+    """
+    with scratch() as kept:
+        row = _fresh(docs, "row_number")
+        rows = _numbered(docs, row, kept)
+        return rows.join(_sent(kept(_copies(spark, rows, row, sf_dir))), row, "left_anti").select(*docs.columns)
+
+
+def _numbered(docs: DataFrame, row: str, kept) -> DataFrame:
+    """``docs`` with a number for each row, the same one whenever it is read again."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":  # no files as they are: write them
+        docs = kept(written(docs, "rows"))
+    return docs.withColumn(row, F.monotonically_increasing_id())
+
+
+def _copies(spark: SparkSession, rows: DataFrame, row: str, sf_dir: str) -> DataFrame:
+    """The numbers of the rows that go, as a written table."""
+    both = rows.select((F.col(row) * 2).alias("doc_id"), "text").union(_entered(spark, rows, row, sf_dir).select((F.col(row) * 2 + 1).alias("doc_id"), "text"))
+    found = jaccard.join_components(both).where("n_shingles > 0").select(F.floor(F.col("doc_id") / 2).cast("long").alias(row), F.col("component_id").alias("component"))
+    found = written(found.groupBy(row).agg(F.min("component").alias("component"), F.max("component").alias("other")), "groups")
+    tied = components(written(found.where("component <> other").select(F.col("component").alias("a"), F.col("other").alias("b")), "ties"))
+    named = found.join(tied.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select(row, F.coalesce("least", "component").alias("component"))
+    # the first of each group by id is found on narrow rows, and only the rows of the others are sent to the texts
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
+    narrow = written(rows.select("doc_id", row).join(named, row), "narrow")
+    first = narrow.groupBy("component").agg(F.min(place).alias("first"))
+    return written(narrow.join(first, "component").where(F.col("first")[row] != F.col(row)).select(row), "copies")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
