@@ -10,6 +10,7 @@ the best automaton against that of plain words, numbers and random characters.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -260,6 +261,44 @@ def train(docs: DataFrame, limit: int = TRAIN) -> list[Automaton]:
     return [Automaton([r.value for r in rows]) for kind in KINDS if (rows := values.where(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(limit).collect())]
 
 
+def best_apart(found: list[tuple[float, int, int]], taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (ratio, start, end), best first and longer before shorter, that overlap neither ``taken`` nor a better one.
+
+    Chosen spans are kept apart and in order, so each is compared with its two neighbours alone.
+    """
+    merged: list[list[int]] = []
+    for a, b in sorted(taken):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    begins = [a for a, _ in merged]
+    # of what is left, spans that overlap each other form clusters, in which few stand
+    out: list[tuple[int, int]] = []
+    cluster: list[tuple[float, int, int]] = []
+    reach = -1
+
+    def settle() -> None:
+        chosen: list[tuple[int, int]] = []
+        for _, a, b in sorted(cluster, key=lambda x: (-x[0], x[1] - x[2], x[1])):
+            at = bisect.bisect_left(chosen, (a, b))
+            if (at == 0 or chosen[at - 1][1] <= a) and (at == len(chosen) or chosen[at][0] >= b):
+                chosen.insert(at, (a, b))
+        out.extend(chosen)
+
+    for ratio, a, b in sorted(found, key=lambda x: x[1:]):
+        at = bisect.bisect_left(begins, b)  # the last taken span that starts before the end
+        if at and merged[at - 1][1] > a:
+            continue
+        if a >= reach:
+            settle()
+            cluster = []
+        cluster.append((ratio, a, b))
+        reach = max(reach, b)
+    settle()
+    return out
+
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long, best_score double"
 
 
@@ -283,24 +322,19 @@ def scan_secrets(docs: DataFrame, automata: list[Automaton] | None = None, thres
             owner = np.searchsorted(ends, starts, side="right") - 1
             best = np.full(rows, -np.inf)
             np.maximum.at(best, owner, scores)
-            found: dict[int, list[tuple[int, int]]] = {}
-            order = np.lexsort((first - last, -ratios))
-            first, last = first[order], last[order]
-            for i, a, b in zip((np.searchsorted(ends, first, side="right") - 1).tolist(), first.tolist(), last.tolist(), strict=True):
-                found.setdefault(i, []).append((a - int(ends[i]), b - int(ends[i])))
+            leads = np.r_[0, np.cumsum((data & 0xC0) != 0x80)]  # code points before each byte of the block
+            found: dict[int, list[tuple[float, int, int]]] = {}
+            text_of_span = np.searchsorted(ends, first, side="right") - 1
+            begin = leads[first] - leads[ends[text_of_span]]
+            for i, ratio, a, b in zip(text_of_span.tolist(), ratios.tolist(), begin.tolist(), (begin + last - first).tolist(), strict=True):
+                found.setdefault(i, []).append((ratio, a, b))  # runs are ASCII: as many code points as bytes
             base: list[list] = [[] for _ in range(rows)]
             spans: list[list] = [[] for _ in range(rows)]
             added = [0] * rows
             for i in sorted(set(suspects(data, ends).tolist()) | found.keys()):
                 text = batch.column("text")[i].as_py()
                 base[i] = [(a, k, kind, b) for a, k, kind, b, _ in base_matches(text)]
-                raw = text.encode()
-                extra = []
-                for a, b in found.get(i, ()):  # best first; runs are ASCII: as many code points as bytes
-                    start = len(raw[:a].decode())
-                    x = (start, len(KINDS), FORMAT, start + b - a)
-                    if not any(x[0] < y[3] and y[0] < x[3] for y in base[i] + extra):
-                        extra.append(x)
+                extra = [(a, len(KINDS), FORMAT, b) for a, b in best_apart(found.get(i, []), [(a, b) for a, _, _, b in base[i]])]
                 added[i] = len(extra)
                 spans[i] = sorted(base[i] + extra)
             text_of = lambda x: ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in x)
