@@ -29,6 +29,8 @@ from .storage import small_batches
 LEAF = 256
 #: Entries of each of the two generations of the cache of chunks, for each Python worker.
 CACHE = 120_000
+#: Bytes of chunks, ids and tokens from which on a generation is thrown away; one text's are held in any case.
+CACHE_BYTES = 16 << 20
 #: A chunk of its own that no plain chunk holds.
 MARK = b"\x01 "
 #: A full stop or comma that is a pre-token of its own.
@@ -106,6 +108,8 @@ class Codec:
         self.library.no_padding()
         self.path, self._tree = path, None
         self.specials = {t["content"]: t["id"] for t in specials}
+        self.special = re.compile("|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True)))
+        self.held = 0  # bytes of the young generation's entries
         self.leaf, self.size = leaf, cache
         self.token = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.id_text = {i: str(i) for i in self.token}
@@ -135,16 +139,15 @@ class Codec:
         return ids
 
     def _split_specials(self, text: str) -> Iterator[tuple[str, int | None]]:
-        while text:
-            found = min(((text.find(s), -len(s), s) for s in self.specials if s in text), default=None)
-            if found is None:
-                yield text, None
-                return
-            at, _, special = found
-            if at:
-                yield text[:at], None
-            yield special, self.specials[special]
-            text = text[at + len(special) :]
+        """The text cut at special tokens, the first and of those at one place the longest, in one pass."""
+        done = 0
+        for found in self.special.finditer(text) if self.specials else ():
+            if found.start() > done:
+                yield text[done : found.start()], None
+            yield found.group(), self.specials[found.group()]
+            done = found.end()
+        if done < len(text):
+            yield text[done:], None
 
     def _entry(self, ids: list[int]) -> tuple[int, str, str]:
         return len(ids), " ".join(map(self.id_text.__getitem__, ids)), " ".join(map(self.token.__getitem__, ids))
@@ -158,11 +161,15 @@ class Codec:
             at = 0
             for c in plain:
                 to = ids.index(self.mark, at)
-                self.young[c] = self._entry(ids[at:to])
+                self._keep(c, self._entry(ids[at:to]))
                 at = to + 1
         if len(plain) < len(chunks):
             for c in set(chunks).difference(plain):
-                self.young[c] = self._entry(self._long(c.decode()))
+                self._keep(c, self._entry(self._long(c.decode())))
+
+    def _keep(self, chunk: bytes, entry: tuple[int, str, str]) -> None:
+        self.young[chunk] = entry
+        self.held += len(chunk) + len(entry[1]) + len(entry[2])
 
     def _chunks(self, text: bytes) -> list[bytes]:
         """The text cut where no token crosses: at ASCII white space, and before a full stop or comma between a letter and white space."""
@@ -174,8 +181,8 @@ class Codec:
         """For each UTF-8 text: number of tokens, ids joined by a space, decoded text."""
         out = []
         for text in texts:
-            if len(self.young) > self.size:
-                self.old, self.young = self.young, {}
+            if len(self.young) > self.size or self.held > CACHE_BYTES:
+                self.old, self.young, self.held = self.young if self.held <= CACHE_BYTES else {}, {}, 0
             chunks = self._chunks(text)
             unseen = set(chunks).difference(self.young)
             if self.old:
