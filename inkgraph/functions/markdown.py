@@ -20,6 +20,10 @@ NON_CONTENT = "|".join([
 ])
 
 
+#: Links whose lengths are summed together where places are computed.
+CHUNK = 64
+
+
 def _blank(part: Column) -> Column:
     """As many blanks as bytes, line by line."""
     return F.array_join(F.transform(F.split(part, "\n", -1), lambda x: F.repeat(F.lit(" "), F.octet_length(x))), "\n")
@@ -61,7 +65,19 @@ def links(pages: DataFrame) -> DataFrame:
     found, gaps = F.regexp_extract_all("clean", F.lit(LINK), F.lit(0)), F.split("clean", LINK, -1)
     measured = lambda a: F.transform(a, lambda x: F.struct(F.octet_length(x).alias("bytes"), (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("breaks")))
     rows = rows.select("path", "raw", found.alias("found"), gaps.alias("gaps")).where(F.size("found") > 0).select("path", "raw", "found", measured("gaps").alias("g"), measured("found").alias("f"))
-    before = lambda i, name: F.aggregate(F.concat(F.slice("g", F.lit(1), i + 1), F.slice("f", F.lit(1), i)), F.lit(0), lambda n, x: n + x[name])
+    # a link's place is the sum of what stands before it: of whole chunks, which are summed once, and of the rest of its own
+    piece = lambda name: F.zip_with(F.slice("g", F.lit(1), F.size("f")), "f", lambda g, f: g[name] + f[name])
+    rows = rows.withColumns({f"{name}_of": piece(name) for name in ("bytes", "breaks")})
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+    chunks = lambda name: F.transform(F.sequence(F.lit(0), F.floor((F.size("f") - 1) / CHUNK).cast("int")), lambda c: total(F.slice(f"{name}_of", c * CHUNK + 1, F.lit(CHUNK))))
+    rows = rows.withColumns({f"{name}_chunks": chunks(name) for name in ("bytes", "breaks")})
+    upto = lambda name: F.transform(f"{name}_chunks", lambda x, c: total(F.slice(f"{name}_chunks", F.lit(1), c)))
+    rows = rows.withColumns({f"{name}_upto": upto(name) for name in ("bytes", "breaks")})
+
+    def before(i: Column, name: str) -> Column:
+        chunk = F.floor(i / CHUNK).cast("int")
+        return F.get(f"{name}_upto", chunk) + total(F.slice(f"{name}_of", chunk * CHUNK + 1, i - chunk * CHUNK)) + F.get("g", i)[name]
+
     sizes = lambda m: [F.octet_length(F.regexp_extract(m, LINK, k)) for k in (1, 2)]
     # places come from the scrubbed text, words from the page itself
     places = F.transform("found", lambda m, i: F.struct(i.alias("ordinal"), before(i, "bytes").alias("start"), (before(i, "breaks") + 1).alias("source_line"), sizes(m)[0].alias("text_size"), sizes(m)[1].alias("href_size")))

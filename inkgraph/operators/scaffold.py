@@ -93,10 +93,10 @@ def _slug(subdir: str, qualifiers: list[str], last: str) -> str:
     return "/".join([*parts, last])
 
 
-def _name_group(rows: pd.DataFrame) -> pd.DataFrame:
-    """Slugs for drafts in order: base, then more and more of the heading chain, then the title, then numbers."""
-    taken = {x for held in rows["existing"] if held is not None for x in held}
-    slugs = []
+def _name_group(rows: pd.DataFrame, meshes: pd.DataFrame) -> pd.DataFrame:
+    """Slugs for drafts in order: base, then more and more of the heading chain, then the title, then numbers, counted on for each base."""
+    taken = set(meshes["mesh"])
+    slugs, following = [], {}
     for r in rows.sort_values(["page", "ord"]).itertuples():
         chain = [k for h in r.heading_chain if (k := _kebab(h)) and k != r.noun]
         options = [chain[len(chain) - n :] for n in range(len(chain) + 1)]
@@ -105,10 +105,11 @@ def _name_group(rows: pd.DataFrame) -> pd.DataFrame:
             options.append([title, *chain])
         names = list(dict.fromkeys(_slug(r.subdir, list(q), r.noun) for q in options))
         slug = next((n for n in names if n not in taken), None)
-        number = 2
         while slug is None:
+            number = following.get(names[-1], 2)
+            following[names[-1]] = number + 1  # numbers below are taken for good
             candidate = f"{names[-1]}-{number}"
-            slug, number = (candidate if candidate not in taken else None), number + 1
+            slug = candidate if candidate not in taken else None
         taken.add(slug)
         slugs.append((r.page, r.ord, slug))
     return pd.DataFrame(slugs, columns=["page", "ord", "slug"])
@@ -123,9 +124,9 @@ def name_drafts(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Adds ``slug``: an extension has its mesh's, all others one that neither a mesh (``existing``: mesh) nor an earlier draft has."""
     stem = lambda c: F.regexp_replace(F.regexp_extract(c, "([^/]*)$", 1), "(-[0-9]+)+$", "")
     new = rows.where("extends is null").withColumn("stem", stem(F.col("noun")))
-    held = existing.select("mesh").distinct().withColumn("stem", stem(F.col("mesh"))).groupBy("stem").agg(F.collect_list("mesh").alias("existing"))
-    both = new.select("stem", "page", "ord", "heading_chain", "noun", "subdir", "title").join(held, "stem", "left")
-    named = both.groupBy("stem").applyInPandas(_name_group, "page string, ord int, slug string")
+    held = existing.select("mesh").distinct().withColumn("stem", stem(F.col("mesh")))
+    drafts = new.select("stem", "page", "ord", "heading_chain", "noun", "subdir", "title")
+    named = drafts.groupBy("stem").cogroup(held.groupBy("stem")).applyInPandas(_name_group, "page string, ord int, slug string")
     out = rows.join(named, ["page", "ord"], "left")
     return out.withColumn("slug", F.coalesce("extends", "slug"))
 

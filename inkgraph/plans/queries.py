@@ -17,6 +17,7 @@ from ..functions import text as T
 from ..functions.query import parse_query
 from ..operators import check, fix, lookup, scaffold, search, sync
 from ..sources import corpus as C
+from ..sources.tables import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -289,11 +290,11 @@ def m06_line_range(spark, sf_dir):
     return _docs(spark, sf_dir).select(f.alias("fragment")).distinct().select("fragment", start.alias("start_line"), end.alias("end_line"))
 
 
-@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) + 34 AS BIGINT) AS n_bytes, false AS has_code FROM documents")
+@query("SELECT doc_id, CAST(strlen(coalesce(text, '')) + 34 AS BIGINT) AS n_bytes, '`    `' || chr(10) || '   ' || chr(10) || '     ' || chr(10) || '   ' || chr(10) || repeat(' ', 13) || chr(10) AS head FROM documents")
 def m07_scrub(spark, sf_dir):
     text = F.concat(F.lit("`code`\n```\nfence\n```\n<!-- note -->\n"), F.coalesce("text", F.lit("")))
     rows = _docs(spark, sf_dir).select("doc_id", md.scrub(text).alias("s"))
-    return rows.select("doc_id", (F.octet_length("s").cast("long") - 1).alias("n_bytes"), (F.contains("s", F.lit("fence")) | F.contains("s", F.lit("note"))).alias("has_code"))
+    return rows.select("doc_id", (F.octet_length("s").cast("long") - 1).alias("n_bytes"), F.substring("s", 1, 35).alias("head"))
 
 
 _FRONT = """CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '`title` must be a string.' WHEN 2 THEN '`Check` is a reserved command name. Choose a different title.' WHEN 3 THEN '`tags` must be an array of non-empty strings.' WHEN 4 THEN 'Add a `summary` field — a one-line description of the page.' ELSE NULL END"""
@@ -474,18 +475,18 @@ def x06_patched_pages(spark, sf_dir):
     return grown.join(fixes.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
 
 
-@query(f"""WITH {PAGES}, {PAGE_LINKS}, {_MESH} SELECT path AS file, CAST(source_line AS INT) AS line, 'mesh_anchor_shift' AS kind, href AS old_href,
-'/' || resolved || '#L' || (start_line + 10) || '-L' || (end_line + 10) AS new_href, 'high' AS confidence FROM doc WHERE d % 2 = 0 AND start_line % 2 = 1 AND d % 6 <> 0""")
+@query(f"""WITH {PAGES}, {PAGE_LINKS}, {_MESH}, moved AS (SELECT DISTINCT path AS mesh, resolved, start_line, end_line FROM doc WHERE d % 2 = 0 AND d % 6 <> 0 AND start_line % 2 = 1),
+covers AS (SELECT mesh, mesh AS path FROM moved UNION SELECT mesh, resolved FROM moved)
+SELECT DISTINCT path AS file, CAST(source_line AS INT) AS line, 'mesh_anchor_shift' AS kind, href AS old_href,
+'/' || resolved || '#L' || (start_line + 10) || '-L' || (end_line + 10) AS new_href, 'high' AS confidence FROM doc JOIN moved USING (resolved, start_line, end_line) JOIN covers USING (mesh, path)""")
 def x04_mesh_shift(spark, sf_dir):
+    """All ranges moved by ten lines; every third mesh has a changed anchor too, so its findings are left alone."""
     pages = _pages(spark, sf_dir)
     anchors = _anchors(pages)
     drift = anchors.where("start_line > 0").select(F.lit("MOVED").alias("code"), "mesh", "path", "start_line", "end_line", F.col("path").alias("new_path"), (F.col("start_line") + 10).alias("new_start"), (F.col("end_line") + 10).alias("new_end"))
     changed = drift.where(F.regexp_extract("mesh", r"doc-(\d+)", 1).cast("long") % 6 == 0).withColumn("code", F.lit("CHANGED"))
-    own = lambda df: df.where(F.col("old_href") != F.col("new_href"))
-    links = md.links(pages).where(F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 6 != 0)
-    links = links.where(F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 2 == 0)
-    fixes = fix.plan_shifts(links, anchors, drift.where(F.regexp_extract("mesh", r"doc-(\d+)", 1).cast("long") % 6 != 0).union(changed))[0]
-    return own(fixes).select("file", "line", "kind", "old_href", "new_href", "confidence")
+    fixes = fix.plan_shifts(md.links(pages), anchors, drift.union(changed))[0]
+    return fixes.select("file", "line", "kind", "old_href", "new_href", "confidence")
 
 
 # Scaffold --------------------------------------------------------------------
@@ -540,16 +541,16 @@ def g05_slug_resolution(spark, sf_dir):
     return named.agg(F.count("*").alias("n"), F.countDistinct("slug").alias("n_slugs"), F.min(base.cast("long")).alias("same_base"))
 
 
-# Streams and whole runs, without SQL -----------------------------------------
+# Streams and whole runs -----------------------------------------
 
-@query()
+@query("""SELECT 'doc-' || doc_id AS path, CAST(CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 1 END AS BIGINT) AS mtime_ns, sha256(coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN '!' ELSE '' END) AS content_hash FROM documents WHERE doc_id % 10 <> 0""")
 def i05_stream_sync(spark, sf_dir):
     """The pages arrive as two files of versions; a stream merges them into the newest of each path."""
     import uuid
 
     from ..streaming import sync as stream
 
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/inkgraph'}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     docs = _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
     first = docs.select("path", "content", F.lit(1).cast("long").alias("mtime_ns"), F.lit(False).alias("deleted"))
     later = docs.where(F.col("doc_id") % 5 == 0).select("path", F.concat("content", F.lit("!")).alias("content"), F.lit(2).cast("long").alias("mtime_ns"), (F.col("doc_id") % 10 == 0).alias("deleted"))
@@ -565,3 +566,192 @@ def g06_scaffold_json(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     none = spark.createDataFrame([], "mesh string, path string, start_line int, end_line int")
     return scaffold.to_json(*scaffold.scaffold(pages, none, pages.select("path")))
+
+
+# Editor operators -----------------------------------------------------------
+
+def _target(docs: DataFrame, step: int) -> DataFrame:
+    """Documents with ``j``, the number of another document."""
+    count = docs.agg(F.count("*").alias("n"))
+    return docs.join(F.broadcast(count)).withColumn("j", (F.col("doc_id") * 7 + step) % F.col("n"))  # the count is a single row
+
+
+@query(f"""WITH {CORPUS}, every AS (SELECT path_rel AS path, title, substr(path_rel, 6) AS tail FROM corpus UNION ALL SELECT 'notes/x-' || doc_id || '.md', NULL, NULL FROM documents WHERE doc_id % 3 = 0),
+seen AS (SELECT CASE WHEN tail IS NULL THEN '../' || path ELSE './' || tail END AS href, path, title FROM every)
+SELECT href, coalesce(title, path) AS label, CASE WHEN title IS NOT NULL THEN '0_' || title ELSE '1_' || href END AS sort_key FROM seen""")
+def e01_completions(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    notes = _docs(spark, sf_dir).where(F.col("doc_id") % 3 == 0).select(F.concat(F.lit("notes/x-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"))
+    pictures = notes.select(F.concat("path", F.lit(".png")).alias("path"))
+    return lookup.completions(corpus, corpus.select(F.col("path_rel").alias("path")).union(notes).union(pictures), "wiki/index.md")
+
+
+@query(f"""WITH {CORPUS}, n AS (SELECT count(*) AS n FROM documents), l AS (SELECT path_rel AS path, (doc_id * 7 + 3) % n AS j FROM corpus, n)
+SELECT l.path, t.path_rel AS target_path, t.title AS target_title, t.summary AS target_summary FROM l JOIN corpus t ON t.doc_id = j""")
+def e02_hover(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    to = corpus.select(F.col("doc_id").alias("j"), F.col("path_rel").alias("target_path"))
+    links = _target(corpus, 3).select(F.col("path_rel").alias("path"), "j").join(to, "j").drop("j")
+    return lookup.hover(corpus, links)
+
+
+@query(f"""WITH {PAGES}, {PAGE_LINKS}, moves AS (SELECT 'wiki/doc-' || doc_id || '.md' AS old, CASE WHEN doc_id % 2 = 0 THEN 'moved/doc-' || doc_id || '.md' ELSE 'doc-' || doc_id || '.md' END AS new FROM documents WHERE doc_id % 3 = 0)
+SELECT path, href AS old_href, '/' || new || '#' || split_part(href, '#', 2) AS new_href FROM links JOIN moves ON resolved = old""")
+def e04_moved_hrefs(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    ident = F.col("doc_id").cast("string")
+    moves = _docs(spark, sf_dir).where(F.col("doc_id") % 3 == 0).select(F.concat(F.lit("wiki/doc-"), ident, F.lit(".md")).alias("old"), F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit("moved/doc-")).otherwise("doc-"), ident, F.lit(".md")).alias("new"))
+    links = check.checked_links(md.links(pages)).withColumnRenamed("resolved", "target_path")
+    return lookup.moved_hrefs(links, moves).select("path", "old_href", "new_href")
+
+
+@query(f"{_TIERS} SELECT title, path_rel AS file, summary FROM ranked JOIN corpus USING (path_rel, title) WHERE position <= 20")
+def e05_quick_pick(spark, sf_dir):
+    return search.quick_pick(_corpus(spark, sf_dir), "en-5")
+
+
+@query(f"WITH {CORPUS} SELECT title, path_rel AS file, summary FROM corpus")
+def e05_quick_pick_all(spark, sf_dir):
+    return search.quick_pick(_corpus(spark, sf_dir), " ")
+
+
+@query(f"{_TIERS} SELECT position, greatest(total - 5 - 10, 0) AS more FROM ranked WHERE position > 5 AND position <= 15")
+def s08_other_matches(spark, sf_dir):
+    return search.search(_corpus(spark, sf_dir), "en-5", limit=10, offset=5).select("position", search.remaining("total", 5, F.lit(10)).alias("more"))
+
+
+@query(f"WITH {CORPUS} SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN NULL ELSE path_rel END AS tail FROM corpus")
+def j19_suffix_paths(spark, sf_dir):
+    corpus = _corpus(spark, sf_dir)
+    kind = F.col("doc_id") % 3
+    rows = corpus.select("doc_id", F.when(kind == 0, F.concat(F.lit("a/b/"), "path_rel")).when(kind == 1, F.col("path_rel")).otherwise(F.concat(F.lit("none/"), F.col("doc_id").cast("string"))).alias("path"))
+    return lookup.suffix_path("path", corpus.select(F.col("path_rel").alias("path")), rows, "tail").select("doc_id", "tail")
+
+
+# All messages and all kinds of hrefs -----------------------------------------
+
+def _made_links(rows: DataFrame, target, start=None, end=None, fragment=None) -> DataFrame:
+    """Links as ``markdown.links`` gives them, on line 3 of each document's page."""
+    none = F.lit(None).cast("int")
+    return rows.select(
+        F.concat(F.lit("wiki/doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.lit(0).alias("ordinal"), F.lit("internal").alias("kind"), target.alias("target"),
+        (F.lit(None).cast("string") if fragment is None else fragment).alias("fragment"), (none if start is None else start.cast("int")).alias("start_line"), (none if end is None else end.cast("int")).alias("end_line"),
+        F.lit("x").alias("text"), target.alias("href"), F.lit(3).alias("source_line"), F.lit(0).alias("byte_start"), F.lit(1).alias("byte_end"),
+    )
+
+
+_KINDS_OF_HREF = "CASE doc_id % 3 WHEN 0 THEN '/wiki/doc-' || j || '.md' WHEN 1 THEN './doc-' || j || '.md' ELSE 'doc-' || j || '.md' END"
+
+
+@query(f"""WITH {PAGES}, {_SIZE}, c AS (SELECT count(*) AS c FROM documents), l AS (SELECT *, {_KINDS_OF_HREF} AS target FROM (SELECT doc_id, (doc_id * 7 + 3) % c AS j, doc_id % 6 AS a, (doc_id * 5) % 9 AS b FROM documents, c)),
+m AS (SELECT doc_id, CASE WHEN a = 0 THEN 'Line numbers are 1-based. Replace `L0` with `L1` in `' || target || '`.' WHEN a > n OR b > n THEN 'Line range `L' || a || '–L' || b || '` exceeds `' || target || '` (' || n || ' lines).'
+  WHEN a > b THEN 'Line range start (`L' || a || '`) must not exceed end (`L' || b || '`) in `' || target || '`.' END AS message FROM l JOIN size s ON s.path = 'wiki/doc-' || j || '.md')
+SELECT 'broken_anchor' AS kind, 'wiki/doc-' || doc_id || '.md' AS file, 3 AS line, message FROM m WHERE message IS NOT NULL""")
+def c07_range_messages(spark, sf_dir):
+    rows = _target(_docs(spark, sf_dir), 3)
+    name = F.concat(F.lit("doc-"), F.col("j").cast("string"), F.lit(".md"))
+    target = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/wiki/"), name)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("./"), name)).otherwise(name)
+    return check.broken_ranges(_made_links(rows, target, F.col("doc_id") % 6, F.col("doc_id") * 5 % 9), _pages(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT count(*) AS c FROM documents), l AS (SELECT doc_id, (doc_id * 7 + 3) % c AS j FROM documents, c)
+SELECT 'broken_link' AS kind, 'wiki/doc-' || doc_id || '.md' AS file, 3 AS line, CASE doc_id % 5 WHEN 0 THEN 'File `/gone/x.md` not found.' WHEN 1 THEN 'File `./gone.md` not found.' WHEN 2 THEN 'File `wiki/doc-' || j || '.md` not found at page-relative path.' || chr(10) || 'If you meant a repo-relative path, use `/wiki/doc-' || j || '.md` instead.'
+  ELSE 'File `none/' || j || '.md` not found.' END AS message FROM l WHERE doc_id % 5 <> 4""")
+def c08_kinds_of_href(spark, sf_dir):
+    rows = _target(_docs(spark, sf_dir), 3)
+    kind, j = F.col("doc_id") % 5, F.col("j").cast("string")
+    target = F.when(kind == 0, F.lit("/gone/x.md")).when(kind == 1, F.lit("./gone.md")).when(kind == 2, F.concat(F.lit("wiki/doc-"), j, F.lit(".md"))).when(kind == 3, F.concat(F.lit("none/"), j, F.lit(".md"))).otherwise(F.concat(F.lit("../wiki/doc-"), j, F.lit(".md")))
+    return check.broken_links(_made_links(rows, target), _pages(spark, sf_dir).select("path"))
+
+
+@query("""SELECT CASE WHEN doc_id % 5 = 0 THEN 'runtime' ELSE 'frontmatter' END AS kind, 'p/' || doc_id || '.md' AS file, 1 AS line, CASE WHEN doc_id % 5 = 0 THEN 'Cannot read `p/' || doc_id || '.md`.' ELSE 'Add frontmatter with `title` and `summary`.' END AS message
+FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'mesh_unavailable', '', 0, 'Coverage data is not available.'""")
+def c09_scope_and_unreadable(spark, sf_dir):
+    path = F.concat(F.lit("p/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    rows = _docs(spark, sf_dir).select("doc_id", path.alias("path"), F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Plain "), F.col("doc_id").cast("string"))).alias("content"))
+    pages = rows.select("path", "content")
+    return check.check(pages, C.corpus_of(pages), pages.select("path"), scope=rows.where(F.col("doc_id") % 2 == 0).select("path"))
+
+
+@query(f"WITH {PAGES}, {PAGE_LINKS}, f AS ({_BROKEN}) SELECT 'Error: Broken Link' || chr(10) || file || ':' || line || chr(10) || message AS value FROM f")
+def k04_text_results(spark, sf_dir):
+    pages = _pages(spark, sf_dir)
+    return sync.diagnostics_text(check.broken_links(md.links(pages), pages.select("path")))
+
+
+# Repairs of anchors ----------------------------------------------------------
+
+def _linked(rows: DataFrame, head, fragment: str) -> DataFrame:
+    """(path, content): a page for each document that links to an anchor of the page of ``j``."""
+    j = F.col("j").cast("string")
+    link = F.concat(F.lit("[x](/wiki/a-"), j, F.lit(f".md#{fragment}-"), j, F.lit(")"))
+    return rows.select(F.concat(F.lit("wiki/a-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(head, F.lit("\n\n"), link, F.lit("\n")).alias("content"))
+
+
+@query("""WITH c AS (SELECT count(*) AS c FROM documents), l AS (SELECT doc_id, (doc_id * 7 + 3) % c AS j FROM documents, c),
+t AS (SELECT *, CASE j % 4 WHEN 0 THEN 'title-' || j WHEN 1 THEN 'first-' || j WHEN 2 THEN 'only-' || j END AS slug, CASE j % 4 WHEN 0 THEN 'title' WHEN 1 THEN 'first H1' WHEN 2 THEN 'first heading' END AS label FROM l)
+SELECT 'wiki/a-' || doc_id || '.md' AS file, 'alias_to_canonical' AS kind, '/wiki/a-' || j || '.md#' || slug AS new_href,
+  CASE WHEN slug IS NULL THEN 'alias `old-name-' || j || '` listed but target has no headings (tried title slug `title-' || j || '`, first H1, first heading)'
+  ELSE 'anchor `old-name-' || j || '` is an alias for title `Title ' || j || '`; rewriting to canonical slug `' || slug || '` (' || label || ')' END AS reason FROM t""")
+def x05_alias_fix(spark, sf_dir):
+    ident = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 4
+    body = F.when(kind == 0, F.concat(F.lit("## Some\n# Title "), ident)).when(kind == 1, F.concat(F.lit("## Some\n# First "), ident)).when(kind == 2, F.concat(F.lit("### Only "), ident)).otherwise(F.lit("Text"))
+    head = F.concat(F.lit("---\ntitle: Title "), ident, F.lit("\nsummary: A page\naliases: [Old Name "), ident, F.lit(", Other]\n---\n"), body)
+    pages = _linked(_target(_docs(spark, sf_dir), 3), head, "old-name")
+    fixes, skips = fix.plan_aliases(md.links(pages), pages)
+    none = skips.withColumn("new_href", F.lit(None).cast("string"))
+    return fixes.select("file", "kind", "new_href", "reason").union(none.select("file", "kind", "new_href", "reason"))
+
+
+@query("""WITH c AS (SELECT count(*) AS c FROM documents), l AS (SELECT doc_id, (doc_id * 7 + 3) % c AS j FROM documents, c)
+SELECT 'wiki/a-' || doc_id || '.md' AS file, 'heading_rename' AS kind, CASE WHEN j % 3 = 0 THEN '/wiki/a-' || j || '.md#new-' || j END AS new_href,
+  CASE j % 3 WHEN 0 THEN 'heading renamed to `#new-' || j || '`' WHEN 1 THEN 'heading `#old-' || j || '` deleted' ELSE 'heading `#old-' || j || '` not found in any revision' END AS reason FROM l""")
+def x03_heading_rename(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    ident, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 3
+    head = F.concat(F.lit("# Top\n\n## Kept\n"), F.when(kind == 0, F.concat(F.lit("\n## New "), ident)).otherwise(F.lit("")))
+    pages = _linked(_target(docs, 3), head, "old")
+    path = F.concat(F.lit("wiki/a-"), ident, F.lit(".md"))
+    old = F.concat(F.lit("# Top\n\n## Kept\n\n## "), F.when(kind == 2, F.lit("Another ")).otherwise("Old "), ident, F.lit("\n"))
+    newest = docs.select(path.alias("path"), F.lit(0).alias("ord"), F.lit("# Top\n").alias("content"))
+    revisions = newest.union(docs.select(path, F.lit(1), old)).union(docs.select(path, F.lit(2), F.lit("# Old\n")))
+    fixes, skips = fix.plan_headings(md.links(pages), pages, revisions)
+    none = skips.withColumn("new_href", F.lit(None).cast("string"))
+    return fixes.select("file", "kind", "new_href", "reason").union(none.select("file", "kind", "new_href", "reason"))
+
+
+@query(f"{_FIX} SELECT 'broken_link' AS kind, path AS file, CAST(source_line AS INT) AS line, 'File `/' || split_part(substr(href, 2), '#', 1) || '` not found.' AS message FROM plan WHERE why IS NOT NULL")
+def x08_recheck(spark, sf_dir):
+    """What a check finds once all repairs are made."""
+    pages = _pages(spark, sf_dir)
+    none = spark.createDataFrame([], "path string, ord int, content string")
+    patched = fix.fix(pages, pages.select("path"), _renames(spark, sf_dir), none)[2]
+    return check.broken_links(md.links(patched), patched.select("path"))
+
+
+# Proposals with merges and names ---------------------------------------------
+
+@query(f"WITH {_DRAFTS} SELECT page, anchors, noun, CAST(CASE WHEN section_start % 2 = 1 THEN 2 ELSE 1 END AS BIGINT) AS merged FROM drafts")
+def g07_merged_drafts(spark, sf_dir):
+    rows = scaffold.drafts(scaffold.range_links(_pages(spark, sf_dir)))
+    again = rows.where(F.col("anchors")[0]["start_line"] % 2 == 1).withColumns({"ord": F.col("ord") + 1_000_000, "noun": F.lit("later")})
+    return _joined(scaffold.consolidate(rows.unionByName(again))).select("page", "anchors", "noun", "merged")
+
+
+@query("""WITH d AS (SELECT 'p-' || doc_id AS page, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY 'p-' || doc_id) AS n FROM documents)
+SELECT page, 'wiki/' || source || '/' || lang || CASE WHEN n = 1 THEN '' WHEN n = 2 THEN '-2' ELSE '-' || (n + 1) END AS slug FROM d""")
+def g08_slugs(spark, sf_dir):
+    """Every page proposes the same name for its source and language; number 3 is taken by a mesh."""
+    docs = _docs(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    rows = docs.select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("page"), F.lit(0).alias("ord"), F.array().cast("array<string>").alias("heading_chain"), F.col("lang").alias("noun"), F.col("source").alias("subdir"), none.alias("title"), none.alias("extends"))
+    held = docs.select(F.concat_ws("/", F.lit("wiki"), "source", F.concat("lang", F.lit("-3"))).alias("mesh")).distinct()
+    return scaffold.name_drafts(rows, held).select("page", "slug")
+
+
+@query("SELECT 'p-' || doc_id AS page, CASE WHEN doc_id % 2 = 0 THEN 'Sub' ELSE 'Title ' || doc_id || ',Sub' END AS chain FROM documents")
+def g09_trim_chain(spark, sf_dir):
+    ident = F.col("doc_id").cast("string")
+    rows = _docs(spark, sf_dir).select(F.concat(F.lit("p-"), ident).alias("page"), F.array(F.concat(F.lit("Title "), ident), F.lit("Sub")).alias("heading_chain"), F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit(" TITLE  ")).otherwise("Other "), ident).alias("title"))
+    return scaffold.trim_chain(rows.drop("title"), rows.select("page", "title")).select("page", F.array_join("heading_chain", ",").alias("chain"))
