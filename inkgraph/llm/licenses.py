@@ -41,6 +41,8 @@ TEMPLATES = [
 K = 2
 #: Diagonals at most so far apart belong to one span.
 GAP = 2
+#: Words by which a span may be longer than its template.
+DRIFT = 6
 #: Share of a template's words that a span must cover.
 COVERAGE = 0.75
 
@@ -67,9 +69,12 @@ def _templates(spark: SparkSession, base: list, templates: list, k: int) -> Data
     return spark.createDataFrame(rows, schema).withColumn("gram_hash", F.xxhash64(*[F.col("t_gram")[j] for j in range(k)]))
 
 
-def find_spans(docs: DataFrame, base: list | None = None, templates: list | None = None, k: int = K, gap: int = GAP, coverage: float = COVERAGE) -> DataFrame:
+def find_spans(docs: DataFrame, base: list | None = None, templates: list | None = None, k: int = K, gap: int = GAP, coverage: float = COVERAGE, drift: int = DRIFT) -> DataFrame:
     """Verified spans: doc_id, text_hash, label, exact, start_word, end_word (exclusive), covered (0 to 1).
 
+    Diagonals of a span are at most ``gap`` apart and ``drift`` in all, and it is at most ``drift`` words
+    longer than its template, so words that are strewn among others are no span.
+
     Rows of ``docs`` that repeat an id and a text give each span once.
     """
     base, templates = BASE if base is None else base, TEMPLATES if templates is None else templates
@@ -86,14 +91,18 @@ def find_spans(docs: DataFrame, base: list | None = None, templates: list | None
     votes = hits.groupBy(*key, (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(F.collect_set("t_pos").alias("at"))
     order = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")
     far = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > gap, F.lit(True)) | F.col("exact")
-    spans = votes.withColumn("island", F.sum(far.cast("int")).over(order))
+    spans = votes.withColumn("chain", F.sum(far.cast("int")).over(order))
+    # a chain of neighbours may drift on and on, so it is cut where it leaves its first diagonal by more than DRIFT
+    first = F.min("diagonal").over(Window.partitionBy("doc_id", "text_hash", "template", "chain"))
+    spans = spans.withColumn("island", F.struct("chain", F.floor((F.col("diagonal") - first) / (drift + 1)).alias("cut")))
     spans = spans.groupBy(*key, "island").agg(
         F.flatten(F.collect_list("at")).alias("at"),
         F.min(F.col("diagonal") + F.array_min("at")).alias("start_word"),
         F.max(F.col("diagonal") + F.array_max("at") + k).alias("end_word"),
     )
+    # verified: enough of the template's words, and no more foreign words between them than the drift allows
     seen = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + F.lit(k - 1))))))
-    spans = spans.withColumn("covered", seen / F.col("t_words"))
+    spans = spans.withColumn("covered", seen / F.col("t_words")).where(F.col("end_word") - F.col("start_word") <= F.col("t_words") + drift)
     return spans.where(F.when(F.col("exact"), F.col("covered") >= 1.0).otherwise(F.col("covered") >= coverage)).select("doc_id", "text_hash", "label", "exact", "start_word", "end_word", "covered")
 
 

@@ -12,7 +12,7 @@ _LISTED = ", ".join(f"'{k}'" for k in quality.COMMON_WORDS)
 def _js(kind: str) -> str:
     """Distances of the histograms h_<kind> (r, profile, pos, c) from their references."""
     return f"""ref_{kind} AS (SELECT profile, pos, sum(c) AS q FROM h_{kind} JOIN base USING (r, profile) WHERE NOT base_failed GROUP BY ALL),
-js_{kind} AS (SELECT r, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 4 * 2 / 1)) AS d FROM (
+js_{kind} AS (SELECT r, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS d FROM (
   SELECT r, c / sum(c) OVER (PARTITION BY r) AS p, q / sum(q) OVER (PARTITION BY r) AS q FROM h_{kind} JOIN ref_{kind} USING (profile, pos)
   QUALIFY sum(c) OVER (PARTITION BY r) > 0 AND sum(q) OVER (PARTITION BY r) > 0) GROUP BY r)"""
 
@@ -41,7 +41,6 @@ judged AS (SELECT base.*, round(CASE WHEN n_chars >= {quality.MIN_CHARS} THEN js
   FROM base LEFT JOIN js_char USING (r) LEFT JOIN js_word USING (r) LEFT JOIN nl USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND coalesce(char_distance, 0) <= {quality.CHAR_DISTANCE} AND coalesce(word_distance, 0) <= {quality.WORD_DISTANCE} AS kept, char_distance, word_distance FROM judged"""
-QUALITY = QUALITY.replace(" / 4 * 2 / 1", " / 2")
 
 _WORDS10 = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -76,10 +75,11 @@ d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS10.format(_LOWER)} AS w F
 dw AS (SELECT r, unnest(range(0, len(w))) AS pos, unnest(w) AS a FROM d),
 dg AS (SELECT r, pos, a, lead(a) OVER (PARTITION BY r ORDER BY pos) AS b FROM dw),
 votes AS (SELECT r, template, label, exact, n, pos - t_pos AS diagonal, list(t_pos) AS hits FROM dg JOIN grams USING (a, b) GROUP BY ALL),
-island AS (SELECT *, sum(CASE WHEN exact OR g IS NULL OR g > {licenses.GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS island
+chains AS (SELECT *, sum(CASE WHEN exact OR g IS NULL OR g > {licenses.GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY r, template ORDER BY diagonal) AS chain
   FROM (SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY r, template ORDER BY diagonal) AS g FROM votes)),
-spans AS (SELECT r, label, exact, n, flatten(list(hits)) AS hits, min(diagonal + list_min(hits)) AS start FROM island GROUP BY r, template, label, exact, n, island),
-good AS (SELECT r, label, exact, start, len(list_distinct(list_concat(hits, list_transform(hits, lambda x: x + 1)))) / n AS covered FROM spans),
+island AS (SELECT *, (diagonal - min(diagonal) OVER (PARTITION BY r, template, chain)) // {licenses.DRIFT + 1} AS cut FROM chains),
+spans AS (SELECT r, label, exact, n, flatten(list(hits)) AS hits, min(diagonal + list_min(hits)) AS start, max(diagonal + list_max(hits) + {licenses.K}) AS stop FROM island GROUP BY r, template, label, exact, n, chain, cut),
+good AS (SELECT r, label, exact, start, len(list_distinct(list_concat(hits, list_transform(hits, lambda x: x + 1)))) / n AS covered FROM spans WHERE stop - start <= n + {licenses.DRIFT}),
 kept AS (SELECT * FROM good WHERE covered >= CASE WHEN exact THEN 1.0 ELSE {licenses.COVERAGE} END),
 per AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) AS first_word, max(start) FILTER (exact) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(covered) AS score FROM kept GROUP BY r)

@@ -84,7 +84,7 @@ def _delete(table: DataFrame) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def _sweep(spark: SparkSession) -> None:
+def sweep(spark: SparkSession) -> None:
     """Lets Spark delete the shuffles of jobs that ended now, not only when the driver is short of memory."""
     gc.collect()
     spark._jvm.System.gc()
@@ -97,7 +97,7 @@ def drop(*tables: DataFrame) -> None:
         for scope in _scopes():
             scope[:] = [x for x in scope if x is not table]
     if tables:
-        _sweep(tables[0].sparkSession)
+        sweep(tables[0].sparkSession)
 
 
 @contextlib.contextmanager
@@ -120,4 +120,4 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
         for table in own:
             _delete(table)
         if own:
-            _sweep(own[0].sparkSession)
+            sweep(own[0].sparkSession)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, blocks, mix, text_buffer, word_spans
-from .storage import scratch, small_batches, written
+from .storage import drop, scratch, small_batches, sweep, written
 
 #: Longest context, in symbols.
 DEPTH = 5
@@ -220,7 +220,9 @@ def kept_states(grams: DataFrame, depth: int = DEPTH, gain: float = GAIN, prior:
             up_codes, up_probs = codes[kept], dense
         return pa.table({n: pa.array([x[i] for x in out], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("depth", pa.int32()), ("code", pa.int64()), ("probs", pa.binary())))})
 
-    return root.astype(np.float32), written(grams.groupBy("shard").applyInArrow(grow, STATES), "states")
+    states = written(grams.groupBy("shard").applyInArrow(grow, STATES), "states")
+    drop(grams)
+    return root.astype(np.float32), states
 
 
 def _rows(states: DataFrame) -> list:
@@ -438,9 +440,11 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, pri
         root, states = kept_states(gram_counts(docs, symbols, depth), depth, gain, prior)
         scored = written(_scored_blocks(docs, symbols, depth), "scored")
         answers = written(_answers(scored.select("block", "grams").mapInArrow(_ask, _ASKED), states, root, depth), "answers")
+        drop(states)
         totals = written(scored.select("block", "words", "counts").mapInArrow(_deal, "block long, shard int, words binary, counts binary").groupBy("shard").applyInArrow(_total, "block long, shard int, totals binary, n long, v long"), "totals")
         size = totals.groupBy("shard").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
         n, v = size.n or 0, size.v or 0
+        sweep(docs.sparkSession)
         share = math.log10(max(int((symbols[SPACE_WORDS] == _OTHER).sum()), 1))
 
         def finish(key, left, right):

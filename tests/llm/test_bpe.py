@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -50,3 +51,25 @@ def test_rows(spark, library):
         want.append((i, n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), [int(x) for x in ids.split()], text))
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, want))
     assert bpe.encode_documents(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_special_tokens_take_time_in_proportion():
+    codec = bpe.Codec(PATH)
+    took = []
+    for n in (20_000, 40_000):
+        text = "<|endoftext|>x" * n
+        began = time.perf_counter()
+        [(count, _, _)] = codec.encode_all([text.encode()])
+        took.append(time.perf_counter() - began)
+        assert count == 2 * n
+    assert took[1] < 3.5 * took[0] + 0.2
+
+
+def test_the_cache_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    codec, library = bpe.Codec(PATH), Tokenizer.from_file(PATH)
+    for i in range(60):
+        text = f"{'a' * (i * 7)} word{i} {'xyz' * 300}"
+        [(n, ids, _)] = codec.encode_all([text.encode()])
+        assert ids == " ".join(map(str, library.encode(text, add_special_tokens=False).ids))
+        assert codec.held < 2000 + 3 * 4000 and len(codec.old) < 50

@@ -44,3 +44,11 @@ def test_changed_notices(spark):
     assert {k: labels[k] for k in (2, 3, 5, 6, 7)} == {r[0]: r[2] for r in rows if r[0] in (2, 3, 5, 6, 7)}
     spans = licenses.find_spans(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).where("doc_id = 3").collect()
     assert [(r.label, r.start_word, r.end_word) for r in spans] == [("apache-2.0", 1, 10)]
+
+
+def test_strewn_words_are_no_span(spark):
+    words = "permission to use copy modify and or distribute this software for any purpose".split()
+    strewn = " ".join(" ".join(words[i : i + 2]) + " zz zz" for i in range(0, len(words), 2))
+    some = "Permission to use, copy, freely modify, and/or also distribute this software for just any purpose"
+    got = licenses.scan_licenses(spark.createDataFrame([(1, strewn), (2, some), (3, "x " * 40 + strewn * 3)], "doc_id long, text string"))
+    assert {r.doc_id: r.labels for r in got.collect()} == {1: "", 2: "isc", 3: ""}
