@@ -50,8 +50,8 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(SCAN_ROWS))
 
 
-def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
-    """``df`` written once as Parquet in the shared folder and read back.
+def written(df: DataFrame, name: str, rows: int | None = None, by: str | None = None) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back; with ``by`` in a folder for each value of that column.
 
     ``rows`` bounds the rows of a narrow table, which is then dealt to files of FILE_ROWS rows at least.
     Where the folder is a local disk, no checksum files are written: each costs an executor two processes.
@@ -61,7 +61,8 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     if rows is not None:
         df = df.coalesce(rows // FILE_ROWS + 1)
     raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-    df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).parquet(path)
+    writer = df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
+    (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.options(**READ).schema(df.schema).parquet(path)
     out.written_path = path
     if scopes := _scopes():
@@ -78,9 +79,9 @@ def _scopes() -> list[list[DataFrame]]:
     return _local.scopes
 
 
-def _delete(table: DataFrame) -> None:
+def _delete(table: DataFrame, part: str = "") -> None:
     spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path)
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.written_path + part)
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
@@ -100,6 +101,12 @@ def drop(*tables: DataFrame) -> None:
         sweep(tables[0].sparkSession)
 
 
+def drop_part(table: DataFrame, by: str, value: int) -> None:
+    """Deletes the rows of one value of the column that ``table`` was written by; they must not be read again."""
+    _delete(table, f"/{by}={value}")
+    sweep(table.sparkSession)
+
+
 @contextlib.contextmanager
 def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes all tables written inside it at its end, but for those given to what it yields."""

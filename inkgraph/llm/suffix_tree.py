@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, blocks, mix, text_buffer, word_spans
-from .storage import drop, scratch, small_batches, sweep, written
+from .storage import drop, drop_part, scratch, small_batches, written
 
 #: Longest context, in symbols.
 DEPTH = 5
@@ -316,11 +316,11 @@ def _grams(data: np.ndarray, ends: np.ndarray, symbols: np.ndarray, depth: int)
     return context_codes(stream, at, depth).astype(np.int64) << _BITS | stream, at
 
 
-_SCORED = "block long, doc_ids array<long>, held_out array<boolean>, ends array<long>, data binary, words binary, counts binary, grams binary"
+_SCORED = "kind int, block long, doc_ids array<long>, held_out array<boolean>, ends array<long>, data binary, words binary, counts binary, grams binary"
 
 
 def _scored_blocks(docs: DataFrame, symbols: np.ndarray, depth: int) -> DataFrame:
-    """One row for each block of texts: the texts, the distinct words' hashes and training counts, and the distinct (context, next symbol) pairs."""
+    """Two rows for each block of texts: the texts (kind 0); the distinct words' hashes and training counts, and the distinct (context, next symbol) pairs (kind 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -334,14 +334,15 @@ def _scored_blocks(docs: DataFrame, symbols: np.ndarray, depth: int) -> DataFram
             counts = np.bincount(tokens[:-1][np.repeat(training, np.diff(first))], minlength=len(words))
             counts[tokens[-1]] += training.sum()
             columns = [
-                pa.array([block], pa.int64()),
-                pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
-                pa.array([~training], pa.list_(pa.bool_())),
-                pa.array([ends], pa.list_(pa.int64())),
-                pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes())], pa.binary()),
-                pa.array([words.tobytes()], pa.binary()),
-                pa.array(_pack(counts.astype(np.int32)), pa.binary()),
-                pa.array([_pack_planes(np.diff(np.unique(_grams(data, ends, shared.value, depth)[0]), prepend=0))], pa.binary()),
+                pa.array([0, 1], pa.int32()),
+                pa.array([block, block], pa.int64()),
+                pa.array([batch.column("doc_id").cast(pa.int64()).to_pylist(), None], pa.list_(pa.int64())),
+                pa.array([~training, None], pa.list_(pa.bool_())),
+                pa.array([ends, None], pa.list_(pa.int64())),
+                pa.array([zstandard.ZstdCompressor(level=3).compress(data.tobytes()), None], pa.binary()),
+                pa.array([None, words.tobytes()], pa.binary()),
+                pa.array([None, *_pack(counts.astype(np.int32))], pa.binary()),
+                pa.array([None, _pack_planes(np.diff(np.unique(_grams(data, ends, shared.value, depth)[0]), prepend=0))], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in _SCORED.split(", ")])
             block += 1
@@ -438,13 +439,14 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, pri
     with scratch() as kept:
         symbols = alphabet(byte_counts(docs))
         root, states = kept_states(gram_counts(docs, symbols, depth), depth, gain, prior)
-        scored = written(_scored_blocks(docs, symbols, depth), "scored")
-        answers = written(_answers(scored.select("block", "grams").mapInArrow(_ask, _ASKED), states, root, depth), "answers")
+        scored = written(_scored_blocks(docs, symbols, depth), "scored", by="kind")
+        questions = scored.where("kind = 1")
+        answers = written(_answers(questions.select("block", "grams").mapInArrow(_ask, _ASKED), states, root, depth), "answers")
         drop(states)
-        totals = written(scored.select("block", "words", "counts").mapInArrow(_deal, "block long, shard int, words binary, counts binary").groupBy("shard").applyInArrow(_total, "block long, shard int, totals binary, n long, v long"), "totals")
+        totals = written(questions.select("block", "words", "counts").mapInArrow(_deal, "block long, shard int, words binary, counts binary").groupBy("shard").applyInArrow(_total, "block long, shard int, totals binary, n long, v long"), "totals")
         size = totals.groupBy("shard").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
         n, v = size.n or 0, size.v or 0
-        sweep(docs.sparkSession)
+        drop_part(scored, "kind", 1)
         share = math.log10(max(int((symbols[SPACE_WORDS] == _OTHER).sum()), 1))
 
         def finish(key, left, right):
@@ -475,6 +477,6 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, pri
                 }))
             return pa.concat_tables(out) if out else pa.schema([(x.split()[0], pa.float64()) for x in SCHEMA.split(", ")]).empty_table()
 
-        left = scored.select("block", "doc_ids", "held_out", "ends", "data")
+        left = scored.where("kind = 0").select("block", "doc_ids", "held_out", "ends", "data")
         right = totals.select("block", F.lit(0).alias("kind"), "shard", F.col("totals").alias("answer")).union(answers.select("block", F.lit(1).alias("kind"), "shard", F.col("logs").alias("answer")))
         return kept(written(left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(finish, SCHEMA), "scores"))
