@@ -8,6 +8,7 @@ single text is longer.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import os
 from collections.abc import Iterator
@@ -59,6 +60,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    trim()
+
+
+def trim() -> None:
+    """Gives freed memory back; workers live on between tasks, and what they keep is taken from the tasks of others."""
+    pa.default_memory_pool().release_unused()
+    malloc_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if malloc_trim:
+        malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .buffers import blocks, text_buffer
+from .buffers import blocks, text_buffer, trim
 from .storage import small_batches, written
 
 BLOCK = 1 << 20
@@ -83,6 +83,8 @@ def read_blocks(batches: Iterator[pa.RecordBatch] | pa.Table) -> Iterator[tuple[
         for i in range(batch.num_rows):
             text = zstandard.ZstdDecompressor().decompress(batch.column("text")[i].as_py())
             yield batch.column("block")[i].as_py(), batch.column("ids")[i].as_py(), np.frombuffer(text, np.uint8), unpack(batch.column("ends")[i].as_py(), np.int64)
+    if not isinstance(batches, pa.Table):  # a task is over, not a group of many
+        trim()
 
 
 def table(names: str, kinds: list, rows: list) -> pa.Table:
