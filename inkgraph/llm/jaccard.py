@@ -21,12 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buffers import ASCII_LOWER, SPACE_WORDS, digests, joined_hash, mix, new_key, word_spans
 from .components import components
-from .storage import drop, scratch, small_batches, written
+from .storage import drop, scratch, small_batches, sweep, written
 from .text_blocks import batch as _batch
 from .text_blocks import pack as _pack
 from .text_blocks import read_blocks, shard_count, table, text_blocks
@@ -392,6 +392,41 @@ def verify(pairs: DataFrame, segments: DataFrame, fragments: int, percent: int,
     return partial.groupBy("pair_shard").cogroup(distinct.groupBy("pair_shard")).applyInArrow(add, "a long, b long")
 
 
+def _ties(rows: DataFrame, tied: Column) -> DataFrame:
+    """(a, b) of the least class of each value of ``tied`` and every other class of that value, each pair once."""
+    named = rows.where("node is not null").select(tied.alias("tie"), "node").where("tie is not null").distinct()
+    least = named.groupBy("tie").agg(F.min("node").alias("a"))
+    return named.join(least, "tie").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+
+
+def _untied(pairs: DataFrame, ties: DataFrame, shards: int) -> DataFrame:
+    """The distinct candidate pairs that are not tied already."""
+
+    def deal_ties(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+            none = np.zeros(len(a), np.int64)
+            yield _batch("pair_shard a b na nb", _PAIR_KINDS, _pair_rows(a, b, none, none, shards))
+
+    def minus(key, left, right):
+        join = lambda t, x, k: np.concatenate([np.frombuffer(y.as_buffer(), k) for y in t.column(x)]) if t.num_rows else np.zeros(0, k)
+        a, b, na, nb = (join(left, x, t) for x, t in (("a", np.int64), ("b", np.int64), ("na", np.int32), ("nb", np.int32)))
+        given = np.zeros(len(a), bool)
+        if right.num_rows and len(a):
+            ta, tb = join(right, "a", np.int64), join(right, "b", np.int64)
+            order = np.lexsort((np.r_[np.zeros(len(ta)), np.ones(len(a))], np.r_[tb, b], np.r_[ta, a]))  # ties stand before equal pairs
+            is_tie = order < len(ta)
+            last = np.maximum.accumulate(np.where(is_tie, np.arange(len(order)), -1))
+            every_a, every_b = np.r_[ta, a][order], np.r_[tb, b][order]
+            same = (last >= 0) & (every_a[last] == every_a) & (every_b[last] == every_b)
+            given[order[~is_tie] - len(ta)] = same[~is_tie]
+        rows = _pair_rows(a[~given], b[~given], na[~given].astype(np.int64), nb[~given].astype(np.int64), shards)
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate(zip(("pair_shard", "a", "b", "na", "nb"), _PAIR_KINDS, strict=True))})
+
+    dealt = ties.mapInArrow(deal_ties, _PAIRS)
+    return written(pairs.groupBy("pair_shard").cogroup(dealt.groupBy("pair_shard")).applyInArrow(minus, _PAIRS), "untied")
+
+
 def _stars(rows: DataFrame, percent: int, turn: int, shards: int) -> DataFrame:
     """Pairs of each open entry with one class of its shingle."""
 
@@ -418,15 +453,21 @@ def _remaining(rows: DataFrame, percent: int, shards: int) -> DataFrame:
     return deal(rows).groupBy("group").applyInArrow(cross, _PAIRS)
 
 
-def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node) of every row, node null for empty sets, and (node, component) of linked classes."""
+def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None, tied: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node) of every row, node null for empty sets, and (node, component) of linked classes.
+
+    Classes of rows of one value of ``tied`` (over doc_id) are linked without a look at their sets.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     key = new_key()
     texts = text_blocks(docs)
     shards = shard_count(texts)
-    classes = _ask(texts, k, key, shards).groupBy("shard").applyInArrow(_frequencies, "block long, shard int, classes binary")
+    # each step is written and its shuffles are swept before the next one begins: the shuffles of two never stand on disk at once
+    classes = written(_ask(texts, k, key, shards).groupBy("shard").applyInArrow(_frequencies, "block long, shard int, classes binary"), "frequencies")
+    sweep(spark)
     first = written(texts.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(_prefixes(k, key, percent, shards), _PREFIX_SCHEMA), "prefixes")
+    drop(classes)
     rows = first.where("n is not null").select("doc_id", "n", "node")
     postings = first.where("shard is not null").select("shard", "nodes", "sizes", "counts", "keys", "places")
     found = written(_runs(postings, percent, shards), "runs")
@@ -434,6 +475,10 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
     drop(first)
     rows = narrow
     pairs = found.where("a is not null").select("pair_shard", "a", "b", "na", "nb")
+    ties = None
+    if tied is not None:
+        ties = written(_ties(rows, tied), "ties")
+        pairs = _untied(pairs, ties, shards)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -448,6 +493,8 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
     segments = written(_segments(texts, k, key, fragments, _bloom(involved, n_rows)), "segments")
     drop(texts)
     links = written(verify(pairs, segments, fragments, percent, shards), "links")
+    if ties is not None:
+        links = links.union(ties)
     labels = components(links)
     rows_open = written(open_entries(entries, labels), "open")
     left, turn = rows_open.count(), 0
@@ -470,16 +517,17 @@ def classes_and_links(docs: DataFrame, k: int = K, percent: int = PERCENT, fragm
     return rows, labels
 
 
-def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None) -> DataFrame:
+def join_components(docs: DataFrame, k: int = K, percent: int = PERCENT, fragments: int | None = None, tied: Column | None = None) -> DataFrame:
     """One row for each row of ``docs``: size of its set and the smallest doc_id that links reach.
 
     Null and empty texts have no shingles and are linked with nothing.  Equal sets are always
     linked.  A row with a null id has a set but no say in its component's id.  Shingles and sets are
     told apart by 64-bit hashes that are made of 128-bit digests of the words under a key drawn for the
     run: no text can be made to meet another, and N sets meet by chance with probability N * N / 2^65.
+    Rows of one value of ``tied``, a column over doc_id, that have shingles are linked whatever their texts (null ties nothing).
     """
     with scratch() as kept:
-        rows, labels = classes_and_links(docs, k, percent, fragments)
+        rows, labels = classes_and_links(docs, k, percent, fragments, tied)
         per = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
         per = written(per.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "classes")
         least = per.groupBy("component").agg(F.min("least").alias("component_id"))

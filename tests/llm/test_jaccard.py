@@ -5,6 +5,7 @@ import pytest
 from inkgraph.llm import jaccard as j
 from inkgraph.llm import tiles
 from inkgraph.llm.components import components
+from pyspark.sql import functions as F
 
 LOWER = {i: i + 32 for i in range(65, 91)}
 
@@ -14,7 +15,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(docs, percent=75):
+def brute(docs, percent=75, tie=None):
     sets = [shingles(t) for _, t in docs]
     parent = list(range(len(docs)))
 
@@ -25,6 +26,9 @@ def brute(docs, percent=75):
 
     for x in range(len(docs)):
         for y in range(x):
+            tied = tie and docs[x][0] is not None and docs[y][0] is not None and tie(docs[x][0]) == tie(docs[y][0])
+            if sets[x] and sets[y] and tied:
+                parent[find(x)] = find(y)
             if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
                 parent[find(x)] = find(y)
     least = {}
@@ -63,6 +67,20 @@ def test_is_brute_force(spark, docs, fragments):
     assert sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(docs)
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_tied_rows_are_linked_whatever_their_texts(spark, docs, size):
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(repr((r.doc_id, r.n_shingles, r.component_id)) for r in j.join_components(df, tied=F.shiftright("doc_id", size)).collect())
+    assert got == brute(docs, tie=lambda i: i >> size)
+
+
+def test_ties_of_large_numbers(spark):
+    high = 1 << 60
+    rows = [(high, "a b c"), (high + 1, "d e f"), (high + 2, "g h i"), (high + 3, None), (None, "x y z")]
+    got = {r.doc_id: r.component_id for r in j.join_components(spark.createDataFrame(rows, "doc_id long, text string"), tied=F.shiftright("doc_id", 1)).collect()}
+    assert got == {high: high, high + 1: high, high + 2: high + 2, high + 3: high + 3, None: None}
+
+
 def test_empty(spark):
     assert j.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert j.join_components(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).count() == 2
