@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgraph.llm import bpe, decontaminate, jaccard, lines, quality
-from inkgraph.llm.components import components
 from inkgraph.llm.queries import word_tokenizer
 from inkgraph.llm.storage import scratch, written
 
@@ -87,10 +86,9 @@ def _numbered(docs: DataFrame, row: str, kept) -> DataFrame:
 def _copies(spark: SparkSession, rows: DataFrame, row: str, sf_dir: str) -> DataFrame:
     """The numbers of the rows that go, as a written table."""
     both = rows.select((F.col(row) * 2).alias("doc_id"), "text").union(_entered(spark, rows, row, sf_dir).select((F.col(row) * 2 + 1).alias("doc_id"), "text"))
-    found = jaccard.join_components(both).where("n_shingles > 0").select(F.floor(F.col("doc_id") / 2).cast("long").alias(row), F.col("component_id").alias("component"))
-    found = written(found.groupBy(row).agg(F.min("component").alias("component"), F.max("component").alias("other")), "groups")
-    tied = components(written(found.where("component <> other").select(F.col("component").alias("a"), F.col("other").alias("b")), "ties"))
-    named = found.join(tied.select(F.col("node").alias("component"), F.col("component").alias("least")), "component", "left").select(row, F.coalesce("least", "component").alias("component"))
+    # both texts of a row belong together, so they are not compared with each other
+    found = jaccard.join_components(both, tied=F.shiftright("doc_id", 1)).where("n_shingles > 0")
+    named = found.select(F.shiftright("doc_id", 1).alias(row), F.col("component_id").alias("component")).distinct()
     # the first of each group by id is found on narrow rows, and only the rows of the others are sent to the texts
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", row)
     narrow = written(rows.select("doc_id", row).join(named, row), "narrow")
