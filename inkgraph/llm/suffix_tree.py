@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ASCII_LOWER, SPACE_WORDS, SpanHash, blocks, mix, text_buffer, word_spans
+from .buffers import ASCII_LOWER, SPACE_WORDS, blocks, digests, mix, new_key, text_buffer, word_spans
 from .storage import drop, drop_part, scratch, small_batches, written
 
 #: Longest context, in symbols.
@@ -304,10 +304,10 @@ def _unpack_planes(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
-def _words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and at last of the end token, and the number of each text's first word."""
+def _words(data: np.ndarray, ends: np.ndarray, key: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words under ``key`` and at last of the end token, and the number of each text's first word."""
     starts, stops, first = word_spans(data, ends, SPACE_WORDS)
-    return np.append(SpanHash(data).spans(starts, stops), _END_WORD), first
+    return np.append(digests(data, starts, stops, key)[:, 0], _END_WORD), first
 
 
 def _grams(data: np.ndarray, ends: np.ndarray, symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +319,7 @@ def _grams(data: np.ndarray, ends: np.ndarray, symbols: np.ndarray, depth: int)
 _SCORED = "kind int, block long, doc_ids array<long>, held_out array<boolean>, ends array<long>, data binary, words binary, counts binary, grams binary"
 
 
-def _scored_blocks(docs: DataFrame, symbols: np.ndarray, depth: int) -> DataFrame:
+def _scored_blocks(docs: DataFrame, symbols: np.ndarray, depth: int, key: bytes) -> DataFrame:
     """Two rows for each block of texts: the texts (kind 0); the distinct words' hashes and training counts, and the distinct (context, next symbol) pairs (kind 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(symbols)
 
@@ -329,7 +329,7 @@ def _scored_blocks(docs: DataFrame, symbols: np.ndarray, depth: int) -> DataFram
             data, ends = text_buffer(batch.column("text"))
             data = ASCII_LOWER[data]
             training = _training(batch.column("doc_id"))
-            hashes, first = _words(data, ends)
+            hashes, first = _words(data, ends, key)
             words, tokens = np.unique(hashes, return_inverse=True)
             counts = np.bincount(tokens[:-1][np.repeat(training, np.diff(first))], minlength=len(words))
             counts[tokens[-1]] += training.sum()
@@ -432,14 +432,16 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, pri
     """One row for each row of ``docs`` with its unigram and tree scores (log10).
 
     A null text is empty: one end token.  Repeated rows count and are scored each time; an empty
-    table gives an empty result.  Distinct words are told apart by 64-bit hashes.  A byte without a
+    table gives an empty result.  Distinct words are told apart by 64 bits of
+    digests under a key drawn for the run.  A byte without a
     symbol of its own is one of its kind with equal chance.
     """
     small_batches(docs.sparkSession)
+    words_key = new_key()
     with scratch() as kept:
         symbols = alphabet(byte_counts(docs))
         root, states = kept_states(gram_counts(docs, symbols, depth), depth, gain, prior)
-        scored = written(_scored_blocks(docs, symbols, depth), "scored", by="kind")
+        scored = written(_scored_blocks(docs, symbols, depth, words_key), "scored", by="kind")
         questions = scored.where("kind = 1")
         answers = written(_answers(questions.select("block", "grams").mapInArrow(_ask, _ASKED), states, root, depth), "answers")
         drop(states)
@@ -455,7 +457,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, gain: float = GAIN, pri
                 parts = sorted(zip(right.column("kind").to_pylist(), right.column("shard").to_pylist(), right.column("answer").to_pylist(), strict=True))
                 counts = np.concatenate([_unpack(p, np.int64) for kind, _, p in parts if not kind])
                 data, ends = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["data"]), np.uint8), np.array(row["ends"], np.int64)
-                hashes, first = _words(data, ends)
+                hashes, first = _words(data, ends, words_key)
                 tokens = np.unique(hashes, return_inverse=True)[1]
                 log = np.log10((counts + 1) / (n + v + 1))
                 base = np.r_[0.0, np.cumsum(log[tokens[:-1]])]

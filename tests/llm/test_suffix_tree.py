@@ -39,6 +39,16 @@ def test_base_is_brute_force(spark, rows):
     assert t.score_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_words_of_colliding_polynomials_are_different(spark):
+    from .colliding import PAIRS
+
+    held = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    seen = [i for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, pair[k]) for k, ids in enumerate((seen, held)) for i, pair in zip(ids, PAIRS, strict=False)]
+    got = t.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.held_out, r.n_known) for r in got) == sorted((i, i in held, 1 if i in held else 2) for i, _ in rows)
+
+
 def test_tree_is_a_model_and_beats_order_zero(spark, rows):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     tree, flat = t.train(df, gain=5.0), t.train(df, gain=1e18)
