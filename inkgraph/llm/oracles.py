@@ -97,3 +97,30 @@ per AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, sum(opens) AS spans,
 SELECT d.doc_id, coalesce(n, 0) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""
 
 ORACLES |= {"op6_licenses": LICENSES, "op8_suffix_dedup": STRINGS}
+
+#: The usual CRC-32 of ASCII text x, by a table t that a rule makes.
+_CRC_TABLE = "SELECT list(list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+
+
+def _crc(x: str) -> str:
+    return f"xor(list_reduce(list_concat([4294967295], list_transform(string_split({x}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295)"
+
+
+LEADERBOARD = f"""WITH crc AS ({_CRC_TABLE}),
+keyed AS (SELECT *, concat_ws(',', coalesce(sale_id::VARCHAR, ''), coalesce(item_id::VARCHAR, ''), coalesce(vendor_id::VARCHAR, ''), coalesce(line_no::VARCHAR, '')) AS k FROM sale_lines),
+h AS (SELECT k, {_crc('k')} AS h FROM (SELECT DISTINCT k FROM keyed), crc),
+dated AS (SELECT item_id, vendor_id, quantity, amount, flag, h, coalesce(date_diff('day', DATE '1970-01-01', shipped_at::DATE), 19723 + h % 150) AS s FROM keyed JOIN h USING (k)),
+arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+cut AS (SELECT *, greatest(1, least(8, 1 + CAST(floor((a - 19723) * 8.0 / 180) AS INTEGER))) AS b FROM arrived),
+bound AS (SELECT b, max(max(s)) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM cut GROUP BY b),
+delta AS (SELECT nation_id, item_id, a, sum(CASE WHEN flag = 'swapped' THEN -1.0 ELSE 1.0 END::DOUBLE * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0)) AS c
+  FROM cut JOIN bound USING (b) JOIN vendors USING (vendor_id) JOIN items USING (item_id) WHERE nation_id IS NOT NULL AND (most IS NULL OR s + 15 >= most) GROUP BY ALL),
+grid AS (SELECT * FROM (SELECT DISTINCT nation_id, a FROM delta) JOIN (SELECT DISTINCT nation_id, item_id FROM delta) USING (nation_id)),
+run AS (SELECT nation_id, item_id, a, sum(coalesce(c, 0)) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS v FROM grid LEFT JOIN delta USING (nation_id, item_id, a)),
+ranked AS (SELECT *, CASE WHEN v > 0 AND row_number() OVER (PARTITION BY nation_id, a ORDER BY v DESC, item_id) <= 10 THEN CAST(row_number() OVER (PARTITION BY nation_id, a ORDER BY v DESC, item_id) AS INTEGER) END AS new_rank FROM run),
+both_ranks AS (SELECT *, lag(new_rank) OVER (PARTITION BY nation_id, item_id ORDER BY a) AS old_rank FROM ranked)
+SELECT nation_id, a AS arrival_day, item_id, greatest(1, least(8, 1 + CAST(floor((a - 19723) * 8.0 / 180) AS INTEGER))) AS batch,
+  CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, old_rank, new_rank, CAST(v AS BIGINT) AS revenue
+FROM both_ranks WHERE old_rank IS DISTINCT FROM new_rank"""
+
+ORACLES["op11_leaderboard"] = LEADERBOARD

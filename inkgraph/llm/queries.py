@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, licenses, lines, oracles, quality, secrets, sites, suffix_dedup, suffix_tree
+from . import bpe, decontaminate, jaccard, leaderboard, licenses, lines, oracles, quality, secrets, sites, suffix_dedup, suffix_tree
 from .storage import READ
 
 
@@ -63,12 +63,16 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(_read(spark, sf_dir, "documents"))
 
 
+def op11_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.change_feed(*[_read(spark, sf_dir, name) for name in ("sale_lines", "vendors", "items")])
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op4_near_items": op4_near_items, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard": op9_jaccard, "op10_lines": op10_lines}
+    return {"op1_quality": op1_quality, "op2_bpe": op2_bpe, "op3_sites": op3_sites, "op4_decontaminate": op4_decontaminate, "op4_near_items": op4_near_items, "op5_secrets": op5_secrets, "op6_licenses": op6_licenses, "op7_suffix_tree": op7_suffix_tree, "op8_suffix_dedup": op8_suffix_dedup, "op9_jaccard": op9_jaccard, "op10_lines": op10_lines, "op11_leaderboard": op11_leaderboard}
 
 
 def oracle_sql() -> dict[str, str]:
