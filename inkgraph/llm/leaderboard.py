@@ -6,13 +6,13 @@ one checkpoint.  Its event time is the day of arrival.  A key of the state is a
 nation and a shard of its items, so that a nation with a third of all lines is
 spread over many tasks; shards get more as lines do.  A key holds accepted
 deltas by day of arrival, the revenue of its items, and its own board.  A timer
-stands at the end of its first open day; when the watermark passes it, all days
-that ended are folded in ascending order and changes of the key's board are
+stands at the end of its first open day; when the watermark has passed it, all
+days that ended are folded in ascending order and changes of the key's board are
 emitted.  A sentinel after the last batch moves the watermark past the last days.
 
-A nation's board is the best of the boards of its shards (ten of each day and
-shard are enough to know the ten of the nation), merged for every micro-batch
-from what the timers emitted and from the boards that still stand.
+A nation's board is the best of the boards of its shards: ten of each day and
+shard are enough to know the ten of the nation.  They are merged in windows by
+nation and day, and a day's board is compared with the one before it.
 
 Nulls: a line without shipped_at gets a day from its hash, without amount the
 price of its item counts, without both nothing; NaN and infinite numbers are as
@@ -40,12 +40,10 @@ from .storage import shared_dir
 TOP, GRACE_DAYS, BATCHES = 10, 15, 8
 #: The first day and the number of days over which batches are dealt.
 FIRST_DAY, DAYS = 19723, 180
-#: Lines for one shard of a nation's items, about.
-SHARD_LINES = 1 << 20
+#: There is a shard of each nation's items for so many lines.
+SHARD_LINES = 1 << 19
 #: Rows that are summed at a time before they are shuffled.
 COMBINE_ROWS = 1 << 17
-#: Nation-days of a micro-batch that may be broadcast.
-BROADCAST_DAYS = 1_000_000
 
 #: A day is a second of event time: all days of the calendar fit into the nanoseconds of pandas then.
 DAY_MS = 1000
@@ -138,6 +136,8 @@ class Shard:
     def fold(self, watermark: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """Folds the days that end before the watermark, ascending: (day, items, revenues, which are on the board) where the board changes."""
         over = int(np.searchsorted(self.days, watermark // DAY_MS))
+        if not over:
+            return
         days, day_items, day_cents = self.days[:over], self.day_items[:over], self.day_cents[:over]
         self.days, self.day_items, self.day_cents = self.days[over:], self.day_items[over:], self.day_cents[over:]
         everything = np.union1d(self.items, day_items)
@@ -157,16 +157,18 @@ class Shard:
 
 
 def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Buffers a key's new deltas, or folds its ended days when its timer fires; the sentinel has no nation and leaves no state."""
+    """Folds a key's ended days when its timer fires, or, if new deltas come at that moment, before they are buffered.
+
+    The sentinel has no nation and leaves no state.
+    """
     if key[0] is None or key[0] != key[0]:
         return
     shard = Shard(state.get if state.exists else None)
-    for frame in frames:
-        if not state.hasTimedOut:
+    for day, items, cents, on in shard.fold(state.getCurrentWatermarkMs()):
+        yield pd.DataFrame({"nation_id": np.int32(key[0]), "shard": np.int32(key[1]), "arrival_day": day, "item_id": items, "revenue": cents.astype(np.int64), "on_board": on})
+    if not state.hasTimedOut:
+        for frame in frames:
             shard.buffer(frame["arrival_day"].to_numpy(np.int64), frame["item_id"].to_numpy(np.int64), frame["cents"].to_numpy(np.float64))
-    if state.hasTimedOut:
-        for day, items, cents, on in shard.fold(state.getCurrentWatermarkMs()):
-            yield pd.DataFrame({"nation_id": np.int32(key[0]), "shard": np.int32(key[1]), "arrival_day": day, "item_id": items, "revenue": cents.astype(np.int64), "on_board": on})
     state.update(shard.packed())
     if (at := shard.timer()) is not None:
         state.setTimeoutTimestamp(at)
@@ -222,57 +224,24 @@ def deltas(rows: DataFrame, vendors: DataFrame, items: DataFrame, hot_vendors: D
     return rows.mapInArrow(combine, rows.schema)
 
 
-class Boards:
-    """Merges the boards of shards to those of nations, micro-batch by micro-batch; what a micro-batch adds is written under its number."""
+def merged_boards(emitted: DataFrame) -> DataFrame:
+    """(nation_id, arrival_day, item_id, old_rank, new_rank, revenue) of every change of a nation's board, from what its shards emitted.
 
-    def __init__(self, folder: str):
-        self.folder, self.done = folder, []
-
-    def _table(self, spark: SparkSession, kind: str, number: int) -> DataFrame:
-        return spark.read.parquet(f"{self.folder}/{kind}/{number}")
-
-    def merge(self, emitted: DataFrame, number: int) -> None:
-        spark = emitted.sparkSession
-        self.done = [n for n in self.done if n < number]  # a micro-batch that is run again starts from the one before it
-        emitted.write.mode("overwrite").parquet(f"{self.folder}/emitted/{number}")
-        new = self._table(spark, "emitted", number)
-        if new.isEmpty():
-            return
-        nation_day = ["nation_id", "arrival_day"]
-        open_, last = (self._table(spark, kind, self.done[-1]) if self.done else None for kind in ("open", "last"))
-        boards = new.groupBy("nation_id", "shard", "arrival_day").agg(F.collect_list(F.when(F.col("on_board"), F.struct("item_id", "revenue"))).alias("board"))
-        if open_ is not None:
-            boards = boards.unionByName(open_.withColumn("arrival_day", F.lit(NO_DAY)))
-        boards = boards.withColumn("until", F.lead("arrival_day").over(Window.partitionBy("nation_id", "shard").orderBy("arrival_day")))
-        days = new.select(nation_day).distinct()
-        if days.count() <= BROADCAST_DAYS:
-            days = F.broadcast(days)
-        live = boards.withColumnRenamed("arrival_day", "since").join(days, "nation_id")
-        live = live.where((F.col("arrival_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("arrival_day") < F.col("until"))))
-        live = live.select(*nation_day, F.inline("board"))
-        top = live.withColumn("new_rank", F.row_number().over(Window.partitionBy(nation_day).orderBy(F.desc("revenue"), "item_id"))).where(F.col("new_rank") <= TOP)
-        top.write.mode("overwrite").parquet(f"{self.folder}/top/{number}")
-        top = self._table(spark, "top", number)
-
-        before, known = top.drop("revenue"), new.select(nation_day).distinct()
-        if last is not None:
-            before = before.unionByName(last.withColumn("arrival_day", F.lit(NO_DAY)))
-            known = known.unionByName(known.select("nation_id", F.lit(NO_DAY).alias("arrival_day")).distinct())
-        following = known.withColumn("next", F.lead("arrival_day").over(Window.partitionBy("nation_id").orderBy("arrival_day"))).where(F.col("next").isNotNull())
-        before = before.join(following, nation_day).select("nation_id", F.col("next").alias("arrival_day"), "item_id", F.col("new_rank").alias("old_rank"))
-        key = [*nation_day, "item_id"]
-        diff = top.join(before, key, "full_outer").where(~F.col("new_rank").eqNullSafe(F.col("old_rank")))
-        left = new.where(~F.col("on_board")).select(*key, F.col("revenue").alias("later")).unionByName(live.select(*key, F.col("revenue").alias("later")))
-        out = diff.where(F.col("new_rank").isNull()).drop("revenue").join(left, key).withColumnRenamed("later", "revenue")
-        diff.where(F.col("new_rank").isNotNull()).unionByName(out).write.mode("overwrite").parquet(f"{self.folder}/changes/{number}")
-
-        boards.where(F.col("until").isNull()).select("nation_id", "shard", "board").write.mode("overwrite").parquet(f"{self.folder}/open/{number}")
-        ends = known.groupBy("nation_id").agg(F.max("arrival_day").alias("arrival_day"))
-        now = top.join(ends, nation_day, "left_semi").select("nation_id", "item_id", "new_rank")
-        if last is not None:
-            now = now.unionByName(last.join(ends, "nation_id", "left_anti"))
-        now.write.mode("overwrite").parquet(f"{self.folder}/last/{number}")
-        self.done.append(number)
+    A shard's board holds from its day to the next one that the shard emitted.
+    """
+    day = ["nation_id", "arrival_day"]
+    boards = emitted.groupBy("nation_id", "shard", "arrival_day").agg(F.collect_list(F.when(F.col("on_board"), F.struct("item_id", "revenue"))).alias("board"))
+    boards = boards.withColumn("until", F.lead("arrival_day").over(Window.partitionBy("nation_id", "shard").orderBy("arrival_day"))).withColumnRenamed("arrival_day", "since")
+    days = emitted.select(day).distinct()
+    following = days.withColumn("next", F.lead("arrival_day").over(Window.partitionBy("nation_id").orderBy("arrival_day")))
+    live = boards.join(days, "nation_id").where((F.col("arrival_day") >= F.col("since")) & (F.col("until").isNull() | (F.col("arrival_day") < F.col("until"))))
+    live = live.select(*day, F.inline("board"))
+    top = live.withColumn("new_rank", F.row_number().over(Window.partitionBy(day).orderBy(F.desc("revenue"), "item_id"))).where(F.col("new_rank") <= TOP)
+    before = top.join(following, day).where(F.col("next").isNotNull()).select("nation_id", F.col("next").alias("arrival_day"), "item_id", F.col("new_rank").alias("old_rank"))
+    key = [*day, "item_id"]
+    diff = top.drop("revenue").join(before, key, "full_outer").where(~F.col("new_rank").eqNullSafe(F.col("old_rank")))
+    known = live.unionByName(emitted.where(~F.col("on_board")).select(*key, "revenue"))  # an item that leaves a nation's board may also leave its shard's
+    return diff.join(known, key)
 
 
 @contextlib.contextmanager
@@ -295,45 +264,41 @@ def change_feed(lines: DataFrame, vendors: DataFrame, items: DataFrame) -> DataF
     folder = f"{shared_dir(spark)}/leaderboard-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    cut(lines).write.partitionBy("batch").parquet(f"{folder}/cut")
-    rows = spark.read.schema(LINE).parquet(f"{folder}/cut")
-    furthest = {r["batch"]: r["day"] for r in rows.groupBy("batch").agg(F.max("ship_day").alias("day")).collect()}  # a row for each batch
-    count, tasks = rows.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    vendors = vendors.groupBy(F.col("vendor_id").cast("long").alias("vendor_id")).agg(F.min("nation_id").cast("int").alias("nation_id")).where(F.col("vendor_id").isNotNull())
-    items = items.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(_number("price")).alias("price"), F.lit(True).alias("known")).where(F.col("item_id").isNotNull())
 
     def kept(table: DataFrame, name: str) -> DataFrame:
         table.write.parquet(f"{folder}/{name}")
         return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
 
-    vendors, items = kept(vendors, "vendors"), kept(items, "items")
+    cut(lines).write.partitionBy("batch").parquet(f"{folder}/cut")
+    rows = spark.read.schema(LINE).parquet(f"{folder}/cut")
+    found = {r["batch"]: r for r in rows.groupBy("batch").agg(F.max("ship_day").alias("day"), F.count("*").alias("n")).collect()}  # a row for each batch
+    count, tasks = sum(r["n"] for r in found.values()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vendors = kept(vendors.groupBy(F.col("vendor_id").cast("long").alias("vendor_id")).agg(F.min("nation_id").cast("int").alias("nation_id")), "vendors")
+    items = kept(items.groupBy(F.col("item_id").cast("long").alias("item_id")).agg(F.max(_number("price")).alias("price"), F.lit(True).alias("known")), "items")
     hot = [kept(_hot(rows, table, key, count, tasks), f"hot_{key}") for key, table in (("vendor_id", vendors), ("item_id", items))]
-    shards = max(-(-count // SHARD_LINES), -(-tasks // 4))
-    sentinel = spark.createDataFrame([(NO_ID, NO_ID, None, None, None, SENTINEL_DAY, SENTINEL_DAY, BATCHES + 1)], LINE)
-    sentinel.write.partitionBy("batch").parquet(f"{folder}/sentinel")
+    shards = -(-count // SHARD_LINES) or 1
+    sentinel = {"item_id": NO_ID, "vendor_id": NO_ID, "ship_day": SENTINEL_DAY, "arrival_day": SENTINEL_DAY, "batch": BATCHES + 1}
+    types = dict(f.split() for f in LINE.split(", "))
+    spark.range(1).select(*[F.lit(sentinel.get(c)).cast(t).alias(c) for c, t in types.items()]).write.partitionBy("batch").parquet(f"{folder}/end")
 
-    boards = Boards(folder)
     fs.mkdirs(path(f"{folder}/fed"))
+    fs.mkdirs(path(f"{folder}/emitted"))
     largest = None
-    for batch in range(1, BATCHES + 1):
-        if batch in furthest:
-            fs.rename(path(f"{folder}/cut/batch={batch}"), path(f"{folder}/fed/batch={batch}"))
-        if batch == BATCHES:
-            fs.rename(path(f"{folder}/sentinel/batch={BATCHES + 1}"), path(f"{folder}/fed/batch={BATCHES + 1}"))
+    for batch in [*sorted(found), BATCHES + 1]:
+        fs.rename(path(f"{folder}/{'cut' if batch in found else 'end'}/batch={batch}"), path(f"{folder}/fed/batch={batch}"))
         stream = spark.readStream.schema(LINE).parquet(f"{folder}/fed")
         if largest is not None:
             stream = stream.where(F.col("ship_day") + GRACE_DAYS >= largest)
         changes = deltas(stream, vendors, items, *hot, shards).withColumn("arrived", F.timestamp_seconds("arrival_day")).withWatermark("arrived", "0 seconds")
-        changed = changes.groupBy("nation_id", "shard").applyInPandasWithState(advance, EMITTED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-        with settings(spark, spark__sql__streaming__minBatchesToRetain="2", spark__sql__streaming__noDataMicroBatches__enabled="true"):
-            query = changed.writeStream.foreachBatch(boards.merge).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        boards = changes.groupBy("nation_id", "shard").applyInPandasWithState(advance, EMITTED, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        with settings(spark, spark__sql__streaming__minBatchesToRetain="2", spark__sql__streaming__noDataMicroBatches__enabled=str(batch > BATCHES).lower()):  # a batch's last timers fire with the next batch, the sentinel's after it
+            query = boards.writeStream.format("parquet").option("path", f"{folder}/emitted").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
             query.awaitTermination()
-        if batch in furthest:
-            largest = max(furthest[batch], largest if largest is not None else furthest[batch])
+        if batch in found:
+            largest = found[batch]["day"] if largest is None else max(largest, found[batch]["day"])
             fs.delete(path(f"{folder}/fed/batch={batch}"), True)
-    schema = "nation_id int, arrival_day long, item_id long, revenue long, new_rank int, old_rank int"
-    found = spark.read.schema(schema).parquet(*[f"{folder}/changes/{n}" for n in boards.done]) if boards.done else spark.createDataFrame([], schema)
-    for part in ("cut", "fed", "sentinel", "vendors", "items", "hot_vendor_id", "hot_item_id", "checkpoint", "emitted", "open", "last", "top"):
+    changes = kept(merged_boards(spark.read.schema(EMITTED).parquet(f"{folder}/emitted")), "changes")
+    for part in ("cut", "fed", "end", "vendors", "items", "hot_vendor_id", "hot_item_id", "checkpoint", "emitted"):
         fs.delete(path(f"{folder}/{part}"), True)
     change = F.when(F.col("old_rank").isNull(), "enter").when(F.col("new_rank").isNull(), "exit").otherwise("move")
-    return found.select("nation_id", "arrival_day", "item_id", batch_of(F.col("arrival_day")).alias("batch"), change.alias("change"), "old_rank", "new_rank", "revenue")
+    return changes.select("nation_id", "arrival_day", "item_id", batch_of(F.col("arrival_day")).alias("batch"), change.alias("change"), "old_rank", "new_rank", "revenue")
