@@ -85,16 +85,18 @@ per AS (SELECT r, count(*) FILTER (exact) AS n_base, min(start) FILTER (exact) A
   array_to_string(list_sort(list_distinct(list(label) FILTER (exact))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(covered) AS score FROM kept GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN per USING (r)"""
 
+#: Windows are cut from pieces of 256 bytes; runs of hits become spans, and the kept text is what lies between these.
 STRINGS = """WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+piece AS (SELECT doc_id, 256 * k AS base, substr(h, 512 * k + 1, 610) AS c FROM (SELECT doc_id, h, unnest(range(0, len(h) // 512 + 1)) AS k FROM d)),
+win AS (SELECT doc_id, base + j AS i, substr(c, 2 * j + 1, 100) AS s FROM (SELECT *, unnest(range(0, greatest(least(256, len(c) // 2 - 49), 0))) AS j FROM piece)),
 first AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s),
 hit AS (SELECT doc_id, i FROM win JOIN first USING (s) WHERE m < doc_id),
-each AS (SELECT doc_id, h, unnest(range(0, len(h) // 2)) AS i FROM d),
-marked AS (SELECT each.doc_id, each.i, substr(h, 2 * each.i + 1, 2) AS b, max(CASE WHEN hit.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY each.doc_id ORDER BY each.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
-  FROM each LEFT JOIN hit ON hit.doc_id = each.doc_id AND hit.i = each.i),
-edge AS (SELECT *, CASE WHEN gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 THEN 1 ELSE 0 END AS opens FROM marked),
-per AS (SELECT doc_id, count(*) AS n, sum(gone) AS removed, sum(opens) AS spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM edge GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n, 0) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN per USING (doc_id)"""
+run AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM hit)),
+span AS (SELECT doc_id, min(i) AS lo, max(i) + 50 AS hi FROM run GROUP BY doc_id, g),
+kept AS (SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS a, lo AS b, hi - lo AS n FROM span
+  UNION ALL SELECT doc_id, coalesce(max(hi), 0), len(h) // 2, 0 FROM d LEFT JOIN span USING (doc_id) GROUP BY doc_id, h),
+per AS (SELECT doc_id, sum(n) AS removed, sum(CASE WHEN n > 0 THEN 1 ELSE 0 END) AS spans, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS rest FROM kept JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(h) // 2 AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(rest)) AS kept_sha256 FROM d JOIN per USING (doc_id)"""
 
 ORACLES |= {"op6_licenses": LICENSES, "op8_suffix_dedup": STRINGS}
 
