@@ -74,6 +74,11 @@ def path_tier(corpus: DataFrame, query: Query, root: str = "") -> DataFrame:
     return corpus.where(hit).select("path_rel", "title", F.lit(0.0).alias("rank"))
 
 
+def place_in_tier() -> Column:
+    """Within the path tier pages come by path, elsewhere by rank and title."""
+    return F.when(F.col("tier") == 1, F.col("path_rel")).otherwise(F.col("title")).alias("by")
+
+
 def tiers(corpus: DataFrame, text: str, root: str = "") -> DataFrame:
     """(title, path_rel, tier, rank): all matches, once for each title.
 
@@ -85,8 +90,7 @@ def tiers(corpus: DataFrame, text: str, root: str = "") -> DataFrame:
     if query.searchable:
         ranked = bm25(corpus, query).select("path_rel", "title", (-F.round("score", 6)).alias("rank"), F.lit(2).alias("tier"))
         found = found.unionByName(ranked)
-    # within the path tier pages come by path, elsewhere by rank and title
-    order = F.struct("tier", "rank", F.when(F.col("tier") == 1, F.col("path_rel")).otherwise(F.col("title")).alias("by"), "path_rel")
+    order = F.struct("tier", "rank", place_in_tier(), "path_rel")
     return found.groupBy("title").agg(F.min(order).alias("o")).select("title", F.col("o.path_rel").alias("path_rel"), F.col("o.tier").alias("tier"), F.col("o.rank").alias("rank"))
 
 

@@ -6,6 +6,7 @@ both engines have, so both compute the same input from scratch.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as T
 from ..functions.query import parse_query
-from ..operators import check, fix, lookup, scaffold, search, sync
+from ..operators import check, fix, index, lookup, scaffold, search, sync
 from ..sources import corpus as C
 from ..sources.tables import shared_dir
 
@@ -42,6 +43,33 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.documents_corpus(_docs(spark, sf_dir))
 
 
+#: Stored indexes of this process, by application, tables and kind.
+_STORED: dict[tuple[str, str, str], index.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored search index of the corpus of ``documents``: made by the first query that needs it, read by the others."""
+    key = spark.sparkContext.applicationId, sf_dir, "corpus"
+    if key not in _STORED:
+        _STORED[key] = index.update(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", _corpus(spark, sf_dir))
+    return _STORED[key]
+
+
+def _updated_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """An index after pages came, changed, lost their membership and were deleted, some of it by paths and some by a whole snapshot."""
+    key = spark.sparkContext.applicationId, sf_dir, "updated"
+    if key not in _STORED:
+        path, docs, d = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", _docs(spark, sf_dir), F.col("doc_id")
+        revised = docs.withColumn("text", F.when(d % 7 == 1, F.concat(F.lit("revised edition "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+        again = revised.where((d % 19 == 4) & (d % 13 != 5)).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" once more")))
+        paths = lambda rows: C.documents_corpus(rows).select("path_rel")
+        index.update(spark, path, C.documents_corpus(docs.where(d % 5 != 0)))
+        index.update(spark, path, C.documents_corpus(revised.where((d % 10 == 0) | (d % 7 == 1))), deleted=paths(docs.where(d % 11 == 3)))
+        index.update(spark, path, C.documents_corpus(revised.where(d % 13 != 5)), whole=True)
+        _STORED[key] = index.update(spark, path, C.documents_corpus(again), deleted=paths(docs.where(d % 17 == 2)))
+    return _STORED[key]
+
+
 # Derived inputs in SQL -------------------------------------------------------
 
 CORPUS = """corpus AS (
@@ -109,7 +137,7 @@ def s01_exact_lookup(spark, sf_dir):
 
 @query(f"WITH {CORPUS} SELECT path_rel, title FROM corpus WHERE contains(lower(path_rel || ' /' || path_rel), 'src1') AND contains(lower(path_rel || ' /' || path_rel), 'fr')")
 def s02_path_search(spark, sf_dir):
-    return search.path_tier(_corpus(spark, sf_dir), parse_query("SRC1 fr")).select("path_rel", "title")
+    return index.path_tier(_index(spark, sf_dir), parse_query("SRC1 fr")).select("path_rel", "title")
 
 
 _SPLIT = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
@@ -129,7 +157,7 @@ bm AS (SELECT path_rel, title, round(sum(weight * ln(1 + (n - df + 0.5) / (df +
 
 @query(f"WITH {CORPUS}, {_bm25_sql(['with', 'thin', 'src3'])} SELECT path_rel, title, score FROM bm")
 def s03_fts_bm25(spark, sf_dir):
-    return search.bm25(_corpus(spark, sf_dir), parse_query("with thin src3")).withColumn("score", F.round("score", 6))
+    return index.bm25(_index(spark, sf_dir), parse_query("with thin src3")).withColumn("score", F.round("score", 6))
 
 
 _TIERS = f"""WITH {CORPUS}, {KEYS}, {_bm25_sql(['en', '5'])},
@@ -143,17 +171,39 @@ ranked AS (SELECT *, row_number() OVER (ORDER BY tier, rank, CASE WHEN tier = 1
 
 @query(f"{_TIERS} SELECT title, path_rel, tier, rank FROM best WHERE n = 1")
 def s04_weighted_search(spark, sf_dir):
-    return search.tiers(_corpus(spark, sf_dir), "en-5")
+    return index.tiers(_index(spark, sf_dir), "en-5").drop("doc")
 
 
 @query(f"{_TIERS} SELECT position, title, path_rel AS file, summary, total FROM ranked JOIN corpus USING (path_rel, title) WHERE position > 5 AND position <= 15")
 def s04_search_page(spark, sf_dir):
-    return search.search(_corpus(spark, sf_dir), "en-5", limit=10, offset=5).drop("snippets")
+    return index.search_page(_index(spark, sf_dir), "en-5", limit=10, offset=5).drop("snippets")
 
 
 @query(f"WITH {CORPUS}, {_bm25_sql(['des', 'und', 'src5'])}, top AS (SELECT * FROM bm ORDER BY score DESC, title, path_rel LIMIT 3) SELECT title, path_rel AS file, summary, score FROM top JOIN corpus USING (path_rel, title) WHERE (CAST(contains(lower(title || chr(10) || summary || chr(10) || content), 'des') AS INT) + CAST(contains(lower(title || chr(10) || summary || chr(10) || content), 'und') AS INT) + CAST(contains(lower(title || chr(10) || summary || chr(10) || content), 'src5') AS INT)) / 3.0 >= 0.5")
 def s05_suggest(spark, sf_dir):
-    return search.suggest(_corpus(spark, sf_dir), "des und src5")
+    return index.suggest(_index(spark, sf_dir), "des und src5")
+
+
+#: The documents as they are after the updates of ``_updated_index``.
+_UPDATED = CORPUS.replace("FROM documents", "FROM latest_docs")
+_LATEST = """latest_docs AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 1 THEN 'revised edition ' ELSE '' END || coalesce(text, '') || CASE WHEN doc_id % 19 = 4 THEN ' once more' ELSE '' END AS text) FROM documents WHERE doc_id % 13 <> 5 AND doc_id % 17 <> 2)"""
+_FIELD_WORDS = " UNION ALL ".join(f"SELECT path_rel, '{n}' AS field, {_SPLIT.format(e)} AS w FROM corpus" for n, e, _ in _FIELDS)
+
+
+@query(f"""WITH {_LATEST}, {_UPDATED}, f AS ({_FIELD_WORDS}), w AS (SELECT path_rel, field, unnest(w) AS t, unnest(range(0, len(w))) AS i FROM f)
+SELECT path_rel, field, count(DISTINCT t) AS terms, count(*) AS words, CAST(sum(i * length(t)) AS BIGINT) AS placed FROM w GROUP BY path_rel, field""")
+def i06_index_upsert(spark, sf_dir):
+    return index.contents(_updated_index(spark, sf_dir))
+
+
+@query(f"WITH {_LATEST}, {_UPDATED}, {_bm25_sql(['revised', 'with', 'more'])} SELECT path_rel, title, score FROM bm")
+def i07_search_updated(spark, sf_dir):
+    return index.bm25(_updated_index(spark, sf_dir), parse_query("revised with more")).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH {_LATEST}, {_UPDATED} SELECT path_rel, title FROM corpus WHERE contains(lower(path_rel), 'doc') AND contains(lower(path_rel), '7') AND contains(lower(path_rel), 'src')""")
+def i08_paths_updated(spark, sf_dir):
+    return index.path_tier(_updated_index(spark, sf_dir), parse_query("doc 7 src")).select("path_rel", "title")
 
 
 _TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"

@@ -24,4 +24,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet in the shared folder, read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
