@@ -16,7 +16,7 @@ from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as T
 from ..functions.query import parse_query
-from ..operators import check, fix, index, lookup, scaffold, search, sync
+from ..operators import check, fix, index, lookup, scaffold, search, snapshots, sync
 from ..sources import corpus as C
 from ..sources.tables import shared_dir
 
@@ -805,3 +805,97 @@ def g09_trim_chain(spark, sf_dir):
     ident = F.col("doc_id").cast("string")
     rows = _docs(spark, sf_dir).select(F.concat(F.lit("p-"), ident).alias("page"), F.array(F.concat(F.lit("Title "), ident), F.lit("Sub")).alias("heading_chain"), F.concat(F.when(F.col("doc_id") % 2 == 0, F.lit(" TITLE  ")).otherwise("Other "), ident).alias("title"))
     return scaffold.trim_chain(rows.drop("title"), rows.select("page", "title")).select("page", F.array_join("heading_chain", ",").alias("chain"))
+
+
+# Snapshots -------------------------------------------------------------------
+
+_FILES = """files AS (SELECT doc_id AS d, 'wiki/' || source || '/' || lang || '/doc-' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS h FROM documents),
+before AS (SELECT path, h || CASE WHEN d % 17 = 6 THEN 'b' ELSE '' END AS h FROM files WHERE d % 4 <> 0),
+head AS (SELECT path, h FROM files WHERE d % 5 <> 0),
+index AS (SELECT path, h || CASE WHEN d % 11 = 3 THEN 's' ELSE '' END AS h FROM files WHERE d % 7 <> 0 AND d % 6 <> 5),
+work AS (SELECT path, h || CASE WHEN d % 11 = 3 THEN 's' ELSE '' END || CASE WHEN d % 9 = 4 THEN 'w' ELSE '' END AS h FROM files WHERE d % 13 <> 0)"""
+
+
+def _trees(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Trees of a revision before, the present one, the index and the work tree, as in ``_FILES``."""
+    d = F.col("doc_id")
+    files = _corpus(spark, sf_dir).select("doc_id", F.col("path_rel").alias("path"), F.col("content_hash").alias("h"))
+    mark = lambda when, x: F.when(when, F.lit(x)).otherwise(F.lit(""))
+    rows = {
+        "before": files.where(d % 4 != 0).withColumn("h", F.concat("h", mark(d % 17 == 6, "b"))),
+        "head": files.where(d % 5 != 0),
+        "index": files.where((d % 7 != 0) & (d % 6 != 5)).withColumn("h", F.concat("h", mark(d % 11 == 3, "s"))),
+        "work": files.where(d % 13 != 0).withColumn("h", F.concat("h", mark(d % 11 == 3, "s"), mark(d % 9 == 4, "w"))),
+    }
+    return {k: snapshots.tree(v.select("path", F.col("h").alias("content_hash"))) for k, v in rows.items()}
+
+
+def _status_sql(head: str) -> str:
+    change = "CASE WHEN {0}.h IS NULL THEN 'added' WHEN {1}.h IS NULL THEN 'deleted' WHEN {0}.h <> {1}.h THEN 'changed' END"
+    return f"""status AS (SELECT * FROM (SELECT coalesce({head}.path, index.path, work.path) AS path,
+    CASE WHEN {head}.h IS NULL AND index.h IS NULL THEN NULL ELSE {change.format(head, 'index')} END AS staged, CASE WHEN index.h IS NOT NULL THEN {change.format('index', 'work')} END AS unstaged, index.h IS NULL AND work.h IS NOT NULL AS untracked
+  FROM {head} FULL JOIN index ON {head}.path = index.path FULL JOIN work ON coalesce(index.path, {head}.path) = work.path) WHERE staged IS NOT NULL OR unstaged IS NOT NULL OR untracked)"""
+
+
+@query(f"WITH {_FILES}, {_status_sql('head')} SELECT path, staged, unstaged, untracked FROM status")
+def i09_tree_status(spark, sf_dir):
+    t = _trees(spark, sf_dir)
+    return snapshots.status(t["head"], t["index"], t["work"])
+
+
+@query(f"WITH {_FILES}, none AS (SELECT * FROM files WHERE false), {_status_sql('none')} SELECT path, staged, unstaged, untracked FROM status")
+def i10_tree_no_head(spark, sf_dir):
+    t = _trees(spark, sf_dir)
+    return snapshots.status(None, t["index"], t["work"])
+
+
+@query(f"""WITH {_FILES}, {_status_sql('head')}, looked AS (SELECT path FROM status UNION SELECT coalesce(before.path, head.path) FROM before FULL JOIN head ON before.path = head.path WHERE before.h IS DISTINCT FROM head.h)
+SELECT path, CASE WHEN work.h IS NULL THEN 'deleted' ELSE 'changed_or_added' END AS change FROM looked LEFT JOIN work USING (path) WHERE work.h IS NOT NULL OR path IN (SELECT path FROM before)""")
+def i13_candidates(spark, sf_dir):
+    t = _trees(spark, sf_dir)
+    return snapshots.candidates(t["before"], t["head"], t["index"], t["work"], t["before"].where("kind = 'file'"))
+
+
+#: Pages that move and lose a third of their lines: contents are paired by common lines, the best pair first.
+_EDITED = r"""WITH RECURSIVE o AS (SELECT 'old/' || doc_id || '.md' AS path, coalesce(text, '') AS x FROM documents),
+n AS (SELECT 'new/' || doc_id || '.md' AS path, array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x, i: i % 3 <> 0), chr(10)) AS x FROM documents),
+op AS (SELECT path, x, row_number() OVER (PARTITION BY x ORDER BY path) AS k FROM o), np AS (SELECT path, x, row_number() OVER (PARTITION BY x ORDER BY path) AS k FROM n),
+oc AS (SELECT *, row_number() OVER (ORDER BY first) AS id FROM (SELECT x, min(path) AS first, count(*) AS c FROM o GROUP BY x)), nc AS (SELECT *, row_number() OVER (ORDER BY first) AS id FROM (SELECT x, min(path) AS first, count(*) AS c FROM n GROUP BY x)),
+ou AS (SELECT oc.id, oc.x, oc.first, least(oc.c, coalesce(nc.c, 0)) AS used, oc.c - least(oc.c, coalesce(nc.c, 0)) AS free FROM oc LEFT JOIN nc USING (x)), nu AS (SELECT nc.id, nc.x, nc.first, least(nc.c, coalesce(oc.c, 0)) AS used, nc.c - least(nc.c, coalesce(oc.c, 0)) AS free FROM nc LEFT JOIN oc USING (x)),
+ol AS (SELECT id, l, count(*) AS c, max(strlen(l) + 1) AS w FROM (SELECT id, unnest(string_split(x, chr(10))) AS l FROM ou WHERE free > 0) GROUP BY id, l), nl AS (SELECT id, l, count(*) AS c FROM (SELECT id, unnest(string_split(x, chr(10))) AS l FROM nu WHERE free > 0) GROUP BY id, l),
+shared AS (SELECT ol.id AS oi, nl.id AS ni, sum(least(ol.c, nl.c) * w) AS s FROM ol JOIN nl USING (l) GROUP BY ol.id, nl.id),
+pair AS (SELECT *, row_number() OVER (ORDER BY score DESC, ofirst, nfirst) AS k FROM (SELECT oi, ni, ou.first AS ofirst, nu.first AS nfirst, s / greatest(strlen(ou.x) + 1, strlen(nu.x) + 1) AS score FROM shared JOIN ou ON ou.id = oi JOIN nu ON nu.id = ni) WHERE score >= 0.5),
+walk AS (SELECT 0::BIGINT AS k, (SELECT list(free ORDER BY id) FROM ou) AS lo, (SELECT list(free ORDER BY id) FROM nu) AS ln, 0::BIGINT AS oi, 0::BIGINT AS ni, 0::BIGINT AS take, 0::BIGINT AS o_left, 0::BIGINT AS n_left, 0::DOUBLE AS score
+  UNION ALL SELECT p.k, list_transform(lo, lambda x, i: CASE WHEN i = p.oi THEN x - least(lo[p.oi], ln[p.ni]) ELSE x END), list_transform(ln, lambda x, i: CASE WHEN i = p.ni THEN x - least(lo[p.oi], ln[p.ni]) ELSE x END), p.oi, p.ni, least(lo[p.oi], ln[p.ni]), lo[p.oi], ln[p.ni], p.score
+  FROM walk JOIN pair p ON p.k = walk.k + 1),
+taken AS (SELECT w.*, ou.x AS ox, nu.x AS nx, ou.used + ou.free - o_left AS o_from, nu.used + nu.free - n_left AS n_from FROM walk w JOIN ou ON ou.id = w.oi JOIN nu ON nu.id = w.ni WHERE take > 0)
+SELECT op.path AS old, np.path AS new, 1.0::DOUBLE AS score FROM op JOIN np USING (x, k)
+UNION ALL SELECT op.path, np.path, round(score, 6) FROM (SELECT *, unnest(range(1, take + 1)) AS i FROM taken) t JOIN op ON op.x = ox AND op.k = o_from + i JOIN np ON np.x = nx AND np.k = n_from + i"""
+
+
+@query(_EDITED)
+def i11_renames_edited(spark, sf_dir):
+    text = F.coalesce("text", F.lit(""))
+    kept = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: i % 3 != 2), "\n")
+    page = lambda top, content: _docs(spark, sf_dir).select(F.concat(F.lit(f"{top}/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), content.alias("content"))
+    return snapshots.renames(page("old", text), page("new", kept)).withColumn("score", F.round("score", 6))
+
+
+#: Every document's page is renamed, its name is used again, both move on, and some are deleted.
+_REVISIONS = """revisions AS (SELECT 10 * doc_id + r AS rev, s AS status, CASE p WHEN 'c' THEN 'c/' || (doc_id % 2) || '/' || doc_id ELSE p || '/' || doc_id END AS path, CASE WHEN s = 'R' THEN o || '/' || doc_id END AS old_path
+  FROM documents, (VALUES (0, 'A', 'a', ''), (1, 'M', 'a', ''), (2, 'R', 'b', 'a'), (3, 'A', 'a', ''), (4, 'R', 'c', 'b'), (5, 'M', 'a', ''), (6, 'R', 'b', 'a'), (7, 'D', 'b', '')) v(r, s, p, o) WHERE r < 7 OR doc_id % 3 = 0)"""
+
+
+@query(f"""WITH RECURSIVE {_REVISIONS}, birth AS (SELECT rev, path, CASE WHEN status = 'R' THEN old_path END AS source FROM revisions WHERE status IN ('A', 'R')),
+gone AS (SELECT path, rev FROM revisions WHERE status = 'D' UNION ALL SELECT old_path, rev FROM revisions WHERE status = 'R'),
+present AS (SELECT path, max(rev) AS born FROM birth GROUP BY path), alive AS (SELECT path, born FROM present WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.path = present.path AND gone.rev > born)),
+walk AS (SELECT alive.path, alive.path AS name, born, CAST(NULL AS BIGINT) AS ended, source FROM alive JOIN birth ON birth.path = alive.path AND rev = born
+  UNION ALL SELECT w.path, b.path, b.rev, w.born, b.source FROM walk w JOIN birth b ON b.path = w.source AND b.rev < w.born AND NOT EXISTS (SELECT 1 FROM birth c WHERE c.path = b.path AND c.rev > b.rev AND c.rev < w.born))
+SELECT walk.path, row_number() OVER (PARTITION BY walk.path ORDER BY r.rev DESC) - 1 AS ord, r.rev, name FROM walk JOIN revisions r ON r.path = name AND r.status <> 'D' AND r.rev >= born AND (ended IS NULL OR r.rev < ended)""")
+def i12_history(spark, sf_dir):
+    steps = [(0, "A", "a", None), (1, "M", "a", None), (2, "R", "b", "a"), (3, "A", "a", None), (4, "R", "c", "b"), (5, "M", "a", None), (6, "R", "b", "a"), (7, "D", "b", None)]
+    events = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(s).alias("status"), F.lit(p).alias("p"), F.lit(o).cast("string").alias("o")) for r, s, p, o in steps])
+    ident = F.col("doc_id").cast("string")
+    path = F.when(F.col("p") == "c", F.concat(F.lit("c/"), (F.col("doc_id") % 2).cast("string"), F.lit("/"), ident)).otherwise(F.concat("p", F.lit("/"), ident))
+    rows = _docs(spark, sf_dir).select("doc_id", F.inline(events)).where("r < 7 or doc_id % 3 = 0")
+    return snapshots.history(rows.select((10 * F.col("doc_id") + F.col("r")).alias("rev"), "status", path.alias("path"), F.concat("o", F.lit("/"), ident).alias("old_path"))).withColumn("ord", F.col("ord").cast("long"))
