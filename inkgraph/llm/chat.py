@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,17 +74,22 @@ LAYOUTS = (
 )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def field_paths(record: Column, prefix: Column | None = None, depth: int = DEPTH) -> Column:
     """Paths of the fields of a variant: names joined by dots, ``[]`` for the elements of a list."""
-    end = F.array() if prefix is None else F.array(prefix)
+    end = (F.array() if prefix is None else F.array(prefix)).cast("array<string>")
     if not depth:
-        return end.cast("array<string>")
-    fields, elements = F.try_variant_get(record, "$", "map<string,variant>"), F.try_variant_get(record, "$", "array<variant>")
+        return end
     name = lambda e: e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
     listed = F.lit("[]") if prefix is None else F.concat(prefix, F.lit("[]"))
-    inner = F.flatten(F.transform(F.map_entries(fields), lambda e: field_paths(e["value"], name(e), depth - 1)))
-    each = F.flatten(F.transform(elements, lambda e: field_paths(e, listed, depth - 1)))
-    return F.array_distinct(F.when(F.size(fields) > 0, inner).when(F.size(elements) > 0, each).otherwise(end.cast("array<string>")))
+    inner = lambda fields: F.flatten(F.transform(F.map_entries(fields), lambda e: field_paths(e["value"], name(e), depth - 1)))
+    each = lambda elements: F.array_distinct(F.flatten(F.transform(elements, lambda e: field_paths(e, listed, depth - 1))))
+    elements = _let(F.try_variant_get(record, "$", "array<variant>"), lambda a: F.when(F.size(a) > 0, each(a)).otherwise(end))
+    return _let(F.try_variant_get(record, "$", "map<string,variant>"), lambda m: F.when(F.size(m) > 0, inner(m)).otherwise(elements))
 
 
 def known_paths(layouts: tuple[Layout, ...]) -> list[str]:
@@ -164,7 +170,8 @@ def formatted_turns(found: DataFrame, key: str, order: str, learn: tuple[str, ..
 
     ``found`` is of ``canonical``; the segments of a conversation, in the order of n, are its output.
     """
-    rows = found.select(F.col(key).alias("key"), F.col(order).alias("order"), F.posexplode("turns").alias("place", "turn")).select("key", "order", "place", "turn.role", "turn.text")
+    # an outer explode, as the filter of an inner one would make the turns twice
+    rows = found.select(F.col(key).alias("key"), F.col(order).alias("order"), F.posexplode_outer("turns").alias("place", "turn")).where("place is not null").select("key", "order", "place", "turn.role", "turn.text")
     role, body = escape_role(F.col("role")), escape(F.col("text"))
     rows = rows.withColumn("head", F.concat(F.lit(START), role, F.lit("\n"))).withColumn("body", body)
     rows = rows.withColumn("segment", F.concat("head", "body", F.lit(END + "\n")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, decontaminate, jaccard, leaderboard, licenses, lines, merkle, oracles, quality, secrets, sites, suffix_dedup, suffix_tree
-from .storage import READ
+from .storage import READ, written
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.rows_as_records(_read(spark, sf_dir, "conversations"))
     planted = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.parse_json(F.lit(PLANTED)).alias("record"))
     turns = chat.formatted_turns(chat.canonical(rows.unionByName(planted)), "conv_id", "turn")
-    return chat.digests(chat.conversations(turns), "conv_id")
+    return chat.digests(written(chat.conversations(turns), "conversations"), "conv_id")
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
