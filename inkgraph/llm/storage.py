@@ -54,14 +54,12 @@ def written(df: DataFrame, name: str, rows: int | None = None, by: str | None =
     """``df`` written once as Parquet in the shared folder and read back; with ``by`` in a folder for each value of that column.
 
     ``rows`` bounds the rows of a narrow table, which is then dealt to files of FILE_ROWS rows at least.
-    Where the folder is a local disk, no checksum files are written: each costs an executor two processes.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if rows is not None:
         df = df.coalesce(rows // FILE_ROWS + 1)
-    raw = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
-    writer = df.write.options(**raw).option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
+    writer = df.write.option("parquet.block.size", GROUP_BYTES).option("parquet.page.size", PAGE_BYTES)
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.options(**READ).schema(df.schema).parquet(path)
     out.written_path = path
