@@ -7,7 +7,7 @@ name, and returns the columns that it got.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkgraph.llm import bpe, decontaminate, jaccard, lines, quality
@@ -32,13 +32,12 @@ def _sent(ids: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, operator, bad) -> DataFrame:
-    """``docs`` without the rows an operator rejects by text and language; it sees a hash of id, language and text as the id, so no other row goes."""
-    key = _fresh(docs, "content_key")
-    parts = [y for x in ("doc_id", "lang", "text") for y in (F.col(x).isNull(), F.col(x))]
-    keyed = docs.withColumn(key, F.xxhash64(*parts))
+    """``docs`` without the rows an operator rejects by text and language; it sees the rows' numbers as ids, so no other row goes."""
+    row = _fresh(docs, "row_number")
     with scratch() as kept:
-        gone = kept(written(operator(keyed.select(F.col(key).alias("doc_id"), "text", "lang")).where(bad).select(F.col("doc_id").alias(key)).distinct(), "rejected"))
-    return keyed.join(_sent(gone), key, "left_anti").select(*docs.columns)
+        rows = _numbered(docs, row, kept)
+        gone = kept(written(operator(rows.select(F.col(row).alias("doc_id"), "text", "lang")).where(bad).select(F.col("doc_id").alias(row)), "rejected"))
+        return rows.join(_sent(gone), row, "left_anti").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,10 +76,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def _numbered(docs: DataFrame, row: str, kept) -> DataFrame:
-    """``docs`` with a number for each row, the same one whenever it is read again."""
+    """``docs`` with a number for each row, by its file and its place there: the same one however often and wherever it is read."""
     if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":  # no files as they are: write them
         docs = kept(written(docs, "rows"))
-    return docs.withColumn(row, F.monotonically_increasing_id())
+    place, file, at = docs.metadataColumn("_metadata"), _fresh(docs, "file"), _fresh(docs, "at")
+    files = docs.select(place["file_path"].alias(file)).distinct()
+    files = kept(written(files.withColumn("number", F.row_number().over(Window.orderBy(file))), "files"))  # a row for each file
+    rows = docs.select("*", place["file_path"].alias(file), place["row_index"].alias(at)).join(F.broadcast(files.withColumnRenamed("number", row)), file)
+    return rows.withColumn(row, F.shiftleft(F.col(row).cast("long"), 40) + F.col(at)).select(*docs.columns, row)
 
 
 def _copies(spark: SparkSession, rows: DataFrame, row: str, sf_dir: str) -> DataFrame:
