@@ -14,9 +14,10 @@ def test_query(spark, name):
     rows = queries()[name](spark, FOLDER)
     got = rows.collect()
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "conversations", "sale_lines", "vendors", "items"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
-    assert len(got) == con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
+    if name not in ("op11_leaderboard", "op12_chat"):  # a row for each document
+        assert len(got) == con.sql("SELECT count(*) FROM documents").fetchall()[0][0]
     if name in oracle_sql():
         want = con.sql(oracle_sql()[name])
         assert sorted(want.columns) == sorted(rows.columns)
