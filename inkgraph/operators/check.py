@@ -37,7 +37,11 @@ def collisions(corpus: DataFrame) -> DataFrame:
     The first page of a key is found by one aggregation, so a key in a third of all pages is
     summed up before it is shuffled.
     """
-    rows = key_rows(corpus)
+    return keys_taken(key_rows(corpus))
+
+
+def keys_taken(rows: DataFrame) -> DataFrame:
+    """The same for keys that were extracted."""
     first = rows.groupBy("key").agg(F.min("path_rel").alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(first, "key").where("path_rel > first")
     return later.select(*_row("collision", "path_rel", F.lit(1), F.concat(F.lit("`"), F.col("raw"), F.lit("` is already used by `"), F.col("first"), F.lit("`."))))
@@ -67,8 +71,12 @@ def broken_links(links: DataFrame, paths: DataFrame) -> DataFrame:
 
 def broken_ranges(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Line ranges that do not fit their targets (path, content): zero, beyond the end, or the wrong way round."""
-    size = targets.where("content is not null").select(F.col("path").alias("resolved"), T.line_count("content").alias("n"))
-    rows = checked_links(links).where("start_line is not null").join(size, "resolved").withColumn("stop", F.coalesce("end_line", "start_line"))
+    return ranges_beyond(links, targets.where("content is not null").select("path", T.line_count("content").alias("n")))
+
+
+def ranges_beyond(links: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The same for targets whose lines (path, n) are counted."""
+    rows = checked_links(links).where("start_line is not null").join(sizes.withColumnRenamed("path", "resolved"), "resolved").withColumn("stop", F.coalesce("end_line", "start_line"))
     span = F.concat(F.lit("L"), F.col("start_line").cast("string"), F.lit("–L"), F.col("stop").cast("string"))
     message = (
         F.when(F.col("start_line") == 0, F.concat(F.lit("Line numbers are 1-based. Replace `L0` with `L1` in `"), F.col("target"), F.lit("`.")))
@@ -80,10 +88,14 @@ def broken_ranges(links: DataFrame, targets: DataFrame) -> DataFrame:
 
 def broken_headings(links: DataFrame, targets: DataFrame) -> DataFrame:
     """Anchors that are no line range and no heading of their target."""
+    return headings_missing(links, targets.where("content is not null").select("path"), md.headings(targets).select("path", "slug").distinct())
+
+
+def headings_missing(links: DataFrame, texts: DataFrame, slugs: DataFrame) -> DataFrame:
+    """The same for targets (path) whose headings (path, slug) are known."""
     rows = checked_links(links).where("start_line is null and fragment <> ''").withColumn("slug", T.github_slug("fragment"))
-    rows = rows.join(targets.where("content is not null").select(F.col("path").alias("resolved")), "resolved", "left_semi")
-    known = md.headings(targets).select(F.col("path").alias("resolved"), "slug").distinct()
-    missing = rows.join(known, ["resolved", "slug"], "left_anti")
+    rows = rows.join(texts.select(F.col("path").alias("resolved")), "resolved", "left_semi")
+    missing = rows.join(slugs.withColumnRenamed("path", "resolved"), ["resolved", "slug"], "left_anti")
     return missing.select(*_row("broken_anchor", "path", "source_line", F.concat(F.lit("Heading `#"), F.col("fragment"), F.lit("` not found in `"), F.col("target"), F.lit("`."))))
 
 

@@ -16,9 +16,9 @@ from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as T
 from ..functions.query import parse_query
-from ..operators import check, fix, index, lookup, scaffold, search, snapshots, sync
+from ..operators import check, fix, index, lookup, recheck, scaffold, search, snapshots, sync
 from ..sources import corpus as C
-from ..sources.tables import shared_dir
+from ..sources.tables import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -899,3 +899,18 @@ def i12_history(spark, sf_dir):
     path = F.when(F.col("p") == "c", F.concat(F.lit("c/"), (F.col("doc_id") % 2).cast("string"), F.lit("/"), ident)).otherwise(F.concat("p", F.lit("/"), ident))
     rows = _docs(spark, sf_dir).select("doc_id", F.inline(events)).where("r < 7 or doc_id % 3 = 0")
     return snapshots.history(rows.select((10 * F.col("doc_id") + F.col("r")).alias("rev"), "status", path.alias("path"), F.concat("o", F.lit("/"), ident).alias("old_path"))).withColumn("ord", F.col("ord").cast("long"))
+
+
+@query(ORACLES["c06_all_diagnostics"])
+def i14_incremental_checks(spark, sf_dir):
+    """The findings of c06, reached by a change: some pages came, some were longer before, some had other headings, others went."""
+    pages, d = _pages(spark, sf_dir), F.regexp_extract("path", "doc-([0-9]+)", 1).cast("long")
+    none = C.corpus_of(pages.limit(0))
+    other = F.when(d % 9 == 2, F.concat("content", F.lit("\nmore\nmore [see](/wiki/doc-1.md#L900-L901)"))).when(d % 9 == 5, F.regexp_replace("content", "Part 1", "Part 7")).otherwise(F.col("content"))
+    before = pages.where(d % 10 != 3).withColumn("content", other).unionByName(pages.where(d % 25 == 0).withColumn("path", F.regexp_replace("path", "^wiki/", "gone/")))
+    old = recheck.facts(before, none, before.select("path"))
+    changed = pages.where((d % 10 == 3) | (d % 9).isin(2, 5))
+    anchors = _anchors(pages)
+    found = written(recheck.findings(old, anchors), "findings")
+    deleted = before.where(F.col("path").startswith("gone/")).select("path")
+    return recheck.recheck(old, found, recheck.facts(changed, none, changed.select("path")), deleted, anchors)[1]
