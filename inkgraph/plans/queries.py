@@ -19,6 +19,7 @@ from ..functions.query import parse_query
 from ..operators import check, fix, index, lookup, recheck, scaffold, search, snapshots, sync
 from ..sources import corpus as C
 from ..sources.tables import shared_dir, written
+from ..streaming import sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -914,3 +915,29 @@ def i14_incremental_checks(spark, sf_dir):
     found = written(recheck.findings(old, anchors), "findings")
     deleted = before.where(F.col("path").startswith("gone/")).select("path")
     return recheck.recheck(old, found, recheck.facts(changed, none, changed.select("path")), deleted, anchors)[1]
+
+
+_SESSIONS = """e AS (SELECT user_id::VARCHAR AS session, epoch_us(ts) // 1000 AS ms, CASE WHEN event_type <> 'error' THEN 'wiki/doc-' || (event_id % 200) || '.md' END AS path FROM events),
+o AS (SELECT *, row_number() OVER w AS n, CASE WHEN lag(ms) OVER w IS NULL OR ms - lag(ms) OVER w > 6 * 3600000 OR lag(path) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM e WINDOW w AS (PARTITION BY session ORDER BY ms, path IS NULL, path)),
+g AS (SELECT *, sum(opens) OVER (PARTITION BY session ORDER BY n) AS g FROM o)"""
+
+
+@query(f"""WITH {_SESSIONS} SELECT session, make_timestamp(min(ms) * 1000) AS started, make_timestamp(max(ms) * 1000) AS ended, CASE WHEN bool_or(path IS NULL) THEN 'stop' ELSE 'gap' END AS reason,
+  count(path) AS edits, array_to_string(list_sort(list(DISTINCT path) FILTER (path IS NOT NULL)), ',') AS paths FROM g GROUP BY session, g HAVING count(path) > 0""")
+def i15_edit_sessions(spark, sf_dir):
+    """Sessions of users over ``events``: an error stops one, and so does a gap of six hours; a fifth of the events arrive a batch later."""
+    folder, cuts = f"{shared_dir(spark)}/sessions-{uuid.uuid4().hex}", 4
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").cast("string").alias("session"), F.when(F.col("event_type") != "error", F.concat(F.lit("wiki/doc-"), (F.col("event_id") % 200).cast("string"), F.lit(".md"))).alias("path"), "event_id")
+    batch = F.least(F.floor((F.dayofmonth("ts") - 1) * cuts / 30) + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0), F.lit(cuts))
+    events.where("ts is not null").withColumn("batch", batch.cast("int")).drop("event_id").write.partitionBy("batch").parquet(f"{folder}/cut")
+    spark.range(1).select(F.lit("2200-01-01").cast("timestamp").alias("ts"), F.lit("").alias("session"), F.lit(None).cast("string").alias("path")).write.parquet(f"{folder}/end")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(hadoop(f"{folder}/fed"))
+    for source in [*(f"cut/batch={b}" for b in range(cuts + 1)), "end"]:
+        if fs.exists(hadoop(f"{folder}/{source}")):
+            fs.rename(hadoop(f"{folder}/{source}"), hadoop(f"{folder}/fed/{source.replace('/', '-').replace('=', '-')}"))
+            stream = spark.readStream.schema("ts timestamp, session string, path string").option("recursiveFileLookup", "true").parquet(f"{folder}/fed")
+            # events may arrive two cuts late, by which time nothing of theirs is settled
+            sessions.ended(stream, "6 hours", "16 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(sessions.ENDED).parquet(f"{folder}/out").withColumn("paths", F.array_join("paths", ","))
