@@ -18,6 +18,7 @@ from ..functions import text as T
 from ..functions.query import parse_query
 from ..operators import check, fix, index, lookup, recheck, scaffold, search, snapshots, sync
 from ..sources import corpus as C
+from ..sources import ignore
 from ..sources.tables import shared_dir, written
 from ..streaming import sessions
 
@@ -941,3 +942,23 @@ def i15_edit_sessions(spark, sf_dir):
             # events may arrive two cuts late, by which time nothing of theirs is settled
             sessions.ended(stream, "6 hours", "16 days").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(sessions.ENDED).parquet(f"{folder}/out").withColumn("paths", F.array_join("paths", ","))
+
+
+#: Rules (dir, ord, pattern), and what each matches as a regular expression over whole paths: kind (a any, d directories), taken back or not.
+_RULES = [
+    ("", 0, "# notes"), ("", 1, "doc-*7.md"), ("", 2, "/wiki/src1/"), ("", 3, "fr"), ("", 4, "!doc-17.md"), ("", 5, "wiki/**/es/doc-?.md"), ("", 6, "de/**"),
+    ("wiki/src2", 0, "!fr/"), ("wiki/src2", 1, "fr/doc-*[02].md"), ("wiki/src2/de", 0, "!doc-1*"), ("wiki/src3", 0, "*.md"), ("wiki/src3", 1, "!e[nx]/**/*.md"), ("wiki/src3/en", 0, "doc-*5.*"), ("wiki/src4", 0, "  "), ("wiki/src4", 1, "/en/doc-*0.md"),
+]
+_RULES_SQL = [
+    (0, 1, "a", False, "(.*/)?doc-[^/]*7[.]md"), (0, 2, "d", False, "wiki/src1"), (0, 3, "a", False, "(.*/)?fr"), (0, 4, "a", True, "(.*/)?doc-17[.]md"), (0, 5, "a", False, "wiki/(.*/)?es/doc-[^/][.]md"), (0, 6, "a", False, "de/.+"),
+    (2, 0, "d", True, "wiki/src2/(.*/)?fr"), (2, 1, "a", False, "wiki/src2/fr/doc-[^/]*[02][.]md"), (3, 0, "a", True, "wiki/src2/de/(.*/)?doc-1[^/]*"), (2, 0, "a", False, "wiki/src3/(.*/)?[^/]*[.]md"), (2, 1, "a", True, "wiki/src3/e[nx]/(.*/)?[^/]*[.]md"), (3, 0, "a", False, "wiki/src3/en/(.*/)?doc-[^/]*5[.][^/]*"), (2, 1, "a", False, "wiki/src4/en/doc-[^/]*0[.]md"),
+]
+
+
+@query(f"""WITH {CORPUS}, rules(depth, ord, kind, again, re) AS (VALUES {', '.join(f"({a}, {b}, '{k}', {n}, '^{r}$')" for a, b, k, n, r in _RULES_SQL)}),
+part AS (SELECT path_rel AS path, string_split(path_rel, '/') AS p FROM corpus), node AS (SELECT DISTINCT array_to_string(p[1:i], '/') AS node, i = len(p) AS file FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM part)),
+gone AS (SELECT node FROM (SELECT node, arg_max(again, depth * 100 + ord) AS again FROM node JOIN rules ON (kind = 'a' OR NOT file) AND regexp_matches(node, re) GROUP BY node) WHERE NOT again)
+SELECT path FROM part WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.node = part.path OR starts_with(part.path, gone.node || '/'))""")
+def i16_walk_ignores(spark, sf_dir):
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("dir"), F.lit(b).alias("ord"), F.lit(c).alias("pattern")) for a, b, c in _RULES])))
+    return ignore.walk(_corpus(spark, sf_dir).select(F.col("path_rel").alias("path")), rules)
