@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..functions.query import parse_query
 from ..operators import check, fix, index, lookup, recheck, scaffold, search, snapshots, sync
 from ..sources import corpus as C
-from ..sources import ignore
+from ..sources import ignore, mesh, sinks
 from ..sources.tables import shared_dir, written
 from ..streaming import sessions
 
@@ -962,3 +962,95 @@ SELECT path FROM part WHERE NOT EXISTS (SELECT 1 FROM gone WHERE gone.node = par
 def i16_walk_ignores(spark, sf_dir):
     rules = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("dir"), F.lit(b).alias("ord"), F.lit(c).alias("pattern")) for a, b, c in _RULES])))
     return ignore.walk(_corpus(spark, sf_dir).select(F.col("path_rel").alias("path")), rules)
+
+
+# Rows for operators over derived inputs ---------------------------------------
+
+#: Of each link on a made-up page: what stands before its href, the href, its kind, target, fragment and range.
+_LINKED = [
+    ("'Intro é [a](' ", "'https://example.org/d?id=' || doc_id || '#top'", "external", "'https://example.org/d?id=' || doc_id", "'top'", "NULL", "NULL", 1),
+    ("') and ![m]('", "'mailto:x' || doc_id || '@y.z'", "external", "'mailto:x' || doc_id || '@y.z'", "NULL", "NULL", "NULL", 1),
+    ("') end' || chr(10) || '`[no](code.md)` [über]('", "'../doc-' || (doc_id + 1) || '.md#part-' || doc_id % 5", "internal", "'../doc-' || (doc_id + 1) || '.md'", "'part-' || doc_id % 5", "NULL", "NULL", 2),
+    ("')' || chr(10) || chr(10) || '[p]('", "'/wiki/doc-' || doc_id || '.md#L' || (doc_id % 9 + 1) || '-L' || (doc_id % 9 + 4)", "internal", "'/wiki/doc-' || doc_id || '.md'", "'L' || (doc_id % 9 + 1) || '-L' || (doc_id % 9 + 4)", "doc_id % 9 + 1", "doc_id % 9 + 4", 4),
+]
+_LINKED_ROWS = " UNION ALL ".join(
+    f"SELECT 'wiki/doc-' || doc_id || '.md' AS path, {i} AS ordinal, '{kind}' AS kind, {target} AS target, {fragment} AS fragment, CAST({a} AS INT) AS start_line, CAST({b} AS INT) AS end_line, {href} AS href, {line} AS source_line, strlen({' || '.join(f'{x[0]} || {x[1]}' for x in _LINKED[:i])}{' || ' if i else ''}{before}) AS byte_start FROM documents"
+    for i, (before, href, kind, target, fragment, a, b, line) in enumerate(_LINKED)
+)
+
+
+def _linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, content): an external link, a mail address, a link to a heading and one to lines on each page, and one in code."""
+    ident = F.col("doc_id")
+    text = lambda n: n.cast("string")
+    content = F.concat(
+        F.lit("Intro é [a](https://example.org/d?id="), text(ident), F.lit("#top) and ![m](mailto:x"), text(ident), F.lit("@y.z) end\n`[no](code.md)` [über](../doc-"), text(ident + 1), F.lit(".md#part-"), text(ident % 5),
+        F.lit(")\n\n[p](/wiki/doc-"), text(ident), F.lit(".md#L"), text(ident % 9 + 1), F.lit("-L"), text(ident % 9 + 4), F.lit(")\n"),
+    )
+    return _docs(spark, sf_dir).select(F.concat(F.lit("wiki/doc-"), text(ident), F.lit(".md")).alias("path"), content.alias("content"))
+
+
+@query(f"SELECT *, byte_start + strlen(href) AS byte_end FROM ({_LINKED_ROWS})")
+def m10_link_places(spark, sf_dir):
+    return md.links(_linked_pages(spark, sf_dir)).drop("text").withColumns({c: F.col(c).cast("long") for c in ("byte_start", "byte_end")})
+
+
+@query("""SELECT 'wiki/doc-' || doc_id || '.md' AS file, CASE WHEN k = 0 THEN 2 ELSE 4 END AS line, CASE WHEN k = 0 THEN 'File `../doc-' || (doc_id + 1) || '.md` not found.' ELSE 'Line range `L' || (doc_id % 9 + 1) || '–L' || (doc_id % 9 + 4) || '` exceeds `/wiki/doc-' || doc_id || '.md` (4 lines).' END AS message
+FROM documents, (VALUES (0), (1)) v(k) WHERE k = 0 OR doc_id % 9 > 0""")
+def c10_no_finding_for_external_links(spark, sf_dir):
+    pages = _linked_pages(spark, sf_dir)
+    links = md.links(pages)
+    return check.broken_links(links, pages.select("path")).unionByName(check.broken_ranges(links, pages)).select("file", "line", "message")
+
+
+@query(rf"""WITH l AS (SELECT 'doc-' || doc_id AS path, unnest(range(1, len(p) + 1)) AS line, unnest(p) AS x FROM (SELECT doc_id, string_split(replace(coalesce(text, ''), '#', ''), chr(10)) AS p FROM documents)),
+b AS (SELECT path, line, line % 4 = 0 OR {_TRIM.format('x')} = '' AS blank FROM l), g AS (SELECT *, sum(blank::INT) OVER (PARTITION BY path ORDER BY line) AS g FROM b),
+w AS (SELECT *, min(line) FILTER (NOT blank) OVER (PARTITION BY path, g) AS low, max(line) FILTER (NOT blank) OVER (PARTITION BY path, g) AS high FROM g)
+SELECT path, line, CASE WHEN blank THEN line ELSE low END AS section_start, greatest(line, coalesce(high, line)) AS section_end FROM w""")
+def m11_paragraphs(spark, sf_dir):
+    """Pages without a heading: the section of a line is its paragraph."""
+    lines = F.transform(F.split(F.replace(F.coalesce("text", F.lit("")), F.lit("#"), F.lit("")), "\n", -1), lambda x, i: F.when(i % 4 == 3, F.lit("")).otherwise(x))
+    pages = _docs(spark, sf_dir).select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("path"), F.array_join(lines, "\n").alias("content"))
+    rows = md.sections(md.outline_lines(pages)).where(F.size("heading_chain") == 0)
+    return rows.select("path", *[F.col(c).cast("long").alias(c) for c in ("line", "section_start", "section_end")])
+
+
+_FOUND = "SELECT CASE doc_id % 4 WHEN 0 THEN 'wiki/' || lang || '/doc-' || doc_id || '.md' WHEN 1 THEN 'pkg/tests/fixtures/doc-' || doc_id || '.md' WHEN 2 THEN 'src/doc-' || doc_id || '.rs' ELSE 'notes/deep/er/n' || doc_id || '.md' END AS path FROM documents"
+
+
+@query(f"WITH f AS ({_FOUND}) SELECT path, 'default' AS how FROM f WHERE path LIKE '%.md' AND NOT contains(path, '/tests/fixtures/') UNION ALL SELECT path, 'globs' FROM f WHERE path LIKE '%.md' AND (regexp_matches(path, '^wiki/.*/doc-[^/]*[13579]?0[.]md$') OR starts_with(path, 'notes/') AND regexp_matches(path, 'n1.*5[.]md$'))")
+def l08_discovery(spark, sf_dir):
+    ident = F.col("doc_id").cast("string")
+    kind = F.col("doc_id") % 4
+    path = F.when(kind == 0, F.concat(F.lit("wiki/"), "lang", F.lit("/doc-"), ident, F.lit(".md"))).when(kind == 1, F.concat(F.lit("pkg/tests/fixtures/doc-"), ident, F.lit(".md"))).when(kind == 2, F.concat(F.lit("src/doc-"), ident, F.lit(".rs"))).otherwise(F.concat(F.lit("notes/deep/er/n"), ident, F.lit(".md")))
+    pages = _docs(spark, sf_dir).select(path.alias("path"))
+    return C.discover(pages).withColumn("how", F.lit("default")).unionByName(C.discover(pages, ["./wiki/**/doc-*0.md", "notes/*n1*5.md"]).withColumn("how", F.lit("globs")))
+
+
+@query("SELECT source || '/m' || (doc_id % 7) AS mesh, 'wiki/doc-' || doc_id || '.md' AS path, CAST(doc_id % 40 AS INT) AS start_line, CAST(doc_id % 40 + doc_id % 3 AS INT) AS end_line FROM documents WHERE doc_id % 5 <> 0")
+def i17_mesh_anchors(spark, sf_dir):
+    d, text = F.col("doc_id"), lambda n: n.cast("string")
+    line = F.concat("source", F.lit("/m"), text(d % 7), F.lit("\twiki/doc-"), text(d), F.lit(".md\t"), text(d % 40), F.lit("-"), text(d % 40 + d % 3))
+    return mesh.parse_anchors(_docs(spark, sf_dir).select(F.when(d % 10 == 0, F.lit("  ")).when(d % 10 == 5, F.lit(mesh.EMPTY)).otherwise(line).alias("value")))
+
+
+@query("""SELECT CASE doc_id % 3 WHEN 0 THEN 'MOVED' ELSE 'CHANGED' END AS code, 'm' || (doc_id % 7) AS mesh, 'wiki/doc-' || doc_id || '.md' AS path, CAST(k AS INT) AS start_line, CAST(k + doc_id % 9 AS INT) AS end_line,
+CASE WHEN doc_id % 3 = 0 THEN 'new/doc-' || doc_id || '.md' END AS new_path, CASE WHEN doc_id % 3 = 0 THEN CAST(k + 5 AS INT) END AS new_start, CASE WHEN doc_id % 3 = 0 THEN CAST(k + 5 + doc_id % 9 AS INT) END AS new_end FROM documents, (VALUES (1), (20)) v(k)""")
+def i18_mesh_drift(spark, sf_dir):
+    d, ident = F.col("doc_id"), F.col("doc_id").cast("string")
+    span = lambda path, a, b: F.struct(path.alias("path"), F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")).alias("extent"))
+    one = lambda k: F.struct(F.struct(F.when(d % 3 == 0, F.lit("MOVED")).otherwise("CHANGED").alias("code")).alias("status"), F.concat(F.lit("m"), (d % 7).cast("string")).alias("mesh"), span(F.concat(F.lit("wiki/doc-"), ident, F.lit(".md")), F.lit(k), k + d % 9).alias("anchored"), F.when(d % 3 == 0, span(F.concat(F.lit("new/doc-"), ident, F.lit(".md")), F.lit(k + 5), k + 5 + d % 9)).alias("moved_to"))
+    return mesh.parse_drift(_docs(spark, sf_dir).select(F.to_json(F.struct(F.array(one(1), one(20)).alias("findings"))).alias("value")))
+
+
+@query("SELECT event_type AS event, count(*) AS n, max(round(value, 3)) AS max_ms, count(*) FILTER (event_id % 3 = 0) AS failed FROM events GROUP BY event_type")
+def i19_event_log(spark, sf_dir):
+    """Events are added to a log of JSON lines in two parts and read back."""
+    folder = f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.col("event_id").cast("string").alias("invocation_id"), F.col("event_type").alias("event"), F.col("value").alias("duration_ms"),
+        F.when(F.col("event_id") % 3 == 0, F.lit("error")).otherwise("ok").alias("status"), F.struct(F.col("user_id").alias("user")).alias("meta"), (F.col("event_id") % 2).alias("half"),
+    )
+    for half in (0, 1):
+        sinks.append_log(folder, events.where(F.col("half") == half).drop("half"))
+    return mesh.read_log(spark.read.text(folder)).groupBy("event").agg(F.count("*").alias("n"), F.max(F.round("duration_ms", 3)).alias("max_ms"), F.count(F.when(F.col("status") == "error", 1)).alias("failed"))
