@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import sync
+from ..operators import index, sync
+from ..sources import corpus as C
 
 SCHEMA = "path string, content string, mtime_ns long, deleted boolean"
 
@@ -46,6 +47,24 @@ def start(spark: SparkSession, source: str, target: str, checkpoint: str) -> Str
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def start_indexed(spark: SparkSession, source: str, path: str, checkpoint: str) -> StreamingQuery:
+    """The same into a stored search index: each batch is one update of it, and no text that is there is read again.
+
+    Batches are taken in their order, and of a path in a batch the newest version counts.  A page that lost its
+    membership goes, like a deleted one.  A batch that is run twice finds its pages unchanged and writes nothing.
+    """
+    incoming = spark.readStream.schema(SCHEMA).json(source)
+
+    def merge(batch: DataFrame, number: int) -> None:
+        rows = batch.select("path", "content", F.coalesce("mtime_ns", F.lit(0)).alias("mtime_ns"), F.coalesce("deleted", F.lit(False)).alias("deleted"))
+        rows = sync.latest(rows.withColumn("content_hash", F.sha2("content", 256)))
+        members = C.corpus_of(rows.where("not deleted").select("path", "content"))
+        gone = rows.select(F.col("path").alias("path_rel")).join(members.select("path_rel"), "path_rel", "left_anti")
+        index.update(batch.sparkSession, path, members, deleted=gone)
+
+    return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def edited_pages(events: DataFrame) -> DataFrame:
     """Distinct (session, path) of edit events (ts, session, value: JSON) within a day, as a stream with bounded state."""
     path = F.get_json_object("value", "$.tool_input.file_path")

@@ -126,6 +126,26 @@ def test_empty_corpora(spark):
     assert ix.count == 0 and not ix.segments and index.bm25(ix, parse_query("the")).count() == 0
 
 
+def test_stream_of_versions(spark):
+    from inkgraph.streaming import sync
+
+    top = folder(spark)
+    text = lambda title, more="": f"---\ntitle: {title}\nsummary: s\n---\n{more}"
+    batches = [
+        [("a.md", text("A", "fire"), 1, False), ("b.md", text("B", "wind"), 1, False), ("a.md", text("A", "old fire old"), 0, False)],
+        [("b.md", "no member any more", 2, False), ("c.md", text("C", "fire and wind"), 2, None), ("x.md", None, 2, True)],
+        [("a.md", None, 3, True), ("c.md", text("C", "wind"), 3, False)],
+    ]
+    seen = []
+    for i, rows_ in enumerate(batches):
+        spark.createDataFrame(rows_, sync.SCHEMA).coalesce(1).write.json(f"{top}/in/{i}")
+        for _ in range(2):
+            sync.start_indexed(spark, f"{top}/in/*", f"{top}/index", f"{top}/check").awaitTermination()
+        ix = index.open_index(spark, f"{top}/index")
+        seen.append([sorted(r["path_rel"] for r in index.bm25(ix, parse_query(w)).collect()) for w in ("fire", "wind", "old")])
+    assert seen == [[["a.md"], ["b.md"], []], [["a.md", "c.md"], ["c.md"], []], [[], ["c.md"], []]]
+
+
 def test_the_second_of_two_updates_fails(spark, pages):
     path = folder(spark)
     base = index.update(spark, path, corpus(spark, pages[:3]))
