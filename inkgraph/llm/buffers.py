@@ -197,3 +197,9 @@ def joined_hash(hashes: np.ndarray, k: int) -> np.ndarray:
         out *= np.uint64(_MULTIPLIER)
         out += hashes[i : i + n]
     return mix(out)
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal numbers of a sorted array: as many as there are values, however large these are."""
+    values, first = np.unique(x, return_index=True)
+    return list(zip(values.tolist(), first.tolist(), np.append(first, len(x))[1:].tolist(), strict=True))

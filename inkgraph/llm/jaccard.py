@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import ASCII_LOWER, SPACE_WORDS, digests, joined_hash, mix, new_key, word_spans
+from .buffers import ASCII_LOWER, SPACE_WORDS, digests, joined_hash, mix, new_key, runs, word_spans
 from .components import components
 from .storage import drop, scratch, small_batches, sweep, written
 from .text_blocks import batch as _batch
@@ -82,7 +82,7 @@ class Block:
         # the low bits choose the shard and the next ones tell shingles apart there
         shard = every % np.uint64(shards)
         self.distinct, self.place, self.count = np.unique(shard << np.uint64(32) | every >> np.uint64(12) & np.uint64(0xFFFFFFFF), return_inverse=True, return_counts=True)
-        self.cuts = np.searchsorted(self.distinct, np.arange(shards + 1, dtype=np.uint64) << np.uint64(32))
+        self.runs = runs(self.distinct >> np.uint64(32))  # of the shards that occur
 
 
 def _ask(texts: DataFrame, k: int, key: bytes, shards: int) -> DataFrame:
@@ -92,7 +92,7 @@ def _ask(texts: DataFrame, k: int, key: bytes, shards: int) -> DataFrame:
         for number, _, data, ends in read_blocks(batches):
             b = Block(data, ends, k, key, shards)
             short, count = b.distinct.astype(np.uint32), np.minimum(b.count, 65535).astype(np.uint16)
-            rows = [(number, s, short[x:y].tobytes(), _pack(count[x:y])) for s, (x, y) in enumerate(zip(b.cuts, b.cuts[1:], strict=False)) if y > x]
+            rows = [(number, s, short[x:y].tobytes(), _pack(count[x:y])) for s, x, y in b.runs]
             yield _batch("block shard shingles counts", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
     return texts.mapInArrow(run, "block long, shard int, shingles binary, counts binary")
@@ -128,9 +128,9 @@ def _prefixes(k: int, key: bytes, percent: int, shards: int):
             out.append(pa.table({n: c for n, c in zip(_PREFIXES.split(), [pa.array(ids, pa.int64()), pa.array(b.sizes, pa.int64()), pa.array(b.node_of_row, pa.int64()), *(none(rows, t) for t in _PREFIX_KINDS[3:])], strict=True)}))
             if not b.sets:
                 continue
-            classes = np.zeros(len(b.distinct), np.uint8)
+            classes, place = np.zeros(len(b.distinct), np.uint8), {s: (x, y) for s, x, y in b.runs}
             for s, packed in zip(right.column("shard").to_pylist(), right.column("classes").to_pylist(), strict=True):
-                classes[b.cuts[s] : b.cuts[s + 1]] = _unpack(packed, np.uint8)
+                classes[slice(*place[s])] = _unpack(packed, np.uint8)
             frequency = classes[b.place].astype(np.uint64)
             lengths, keys, places, at = [], [], [], 0
             for s in b.sets:
@@ -146,15 +146,13 @@ def _prefixes(k: int, key: bytes, percent: int, shards: int):
             owner = np.repeat(np.arange(len(b.sets)), lengths)
             shard = ((keys >> np.uint64(3)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             short = (keys >> np.uint64(20)).astype(np.uint32)
             nodes, sizes = np.array(b.nodes, np.int64), np.array([len(s) for s in b.sets], np.int32)
             found = []
-            for i in range(shards):
-                x = order[cuts[i] : cuts[i + 1]]
-                if len(x):
-                    used, count = np.unique(owner[x], return_counts=True)
-                    found.append((None, None, None, i, nodes[used].tobytes(), sizes[used].tobytes(), _pack(count.astype(np.int32)), short[x].tobytes(), _pack(places[x])))
+            for i, start, end in runs(shard[order]):
+                x = order[start:end]
+                used, count = np.unique(owner[x], return_counts=True)
+                found.append((None, None, None, i, nodes[used].tobytes(), sizes[used].tobytes(), _pack(count.astype(np.int32)), short[x].tobytes(), _pack(places[x])))
             out.append(table(_PREFIXES, _PREFIX_KINDS, found))
         return pa.concat_tables(out) if out else table(_PREFIXES, _PREFIX_KINDS, [])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import SpanHash, blocks, digests, mix, new_key, text_buffer
+from .buffers import SpanHash, blocks, digests, mix, new_key, runs, text_buffer
 from .components import components
 from .jaccard import _bloom, bloom_has
 from .storage import drop, scratch, small_batches, written
@@ -151,9 +151,8 @@ def _first_pass(docs: DataFrame, edits: int, least: int, exact: int, chars: bool
                 keys, lines, index = signatures(hashes, starts[at], (stops - starts)[at], edits, least)
             shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             names, short = line[at][lines], keys.astype(np.uint32)
-            parts = [(i, order[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            parts = [(i, order[a:b]) for i, a, b in runs(shard[order])]
             rows = [(1, None, None, None, None, None, i, short[x].tobytes(), names[x].tobytes(), np.packbits(index[x]).tobytes()) for i, x in parts]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_KINDS)], names=_NAMES)
 

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import SpanHash, distinct_spans
+from .buffers import SpanHash, distinct_spans, runs
 from .jaccard import _bloom, bloom_has
 from .sais import permuted_common_prefixes, suffix_array
 from .storage import scratch, written
@@ -124,9 +124,8 @@ def _ask(texts: DataFrame, first, length: int, gram: int, shards: int) -> DataFr
             at = np.flatnonzero(new)
             last = np.append(at[1:], len(hashes)) - 1 if len(at) else at
             several = doc[at] != doc[last]
-            cuts = np.searchsorted(shard[at], np.arange(shards + 1))
             short = hashes[at].astype(np.uint32)
-            rows = [(block, s, short[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+            rows = [(block, s, short[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for s, a, b in runs(shard[at])]
             yield _batch("block shard anchors several", [pa.int64(), pa.int32(), pa.binary(), pa.binary()], rows)
 
     return texts.mapInArrow(run, "block long, shard int, anchors binary, several binary")
@@ -158,10 +157,10 @@ def _surroundings(first, length: int, gram: int, shards: int):
             ids = np.array([-1 if x is None else x for x in ids], np.int64)
             shard, short = _split(anchors.hashes, shards), anchors.hashes.astype(np.uint32)
             order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+            place = {s: (a, b) for s, a, b in runs(shard[order])}
             for s, found in zip(right.column("shard").to_pylist(), right.column("anchors").to_pylist(), strict=True):
                 known = np.frombuffer(found, np.uint32)
-                at = order[cuts[s] : cuts[s + 1]]
+                at = order[slice(*place.get(s, (0, 0)))]
                 at = at[np.isin(short[at], known)]
                 if len(at):
                     starts, owned = anchors.starts[at], anchors.owned[at]

@@ -24,3 +24,10 @@ def test_digests_tell_contents_apart():
 def test_distinct_spans():
     contents, number = distinct_spans(*spans([b"x", b"yy", b"x", b"", b"yy"]))
     assert [contents[int(i)].as_py() for i in number] == [b"x", b"yy", b"x", b"", b"yy"] and len(contents) == 3
+
+
+def test_runs_of_a_sorted_array():
+    from inkgraph.llm.buffers import runs
+
+    assert runs(np.array([2, 2, 5, 1 << 40])) == [(2, 0, 2), (5, 2, 3), (1 << 40, 3, 4)]
+    assert runs(np.zeros(0, np.int32)) == []
