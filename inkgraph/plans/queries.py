@@ -52,7 +52,7 @@ _STORED: dict[tuple[str, str, str], index.Index] = {}
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
     """The stored search index of the corpus of ``documents``: made by the first query that needs it, read by the others."""
     key = spark.sparkContext.applicationId, sf_dir, "corpus"
-    if key not in _STORED:
+    if key not in _STORED or index.open_index(spark, _STORED[key].path) is None:  # its folder may have been cleared
         _STORED[key] = index.update(spark, f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", _corpus(spark, sf_dir))
     return _STORED[key]
 
@@ -60,7 +60,7 @@ def _index(spark: SparkSession, sf_dir: str) -> index.Index:
 def _updated_index(spark: SparkSession, sf_dir: str) -> index.Index:
     """An index after pages came, changed, lost their membership and were deleted, some of it by paths and some by a whole snapshot."""
     key = spark.sparkContext.applicationId, sf_dir, "updated"
-    if key not in _STORED:
+    if key not in _STORED or index.open_index(spark, _STORED[key].path) is None:
         path, docs, d = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}", _docs(spark, sf_dir), F.col("doc_id")
         revised = docs.withColumn("text", F.when(d % 7 == 1, F.concat(F.lit("revised edition "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
         again = revised.where((d % 19 == 4) & (d % 13 != 5)).withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" once more")))
