@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import frontmatter as fm
 from ..functions import markdown as md
 from ..functions import text as T
+from ..sources.sinks import write_array
 from ..sources.tables import written
 
 ANCHOR = "struct<path:string,start_line:int,end_line:int>"
@@ -157,11 +158,23 @@ def scaffold(pages: DataFrame, anchors: DataFrame, paths: DataFrame) -> tuple[Da
     return rows.join(errors.select(F.col("path").alias("page")), "page", "left_anti"), dropped, errors
 
 
-def to_json(rows: DataFrame, dropped: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row (value) with the whole proposal as JSON."""
+def page_proposals(rows: DataFrame) -> DataFrame:
+    """(path, title, meshes): the proposal for each page, its meshes in order."""
     mesh = F.struct("slug", F.col("heading_chain").alias("headingChain"), F.transform("anchors", lambda a: F.struct(a["path"].alias("path"), a["start_line"].alias("startLine"), a["end_line"].alias("endLine"))).alias("anchors"))
     page = rows.groupBy("page").agg(F.first("title").alias("title"), F.sort_array(F.collect_list(F.struct("ord", mesh.alias("m")))).alias("m"))
-    page = page.select(F.struct(F.col("page").alias("path"), F.coalesce("title", F.lit("")).alias("title"), F.transform("m", lambda x: x["m"]).alias("meshes")).alias("p"))
+    return page.select(F.col("page").alias("path"), F.coalesce("title", F.lit("")).alias("title"), F.transform("m", lambda x: x["m"]).alias("meshes"))
+
+
+def write_json(folder: str, rows: DataFrame, dropped: DataFrame, errors: DataFrame) -> None:
+    """A proposal of any size: ordered JSON arrays ``pages``, ``droppedMeshes`` and ``parseErrors`` below ``folder``, each visible only when whole."""
+    write_array(f"{folder}/pages", page_proposals(rows), ["path"])
+    write_array(f"{folder}/droppedMeshes", dropped.select("slug", F.col("missing_path").alias("missingPath"), "page"), ["slug", "missingPath", "page"])
+    write_array(f"{folder}/parseErrors", errors.select("path", "category", "message"), ["path", "category"])
+
+
+def to_json(rows: DataFrame, dropped: DataFrame, errors: DataFrame) -> DataFrame:
+    """One row (value) with a small proposal as JSON, to be shown; ``write_json`` writes one of any size."""
+    page = page_proposals(rows).select(F.struct("path", "title", "meshes").alias("p"))
     pages = page.groupBy().agg(F.sort_array(F.collect_list("p")).alias("pages"))
     gone = dropped.groupBy().agg(F.sort_array(F.collect_list(F.struct("slug", F.col("missing_path").alias("missingPath"), "page"))).alias("droppedMeshes"))
     bad = errors.groupBy().agg(F.sort_array(F.collect_list(F.struct("path", "category", "message"))).alias("parseErrors"))

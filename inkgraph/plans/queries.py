@@ -795,11 +795,15 @@ def g07_merged_drafts(spark, sf_dir):
 SELECT page, 'wiki/' || source || '/' || lang || CASE WHEN n = 1 THEN '' WHEN n = 2 THEN '-2' ELSE '-' || (n + 1) END AS slug FROM d""")
 def g08_slugs(spark, sf_dir):
     """Every page proposes the same name for its source and language; number 3 is taken by a mesh."""
+    return _same_names(spark, sf_dir).select("page", "slug")
+
+
+def _same_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     none = F.lit(None).cast("string")
     rows = docs.select(F.concat(F.lit("p-"), F.col("doc_id").cast("string")).alias("page"), F.lit(0).alias("ord"), F.array().cast("array<string>").alias("heading_chain"), F.col("lang").alias("noun"), F.col("source").alias("subdir"), none.alias("title"), none.alias("extends"))
     held = docs.select(F.concat_ws("/", F.lit("wiki"), "source", F.concat("lang", F.lit("-3"))).alias("mesh")).distinct()
-    return scaffold.name_drafts(rows, held).select("page", "slug")
+    return scaffold.name_drafts(rows, held)
 
 
 @query("SELECT 'p-' || doc_id AS page, CASE WHEN doc_id % 2 = 0 THEN 'Sub' ELSE 'Title ' || doc_id || ',Sub' END AS chain FROM documents")
@@ -1054,3 +1058,36 @@ def i19_event_log(spark, sf_dir):
     for half in (0, 1):
         sinks.append_log(folder, events.where(F.col("half") == half).drop("half"))
     return mesh.read_log(spark.read.text(folder)).groupBy("event").agg(F.count("*").alias("n"), F.max(F.round("duration_ms", 3)).alias("max_ms"), F.count(F.when(F.col("status") == "error", 1)).alias("failed"))
+
+
+# Sinks that commit at once ----------------------------------------------------
+
+@query(f"WITH {CORPUS} SELECT row_number() OVER (ORDER BY title, path_rel) - 1 AS position, path_rel AS path, title, aliases[1] AS alias FROM corpus")
+def k05_json_array(spark, sf_dir):
+    """All pages as one ordered JSON array of many parts, read back."""
+    folder = f"{shared_dir(spark)}/array-{uuid.uuid4().hex}"
+    sinks.write_array(folder, _corpus(spark, sf_dir).select(F.col("path_rel").alias("path"), "title", F.get("aliases", F.lit(0)).alias("alias")), ["title", "path"])
+    return sinks.read_array(spark, folder, "path string, title string, alias string").select("position", "row.*")
+
+
+@query(f"WITH {CORPUS} SELECT path_rel AS path, content_hash FROM corpus")
+def k06_page_tree(spark, sf_dir):
+    """All pages as files of a folder that appears at once, read back."""
+    folder = f"{shared_dir(spark)}/tree-{uuid.uuid4().hex}"
+    sinks.write_tree(folder, _corpus(spark, sf_dir).select(F.col("path_rel").alias("path"), "content"))
+    return C.read_pages(spark, folder).select("path", F.sha2("content", 256).alias("content_hash"))
+
+
+@query("""WITH d AS (SELECT doc_id, 'p-' || doc_id AS path, source, lang, row_number() OVER (PARTITION BY source, lang ORDER BY 'p-' || doc_id) AS n FROM documents),
+s AS (SELECT doc_id, path, 'wiki/' || source || '/' || lang || CASE WHEN n = 1 THEN '' WHEN n = 2 THEN '-2' ELSE '-' || (n + 1) END AS slug FROM d)
+SELECT row_number() OVER (ORDER BY path) - 1 AS position, path, '' AS title, slug, CAST(1 AS BIGINT) AS meshes, path || '.md' AS anchor, CAST(doc_id % 50 + 1 AS INT) AS end_line FROM s""")
+def g10_proposal_array(spark, sf_dir):
+    """The proposals of all pages as one ordered JSON array, read back."""
+    folder = f"{shared_dir(spark)}/proposal-{uuid.uuid4().hex}"
+    anchor = F.struct(F.concat("page", F.lit(".md")).alias("path"), F.lit(1).alias("start_line"), (F.substring_index("page", "-", -1).cast("long") % 50 + 1).cast("int").alias("end_line"))
+    rows = _same_names(spark, sf_dir).withColumn("anchors", F.array(anchor))
+    none = spark.createDataFrame([], "slug string, missing_path string, page string, path string, category string, message string")
+    scaffold.write_json(folder, rows, none, none)
+    back = sinks.read_array(spark, f"{folder}/pages", "path string, title string, meshes array<struct<slug: string, anchors: array<struct<path: string, endLine: int>>>>").select("position", "row.*")
+    first = F.col("meshes")[0]
+    return back.select("position", "path", "title", first["slug"].alias("slug"), F.size("meshes").cast("long").alias("meshes"), first["anchors"][0]["path"].alias("anchor"), first["anchors"][0]["endLine"].alias("end_line"))

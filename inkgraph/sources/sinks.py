@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
@@ -202,3 +202,12 @@ def write_array(path: str, results: DataFrame, order: list[str], overwrite: bool
     register(results.sparkSession)
     rows = results.withColumn("value", F.to_json(F.struct(*results.columns))).orderBy(*order, "value").select("value")
     rows.write.format("json_array").mode("overwrite" if overwrite else "append").save(path)
+
+
+def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(position, row) of an array that ``write_array`` has written, from 0; ``schema`` is that of a row."""
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value").where("file rlike '^[0-9]+-'")
+    rows = parts.select("file", F.posexplode(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<struct<{schema}>>")).alias("i", "row"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each part
+    first = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    return rows.join(first, "file").select((F.col("first") + F.col("i")).alias("position"), "row")
