@@ -214,10 +214,11 @@ def likelihood_ratios(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, a
 
 
 def part_ratios(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, automata: list[Automaton], least: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Best ratio of each run, and start, end and ratio of its parts from ``threshold`` on.
+    """Best ratio of each run, and start, end and ratio of the best part for each end, where it is from ``threshold`` on.
 
     Parts start at the run's start or behind a separator, end before one or at the run's end and have
-    ``least`` characters.  Each start is followed once through its run, whatever the number of ends.
+    ``least`` characters.  Of parts with equal ratios and one end the longest is the best.  Short runs are
+    followed from all their starts at once, others by ``long_run``; the results are the same.
     """
     best = np.full(len(starts), -np.inf)
     none = np.zeros(0, np.int64)
@@ -227,14 +228,22 @@ def part_ratios(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, automat
     inner = np.flatnonzero(sign[:-1] & ~sign[1:]) + 1
     run = np.searchsorted(starts, inner, side="right") - 1
     inside = (run >= 0) & (inner < stops[run])
-    begin, run = np.r_[starts, inner[inside]], np.r_[np.arange(len(starts)), run[inside]]
+    inner, run = inner[inside], run[inside]
+    long = (stops - starts > LONG) | (np.bincount(run, minlength=len(starts)) > MANY)
+    found = []
+    for r in np.flatnonzero(long):
+        a, b = int(starts[r]), int(stops[r])
+        ends, begins, scores = long_run(data[a:b], np.r_[0, inner[run == r] - a], automata, least)
+        best[r] = scores.max(initial=-np.inf)
+        high = scores >= threshold
+        found.append((begins[high] + a, ends[high] + a, scores[high]))
+    begin, run = np.r_[starts[~long], inner[~long[run]]], np.r_[np.flatnonzero(~long), run[~long[run]]]
     size = stops[run] - begin
     order = np.argsort(-size, kind="stable")
     order = order[size[order] >= least]
     begin, run, size = begin[order], run[order], size[order]
     states, sums = [np.zeros(len(begin), np.int32) for _ in automata], [np.zeros(len(begin)) for _ in automata]
     letters, digits = np.ones(len(begin), bool), np.ones(len(begin), bool)
-    found = []
     for i in range(int(size[0]) + 1 if len(size) else 0):
         live = int(np.searchsorted(-size, -i, side="right"))  # starts with at least i characters behind them
         going = int(np.searchsorted(-size, -i, side="left"))  # and those that go on
@@ -252,7 +261,113 @@ def part_ratios(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, automat
         for automaton, state, total in zip(automata, states, sums, strict=True):
             total[:going] += automaton.log[state[:going], _CODE[codes]]
             state[:going] = automaton.step[state[:going], _CODE[codes]]
-    return best, *((np.concatenate(x) for x in zip(*found, strict=True)) if found else (none, none, np.zeros(0)))
+    if not found:
+        return best, none, none, np.zeros(0)
+    first, last, ratio = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((first, -ratio, last))
+    order = order[np.r_[True, last[order][1:] != last[order][:-1]] if len(order) else order]
+    return best, first[order], last[order], ratio[order]
+
+
+#: Runs with more starts or characters are followed by ``long_run``; longest piece and most cells (piece x state) of its tables.
+MANY, LONG, PIECE, CELLS = 32, 4096, 64, 1 << 20
+#: Rows of ``long_run``: what a part is so far, and the plain model that it is compared with.  A part of letters is compared
+#: with letters if it ends so and with random characters if other ones follow, so both sums are kept.
+_MIXED, _LETTER, _LETTER_MIXED, _DIGIT, _DIGIT_MIXED, _DOT, _DOT_LETTER, _DOT_MIXED = range(8)
+_PLAIN = np.log([END, 27, END, 12, END, 12, 27, END])
+_ENDING = [_MIXED, _LETTER, _DIGIT, _DOT]
+
+
+def long_run(data: np.ndarray, starts: np.ndarray, automata: list[Automaton], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, starts, ratios): the best part for each end of one run, in time that grows with its length.
+
+    Parts that are in one state of an automaton go on alike, so only the best of them is followed: a number for each
+    state and class of characters.  The run is cut where parts become long enough or end; what a piece
+    adds from each state is worked out for many pieces at once.
+    """
+    codes, n = _CODE[data], len(data)
+    offsets = np.cumsum([0] + [len(a.log) for a in automata])
+    step = np.concatenate([a.step + o for a, o in zip(automata, offsets, strict=False)])
+    log = np.concatenate([a.log for a in automata])
+    count = len(log)
+    starts = starts[starts + least <= n]
+    ends = np.r_[np.flatnonzero(_mask(SEPARATORS)[data]), n]
+    ends = ends[ends >= least]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    # the first characters of each part
+    state = np.repeat(offsets[None, :-1], len(starts), axis=0)
+    total = np.zeros(state.shape)
+    for i in range(least):
+        c = codes[starts + i][:, None]
+        total += log[state, c]
+        state = step[state, c]
+    strange = [np.r_[0, np.cumsum(~m[data])] for m in (_LETTERS, _DIGITS)]
+    other, wordy = (x[starts + least] > x[starts] for x in strange)  # holds what is no letter; no digit
+    cuts = np.unique(np.r_[starts + least, ends, np.arange(least, n, PIECE), n])
+    entering = dict(zip((starts + least).tolist(), range(len(starts)), strict=True))
+    is_end = np.isin(cuts, ends)
+    value, origin = np.full((8, count), -np.inf), np.zeros((8, count), np.int64)
+    ratios, begins = [], []
+    chunk = max(1, CELLS // count)
+    lines = np.arange(8)[:, None]
+    for base in range(0, len(cuts), chunk):
+        here = cuts[base : base + chunk]
+        length = np.r_[cuts[base + 1 : base + chunk + 1], n][: len(here)] - here
+        order = np.argsort(-length, kind="stable")
+        target, gain = np.repeat(np.arange(count, dtype=np.int32)[None], len(here), axis=0), np.zeros((len(here), count))
+        for i in range(int(length.max())):
+            live = int(np.searchsorted(-length[order], -i, side="left"))
+            c = codes[here[order[:live]] + i][:, None]
+            gain[:live] += log[target[:live], c]
+            target[:live] = step[target[:live], c]
+        place = np.empty(len(here), np.int64)
+        place[order] = np.arange(len(here))
+        has_other, has_wordy = ((x[here + length] > x[here]).tolist() for x in strange)
+        for k, at in enumerate(here.tolist()):
+            j = entering.get(at)
+            if j is not None:
+                kind = (_MIXED,) if other[j] and wordy[j] else (_DIGIT, _DIGIT_MIXED) if other[j] else (_LETTER, _LETTER_MIXED) if wordy[j] else (_DOT, _DOT_LETTER, _DOT_MIXED)
+                for r in kind:
+                    new = total[j] + least * _PLAIN[r]
+                    better = new > value[r, state[j]]
+                    value[r, state[j][better]] = new[better]
+                    origin[r, state[j][better]] = starts[j]
+            if is_end[base + k]:
+                final = value[_ENDING] + log[:, END]
+                top = int(final.argmax())
+                ratios.append(final.flat[top])
+                begins.append(origin[_ENDING[top // count], top % count])
+            if not length[k]:
+                continue
+            value += gain[place[k]] + (_PLAIN * length[k])[:, None]
+            if has_other[k] or has_wordy[k]:
+                _leave(value, origin, has_other[k], has_wordy[k])
+            rank = np.argsort(value, axis=1, kind="stable")  # the best comes last, and the last one stays
+            to = target[place[k]][rank]
+            moved, origins = np.full_like(value, -np.inf), np.zeros_like(origin)
+            moved[lines, to] = value[lines, rank]
+            origins[lines, to] = origin[lines, rank]
+            value, origin = moved, origins
+    return ends, np.array(begins, np.int64), np.array(ratios)
+
+
+def _leave(value: np.ndarray, origin: np.ndarray, other: bool, wordy: bool) -> None:
+    """Parts change their class behind a piece with a character that is no letter (``other``) or no digit (``wordy``)."""
+    moves = [(_DOT_MIXED, _MIXED)] if other and wordy else [(_DOT, _DIGIT), (_DOT_MIXED, _DIGIT_MIXED)] if other else [(_DOT_LETTER, _LETTER), (_DOT_MIXED, _LETTER_MIXED)]
+    gone = [_DOT, _DOT_LETTER, _DOT_MIXED]
+    if other:
+        moves.append((_LETTER_MIXED, _MIXED))
+        gone += [_LETTER, _LETTER_MIXED]
+    if wordy:
+        moves.append((_DIGIT_MIXED, _MIXED))
+        gone += [_DIGIT, _DIGIT_MIXED]
+    kept = {r: (value[r].copy(), origin[r].copy()) for r, _ in moves}
+    value[gone] = -np.inf
+    for source, row in moves:
+        new, start = kept[source]
+        better = new > value[row]
+        value[row, better], origin[row, better] = new[better], start[better]
 
 
 def train(docs: DataFrame, limit: int = TRAIN) -> list[Automaton]:
@@ -305,8 +420,8 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 def scan_secrets(docs: DataFrame, automata: list[Automaton] | None = None, threshold: float = THRESHOLD, min_length: int = MIN_LENGTH) -> DataFrame:
     """One row for each row of ``docs``: base counts and digest, and all spans as text.
 
-    Spans are ``kind:start:end`` in code points, end exclusive.  Of parts of runs
-    that overlap each other the best is listed, and none that overlaps a base match.  Null texts are empty and have no spans; without labelled credentials nothing
+    Spans are ``kind:start:end`` in code points, end exclusive.  Of the parts of a run with one end the best is
+    a candidate; of candidates that overlap each other the best is listed, and none that overlaps a base match.  Null texts are empty and have no spans; without labelled credentials nothing
     but the base is found.  ``best_score`` is the highest ratio of the text's candidates, null if none.
     """
     small_batches(docs.sparkSession)
