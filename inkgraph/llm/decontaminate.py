@@ -11,9 +11,8 @@ so only windows whose rarest term occurs are expanded; the places of the rarest
 term are then intersected with the lists of the other terms, rarest first, each
 shifted by the term's offset.  All windows of a block are worked on at once.
 
-A benchmark of at most ``BROADCAST_BYTES`` of text is sent to all executors.  A
-larger one is joined: blocks ask the shards of its rarest terms, which answer
-with the windows listed there.
+A benchmark whose windows take at most ``BROADCAST_BYTES`` is sent to all
+executors.  A larger one is joined to the blocks by its windows' rarest terms.
 """
 
 from __future__ import annotations
@@ -37,12 +36,11 @@ WINDOW = 10
 SLOP, NEAR_TERMS = 30, 3
 #: Text of one row of the index; its postings take about as much.
 BLOCK = 512 << 10
-#: Text of a benchmark that is sent to all executors at most; a larger one is joined.
-BROADCAST_BYTES = 16 << 20
+#: Memory of the windows that are sent to all executors at most, by ``WINDOW_BYTES`` for each word of the benchmark
+#: (measured as lists: 450 bytes a window); those of a larger benchmark are joined.
+BROADCAST_BYTES, WINDOW_BYTES = 64 << 20, 450
 #: Places of rarest terms that are intersected at once.
 CHUNK = 1 << 18
-#: Text of the benchmark for each shard of the join, about.
-SHARD_BYTES = 4 << 20
 
 INDEX = "block long, doc_ids array<long>, doc_words array<int>, terms binary, starts binary, positions binary"
 
@@ -338,77 +336,53 @@ def _listed(rows: list, width: int) -> Queries:
     return out
 
 
-def _shard(terms: np.ndarray, shards: int) -> np.ndarray:
-    return ((terms[:, 0] >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+def _binary16(terms: np.ndarray) -> pa.Array:
+    offsets = pa.py_buffer(np.arange(0, 16 * len(terms) + 1, 16, dtype=np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(terms), [None, offsets, pa.py_buffer(np.ascontiguousarray(terms))])
 
 
-def _large_search(index: DataFrame, items: DataFrame, shards: int, window: int, slop: int, near_terms: int) -> DataFrame:
-    """The same by joins: nothing of the benchmark is gathered in one place."""
-    ask_names, ask_kinds = ["block", "shard", "terms", "n"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+def _large_search(index: DataFrame, items: DataFrame, window: int, slop: int, near_terms: int) -> DataFrame:
+    """The same by joins on terms: nothing of the benchmark is gathered in one place, and no task has more of the index than its blocks.
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A block's terms to the shards, with their numbers of documents."""
+    Numbers of documents are summed within tasks before they are shuffled, so a word of every block is a row
+    for each task.  Blocks meet only windows whose rarest term they have; Spark splits a term that is still frequent.
+    """
+    columns = ["block", "doc_words", "terms", "starts", "positions"]
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms of a block with their numbers of documents."""
         for batch in batches:
             for block, p in _postings(batch):
-                shard, n = _shard(p.terms, shards), _doc_counts(p, np.arange(len(p.terms)))
-                rows = [(block, int(s), p.terms[at].tobytes(), n[at].astype(np.int32).tobytes()) for s in np.unique(shard) for at in [np.flatnonzero(shard == s)]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ask_kinds)], names=ask_names)
-
-    asked = written(index.select("block", "doc_words", "terms", "starts", "positions").mapInArrow(ask, "block long, shard int, terms binary, n binary"), "asked")
+                n = _doc_counts(p, np.arange(len(p.terms)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), block, np.int64)), _binary16(p.terms), pa.array(n.astype(np.int64))], names=["block", "term", "n"])
 
-    def want(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """An item's terms to the shards."""
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The terms of an item with their places."""
         for batch in batches:
-            rows = []
             for i in range(batch.num_rows):
                 terms = np.frombuffer(batch.column("terms")[i].as_buffer(), np.uint64).reshape(-1, 2)
-                shard = _shard(terms, shards)
-                rows += [(batch.column("number")[i].as_py(), int(s), at.astype(np.int32).tobytes(), terms[at].tobytes()) for s in np.unique(shard) for at in [np.flatnonzero(shard == s)]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(ask_kinds)], names=["number", "shard", "places", "terms"])
-
-    def count(key, left, right):
-        """The documents that have each asked term, for each item."""
-        listed, number = _distinct(np.frombuffer(b"".join(right.column("terms").to_pylist()), np.uint64).reshape(-1, 2))
-        total = np.zeros(len(listed), np.int64)
-        for terms, n in zip(left.column("terms"), left.column("n"), strict=True):
-            at = look_up(listed, np.frombuffer(terms.as_buffer(), np.uint64).reshape(-1, 2))
-            np.add.at(total, at[at >= 0], np.frombuffer(n.as_buffer(), np.int32)[at >= 0])
-        cuts = np.cumsum([len(x) // 16 for x in right.column("terms").to_pylist()])
-        parts = np.split(total[number], cuts[:-1]) if right.num_rows else []
-        return pa.table({"number": right.column("number"), "places": right.column("places"), "n": pa.array([p.tobytes() for p in parts], pa.binary())})
-
-    wanted = items.select("number", "terms").mapInArrow(want, "number long, shard int, places binary, terms binary")
-    counts = asked.select("shard", "terms", "n").groupBy("shard").cogroup(wanted.groupBy("shard")).applyInArrow(count, "number long, places binary, n binary")
+                number = np.full(len(terms), batch.column("number")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.arange(len(terms), dtype=np.int32)), _binary16(terms)], names=["number", "place", "term"])
+
+    spreading = index.select(*columns).mapInArrow(spread, "block long, term binary, n long")
+    asking = items.select("number", "terms").mapInArrow(asked, "number long, place int, term binary")
+    totals = spreading.groupBy("term").agg(F.sum("n").alias("n"))
+    counts = asking.join(totals, "term").select("number", "place", "n")
 
     def make(key, left, right):
-        """An item's windows to the shards of their rarest terms."""
+        """An item's windows with their rarest terms."""
         rows = []
+        places, found = (right.column(x).to_numpy() for x in ("place", "n"))
         for item, terms, words in zip(*(left.column(x).to_pylist() for x in ("item", "terms", "words")), strict=True):
             terms = np.frombuffer(terms, np.uint64).reshape(-1, 2)
             n = np.zeros(len(terms), np.int64)
-            for places, some in zip(right.column("places").to_pylist(), right.column("n").to_pylist(), strict=True):
-                n[np.frombuffer(places, np.int32)] = np.frombuffer(some, np.int64)
+            n[places] = found
             for near, name, digest, rarest in _queries_of(item, terms, np.frombuffer(words, np.int32), n, window, near_terms):
-                rows.append((int(_shard(np.frombuffer(digest, np.uint64).reshape(-1, 2)[rarest : rarest + 1], shards)[0]), near, name, digest, rarest))
-        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("shard", pa.int32()), ("near", pa.bool_()), ("item", pa.string()), ("terms", pa.binary()), ("rarest", pa.int32())))})
-
-    queries = written(items.groupBy("number").cogroup(counts.groupBy("number")).applyInArrow(make, "shard int, near boolean, item string, terms binary, rarest int"), "queries")
-
-    def answer(key, left, right):
-        """For each block the queries whose rarest term it has."""
-        near, item, digest, rarest = (right.column(x).to_pylist() for x in ("near", "item", "terms", "rarest"))
-        lead = np.frombuffer(b"".join(d[16 * r : 16 * r + 16] for d, r in zip(digest, rarest, strict=True)), np.uint64).reshape(-1, 2)
-        listed, number = _distinct(lead)
-        order = np.argsort(number, kind="stable")
-        cuts = np.searchsorted(number[order], np.arange(len(listed) + 1))
-        out = []
-        for block, terms in zip(left.column("block").to_pylist(), left.column("terms"), strict=True):
-            at = look_up(listed, np.frombuffer(terms.as_buffer(), np.uint64).reshape(-1, 2))
-            for k in at[at >= 0].tolist():
-                out += [(block, near[i], item[i], digest[i], rarest[i]) for i in order[cuts[k] : cuts[k + 1]].tolist()]
-        return pa.table({n: pa.array([r[i] for r in out], t) for i, (n, t) in enumerate((("block", pa.int64()), ("near", pa.bool_()), ("item", pa.string()), ("terms", pa.binary()), ("rarest", pa.int32())))})
-
-    sent = asked.select("block", "shard", "terms").groupBy("shard").cogroup(queries.groupBy("shard")).applyInArrow(answer, "block long, near boolean, item string, terms binary, rarest int")
+                rows.append((digest[16 * rarest : 16 * rarest + 16], near, name, digest, rarest))
+        return pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("term", pa.binary()), ("near", pa.bool_()), ("item", pa.string()), ("terms", pa.binary()), ("rarest", pa.int32())))})
+
+    queries = written(items.groupBy("number").cogroup(counts.groupBy("number")).applyInArrow(make, "term binary, near boolean, item string, terms binary, rarest int"), "queries")
+    sent = spreading.select("block", "term").join(queries, "term").select("block", "near", "item", "terms", "rarest")
 
     def finish(key, left, right):
         rows = list(zip(*(right.column(x).to_pylist() for x in ("near", "item", "terms", "rarest")), strict=True))
@@ -416,7 +390,7 @@ def _large_search(index: DataFrame, items: DataFrame, shards: int, window: int,
         found = [(block, *x) for batch in left.to_batches() for block, p in _postings(batch) for x in search(p, *both, slop)] if rows else []
         return pa.Table.from_batches([_rows_of(found)])
 
-    return index.select("block", "doc_words", "terms", "starts", "positions").groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(finish, MATCHES)
+    return index.select(*columns).groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(finish, MATCHES)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, slop: int = SLOP, near_terms: int = NEAR_TERMS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -426,7 +400,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     ``null`` and repeated items as one.  Repeated documents are judged alike; an empty corpus or
     benchmark gives no hits.  ``spans`` and ``near_items`` (items whose rarest terms stand close
     together) are there besides the counts.  Words are told apart by 128-bit digests under a key
-    drawn for the run.  A benchmark of more than ``broadcast_bytes`` of text is joined, not broadcast.
+    drawn for the run.  A benchmark whose windows take more than ``broadcast_bytes`` is joined, not broadcast.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -434,13 +408,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     with scratch() as kept:
         index = written(build_index(docs, key), "postings")
         rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "doc_words")).alias("at", "d")).select("block", "at", F.col("d.doc_ids").alias("doc_id"), F.col("d.doc_words").cast("long").alias("n_words"))
-        size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        items = _items(benchmark, key)
-        if size <= broadcast_bytes:
-            found = _small_search(index, items.collect(), window, slop, near_terms)
+        items = written(_items(benchmark, key).withColumn("number", F.monotonically_increasing_id()), "items")
+        words = (items.agg(F.sum(F.octet_length("words"))).first()[0] or 0) // 4
+        if words * WINDOW_BYTES <= broadcast_bytes:
+            found = _small_search(index, items.drop("number").collect(), window, slop, near_terms)
         else:
-            numbered = written(items.withColumn("number", F.monotonically_increasing_id()), "items")
-            found = _large_search(index, numbered, size // SHARD_BYTES + 1, window, slop, near_terms)
+            found = _large_search(index, items, window, slop, near_terms)
         matches = written(found.repartition("block"), "matches")
         none = F.array().cast("array<string>")
         out = rows.join(matches, ["block", "at"], "left").select(
