@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ NON_CONTENT = "|".join([
 ])
 
 
+#: A page without any of these has content alone.
+MARKS = ("`", "~~~", "<!--")
+
 #: Links whose lengths are summed together where places are computed.
 CHUNK = 64
 
@@ -30,7 +35,10 @@ def _blank(part: Column) -> Column:
 
 
 def scrub(content: Column | str) -> Column:
-    """The page with all that is no content blanked out, byte for byte, so that places stay the same."""
+    """The page with all that is no content blanked out, byte for byte, so that places stay the same.
+
+    Most pages have no mark and are not searched.
+    """
     text = col(content)
     found, gaps = F.regexp_extract_all(text, F.lit(NON_CONTENT), F.lit(0)), F.split(text, NON_CONTENT, -1)
     open_fence = F.regexp_extract(text, r"(?<![^\n])(`{3,})\z", 1)
@@ -42,7 +50,7 @@ def scrub(content: Column | str) -> Column:
         return F.when(ticks, part).when(part.rlike("^``?(?!`)"), F.concat(inline, _blank(body), inline)).otherwise(_blank(part))
 
     pieces = F.zip_with(gaps, F.transform(found, blanked), lambda g, p: F.concat(g, F.coalesce(p, F.lit(""))))
-    return F.array_join(pieces, "")
+    return F.when(reduce(Column.__or__, [F.contains(text, F.lit(m)) for m in MARKS]), F.array_join(pieces, "")).otherwise(text)
 
 
 def line_range(fragment: Column | str) -> tuple[Column, Column]:
@@ -62,9 +70,11 @@ def links(pages: DataFrame) -> DataFrame:
     read from the page at the same bytes.
     """
     rows = pages.select("path", F.encode("content", "UTF-8").alias("raw"), scrub("content").alias("clean"))
-    found, gaps = F.regexp_extract_all("clean", F.lit(LINK), F.lit(0)), F.split("clean", LINK, -1)
+    # no filter by what was found: it would be pushed below, where text and links are made for it a second time
+    rows = rows.select("path", "raw", "clean", F.regexp_extract_all("clean", F.lit(LINK), F.lit(0)).alias("found"))
+    gaps = F.when(F.size("found") > 0, F.split("clean", LINK, -1)).otherwise(F.array().cast("array<string>"))
     measured = lambda a: F.transform(a, lambda x: F.struct(F.octet_length(x).alias("bytes"), (F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))).alias("breaks")))
-    rows = rows.select("path", "raw", found.alias("found"), gaps.alias("gaps")).where(F.size("found") > 0).select("path", "raw", "found", measured("gaps").alias("g"), measured("found").alias("f"))
+    rows = rows.select("path", "raw", "found", gaps.alias("gaps")).select("path", "raw", "found", measured("gaps").alias("g"), measured("found").alias("f"))
     # a link's place is the sum of what stands before it: of whole chunks, which are summed once, and of the rest of its own
     piece = lambda name: F.zip_with(F.slice("g", F.lit(1), F.size("f")), "f", lambda g, f: g[name] + f[name])
     rows = rows.withColumns({f"{name}_of": piece(name) for name in ("bytes", "breaks")})
@@ -129,12 +139,13 @@ def outline_lines(pages: DataFrame) -> DataFrame:
     both = pages.select("path", F.posexplode(F.arrays_zip(F.split("content", "\n", -1).alias("raw"), F.split(scrub("content"), "\n", -1).alias("clean"))).alias("line", "x"))
     rows = both.select("path", (F.col("line") + 1).alias("line"), F.col("x.raw").alias("text"), F.col("x.clean").alias("clean"))
     fence = F.col("text").rlike(r"(?U)^\s*(```|~~~)")
-    order = Window.partitionBy("path").orderBy("line")
-    inside = F.sum(fence.cast("int")).over(order) % 2 == 1
     rule = r"(?Us)^\s*(#{1,6})\s+(.*)$"
     title = strip(F.regexp_extract("text", rule, 2))
-    is_heading = ~fence & ~inside & (strip("clean") != "") & F.col("text").rlike(rule) & (title != "")
-    return rows.select("path", "line", "text", (strip("text") == "").alias("blank"), F.when(is_heading, F.length(F.regexp_extract("text", rule, 1))).alias("level"), F.when(is_heading, strip(F.regexp_replace(title, r"[`*_\[\]]", ""))).alias("heading"))
+    may_head = ~fence & (strip("clean") != "") & F.col("text").rlike(rule) & (title != "")
+    # what is known of a line alone comes first, so that texts do not go through the window for a caller who needs none
+    rows = rows.select("path", "line", "text", (strip("text") == "").alias("blank"), fence.cast("int").alias("fence"), F.when(may_head, F.length(F.regexp_extract("text", rule, 1))).alias("level"), F.when(may_head, strip(F.regexp_replace(title, r"[`*_\[\]]", ""))).alias("heading"))
+    inside = F.sum("fence").over(Window.partitionBy("path").orderBy("line")) % 2 == 1
+    return rows.withColumn("inside", inside).select("path", "line", "text", "blank", *[F.when(~F.col("inside"), F.col(c)).alias(c) for c in ("level", "heading")])
 
 
 def sections(outline: DataFrame) -> DataFrame:

@@ -172,10 +172,13 @@ def fix(pages: DataFrame, paths: DataFrame, renames: DataFrame, revisions: DataF
     if anchors is not None and drift is not None:
         steps.append(lambda links, p: plan_shifts(links, anchors, drift))
     steps.append(lambda links, p: plan_headings(links, p, revisions))
+    links = written(md.links(pages), "links")
     for step in steps:
-        fixes, skips = step(md.links(pages), pages)
+        fixes, skips = step(links, pages)
         fixes, skips = written(fixes, "fixes"), written(skips, "skips")
-        pages = written(apply_fixes(pages, fixes), "patched")
+        if not fixes.isEmpty():  # else pages and links stay as they are
+            pages = written(apply_fixes(pages, fixes), "patched")
+            links = written(md.links(pages), "links")
         all_fixes = fixes if all_fixes is None else all_fixes.unionByName(fixes)
         all_skips = skips if all_skips is None else all_skips.unionByName(skips)
     return all_fixes, all_skips, pages

@@ -402,13 +402,18 @@ def c04_line_bounds(spark, sf_dir):
     return check.broken_ranges(md.links(pages), pages)
 
 
-def _anchors(pages: DataFrame) -> DataFrame:
+def _links(pages: DataFrame) -> DataFrame:
+    """The links of pages, written: a query reads them more than once."""
+    return written(md.links(pages), "links")
+
+
+def _anchors(links: DataFrame) -> DataFrame:
     """A mesh for every second page: its links to ranges that start on an odd line, and the page itself."""
-    links = check.checked_links(md.links(pages)).where(F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 2 == 0)
+    links = check.checked_links(links).where(F.regexp_extract("path", r"doc-(\d+)", 1).cast("long") % 2 == 0)
     mesh = F.concat(F.lit("mesh/"), F.col("path"))
     own = links.select(mesh.alias("mesh"), "path", F.lit(0).alias("start_line"), F.lit(0).alias("end_line"))
     to = links.where("start_line % 2 = 1").select(mesh.alias("mesh"), F.col("resolved").alias("path"), "start_line", "end_line")
-    return own.union(to).distinct()
+    return written(own.union(to).distinct(), "anchors")
 
 
 _MESH = """doc AS (SELECT *, CAST(regexp_extract(path, 'doc-([0-9]+)', 1) AS BIGINT) AS d FROM links),
@@ -420,7 +425,8 @@ _UNCOVERED = "SELECT 'mesh_uncovered' AS kind, path AS file, CAST(source_line AS
 @query(f"WITH {PAGES}, {PAGE_LINKS}, {_MESH} {_UNCOVERED}")
 def c05_mesh_uncovered(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    return check.uncovered(md.links(pages), _anchors(pages), pages.select("path"))
+    links = _links(pages)
+    return check.uncovered(links, _anchors(links), pages.select("path"))
 
 
 @query(f"""WITH {PAGES}, {PAGE_LINKS}, {_SIZE}, {_MESH}, every AS ({_BROKEN} UNION ALL {_RANGES} UNION ALL {_UNCOVERED}
@@ -428,7 +434,8 @@ UNION ALL SELECT 'frontmatter', path, 1, 'Add frontmatter with `title` and `summ
 def c06_all_diagnostics(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     none = C.corpus_of(pages.limit(0))
-    return check.check(pages, none, pages.select("path"), _anchors(pages))
+    links = _links(pages)
+    return check.check(pages, none, pages.select("path"), _anchors(links), links=links)
 
 
 # Incremental -----------------------------------------------------------------
@@ -521,7 +528,7 @@ def x02_fix_skipped(spark, sf_dir):
 @query(f"{_FIX} SELECT path, CAST(sum(strlen('/' || c[1] || '#' || split_part(href, '#', 2)) - strlen(href)) AS BIGINT) AS grown FROM plan WHERE why IS NULL GROUP BY path")
 def x06_patched_pages(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    fixes = fix.plan_renames(md.links(pages), pages.select("path"), _renames(spark, sf_dir))[0]
+    fixes = written(fix.plan_renames(md.links(pages), pages.select("path"), _renames(spark, sf_dir))[0], "fixes")
     patched = fix.apply_fixes(pages, fixes).select("path", F.octet_length("content").alias("now"))
     grown = patched.join(pages.select("path", F.octet_length("content").alias("old")), "path").select("path", (F.col("now") - F.col("old")).cast("long").alias("grown"))
     return grown.join(fixes.select(F.col("file").alias("path")).distinct(), "path", "left_semi")
@@ -534,10 +541,11 @@ SELECT DISTINCT path AS file, CAST(source_line AS INT) AS line, 'mesh_anchor_shi
 def x04_mesh_shift(spark, sf_dir):
     """All ranges moved by ten lines; every third mesh has a changed anchor too, so its findings are left alone."""
     pages = _pages(spark, sf_dir)
-    anchors = _anchors(pages)
+    links = _links(pages)
+    anchors = _anchors(links)
     drift = anchors.where("start_line > 0").select(F.lit("MOVED").alias("code"), "mesh", "path", "start_line", "end_line", F.col("path").alias("new_path"), (F.col("start_line") + 10).alias("new_start"), (F.col("end_line") + 10).alias("new_end"))
     changed = drift.where(F.regexp_extract("mesh", r"doc-(\d+)", 1).cast("long") % 6 == 0).withColumn("code", F.lit("CHANGED"))
-    fixes = fix.plan_shifts(md.links(pages), anchors, drift.union(changed))[0]
+    fixes = fix.plan_shifts(links, anchors, drift.union(changed))[0]
     return fixes.select("file", "line", "kind", "old_href", "new_href", "confidence")
 
 
@@ -916,7 +924,7 @@ def i14_incremental_checks(spark, sf_dir):
     before = pages.where(d % 10 != 3).withColumn("content", other).unionByName(pages.where(d % 25 == 0).withColumn("path", F.regexp_replace("path", "^wiki/", "gone/")))
     old = recheck.facts(before, none, before.select("path"))
     changed = pages.where((d % 10 == 3) | (d % 9).isin(2, 5))
-    anchors = _anchors(pages)
+    anchors = _anchors(_links(pages))
     found = written(recheck.findings(old, anchors), "findings")
     deleted = before.where(F.col("path").startswith("gone/")).select("path")
     return recheck.recheck(old, found, recheck.facts(changed, none, changed.select("path")), deleted, anchors)[1]
