@@ -57,7 +57,8 @@ def backlinks(corpus: DataFrame, links: DataFrame, target: str) -> DataFrame:
     hits = links.where(F.col("target_path") == target).select(F.col("source_file").alias("path_rel"), "source_line")
     rows = corpus.select("path_rel", "title", "content").join(hits, "path_rel").withColumn("text", line_snippet("content", "source_line"))
     rows = rows.groupBy("title", "text").agg(F.min(F.struct("path_rel", "source_line")).alias("at"))
-    order = Window.partitionBy("title").orderBy(F.col("at.path_rel"), F.col("at.source_line"))
+    # a link from a blank line has no snippet and takes no place among them
+    order = Window.partitionBy("title").orderBy(F.col("text").isNull(), F.col("at.path_rel"), F.col("at.source_line"))
     rows = rows.withColumn("n", F.row_number().over(order))
     kept = F.sort_array(F.collect_list(F.when((F.col("n") <= SNIPPETS) & F.col("text").isNotNull(), F.struct("n", F.col("at.source_line").alias("line"), "text"))))
     out = rows.groupBy("title").agg(F.min("at.path_rel").alias("path_rel"), kept.alias("s"))

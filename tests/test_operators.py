@@ -288,3 +288,9 @@ def test_renamed_leaves_out_ambiguous_content(spark):
     old = spark.createDataFrame([("a", "h"), ("b", "h"), ("c", "i"), ("k", None)], "path string, content_hash string")
     new = spark.createDataFrame([("x", "h"), ("y", "h"), ("z", "i"), ("k", None)], "path string, content_hash string")
     assert [tuple(r) for r in sync.renamed(old, new).collect()] == [("c", "z")]
+
+
+def test_a_blank_line_takes_no_place_among_snippets(spark):
+    corpus = spark.createDataFrame([(f"p{n}.md", "Same", ["", "one", "two", "three"][n]) for n in range(4)], "path_rel string, title string, content string")
+    links = corpus.select(F.col("path_rel").alias("source_file"), F.lit(1).alias("source_line"), F.lit("t.md").alias("target_path"))
+    assert [(r.path_rel, [s.text for s in r.snippets]) for r in lookup.backlinks(corpus, links, "t.md").collect()] == [("p0.md", ["one", "two", "three"])]
