@@ -3,7 +3,7 @@
 An index is a folder of segments, each a set of Parquet tables over some pages:
 
 * ``postings`` (bucket, term, field, doc, tf, dl, places): where a word stands in a field of a page, and the
-  field's length; a folder for each bucket of terms, sorted by term
+  field's length; a folder for each bucket of terms, sorted by term; stored as packs of a word of a field in many pages
 * ``keys`` (bucket, key, doc, kind) titles and aliases; ``grams`` (bucket, gram, doc) runs of one to three
   characters of paths, and ``gram_counts`` how many paths have each
 * ``names`` (part, doc, path_rel, title, row_hash, lengths) and ``pages`` (doc, the other columns), sorted by doc
@@ -23,10 +23,14 @@ from __future__ import annotations
 import json
 import uuid
 import zlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,8 @@ PART_BITS, PAGE_BITS = 20, 40
 MERGE, TIER = 4, 4
 #: Length of path grams.
 GRAM = 3
+#: Pages that a task inverts at once.
+INVERTED_PAGES = 2000
 
 SCHEMAS = {
     "postings": "term string, field string, doc long, tf int, dl int, places array<int>, bucket int",
@@ -79,15 +85,17 @@ class Index:
 
     # Tables of all live pages.
 
-    def read(self, kind: str, segments: Iterable[dict] | None = None) -> DataFrame:
-        """A table of all segments, with dead pages."""
-        return self._union(kind, [f"{s['name']}/{kind}" for s in (self.segments if segments is None else segments)])
+    def read(self, kind: str, segments: Iterable[dict] | None = None, only: Column | None = None) -> DataFrame:
+        """A table of all segments, with dead pages; the rows that ``only`` takes, by bucket and by term, key or gram."""
+        return self._union(kind, [f"{s['name']}/{kind}" for s in (self.segments if segments is None else segments)], only)
 
-    def _union(self, kind: str, parts: list[str]) -> DataFrame:
-        """Folders have partitions of their own, so each is read as a table; compaction keeps them few."""
+    def _union(self, kind: str, parts: list[str], only: Column | None = None) -> DataFrame:
+        """Folders have partitions of their own, so each is read as a table; compaction keeps them few.  Packs that ``only`` takes are spelled out."""
         if not parts:
             return self.spark.createDataFrame([], SCHEMAS[kind])
-        return reduce(DataFrame.union, [self.spark.read.schema(SCHEMAS[kind]).parquet(f"{self.path}/{p}") for p in parts])
+        rows = reduce(DataFrame.union, [self.spark.read.schema(PACKS if kind == "postings" else SCHEMAS[kind]).parquet(f"{self.path}/{p}") for p in parts])
+        rows = rows if only is None else rows.where(only)
+        return rows.mapInArrow(_spelled, SCHEMAS[kind]) if kind == "postings" else rows
 
     def dead(self, segments: Iterable[dict] | None = None) -> DataFrame | None:
         parts = [d for s in (self.segments if segments is None else segments) for d in s["dead"]]
@@ -103,7 +111,7 @@ class Index:
     def listed(self, kind: str, column: str, values: Iterable[str]) -> DataFrame:
         """The live rows of ``kind`` for some terms, keys or grams, from their buckets alone."""
         values = sorted(set(values))
-        rows = self.read(kind).where(F.col("bucket").isin(sorted({bucket_of(v, self.buckets) for v in values})) & F.col(column).isin(values))
+        rows = self.read(kind, only=F.col("bucket").isin(sorted({bucket_of(v, self.buckets) for v in values})) & F.col(column).isin(values))
         return self.live(rows) if "doc" in rows.columns else rows
 
     # Sums for ranking, from the manifest.
@@ -166,11 +174,15 @@ def vacuum(index: Index) -> None:
 # Segments.
 
 
-def _write(rows: DataFrame, path: str, order: list[str], spread: int, tasks: int) -> None:
-    """Rows in a folder for each bucket, sorted; a bucket is written by ``spread`` tasks."""
+def _dealt(rows: DataFrame, order: list[str], spread: int, tasks: int) -> DataFrame:
+    """Rows dealt by bucket and sorted; a bucket goes to ``spread`` tasks."""
     dealt = F.pmod(F.xxhash64("doc" if "doc" in rows.columns else order[0]), F.lit(spread))
-    rows = rows.withColumn("_spread", dealt).repartition(tasks, "bucket", "_spread").sortWithinPartitions("bucket", *order).drop("_spread")
-    rows.write.partitionBy("bucket").parquet(path)
+    return rows.withColumn("_spread", dealt).repartition(tasks, "bucket", "_spread").sortWithinPartitions("bucket", *order).drop("_spread")
+
+
+def _write(rows: DataFrame, path: str, order: list[str], spread: int, tasks: int) -> None:
+    """Rows in a folder for each bucket, sorted."""
+    _dealt(rows, order, spread, tasks).write.partitionBy("bucket").parquet(path)
 
 
 def numbered(rows: DataFrame, segment: int) -> DataFrame:
@@ -183,9 +195,100 @@ def numbered(rows: DataFrame, segment: int) -> DataFrame:
     return out.withColumn("doc", F.lit(segment).cast("long") * (1 << PAGE_BITS) + F.col("_base") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_base")
 
 
-def words_by_field() -> Column:
-    """Array of (field, w) with the words of each field."""
-    return F.array(*[F.struct(F.lit(name).alias("field"), T.terms(F.coalesce(search.field_text(name), F.lit(""))).alias("w")) for name in FIELDS])
+def words_by_field() -> list[Column]:
+    """The words of each field."""
+    return [T.terms(F.coalesce(search.field_text(name), F.lit(""))).alias(name) for name in FIELDS]
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Session settings for what is written within."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packs (term, field, first, n, wide, data) of pages (doc, arrays of words): one for each word of a field in a batch.
+
+    ``data`` has of its ``n`` postings the docs after ``first``, the counts, the fields' lengths, and all places, as numbers of two
+    or four bytes.
+    """
+    for batch in batches:
+        docs, lists = batch.column(0).to_numpy(), [batch.column(i + 1) for i in range(batch.num_columns - 1)]
+        pages, fields = len(docs), len(lists)
+        each = np.concatenate([x.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists])  # words of each field and page, fields first
+        if not each.sum():
+            continue
+        words = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+        owner = np.repeat(np.arange(len(each)), each)
+        place = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
+        key = words.indices.to_numpy().astype(np.int64) * fields + owner // pages
+        order = np.argsort(key, kind="stable")  # by page and place within a word of a field
+        key, owner, place = key[order], owner[order], place[order]
+        posting = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])])
+        pack = np.flatnonzero(np.r_[True, key[posting][1:] != key[posting][:-1]])  # the first posting of each
+        tf, dl, doc, head = np.diff(np.r_[posting, len(key)]), each[owner[posting]], docs[owner[posting] % pages], key[posting[pack]]
+        n = np.diff(np.r_[pack, len(posting)])
+        after = doc - np.repeat(doc[pack], n)
+        wide = max(int(x.max()) for x in (after, dl)) >= 1 << 16
+        kind = np.int32 if wide else np.uint16
+        after, tf, dl, place = (x.astype(kind) for x in (after, tf, dl, place))
+        cut, ends, rows = np.r_[pack, len(posting)].tolist(), np.r_[posting[pack], len(key)].tolist(), []
+        for i in range(len(pack)):
+            a, b = cut[i], cut[i + 1]
+            rows.append(b"".join((after[a:b].tobytes(), tf[a:b].tobytes(), dl[a:b].tobytes(), place[ends[i] : ends[i + 1]].tobytes())))
+        yield pa.RecordBatch.from_arrays(
+            [words.dictionary.take(pa.array(head // fields)), pa.array((head % fields).astype(np.int32)), pa.array(doc[pack]), pa.array(n.astype(np.int32)), pa.array(np.full(len(pack), wide)), pa.array(rows, pa.binary())],
+            names=["term", "field", "first", "n", "wide", "data"],
+        )
+
+
+def _spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of packs."""
+    for batch in batches:
+        n = batch.column("n").to_numpy().astype(np.int64)
+        firsts, wide, data = batch.column("first").to_numpy(), batch.column("wide").to_pylist(), batch.column("data")
+        parts = [np.frombuffer(data[i].as_buffer(), np.int32 if w else np.uint16) for i, w in enumerate(wide)]
+        cut = lambda k: np.concatenate([x[k * m : (k + 1) * m] for x, m in zip(parts, n.tolist(), strict=True)])
+        row = pa.array(np.repeat(np.arange(len(n)), n))
+        tf = cut(1).astype(np.int32)
+        places = np.concatenate([x[3 * m :] for x, m in zip(parts, n.tolist(), strict=True)]).astype(np.int32)
+        ends = pa.array(np.r_[0, np.cumsum(tf, dtype=np.int64)].astype(np.int32))
+        field = pa.array(FIELDS).take(batch.column("field").take(row))
+        columns = [batch.column("term").take(row), field, pa.array(np.repeat(firsts, n) + cut(0)), pa.array(tf), pa.array(cut(2).astype(np.int32)), pa.ListArray.from_arrays(ends, pa.array(places)), batch.column("bucket").take(row)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "doc", "tf", "dl", "places", "bucket"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings, sorted by bucket, term, field and doc, as packs."""
+    for batch in batches:
+        c = {x: batch.column(x) for x in ("bucket", "term", "field", "doc", "tf", "dl", "places")}
+        same = pa.compute.and_(*[pa.compute.equal(c[x].slice(1), c[x].slice(0, batch.num_rows - 1)) for x in ("term", "field")]).to_numpy(zero_copy_only=False)
+        segment = c["doc"].to_numpy() >> PAGE_BITS  # numbers of one pack are close enough for four bytes
+        start = np.flatnonzero(np.r_[True, ~same | (segment[1:] != segment[:-1])]).tolist()
+        doc, tf, dl, place = c["doc"].to_numpy(), c["tf"].to_numpy(), c["dl"].to_numpy(), c["places"].flatten().to_numpy()
+        upto, rows, wides = np.r_[0, np.cumsum(tf, dtype=np.int64)], [], []
+        for a, b in zip(start, [*start[1:], batch.num_rows], strict=True):
+            after = doc[a:b] - doc[a]
+            wides.append(bool(max(after.max(), dl[a:b].max()) >= 1 << 16))
+            kind = np.int32 if wides[-1] else np.uint16
+            rows.append(b"".join(x.astype(kind).tobytes() for x in (after, tf[a:b], dl[a:b], place[upto[a] : upto[b]])))
+        at = pa.array(start)
+        field = pa.compute.index_in(c["field"].take(at), pa.array(FIELDS)).cast(pa.int32())
+        columns = [c["term"].take(at), field, c["doc"].take(at), pa.array(np.diff([*start, batch.num_rows]).astype(np.int32)), pa.array(wides), pa.array(rows, pa.binary()), c["bucket"].take(at)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "first", "n", "wide", "data", "bucket"])
+
+
+_UNDEALT = "term string, field int, first long, n int, wide boolean, data binary"
+#: The table of postings as it is stored.
+PACKS = f"{_UNDEALT}, bucket int"
 
 
 def path_grams(path: Column) -> Column:
@@ -206,12 +309,20 @@ def _added(sums: Iterable[dict]) -> tuple[int, dict[str, int]]:
     return sum(s["docs"] for s in sums), {f: sum(s["lengths"][f] for s in sums) for f in FIELDS}
 
 
+def _packs(pages: DataFrame, bucket, spread: int, tasks: int) -> DataFrame:
+    """The packs of pages (doc, arrays of words), dealt as ``_write`` deals rows and in the order in which they are written."""
+    packs = pages.mapInArrow(_inverted, _UNDEALT).select("*", bucket("term"), F.pmod(F.xxhash64("first"), F.lit(spread)).alias("_spread"))
+    return packs.repartition(tasks, "bucket", "_spread").sortWithinPartitions("bucket", "term", "first")
+
+
 def _segment(index: Index, corpus: DataFrame) -> dict:
     """Writes the tables of the pages of ``corpus`` (with row_hash); its entry for the manifest."""
     spark, name = index.spark, f"segment-{uuid.uuid4().hex}"
     path, number = f"{index.path}/{name}", max((n for s in index.segments for n in s["numbers"]), default=-1) + 1
-    corpus.select(*COLUMNS, "row_hash").write.parquet(f"{path}/input")
-    docs = numbered(spark.read.schema(corpus.select(*COLUMNS, "row_hash").schema).parquet(f"{path}/input"), number)
+    # the body is mostly the whole page, which is written once then
+    stored = corpus.select(*COLUMNS, "row_hash", F.col("body").eqNullSafe(F.col("content")).alias("_whole")).withColumn("body", F.when(~F.col("_whole"), F.col("body")))
+    stored.write.parquet(f"{path}/input")
+    docs = numbered(spark.read.schema(stored.schema).parquet(f"{path}/input"), number).withColumn("body", F.when(F.col("_whole"), F.col("content")).otherwise(F.col("body"))).drop("_whole")
     lengths = F.array(*[F.size(T.terms(F.coalesce(search.field_text(f), F.lit("")))) for f in FIELDS])
     docs.select("doc", "path_rel", "title", "row_hash", lengths.alias("lengths"), F.shiftright("doc", PART_BITS).alias("part")).write.partitionBy("part").parquet(f"{path}/names")
     docs.select("doc", "path_rel", "summary", "aliases", "tags", "keywords", "content").write.parquet(f"{path}/pages")
@@ -219,12 +330,10 @@ def _segment(index: Index, corpus: DataFrame) -> dict:
 
     count, total = _added(_sums(spark.read.schema(SCHEMAS["names"]).parquet(f"{path}/names")).values())
     spread, tasks = _tasks(index, count)
-    words = docs.select("doc", F.explode(words_by_field()).alias("x")).select("doc", "x.field", F.size("x.w").alias("dl"), F.posexplode("x.w").alias("place", "term"))
-    words = words.withColumn("bucket", bucket("term")).withColumn("_spread", F.pmod(F.xxhash64("doc"), F.lit(spread)))
-    # dealt by bucket before the places of a word are gathered, so that postings need no shuffle of their own
-    postings = words.repartition(tasks, "bucket", "_spread").groupBy("bucket", "_spread", "term", "doc", "field").agg(F.sort_array(F.collect_list("place")).alias("places"), F.max("dl").alias("dl"))
-    postings = postings.select("term", "field", "doc", F.size("places").alias("tf"), "dl", "places", "bucket").sortWithinPartitions("bucket", "term", "doc")
-    postings.write.partitionBy("bucket").parquet(f"{path}/postings")
+    # words are gathered within tasks, so that packs of places are shuffled instead of words, and sorted instead of postings
+    with _settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(INVERTED_PAGES)):
+        packs = _packs(docs.select("doc", *words_by_field()), bucket, spread, tasks)
+        packs.drop("_spread").write.partitionBy("bucket").parquet(f"{path}/postings")
 
     keys = F.concat(F.array(F.struct(F.lit(0).alias("kind"), T.key_of("title").alias("key"))), F.transform(F.coalesce("aliases", F.array()), lambda a: F.struct(F.lit(1).alias("kind"), T.key_of(a).alias("key"))))
     _write(docs.select("doc", F.inline(keys)).where(F.col("key").isNotNull()).select("key", "doc", "kind", bucket("key")), f"{path}/keys", ["key"], spread, tasks)
@@ -284,7 +393,9 @@ def compact(index: Index, all_: bool = False) -> Index:
         name = f"segment-{uuid.uuid4().hex}"
         path, docs = f"{index.path}/{name}", sum(s["docs"] - s["dead_docs"] for s in group)
         spread, tasks = _tasks(index, docs)
-        for kind, order in (("postings", ["term", "doc"]), ("keys", ["key"]), ("grams", ["gram"])):
+        postings = _dealt(index.live(index.read("postings", group), group).select(*(c.split()[0] for c in SCHEMAS["postings"].split(", "))), ["term", "field", "doc"], spread, tasks)
+        postings.mapInArrow(_packed, PACKS).write.partitionBy("bucket").parquet(f"{path}/postings")
+        for kind, order in (("keys", ["key"]), ("grams", ["gram"])):
             _write(index.live(index.read(kind, group), group), f"{path}/{kind}", order, spread, tasks)
         _write_gram_counts(index.spark, path, tasks)
         index.live(index.read("names", group), group).write.partitionBy("part").parquet(f"{path}/names")
@@ -396,7 +507,7 @@ def path_tier(index: Index, query: Query, root: str = "") -> DataFrame:
     rarest = sorted({min(gs, key=lambda g: counts.get(g, 0)) for gs in grams.values()}, key=lambda g: counts.get(g, 0))
     found = index.listed("grams", "gram", rarest[:1]).select("doc")
     for gram in rarest[1:]:
-        found = found.join(index.read("grams").where((F.col("bucket") == bucket_of(gram, index.buckets)) & (F.col("gram") == gram)).select("doc"), "doc", "left_semi")
+        found = found.join(index.read("grams", only=(F.col("bucket") == bucket_of(gram, index.buckets)) & (F.col("gram") == gram)).select("doc"), "doc", "left_semi")
     found = found.withColumn("part", F.shiftright("doc", PART_BITS))
     return names.join(found, ["part", "doc"]).where(hit).select("path_rel", "title", "doc", none)
 

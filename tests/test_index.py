@@ -4,6 +4,7 @@ import random
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from inkgraph.functions.query import parse_query
 from inkgraph.operators import index, search
@@ -153,3 +154,20 @@ def test_the_second_of_two_updates_fails(spark, pages):
     with pytest.raises(RuntimeError):
         index._publish(index.Index(spark, path, base.version + 1, base.buckets, base.segments))
     assert index.open_index(spark, path).count == 5
+
+
+def test_words_are_shuffled_and_stored_as_packs(spark, built):
+    stored = spark.read.schema(index.PACKS).parquet(*[f"{built.path}/{s['name']}/postings" for s in built.segments])
+    spelled = built.read("postings")
+    assert stored.agg({"n": "sum"}).first()[0] == spelled.count() > 2 * stored.count()  # a row for a word of a field in many pages
+
+
+def test_packs_of_pages_of_several_segments():
+    far = 1 << index.PAGE_BITS
+    of = [("fire", "body", 3, [0, 9]), ("fire", "body", 70_000, [4]), ("fire", "body", far + 1, [2]), ("fire", "title", 3, [1]), ("sea", "body", far + 1, [0, 1, 99_000])]
+    rows_ = [{"term": t, "field": f, "doc": d, "tf": len(p), "dl": 100_000 if d > far else 10, "places": p, "bucket": 1} for t, f, d, p in of]
+    types = {"term": pa.string(), "field": pa.string(), "doc": pa.int64(), "tf": pa.int32(), "dl": pa.int32(), "places": pa.list_(pa.int32()), "bucket": pa.int32()}
+    batch = pa.RecordBatch.from_pylist(rows_, pa.schema(list(types.items())))
+    packs = list(index._packed(iter([batch])))
+    assert packs[0].column("n").to_pylist() == [2, 1, 1, 1]
+    assert [r for b in index._spelled(iter(packs)) for r in b.to_pylist()] == rows_
