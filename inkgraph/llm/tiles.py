@@ -4,6 +4,9 @@ A group (``run``) is the members that share one key.  Groups of one ``lead`` hav
 mostly the same members, so their pairs are found together: the members of a
 lead are cut into parts, a tile is a pair of parts, and every tile is worked on by
 itself, whatever the number of its groups.  Within a tile a pair is marked once.
+The groups of a lead with very many entries are dealt to slices, which have tiles of their own.
+A lead of one part is read as it is.  Entries of other leads are gathered into packs, one for
+a part, and packs are what tiles are dealt.
 """
 
 from __future__ import annotations
@@ -17,10 +20,8 @@ from pyspark.sql import functions as F
 
 from .storage import written
 
-#: Members on each side of a tile, about, and rows of tiles that a task gets at once.
+#: Members on each side of a tile, about, and entries of a tile, and of the tiles that a task gets at once.
 TILE, TILE_ROWS = 1024, 100_000
-#: Entries of a lead for each of up to so many parts, where they are few members of many groups.
-PART_ENTRIES, EVEN_PARTS = 2048, 32
 #: A further round of stars follows if the last one closed this share of the open rows.
 PROGRESS = 0.3
 
@@ -43,22 +44,47 @@ def stars(rows: DataFrame, names: list[str], turn: int, center: Column | None =
 
 
 def deal(rows: DataFrame) -> DataFrame:
-    """The entries of every tile: ``rows`` with group, x, y (the tile) and part (the entry's side)."""
+    """What ``each_tile`` reads, by group: entries of leads of one part, and a pack of entries for each side of all other tiles.
+
+    Pairs of members that meet in groups of several slices are found in each.
+    """
     size = rows.groupBy("lead").agg(F.approx_count_distinct("node").alias("m"), F.count("*").alias("e"))
-    parts = F.greatest(F.ceil(F.col("m") / TILE), F.least(F.ceil(F.col("e") / PART_ENTRIES), F.lit(EVEN_PARTS)))
-    size = written(size.select("lead", parts.cast("int").alias("parts")), "tiles")
-    total = rows.join(size, "lead").agg(F.sum("parts").alias("rows")).first().rows or 0
-    tiles = size.where("parts > 1").agg(F.sum(F.expr("parts * (parts + 1) / 2")).alias("n")).first().n or 0
-    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TILE_ROWS, int(tiles))
-    dealt = rows.join(size, "lead").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
-    return dealt.withColumn("group", F.pmod(F.xxhash64("lead", "x", "y"), F.lit(groups))).select("group", "x", "y", "part", *rows.columns)
+    parts = F.greatest(F.ceil(F.col("m") / TILE), F.lit(1))
+    slices = F.ceil(F.col("e") * F.least("parts", F.lit(2)) / (F.col("parts") * TILE_ROWS))
+    size = written(size.withColumn("parts", parts.cast("int")).withColumn("slices", slices.cast("int")), "tiles")
+    total, tiles = size.agg(F.sum(F.col("e") * F.col("parts")), F.sum(F.when((F.col("parts") > 1) | (F.col("slices") > 1), F.expr("parts * (parts + 1) / 2 * slices")))).first()
+    groups = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // TILE_ROWS, int(tiles or 0))
+    sized = rows.join(size.select("lead", "parts", "slices"), "lead").withColumn("slice", F.pmod(F.xxhash64("run"), F.col("slices")).cast("int"))
+    group = lambda *tile: F.pmod(F.xxhash64("lead", *tile, "slice"), F.lit(groups)).alias("group")
+    whole = sized.where("parts = 1").select(group(F.lit(0), F.lit(0)), F.lit(0).alias("x"), F.lit(0).alias("y"), F.lit(0).alias("part"), *rows.columns, F.lit(None).cast("binary").alias("pack"))
+
+    rows_of = rows.columns
+
+    def pack(table: pa.Table) -> pa.Table:
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, table.select(rows_of).schema) as stream:
+            stream.write_table(table.select(rows_of))
+        first = table.slice(0, 1).select(["lead", "part", "parts", "slice"])
+        return first.append_column("pack", pa.array([out.getvalue().to_pybytes()], pa.binary()))
+
+    packs = sized.where("parts > 1").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    packs = packs.groupBy("lead", "part", "slice").applyInArrow(pack, "lead long, part int, parts int, slice int, pack binary")
+    packs = packs.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    return whole.unionByName(packs.select(group("x", "y"), "x", "y", "part", "pack"), allowMissingColumns=True)
 
 
 def each_tile(table: pa.Table, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """The columns of each tile in a group of ``deal``, its entries by run."""
-    order = np.lexsort([table.column(c).to_numpy() for c in ("run", "y", "x", "lead")])
-    c = {name: table.column(name).to_numpy()[order] for name in dict.fromkeys(["lead", "x", "y", "part", "run", "node", "component", *names])}
+    names = list(dict.fromkeys(["lead", "run", "node", "component", *names]))
+    packed = table.column("pack").is_valid()
+    whole = table.filter(table.column("pack").is_null())
+    every = [{name: whole.column(name).to_numpy() for name in ("x", "y", "part", *names)}]
+    for row in table.filter(packed).select(["x", "y", "part", "pack"]).to_pylist():
+        entries = pa.ipc.open_stream(row["pack"]).read_all()
+        every.append({name: np.full(entries.num_rows, row[name], np.int32) for name in ("x", "y", "part")} | {name: entries.column(name).to_numpy() for name in names})
+    c = {name: np.concatenate([e[name] for e in every if len(e[name])] or [every[0][name]]) for name in every[0]}
+    order = np.lexsort([c[name] for name in ("run", "y", "x", "lead")])
+    c = {name: x[order] for name, x in c.items()}
     new = np.r_[True, (c["lead"][1:] != c["lead"][:-1]) | (c["x"][1:] != c["x"][:-1]) | (c["y"][1:] != c["y"][:-1])] if len(order) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     for a, b in zip(start, np.r_[start[1:], len(new)], strict=False):

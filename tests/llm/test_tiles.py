@@ -16,3 +16,23 @@ def test_tiles_find_each_pair_between_components_once():
             i, j = tiles.pairs_of_tile(c, lambda i, j, own=own: own[i] + own[j] > 6)
             got += [(min(p), max(p)) for p in zip(c["node"][i].tolist(), c["node"][j].tolist(), strict=True)]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_large_leads_are_dealt_as_packs_and_few_members_of_many_groups_are_not_copied(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TILE", 40)
+    monkeypatch.setattr(tiles, "TILE_ROWS", 2000)
+    rows = [(run, node, 1, node % 5) for run in range(20) for node in range(200)]  # several parts
+    rows += [(100 + run, 1000 + node, 2, node % 5) for run in range(300) for node in range(20)]  # one part, several slices
+    dealt = tiles.deal(spark.createDataFrame(rows, "run long, node long, lead long, component long")).toPandas()
+    assert len(dealt[dealt["pack"].isna()]) == 300 * 20  # each entry once
+    packs = dealt[dealt["pack"].notna()]
+    parts = packs["y"].max() + 1
+    assert parts >= 5 and len(packs) == parts**2  # as many packs as there are sides of tiles, whatever the number of entries
+    got = set()
+    import pyarrow as pa
+
+    for _, t in dealt.groupby("group"):
+        for c in tiles.each_tile(pa.Table.from_pandas(t, preserve_index=False, schema=pa.schema([(n, pa.binary() if n == "pack" else pa.int64()) for n in t.columns])), []):
+            i, j = tiles.pairs_of_tile(c, lambda i, j: np.ones((len(i), j.shape[1]), bool))
+            got |= {(min(p), max(p)) for p in zip(c["node"][i].tolist(), c["node"][j].tolist(), strict=True)}
+    assert got == {(a, b) for lo, hi in ((0, 200), (1000, 1020)) for a in range(lo, hi) for b in range(a + 1, hi) if (a - b) % 5}
