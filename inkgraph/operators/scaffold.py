@@ -1,17 +1,20 @@
 """Coverage proposals: one draft for each section with links to line ranges.
 
 Drafts are grouped, merged, made extensions of existing meshes, named and
-checked with joins and aggregations.  Only the naming is sequential: a slug must
-differ from those given before.  Slugs of different last words never meet, so
-naming runs in parallel over them.
+checked with joins and aggregations.  A slug must differ from those that earlier
+drafts have: every draft asks for its best name, a name goes to the first draft
+that asks, and the others ask for their next one, all at once in each round.  That
+ends as if drafts were named one after the other.  Numbers of one name are ranks,
+counted over sorted ranges, so a name that all drafts share is no one's group.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
@@ -94,26 +97,18 @@ def _slug(subdir: str, qualifiers: list[str], last: str) -> str:
     return "/".join([*parts, last])
 
 
-def _name_group(rows: pd.DataFrame, meshes: pd.DataFrame) -> pd.DataFrame:
-    """Slugs for drafts in order: base, then more and more of the heading chain, then the title, then numbers, counted on for each base."""
-    taken = set(meshes["mesh"])
-    slugs, following = [], {}
-    for r in rows.sort_values(["page", "ord"]).itertuples():
-        chain = [k for h in r.heading_chain if (k := _kebab(h)) and k != r.noun]
-        options = [chain[len(chain) - n :] for n in range(len(chain) + 1)]
-        title = _kebab(r.title or "")
-        if title and title != r.noun:
-            options.append([title, *chain])
-        names = list(dict.fromkeys(_slug(r.subdir, list(q), r.noun) for q in options))
-        slug = next((n for n in names if n not in taken), None)
-        while slug is None:
-            number = following.get(names[-1], 2)
-            following[names[-1]] = number + 1  # numbers below are taken for good
-            candidate = f"{names[-1]}-{number}"
-            slug = candidate if candidate not in taken else None
-        taken.add(slug)
-        slugs.append((r.page, r.ord, slug))
-    return pd.DataFrame(slugs, columns=["page", "ord", "slug"])
+def _names(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The names that each draft asks for, in order: base, then more and more of the heading chain, then the title; numbers of the last one follow."""
+    for frame in frames:
+        names = []
+        for r in frame.itertuples():
+            chain = [k for h in r.heading_chain if (k := _kebab(h)) and k != r.noun]
+            options = [chain[len(chain) - n :] for n in range(len(chain) + 1)]
+            title = _kebab(r.title or "")
+            if title and title != r.noun:
+                options.append([title, *chain])
+            names.append(list(dict.fromkeys(_slug(r.subdir, list(q), r.noun) for q in options)))
+        yield pd.DataFrame({"page": frame["page"], "ord": frame["ord"], "names": names})
 
 
 def _kebab(text: str) -> str:
@@ -121,13 +116,77 @@ def _kebab(text: str) -> str:
     return re.sub("[^a-z0-9]+", "-", plain.lower() if plain.isascii() else "".join(c.lower() if c.isascii() else "-" for c in plain)).strip("-")
 
 
+def _counted(rows: DataFrame, key: str, order: list[str], flag: Column) -> DataFrame:
+    """Adds ``nth``: how many rows of a key have ``flag``, up to each row by ``order``; counted within sorted ranges, whose sums are added up."""
+    dealt = rows.withColumn("flag", flag.cast("long")).repartitionByRange(key, *order).withColumn("piece", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    # a piece of a key is a row here
+    sums = dealt.groupBy(key, "piece").agg(F.sum("flag").alias("own"))
+    sums = sums.select(key, "piece", F.coalesce(F.sum("own").over(Window.partitionBy(key).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    within = F.sum("flag").over(Window.partitionBy(key, "piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn("within", within).join(sums, [key, "piece"]).withColumn("nth", F.col("within") + F.col("before")).drop("flag", "piece", "within", "before")
+
+
+def _numbers(slugs: DataFrame) -> DataFrame:
+    """Those of ``slugs`` (slug, ...) that are a number of a name, with base and number."""
+    parts = slugs.withColumns({"base": F.regexp_extract("slug", "(?s)^(.*)-[1-9][0-9]*$", 1), "number": F.regexp_extract("slug", "-([1-9][0-9]*)$", 1).try_cast("long")})
+    return parts.where("base <> '' and number >= 2")
+
+
+def _numbered(pool: DataFrame, blocked: DataFrame | None) -> DataFrame:
+    """(page, ord, base, number): the drafts of each base in order have its numbers from 2, without those ``blocked`` (base, number)."""
+    ranks = _counted(pool, "base", ["page", "ord"], F.lit(1)).withColumn("rank", F.col("nth") - 1).drop("nth")
+    if blocked is None:
+        return ranks.select("page", "ord", "base", (F.col("rank") + 2).alias("number"))
+    # a blocked number is passed by the drafts whose rank is that of its free number, or more
+    passed = _counted(blocked, "base", ["number"], F.lit(1)).select("base", (F.col("number") - 1 - F.col("nth")).alias("rank"), F.lit(0).alias("kind"))
+    every = passed.unionByName(ranks.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    every = _counted(every, "base", ["rank", "kind"], F.col("kind") == 0).where("kind = 1")
+    return every.select("page", "ord", "base", (F.col("rank") + 2 + F.col("nth")).alias("number"))
+
+
 def name_drafts(rows: DataFrame, existing: DataFrame) -> DataFrame:
     """Adds ``slug``: an extension has its mesh's, all others one that neither a mesh (``existing``: mesh) nor an earlier draft has."""
-    stem = lambda c: F.regexp_replace(F.regexp_extract(c, "([^/]*)$", 1), "(-[0-9]+)+$", "")
-    new = rows.where("extends is null").withColumn("stem", stem(F.col("noun")))
-    held = existing.select("mesh").distinct().withColumn("stem", stem(F.col("mesh")))
-    drafts = new.select("stem", "page", "ord", "heading_chain", "noun", "subdir", "title")
-    named = drafts.groupBy("stem").cogroup(held.groupBy("stem")).applyInPandas(_name_group, "page string, ord int, slug string")
+    meshes = written(existing.select(F.col("mesh").alias("slug")).distinct(), "meshes")
+    asking = rows.where("extends is null").select("page", "ord", "heading_chain", "noun", "subdir", "title").mapInPandas(_names, "page string, ord int, names array<string>")
+    asking = written(asking.withColumn("at", F.lit(0)), "asking")
+    held, pool, numbers = asking.where(F.lit(False)).withColumn("slug", F.lit("")), asking.where(F.lit(False)), None
+    mesh_numbers = written(_numbers(meshes).select("base", "number"), "mesh-numbers")
+    while True:
+        while not asking.isEmpty():
+            every = asking.withColumn("slug", F.col("names")[F.col("at")]).unionByName(held)
+            first = every.groupBy("slug").agg(F.min(F.struct("page", "ord", "names", "at")).alias("d")).join(meshes, "slug", "left_anti")
+            held = written(first.select("d.*", "slug"), "held")
+            others = written(every.drop("slug").join(held.select("page", "ord"), ["page", "ord"], "left_anti").withColumn("at", F.col("at") + 1), "asking")
+            asking, pool = others.where("at < size(names)"), pool.unionByName(others.where("at >= size(names)"))
+        based = written(pool.select("page", "ord", F.element_at("names", -1).alias("base")), "pool")
+        if based.isEmpty():
+            break
+        owners = written(_numbers(held.select("slug", "page", "ord")).select("base", "number", F.struct("page", "ord").alias("owner")).join(based.select("base").distinct(), "base", "left_semi"), "owners")
+        blocked, lost = mesh_numbers.join(based.select("base").distinct(), "base", "left_semi"), None
+        while True:
+            blocked = written(blocked, "blocked")
+            numbers = written(_numbered(based, None if blocked.isEmpty() else blocked), "numbers")
+            if owners.isEmpty():
+                break
+            # of numbers that a draft holds as a name of its own the least of each base is settled: the earlier draft has it
+            met = numbers.join(owners.join(blocked, ["base", "number"], "left_anti"), ["base", "number"])
+            met = met.groupBy("base").agg(F.min(F.struct("number", F.struct("page", "ord").alias("d"), "owner")).alias("m")).select("base", "m.*")
+            met = written(met, "met")
+            if met.isEmpty():
+                break
+            lost = met.where("d < owner").select("owner.page", "owner.ord")
+            if not lost.isEmpty():
+                break
+            blocked = blocked.unionByName(met.select("base", "number"))
+        if lost is None or lost.isEmpty():
+            break
+        gone = held.join(lost, ["page", "ord"], "left_semi").drop("slug").withColumn("at", F.col("at") + 1)
+        gone, held = written(gone, "asking"), written(held.join(lost, ["page", "ord"], "left_anti"), "held")
+        asking, pool = gone.where("at < size(names)"), pool.unionByName(gone.where("at >= size(names)"))
+    named = held.select("page", "ord", "slug")
+    if numbers is not None:
+        named = named.unionByName(numbers.select("page", "ord", F.concat_ws("-", "base", "number").alias("slug")))
     out = rows.join(named, ["page", "ord"], "left")
     return out.withColumn("slug", F.coalesce("extends", "slug"))
 

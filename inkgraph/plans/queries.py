@@ -593,7 +593,7 @@ def g04_drop_missing(spark, sf_dir):
 @query(f"WITH {_DRAFTS} SELECT count(*) AS n, count(*) AS n_slugs, CAST(1 AS BIGINT) AS same_base FROM drafts")
 def g05_slug_resolution(spark, sf_dir):
     pages = _pages(spark, sf_dir)
-    rows = scaffold.consolidate(scaffold.drafts(scaffold.range_links(pages)))
+    rows = written(scaffold.consolidate(scaffold.drafts(scaffold.range_links(pages))), "drafts")
     rows = rows.withColumns({"title": F.lit("A title"), "extends": F.lit(None).cast("string")})
     held = spark.range(1).select(F.lit("wiki/part-1").alias("mesh"))
     named = scaffold.name_drafts(rows, held)
@@ -622,10 +622,14 @@ def i05_stream_sync(spark, sf_dir):
 
 @query()
 def g06_scaffold_json(spark, sf_dir):
-    """The whole proposal for pages that have no mesh yet, as JSON."""
-    pages = _pages(spark, sf_dir)
+    """The whole proposal for pages that have no mesh yet, as ordered JSON arrays, read back: part, position and value of each element."""
+    folder = f"{shared_dir(spark)}/scaffold-{uuid.uuid4().hex}"
+    pages = written(_pages(spark, sf_dir), "scaffold-pages")
     none = spark.createDataFrame([], "mesh string, path string, start_line int, end_line int")
-    return scaffold.to_json(*scaffold.scaffold(pages, none, pages.select("path")))
+    scaffold.write_json(folder, *scaffold.scaffold(pages, none, pages.select("path")))
+    parts = {"pages": "path string, title string, meshes array<struct<slug: string, headingChain: array<string>, anchors: array<struct<path: string, startLine: int, endLine: int>>>>", "droppedMeshes": "slug string, missingPath string, page string", "parseErrors": "path string, category string, message string"}
+    out = [sinks.read_array(spark, f"{folder}/{name}", schema).select(F.lit(name).alias("part"), "position", F.to_json("row").alias("value")) for name, schema in parts.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 # Editor operators -----------------------------------------------------------

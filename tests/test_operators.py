@@ -294,3 +294,25 @@ def test_a_blank_line_takes_no_place_among_snippets(spark):
     corpus = spark.createDataFrame([(f"p{n}.md", "Same", ["", "one", "two", "three"][n]) for n in range(4)], "path_rel string, title string, content string")
     links = corpus.select(F.col("path_rel").alias("source_file"), F.lit(1).alias("source_line"), F.lit("t.md").alias("target_path"))
     assert [(r.path_rel, [s.text for s in r.snippets]) for r in lookup.backlinks(corpus, links, "t.md").collect()] == [("p0.md", ["one", "two", "three"])]
+
+
+def test_slugs_are_given_as_if_one_after_the_other(spark):
+    """Against the sequential rule, with names that are numbers of other names, held ones among them; no group has all drafts of a word."""
+    import random
+
+    rng = random.Random(7)
+    pick = lambda: rng.choice(["x", "x-2", "x-3", "x-2-2", "y"])
+    drafts = [(f"p{rng.randrange(30):02}", i, [pick() for _ in range(rng.randrange(3))], pick(), rng.choice(["", "x", "y"]), rng.choice([None, "T", "x-2"]), None) for i in range(150)]
+    meshes = {"wiki/x-4", "wiki/t/x-3", "wiki/y", "wiki/x/x-2-3"}
+    taken, want = set(meshes), {}
+    for page, ord_, chain, noun, subdir, title, _ in sorted(drafts, key=lambda d: d[:2]):
+        chain, options = [h for h in chain if h != noun], []
+        options = [chain[len(chain) - n :] for n in range(len(chain) + 1)] + ([[title.lower(), *chain]] if title and title.lower() != noun else [])
+        names = ["/".join([*dict.fromkeys(["wiki", *filter(None, [subdir]), *q]), noun]) for q in options]
+        numbers = (f"{names[-1]}-{n}" for n in range(2, 1000))
+        want[page, ord_] = next(n for n in (*names, *numbers) if n not in taken)
+        taken.add(want[page, ord_])
+    rows = spark.createDataFrame(drafts, "page string, ord int, heading_chain array<string>, noun string, subdir string, title string, extends string")
+    named = scaffold.name_drafts(rows, spark.createDataFrame([(m,) for m in meshes], "mesh string"))
+    assert {(r.page, r.ord): r.slug for r in named.collect()} == want
+    assert "FlatMapCoGroupsInPandas" not in named._jdf.queryExecution().toString()
