@@ -266,7 +266,8 @@ def _bloom(pairs: DataFrame, classes: int) -> np.ndarray:
 
     out = np.zeros((1 << bits) // 8, np.uint8)
     part = len(out) // SLICES
-    for r in pairs.select("a", "b").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").toLocalIterator():
+    # one job for all slices, which are 32 MB together at most
+    for r in pairs.select("a", "b").mapInArrow(mark, "slice int, bits binary").groupBy("slice").applyInArrow(merge, "slice int, bits binary").collect():
         out[r.slice * part : (r.slice + 1) * part] = _unpack(bytes(r.bits), np.uint8)
     return out
 

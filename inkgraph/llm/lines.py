@@ -7,8 +7,8 @@ two lines within ``EDITS`` edits, one cut into EDITS + 1 segments shares at
 least one of them with the other, near the same place.  Each distinct line
 therefore puts its segments into an index, keyed by length, segment number and
 content, and probes the index for its own and slightly smaller lengths with
-the substrings that can align with a segment.  Candidates are verified by a
-banded bit-parallel automaton, over all pairs of a batch at once.
+the substrings that can align with a segment.  Candidates are verified along a
+band of diagonals, over all pairs of a batch at once.
 
 Lines joined by links form clusters; each cluster keeps its first line in the
 order of (doc_id, line number) and loses all others.
@@ -35,6 +35,8 @@ EDITS, MIN_BYTES = 2, 20
 SHARDS, SHARD_BYTES = 64, 16 << 20
 #: Pairs whose histograms are compared at once.
 CHUNK = 1 << 16
+#: Symbols of pairs that are compared at once.
+SYMBOLS = 1 << 18
 #: Bins of the byte histogram that bounds the distance of two lines from below.
 BINS = 32
 #: Stands for a null id in the order of lines: after all others.
@@ -234,46 +236,49 @@ def _texts(docs: DataFrame, bloom: np.ndarray, least: int, chars: bool, key: byt
     return docs.select("text").mapInArrow(run, "line long, content binary, bins binary").groupBy("line").agg(F.first("content").alias("content"), F.first("bins").alias("bins"))
 
 
+def equal(pd: np.ndarray, p_at: np.ndarray, td: np.ndarray, t_at: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """How many symbols from each pair's places on are equal, at most ``most``; a few are compared first, then more of those still equal."""
+    out, live, width = np.zeros(len(most), np.int64), np.flatnonzero(most > 0), 16
+    while len(live):
+        size = np.minimum(most[live] - out[live], width)
+        got, ends, a = np.empty_like(size), np.cumsum(size), 0
+        while a < len(live):  # a bounded number of symbols, or one pair, at once
+            b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SYMBOLS, side="right")), a + 1)
+            x, n = live[a:b], size[a:b]
+            first = np.cumsum(n) - n
+            at = np.arange(int(n.sum())) - np.repeat(first, n)
+            unlike = pd[np.repeat(p_at[x] + out[x], n) + at] != td[np.repeat(t_at[x] + out[x], n) + at]
+            got[a:b] = np.minimum.reduceat(np.where(unlike, at, np.repeat(n, n)), first)
+            a = b
+        out[live] += got
+        live, width = live[(got == size) & (out[live] < most[live])], 8 * width
+    return out
+
+
 def within(p: pa.Array, t: pa.Array, edits: int, chars: bool = False) -> np.ndarray:
     """Whether each pair of byte strings is within ``edits`` edits, of bytes or of code points.
 
-    Bit k of vector e says that the automaton, after j bytes of ``t``, can be at byte j + k - edits
-    of ``p`` with e errors: a band of 2 * edits + 1 diagonals, moved for all pairs with a few
-    operations for each byte place.
+    With e errors, ``reach[k]`` is the furthest place i such that the first i symbols of ``p`` and the
+    first i + k of ``t`` are within e edits.  An error more leads on from the diagonals beside, and equal
+    symbols from there: of a band of 2 * edits + 1 diagonals those that the ends can still be reached from.
     """
     (pd, pe), (td, te) = (characters(*_bytes(x)) if chars else _bytes(x) for x in (p, t))
-    p_size, t_size = np.diff(pe), np.diff(te)
-    out = np.zeros(len(p_size), bool)
-    order = np.argsort(-t_size, kind="stable")
-    order = order[np.abs(p_size - t_size)[order] <= edits]
-    if not len(order):
-        return out
-    p_at, t_at, p_size, t_size = pe[:-1][order], te[:-1][order], p_size[order], t_size[order]
-    band = 2 * edits + 1
-    full = (1 << band) - 1
-    state = [np.full(len(order), sum(1 << (edits + k) for k in range(e + 1)), np.uint32) for e in range(edits + 1)]
-    accept = np.uint32(1) << (p_size - t_size + edits).astype(np.uint32)
-    live = len(order)
-    for j in range(int(t_size[0]) + 1):
-        still = int(np.searchsorted(-t_size[:live], -j, side="left"))  # pairs whose t has more than j bytes
-        done = slice(still, live)
-        out[order[done]] = np.any([s[done] & accept[done] for s in state], axis=0)
-        live = still
-        if not live:
-            break
-        c = td[t_at[:live] + j]
-        match = np.zeros(live, np.uint32)
-        for k in range(band):
-            i = j + k - edits
-            if i >= 0:
-                inside = i < p_size[:live]
-                match |= (inside & (pd[np.where(inside, p_at[:live] + i, 0)] == c)).astype(np.uint32) << np.uint32(k)
-        old = state[0][:live].copy()
-        state[0][:live] &= match
-        for e in range(1, edits + 1):
-            now = state[e][:live].copy()
-            state[e][:live] = (now & match | old | old >> np.uint32(1) | state[e - 1][:live] << np.uint32(1)) & np.uint32(full)
-            old = now
+    out = np.zeros(len(p), bool)
+    order = np.flatnonzero(np.abs(np.diff(pe) - np.diff(te)) <= edits)
+    p_at, t_at, p_size, t_size = pe[:-1][order], te[:-1][order], np.diff(pe)[order], np.diff(te)[order]
+    none, reach = -(1 << 40), {}
+    for e in range(edits + 1):
+        last, reach = reach, {}
+        for k in range(-e, e + 1):
+            before = [last[d] + step for d, step in ((k, 1), (k - 1, 0), (k + 1, 1)) if d in last]
+            i = np.minimum(np.minimum(np.maximum.reduce(before) if before else 0, p_size), t_size - k)
+            x = np.flatnonzero((i >= max(0, -k)) & (np.abs(t_size - p_size - k) <= edits - e))
+            reach[k] = np.full(len(order), none)
+            reach[k][x] = i[x] + equal(pd, p_at[x] + i[x], td, t_at[x] + i[x] + k, np.minimum(p_size, t_size - k)[x] - i[x])
+        done = np.any([(t_size - p_size == k) & (r == p_size) for k, r in reach.items()], axis=0)
+        out[order[done]] = True
+        order, p_at, t_at, p_size, t_size = (x[~done] for x in (order, p_at, t_at, p_size, t_size))
+        reach = {k: r[~done] for k, r in reach.items()}
     return out
 
 

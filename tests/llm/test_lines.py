@@ -120,3 +120,32 @@ def test_within_code_points():
     for edits in (0, 2):
         got = m.within(pa.array([x.encode() for x in a], pa.binary()), pa.array([x.encode() for x in b], pa.binary()), edits, chars=True)
         assert got.tolist() == [distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
+
+
+def test_within_long_lines(monkeypatch):
+    """Edits far apart in long lines, compared a few symbols at once."""
+    monkeypatch.setattr(m, "SYMBOLS", 64)
+    rng = random.Random(17)
+    a = ["".join(rng.choice("ab語") for _ in range(rng.choice([0, 15, 16, 17, 150, 300]))) for _ in range(120)]
+    b = [changed(rng, x, rng.randrange(5)) for x in a]
+    for edits in (0, 1, 2, 3):
+        got = m.within(pa.array([x.encode() for x in a], pa.binary()), pa.array([x.encode() for x in b], pa.binary()), edits, chars=True)
+        assert got.tolist() == [distance(x, y) <= edits for x, y in zip(a, b, strict=True)]
+
+
+def test_bit_map_takes_no_job_for_each_partition(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.sparkContext.setJobGroup("bit-map", "")
+    try:
+        nodes = np.arange(100, dtype=np.int64)
+        pairs = spark.createDataFrame([(bytearray(nodes.tobytes()), bytearray((nodes + 100).tobytes()))], "a binary, b binary")
+        packed = m._bloom(pairs, 200)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("bit-map")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert m.bloom_has(packed, np.arange(200, dtype=np.int64)).all()
+    assert len(jobs) <= 3
