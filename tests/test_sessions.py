@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pandas as pd
 import pytest
 from inkgraph.sources import corpus as C
 from inkgraph.sources.tables import shared_dir
@@ -39,6 +40,25 @@ def test_settled_at_any_watermarks(seed):
     assert got == plain(events, 12) and not known
 
 
+@pytest.mark.parametrize("seed", range(5))
+def test_sessions_of_a_bucket_settle_together(seed):
+    rng = random.Random(seed)
+    events = [(rng.choice(["s", "t", "u", None]), rng.randrange(300), rng.choice(["a", "b", None])) for _ in range(80)]
+    known, got = pd.DataFrame({"session": [], "ms": [], "path": []}), []
+    for watermark in (-1, 100, 100, 250, 1 << 50):
+        fresh = [e for e in events if watermark == 1 << 50 or e[1] <= watermark + 40]
+        events = [e for e in events if e not in fresh]
+        frame = pd.DataFrame(fresh, columns=["session", "ms", "path"], dtype=object)
+        over, known, at = S.settle(pd.concat([known, frame], ignore_index=True), 12, watermark)
+        assert at is None or at > watermark
+        got += [(None if pd.isna(s) else s, a, b, why, sorted(paths)) for s, a, b, why, paths in zip(over["session"], over["started"], over["ended"], over["reason"], over["paths"], strict=True)]
+    assert len(known) == 0
+    rng = random.Random(seed)
+    events = [(rng.choice(["s", "t", "u", None]), rng.randrange(300), rng.choice(["a", "b", None])) for _ in range(80)]
+    want = [(s, a, b, why, sorted(paths)) for s in ("s", "t", "u", None) for a, b, why, paths in plain([e[1:] for e in events if e[0] == s], 12)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_stream_over_restarts(spark):
     folder = f"{shared_dir(spark)}/test-sessions-{uuid.uuid4().hex}"
     minute = lambda m, s, p: (m, s, p)
