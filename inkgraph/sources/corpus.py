@@ -11,12 +11,24 @@ from ..functions import text as T
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content, mtime_ns, size_bytes) of all files below a folder that any Spark reader can reach."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = _gathered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
     base = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     rel = F.regexp_replace("path", r"^[a-z0-9+]+:/*", "")
     return files.select(F.regexp_replace(rel, "^" + _quoted(base) + "/", "").alias("path"), F.decode("content", "UTF-8").alias("content"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"))
 
 
+#: Bytes of files, and partitions of a scan, that one task reads, about; Spark puts some 32 small files into a partition.
+TASK_BYTES, TASK_PARTS = 64 << 20, 32
+
+
+def _gathered(files: DataFrame) -> DataFrame:
+    """The rows of a scan of files in fewer tasks if most files are small, as Spark counts each as 4 MB."""
+    spark, parts = files.sparkSession, files.rdd.getNumPartitions()
+    size = int(str(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of all files, as listed
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES), -(-parts // TASK_PARTS))
+    return files.coalesce(tasks) if tasks < parts else files
+
+
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
 

@@ -112,14 +112,16 @@ class TreeWriter(StagedWriter):
     """One file a page.  An attempt writes beside a page's name and renames, so attempts that run at once do not mix."""
 
     def write_part(self, system: fs.FileSystem, part: int, attempt: int, batches: Iterator[pa.RecordBatch]) -> Written:
-        rows = 0
+        rows, made = 0, ""
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 if not path or path.startswith("/") or ".." in path.split("/"):
                     raise ValueError(f"no path below the folder: {path!r}")
                 name = posixpath.join(self.staging, path)
                 folder, base = posixpath.split(name)
-                system.create_dir(folder)
+                if folder != made:
+                    system.create_dir(folder)
+                    made = folder
                 draft = posixpath.join(folder, f".{base}-{attempt}")
                 with system.open_output_stream(draft) as f:
                     f.write((content or "").encode())

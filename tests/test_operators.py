@@ -316,3 +316,16 @@ def test_slugs_are_given_as_if_one_after_the_other(spark):
     named = scaffold.name_drafts(rows, spark.createDataFrame([(m,) for m in meshes], "mesh string"))
     assert {(r.page, r.ord): r.slug for r in named.collect()} == want
     assert "FlatMapCoGroupsInPandas" not in named._jdf.queryExecution().toString()
+
+
+def test_small_files_are_read_in_few_tasks(spark, tmp_path):
+    for i in range(600):
+        (tmp_path / f"{i}.md").write_text(f"page {i}")
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4194304")  # one small file fills a partition
+    try:
+        pages = C.read_pages(spark, str(tmp_path))
+        assert pages.rdd.getNumPartitions() <= 24
+        assert {(r["path"], r["content"]) for r in pages.collect()} == {(f"{i}.md", f"page {i}") for i in range(600)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
