@@ -2,23 +2,122 @@
 
 from __future__ import annotations
 
+import os
+import re
+import stat
+from collections import deque
+from collections.abc import Iterable, Iterator
+from functools import partial, reduce
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import frontmatter as fm
 from ..functions import text as T
+from .sinks import DRAFT, _located
+from .tables import written
+
+#: Entries that a task lists before it leaves directories below to others; files and bytes of files that one task reads, about.
+LISTED, TASK_FILES, TASK_BYTES = 1_000, 4_000, 64 << 20
+#: Rows and bytes of content that a batch holds, about.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+#: Partitions of Spark's scan of files that one task reads; Spark puts some 32 small files into a partition.
+TASK_PARTS = 32
+#: Schemes of file systems that rename folders and that Python reaches as Spark does.
+RENAMING = ("file", "hdfs")
+#: Names that are no pages: git's own folder, checksum files of Hadoop, and drafts of attempts that were lost.
+NO_PAGE = re.compile(rf"\.git|\..*\.crc|{DRAFT}")
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, content, mtime_ns, size_bytes) of all files below a folder that any Spark reader can reach."""
+    """(path, content, mtime_ns, size_bytes) of all files below a folder that any Spark reader can reach.
+
+    Folders of file systems on which ``write_tree`` commits are listed and read by tasks, hidden names among them; git's own
+    folder and checksum files are left out.  In other stores Spark's reader lists the files, without hidden ones, in the driver.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    hadoop_fs = hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = hadoop_fs.makeQualified(hadoop).toString()
+    if at.partition(":")[0] in RENAMING and hadoop_fs.exists(hadoop) and hadoop_fs.getFileStatus(hadoop).isDirectory():
+        files = _listed(spark, at).mapInArrow(partial(_contents, at), "path string, content binary, mtime_ns long, size_bytes long")
+        return files.withColumn("content", F.decode("content", "UTF-8"))
     files = _gathered(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
     base = folder.rstrip("/").split(":", 1)[-1].lstrip("/")
     rel = F.regexp_replace("path", r"^[a-z0-9+]+:/*", "")
     return files.select(F.regexp_replace(rel, "^" + _quoted(base) + "/", "").alias("path"), F.decode("content", "UTF-8").alias("content"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"), F.col("length").alias("size_bytes"))
 
 
-#: Bytes of files, and partitions of a scan, that one task reads, about; Spark puts some 32 small files into a partition.
-TASK_BYTES, TASK_PARTS = 64 << 20, 32
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, mtime_ns, size_bytes) of the files below a folder, dealt to as many tasks as are to read them."""
+    cores, levels, files, size = spark.sparkContext.defaultParallelism, [], 0, 0
+    todo, dirs = spark.range(1).select(F.lit("").alias("path")), 1
+    while dirs:
+        level = written(todo.repartition(min(dirs, 4 * cores)).mapInArrow(partial(_entries, folder), "path string, directory boolean, mtime_ns long, size_bytes long"), "listing")
+        levels.append(level.where("not directory").drop("directory"))
+        todo = level.where("directory").select("path")
+        found = level.agg(F.count_if("directory"), F.count_if(~F.col("directory")), F.coalesce(F.sum("size_bytes"), F.lit(0))).first()
+        dirs, files, size = found[0], files + found[1], size + found[2]
+    tasks = max(4 * cores, -(-size // TASK_BYTES), -(-files // TASK_FILES))
+    return reduce(DataFrame.union, levels).repartition(max(1, min(files, tasks)))
+
+
+def _entries(folder: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files in the directories of ``batches`` and, while these are few, below; else the directories that are still to be listed."""
+    system, top = _located(folder)
+    todo = deque(path for batch in batches for path in batch.column("path").to_pylist())
+    rows, given, seen = [], len(todo), 0
+    while todo and (given > 0 or seen < LISTED):
+        path, given = todo.popleft(), given - 1
+        for name, is_dir, mtime, size in _children(system, f"{top}/{path}"):
+            seen += 1
+            if is_dir:
+                todo.append(f"{path}{name}/")
+            else:
+                rows.append((f"{path}{name}", False, mtime, size))
+            if len(rows) == BATCH_ROWS:
+                yield _batch(rows)
+                rows = []
+    rows += [(path, True, 0, 0) for path in todo]
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], ["path", "directory", "mtime_ns", "size_bytes"])
+
+
+def _children(system: fs.FileSystem, directory: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(name, is a directory, mtime_ns, size_bytes) of what may be or hold pages in a directory."""
+    if isinstance(system, fs.LocalFileSystem):  # one by one, where others give a list
+        with os.scandir(directory) as entries:
+            for entry in entries:
+                if NO_PAGE.fullmatch(entry.name) or entry.is_symlink() and not os.path.exists(entry.path):
+                    continue
+                s = entry.stat()
+                if stat.S_ISDIR(s.st_mode) or stat.S_ISREG(s.st_mode):
+                    yield entry.name, stat.S_ISDIR(s.st_mode), s.st_mtime_ns, s.st_size
+        return
+    for info in system.get_file_info(fs.FileSelector(directory)):
+        if not NO_PAGE.fullmatch(info.base_name) and info.type in (fs.FileType.Directory, fs.FileType.File):
+            yield info.base_name, info.type == fs.FileType.Directory, info.mtime_ns or 0, info.size or 0
+
+
+def _contents(folder: str, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Listed files with their bytes, in batches of bounded size."""
+    system, top = _located(folder)
+    for batch in batches:
+        paths, held, first, size = batch.column("path").to_pylist(), [], 0, 0
+        for i, path in enumerate(paths):
+            with system.open_input_stream(f"{top}/{path}", compression=None) as f:
+                held.append(f.read())
+            size += len(held[-1])
+            if i + 1 == len(paths) or len(held) == BATCH_ROWS or size >= BATCH_BYTES:
+                part = batch.slice(first, len(held))
+                yield pa.RecordBatch.from_arrays([part.column("path"), pa.array(held, pa.binary()), part.column("mtime_ns"), part.column("size_bytes")], ["path", "content", "mtime_ns", "size_bytes"])
+                held, first, size = [], i + 1, 0
 
 
 def _gathered(files: DataFrame) -> DataFrame:

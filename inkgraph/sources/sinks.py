@@ -54,6 +54,10 @@ def write_pages(path: str, pages: DataFrame) -> None:
     pages.write.mode("overwrite").parquet(path)
 
 
+#: Names of drafts in a tree: a page is written under one and then renamed, so only a lost attempt leaves one.
+DRAFT = r"\.draft-[0-9a-f]{32}-[0-9]+"
+
+
 def _located(path: str) -> tuple[fs.FileSystem, str]:
     scheme, colon, rest = path.partition(":")
     plain = colon and scheme == "file"
@@ -112,20 +116,19 @@ class TreeWriter(StagedWriter):
     """One file a page.  An attempt writes beside a page's name and renames, so attempts that run at once do not mix."""
 
     def write_part(self, system: fs.FileSystem, part: int, attempt: int, batches: Iterator[pa.RecordBatch]) -> Written:
-        rows, made = 0, ""
+        rows, made, draft = 0, "", f".draft-{self.staging[-32:]}-{attempt}"
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if not path or path.startswith("/") or ".." in path.split("/"):
+                if not path or path.startswith("/") or {"", ".", ".."} & set(path.split("/")):
                     raise ValueError(f"no path below the folder: {path!r}")
                 name = posixpath.join(self.staging, path)
-                folder, base = posixpath.split(name)
+                folder = posixpath.dirname(name)
                 if folder != made:
                     system.create_dir(folder)
                     made = folder
-                draft = posixpath.join(folder, f".{base}-{attempt}")
-                with system.open_output_stream(draft) as f:
+                with system.open_output_stream(posixpath.join(folder, draft)) as f:
                     f.write((content or "").encode())
-                system.move(draft, name)
+                system.move(posixpath.join(folder, draft), name)
                 rows += 1
         return Written(part, "", rows)
 
@@ -185,8 +188,9 @@ def register(spark: SparkSession) -> None:
 def write_tree(path: str, pages: DataFrame, overwrite: bool = False) -> None:
     """A folder with a file for each of ``pages`` (path, content), all at once.
 
-    Null content is an empty file.  Paths that stand twice, are empty, absolute or lead out of the folder are errors,
-    and an existing folder is one unless ``overwrite`` replaces it as a whole.
+    Null content is an empty file.  Paths that stand twice, are empty, absolute or lead out of the folder are errors, as
+    are those with empty parts or dots (``a//b``, ``./a``), since another path may name the same file.  An existing
+    folder is an error unless ``overwrite`` replaces it as a whole.
     """
     register(pages.sparkSession)
     twice = pages.groupBy("path").count().where("count > 1").orderBy("path").first()

@@ -58,3 +58,42 @@ def test_attempts_that_do_not_count_are_left_out(tmp_path):
     messages = [part(2, 5, ["4"]), part(0, 2, ["1", "2"]), part(1, 3, [])]
     writer.commit([*messages, None])
     assert read_array(tmp_path / "a") == [1, 2, 4]
+
+
+def test_tree_is_read_back_whole_and_listed_by_tasks(spark, tmp_path):
+    from inkgraph.sources import corpus as C
+
+    folder = F.concat(F.element_at(F.array(*map(F.lit, ("_a", ".b", "._COPYING_", "c d%20#", "x/y/z"))), (F.col("id") % 5 + 1).cast("int")), F.lit("/"), (F.col("id") % 70).cast("string"))
+    pages = spark.range(1400).select(F.concat(folder, F.lit("/"), F.element_at(F.array(*map(F.lit, ("_", ".", ""))), (F.col("id") % 3 + 1).cast("int")), "id", F.lit(".md.gz")).alias("path"), F.concat(F.lit("ä\r\n\0"), "id").alias("content"))
+    want = {r.path: r.content for r in pages.collect()}
+    assert len(want) == 1400  # more than a task lists by itself
+    target = tmp_path / "tree"
+    sinks.write_tree(str(target), pages.repartition(6))
+    writer = sinks.TreeWriter(str(target), True)
+    (target / f".draft-{writer.staging[-32:]}-7").write_text("half a pa")  # of a lost attempt
+    (target / ".git").mkdir()
+    (target / ".git/HEAD").write_text("ref")
+    back = C.read_pages(spark, str(target))
+    assert {r.path: r.content for r in back.collect()} == want and back.count() == 1400
+    assert {r.path: (r.size_bytes, r.mtime_ns) for r in back.collect()} == {p: ((target / p).stat().st_size, (target / p).stat().st_mtime_ns) for p in want}
+    assert not [f for f in back.inputFiles() if f.endswith(".gz")]  # the driver has no list of the pages
+    (tmp_path / "none").mkdir()
+    assert C.read_pages(spark, "file:" + str(tmp_path / "none")).collect() == []
+
+
+def test_paths_of_one_file_are_not_written_over_each_other(spark, tmp_path):
+    for paths in (["a//b.md", "a/b.md"], ["a/./b.md", "a/b.md"], ["./b.md"], ["a/"]):
+        with pytest.raises(Exception, match="no path below"):
+            sinks.write_tree(str(tmp_path / "tree"), spark.createDataFrame([(p, p) for p in paths], "path string, content string").coalesce(1))
+    assert list(tmp_path.iterdir()) == []
+
+
+def test_pages_of_a_store_that_spark_alone_reaches(spark, tmp_path):
+    from inkgraph.sources import corpus as C
+
+    (tmp_path / "d/e").mkdir(parents=True)
+    (tmp_path / "d/e/a.md").write_text("é")
+    spark.conf.set("fs.viewfs.mounttable.store.link./in", f"file://{tmp_path}")
+    assert [(r.path, r.content, r.size_bytes) for r in C.read_pages(spark, "viewfs://store/in/d").collect()] == [("e/a.md", "é", 2)]
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        C.read_pages(spark, str(tmp_path / "gone"))
